@@ -23,7 +23,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import new_folder
+from .common import new_folder, stored
 
 #: Deleted before texts are compared; fixed by contract.
 BLANKS = " \t\n\x0b\f\r"
@@ -90,7 +90,8 @@ def run_state(spark: SparkSession, keys_path: str, schema, folder: str, files_pe
     kept = "kept struct<id:bigint,locator:string,rank:int>"
     entries = spark.read.schema(f"digest string, {kept}, group_size bigint, batch int").parquet(f"{folder}/entries")
     last = entries.groupBy("digest").agg(F.max_by(F.struct("kept", "group_size"), "batch").alias("e"))
-    return last.select("digest", F.col("e.kept.id").alias("keep_id"), F.col("e.kept.rank").alias("keep_rank"), F.col("e.group_size").alias("group_size"))
+    entries = last.select("digest", F.col("e.kept.id").alias("keep_id"), F.col("e.kept.rank").alias("keep_rank"), F.col("e.group_size").alias("group_size"))
+    return stored(entries, "exact-dedup-entries")
 
 
 def _entry_of(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
@@ -106,8 +107,10 @@ def differing(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str, d
     """The hits whose full bytes differ from those of the copy that stays: digest, identifier, normalised text."""
     own = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
     several = _entry_of(own, entries.where("group_size > 1"), "id_", "text_", digest).withColumn("norm_", normalised(F.col("text_")))
-    stays = several.where("kept").groupBy("digest_").agg(F.min("norm_").alias("stays_"))
-    hits = several.select("digest_", "id_", "norm_", F.length(F.coalesce("text_", F.lit(""))).alias("rank"))
+    rank = F.length(F.coalesce("text_", F.lit(""))).alias("rank")
+    hits = stored(several.select("digest_", "id_", "norm_", rank, "kept"), "exact-dedup-hits")
+    stays = stored(hits.where("kept").groupBy("digest_").agg(F.min("norm_").alias("stays_")), "exact-dedup-stays")
+    hits = hits.drop("kept")
     return hits.join(stays, "digest_").where("norm_ != stays_").drop("stays_")
 
 
@@ -146,7 +149,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs, one row of each group of equal texts."""
-    marked = exact_dedup(docs, id_col, text_col)
-    kept = marked.where("kept").withColumn("text_sha256_", F.col("text_sha256"))
-    once = kept.dropDuplicates(["text_sha256_"])
-    return once.select(*docs.columns)
+    key = F.concat_ws(":", sha256(normalised(F.col(text_col))), F.col(id_col).cast("string"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("string"))
+    kept = exact_dedup(docs.select(id_col, text_col), id_col, text_col).where("kept").select(key.alias("row_key_"))
+    return docs.withColumn("row_key_", key).join(kept, "row_key_", "left_semi").dropDuplicates(["row_key_"]).select(*docs.columns)
