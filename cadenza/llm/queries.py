@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, langid, near_dup, pii, secrets, url_rules
+from . import bpe, decontaminate, exact_dedup, langid, near_dup, pii, secrets, url_rules
 from .common import table
 
 
@@ -31,6 +31,14 @@ def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.transform("found", lambda x: x["item_id"].cast("string")), ",")
+    best = F.round(F.array_max(F.transform("found", lambda x: x["score"])), 6)
+    return found.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.size("found").cast("long").alias("n_items"), items.alias("item_ids"), best.alias("best_score"))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.near_dup_groups(docs)
