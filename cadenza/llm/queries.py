@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, near_dup, pii, secrets, url_rules
+from . import bpe, decontaminate, exact_dedup, langid, lm_score, near_dup, ordinal, pii, secrets, url_rules
 from .common import table
 
 
@@ -31,6 +31,10 @@ def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
@@ -77,6 +81,15 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 to 2: one for quality, one for not being toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    graded = docs.join(labels, docs.doc_id == labels.labelled).select("doc_id", "text", "grade")
+    fitted = ordinal.fit(graded, 3)
+    return ordinal.grade_documents(docs, fitted).select("doc_id", "expected_grade", "tail_probability", "selected")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = tokenizer_path("word_bpe_49k.json")
