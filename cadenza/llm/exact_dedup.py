@@ -27,8 +27,11 @@ from .common import new_folder, stored
 
 #: Deleted before texts are compared; fixed by contract.
 BLANKS = " \t\n\x0b\f\r"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; a store is closed when its task has committed, so that an executor has as many open as it has tasks.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -58,13 +61,15 @@ def keyed_state(keys: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _on_disk(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def _state_settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_state(spark: SparkSession, keys_path: str, schema, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -81,7 +86,7 @@ def run_state(spark: SparkSession, keys_path: str, schema, folder: str, files_pe
     def write(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{folder}/entries/batch={batch}")
 
-    with _on_disk(spark):
+    with _state_settings(spark):
         query = (
             keyed_state(reader.parquet(keys_path)).writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
@@ -99,16 +104,16 @@ def _entry_of(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str, d
     docs = docs.drop("keep_id", "group_size", "kept", "keep_rank", "text_sha256")
     same_id = F.col(id_col).cast("long").eqNullSafe(F.col("keep_id"))
     length = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.withColumn("digest_", digest(normalised(F.col(text_col))))
-    return marked.join(entries.withColumnRenamed("digest", "digest_"), "digest_").withColumn("kept", same_id & (length == F.col("keep_rank")))
+    marked = docs.withColumn("digest_", digest(normalised(F.col(text_col)))).withColumn("rank_", length)
+    marked = marked.join(entries.withColumnRenamed("digest", "digest_"), "digest_")
+    return marked.withColumn("kept", same_id & (F.col("rank_") == F.col("keep_rank")))
 
 
 def differing(docs: DataFrame, entries: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """The hits whose full bytes differ from those of the copy that stays: digest, identifier, normalised text."""
     own = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
     several = _entry_of(own, entries.where("group_size > 1"), "id_", "text_", digest).withColumn("norm_", normalised(F.col("text_")))
-    rank = F.length(F.coalesce("text_", F.lit(""))).alias("rank")
-    hits = stored(several.select("digest_", "id_", "norm_", rank, "kept"), "exact-dedup-hits")
+    hits = stored(several.select("digest_", "id_", "norm_", F.col("rank_").alias("rank"), "kept"), "exact-dedup-hits")
     stays = stored(hits.where("kept").groupBy("digest_").agg(F.min("norm_").alias("stays_")), "exact-dedup-stays")
     hits = hits.drop("kept")
     return hits.join(stays, "digest_").where("norm_ != stays_").drop("stays_")
@@ -141,10 +146,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "keep_rank": F.when(own, F.col("k.rank")).otherwise(F.col("keep_rank")),
             "group_size": F.when(own, F.col("n")).otherwise(F.col("group_size") - F.coalesce("fewer", F.lit(0))),
         })
-        length = F.length(F.coalesce(F.col(text_col), F.lit("")))
-        marked = marked.withColumn("kept", F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (length == F.col("keep_rank"))).drop("norm_", "fewer", "k", "n")
+        marked = marked.withColumn("kept", F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")) & (F.col("rank_") == F.col("keep_rank"))).drop("norm_", "fewer", "k", "n")
     checked = F.col("digest_") if digest is sha256 else sha256(normalised(F.col(text_col)))
-    return marked.withColumn("text_sha256", checked).drop("digest_", "keep_rank")
+    return marked.withColumn("text_sha256", checked).drop("digest_", "rank_", "keep_rank")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
