@@ -6,11 +6,10 @@ thousands of exact copies cost one. The first INDEX values of each class's sketc
 
 Candidates: in each list the members meet one of them, the pivot. That makes as many pairs as
 members. Pairs that pass the union-sketch estimate are compared on their full shingle sets, and the links
-that hold are joined to components. Members of one component need no comparison any more;
-lists that still have several components meet new pivots in further rounds, then whatever members of
-different components remain is compared: short lists pair by pair, long ones in blocks of sketches within tasks,
-which give only pairs that pass the estimate. So no link is lost to a long list, and a group of near copies costs a few
-pairs per member.
+that hold are joined to components. Members of one component need no comparison any more. In lists that still
+have several components, members of different ones are compared: short lists pair by pair, long ones in blocks of
+sketches within tasks, which give only pairs that pass the estimate. So no link is lost to a long list, and a group
+of near copies costs a few pairs per member.
 
 Long lists of unlike documents (a passage that many share) are avoided by choosing which values stand for a class:
 if at least half of its indexed values have short lists, those do; else the rarest ones that a document as
@@ -40,7 +39,6 @@ SKETCH = 64
 INDEX = 32
 #: Lists up to this length are short, and paired fully once pivots have done their part.
 SHORT = 24
-PIVOT_ROUNDS = 2
 #: Members of a long list that one block takes.
 BLOCK = 128
 #: Estimates may fall short of the threshold by five standard deviations of a sample of SKETCH.
@@ -200,26 +198,17 @@ def _in_blocks(lists: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.groupBy("value", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
-def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the lists that still hold several components, with component and length of the list."""
-    if labels is not None:
-        postings = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    else:
-        postings = postings.withColumn("component", F.col("node"))
+    postings = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = postings.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length"))
     return postings.join(cut(ends.where("lo != hi")), "value").select("value", "node", "component", "length")
 
 
-def _to_pivots(lists: DataFrame, round_: int) -> DataFrame:
-    """Each member with the pivot of its list, if that is in another component."""
-    turn = F.struct(F.xxhash64("node", F.lit(round_)).alias("turn"), F.col("node"), F.col("component")) if round_ else None
-    if turn is None:  # the smallest, which the classes of a group of near copies mostly have in common
-        pivots = cut(lists.groupBy("value").agg(F.min("node").alias("pivot")))
-        met = lists.join(pivots, "value").where("node != pivot")
-    else:
-        pivots = cut(lists.groupBy("value").agg(F.min(turn).alias("p")).select("value", F.col("p.node").alias("pivot"), F.col("p.component").alias("of")))
-        met = lists.join(pivots, "value").where("component != of")
-    return met.select(*_ordered("node", "pivot")).distinct()
+def _to_pivots(postings: DataFrame) -> DataFrame:
+    """Each member with the pivot of its list: the smallest, which classes of a group of near copies mostly have in common."""
+    pivots = cut(postings.groupBy("value").agg(F.min("node").alias("pivot")))
+    return postings.join(pivots, "value").where("node != pivot").select(*_ordered("node", "pivot")).distinct()
 
 
 def _remaining(lists: DataFrame, classes: DataFrame) -> DataFrame:
@@ -250,29 +239,24 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
     places = active.select("node", F.col("row.id").alias("rid"), F.col("row.content").alias("rcontent"))
-    links = labels = None
-    for round_ in range(PIVOT_ROUNDS + 1):
-        lists = cut(_labelled(postings, labels))
-        if lists.isEmpty():
-            break
-        pairs = _estimated(_to_pivots(lists, round_), active) if round_ < PIVOT_ROUNDS else _remaining(lists, active)
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            continue
+
+    def links_of(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("content") == F.col("rcontent"))
         texts = stored(own.join(places.join(needed, "node", "left_semi"), same).select("node", "text"), "near-dup-texts")
-        found = cut(_links(pairs, texts, size))
-        links = found if links is None else links.unionByName(found)
-        labels = cut(components(links))
-
-    out = rows.select("id", "n_shingles", "node")
-    if labels is not None:
-        out = out.join(labels, "node", "left")
-        group = F.coalesce("component", "node")
-    else:
-        group = F.col("node")
-    out = out.withColumn("group", group)
+        return cut(_links(pairs, texts, size))
+
+    links = links_of(cut(_estimated(_to_pivots(postings), active)))
+    labels = cut(components(links))
+    lists = cut(_labelled(postings, labels))
+    more = links_of(cut(_remaining(lists, active)))
+    # only the components that new links join need rounds again
+    name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    joined = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = cut(components(joined)).withColumnsRenamed({"node": "component", "component": "whole"})
+
+    out = rows.select("id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    out = out.join(merged, "component", "left").withColumn("group", F.coalesce("whole", "component"))
     first = cut(out.where("group is not null").groupBy("group").agg(F.min("id").alias("first")))
     out = out.join(first, "group", "left")
     component = F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("first"))
