@@ -30,6 +30,13 @@ NAMES = [
 ]
 
 
+def column_of(name: str) -> str:
+    """The column of a descriptor in wide tables, where names that differ in case only would clash."""
+    if name.startswith("chord_bass"):
+        return "chord_bass_major" if name.endswith("M") else "chord_bass_minor"
+    return name.replace("chordM", "chord_major").replace("chordm", "chord_minor")
+
+
 def mono(left: Column, right: Column) -> Column:
     """Mean of two channels."""
     return F.zip_with(left, right, lambda a, b: (a + b) / 2)
@@ -185,7 +192,7 @@ def frame_features(frames: DataFrame, tune: DataFrame | None = None) -> DataFram
 
 
 def descriptors(frames: DataFrame, tune: DataFrame | None = None) -> DataFrame:
-    """One row per loop with the descriptors of NAMES, each an array of 12.
+    """One row per loop with the descriptors of NAMES, each an array of 12 under its column_of.
 
     frames: (loop_id, frame_ix, n_frames, bands).
     """
@@ -204,7 +211,7 @@ def descriptors(frames: DataFrame, tune: DataFrame | None = None) -> DataFrame:
         "lownote": hot("low"), "lown_sub": hot("sub"), "lown_b3": hot("b3"), "low_w": one_hot(F.col("low")["at"], F.col("low")["level"]),
         "dompc": one_hot(F.col("dominant"), F.lit(1.0)),
         "chord": softmaxed(F.col("chord_e")), "chord_h": softmaxed(F.col("chord_he")),
-        "cb_M": F.zip_with(triads(mix, 4), "raw_bass", lambda a, b: a * b), "cb_m": F.zip_with(triads(mix, 3), "raw_bass", lambda a, b: a * b),
+        "cb_major": F.zip_with(triads(mix, 4), "raw_bass", lambda a, b: a * b), "cb_minor": F.zip_with(triads(mix, 3), "raw_bass", lambda a, b: a * b),
     })
     # the loud quarter: one percentile a loop, joined back by loop
     level = own.groupBy("loop_id").agg(F.percentile("energy", F.lit(0.75)).alias("loud_from"), F.sum("salience").alias("salience_all"))
@@ -218,20 +225,20 @@ def descriptors(frames: DataFrame, tune: DataFrame | None = None) -> DataFrame:
     aggs += [slot("raw_mix", "salw_mix", lambda x: F.sum(x * F.col("salience") / F.col("salience_all"))), slot("raw_mix", "maxchroma", F.max), slot("raw_mix", "sqrtmix", lambda x: F.avg(F.sqrt(x)))]
     aggs += [slot("raw_bass", "bass_first", mean(first2)), slot("raw_bass", "bass_last", mean(last2)), slot("raw_mix", "mix_first2", mean(first2)), slot("raw_mix", "mix_last2", mean(last2)), slot("raw_mid", "mid_first", mean(first2)), slot("raw_mid", "mid_last", mean(last2))]
     aggs += [slot("raw_bass", "bass_loud", mean(F.col("energy") >= F.col("loud_from"))), slot("low_w", "low_sum", F.sum), slot("bass_fold", "bass_sum", F.sum)]
-    for name, offset in (("chordM", 0), ("chordm", 12)):
+    for name, offset in (("chord_major", 0), ("chord_minor", 12)):
         aggs += [slot("chord", f"{name}_mix", mean(), offset), slot("chord_h", f"{name}_harm", mean(), offset), slot("chord", f"{name}_first_mix", mean(first2), offset), slot("chord", f"{name}_last_mix", mean(last2), offset)]
-    aggs += [slot("cb_M", "chord_bass_M", mean()), slot("cb_m", "chord_bass_m", mean())]
+    aggs += [slot("cb_major", "chord_bass_major", mean()), slot("cb_minor", "chord_bass_minor", mean())]
     out = own.groupBy("loop_id").agg(*aggs)
     out = out.withColumns({"lownote_w": normalised(F.col("low_sum")), "bass_energy": normalised(F.col("bass_sum"))})
-    return out.select("loop_id", *NAMES)
+    return out.select("loop_id", *map(column_of, NAMES))
 
 
 def as_vector(loops: DataFrame) -> DataFrame:
     """(loop_id, values): the descriptors in order, 36 * 12 values."""
-    return loops.select("loop_id", F.concat(*NAMES).alias("values"))
+    return loops.select("loop_id", F.concat(*map(column_of, NAMES)).alias("values"))
 
 
 def as_rows(loops: DataFrame) -> DataFrame:
     """(loop_id, feature, pc, value)."""
-    long_ = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("v")) for n in NAMES)))
+    long_ = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(column_of(n)).alias("v")) for n in NAMES)))
     return loops.select("loop_id", long_.alias("x")).select("loop_id", F.col("x.feature").alias("feature"), F.posexplode("x.v").alias("pc", "value"))

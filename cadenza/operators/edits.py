@@ -105,7 +105,8 @@ def to_one_shot(selected: Column, on_disk: Column, choice: Column, disk_value: C
 def _cut49(text: Column) -> Column:
     """What a 50-byte slot gives back: at most 49 bytes; '' if a character is split."""
     cut = F.substring(F.encode(text, "UTF-8"), 1, 49)
-    return F.when(F.is_valid_utf8(cut.cast("string")), cut.cast("string")).otherwise("")
+    whole = F.when(F.is_valid_utf8(cut.cast("string")), cut.cast("string")).otherwise("")
+    return F.when(text.isNotNull(), whole)
 
 
 def after_saving(container: Column, old: dict[str, Column], edit: dict[str, Column]) -> dict[str, Column]:

@@ -1,6 +1,6 @@
 """All queries of the library but those of the language-model operators."""
 
-from . import catalogue
+from . import catalogue, keys, retag
 from .adapters import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalogue"]
+__all__ = ["ORACLES", "QUERIES", "catalogue", "keys", "retag"]
