@@ -253,7 +253,7 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # only the components that new links join need rounds again
     name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     joined = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = cut(components(joined)).withColumnsRenamed({"node": "component", "component": "whole"})
+    merged = cut(components(joined).select(F.col("node").alias("component"), F.col("component").alias("whole")))
 
     out = rows.select("id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     out = out.join(merged, "component", "left").withColumn("group", F.coalesce("whole", "component"))
