@@ -102,6 +102,8 @@ class Index:
             self.ids.append(item)
             self.parts.append((q, a))
             self.stride = max(self.stride, len(words))
+        if not rows:
+            return self
         rows.sort()
         table = pd.DataFrame(rows, columns=["term", "item", "x"])
         at = np.searchsorted(table["term"], np.arange(len(self.terms) + 1))
