@@ -62,7 +62,8 @@ def events(b: bytes) -> list[tuple] | None:
                         r.at += 1
                     case _ if status in (0xFF, 0xF0, 0xF7):
                         r.at += status == 0xFF
-                        r.at += r.number()
+                        length = r.number()
+                        r.at += length
                     case _:
                         break
                 out.append((track, seq, delta, kind, channel, pitch))
