@@ -7,9 +7,9 @@ thousands of exact copies cost one. The first INDEX values of each class's sketc
 Candidates: in each list the members meet one of them, the pivot. That makes as many pairs as
 members. Pairs that pass the union-sketch estimate are compared on their full shingle sets, and the links
 that hold are joined to components. Members of one component need no comparison any more. In lists that still
-have several components, members of different ones are compared: short lists pair by pair, long ones in blocks of
-sketches within tasks, which give only pairs that pass the estimate. So no link is lost to a long list, and a group
-of near copies costs a few pairs per member.
+have several components, members of different ones are compared: short lists pair by pair, long ones on full sets in
+blocks within tasks, where the members outside a list's largest component meet all. A block gives only links that join
+components. So no link is lost to a long list, and a group of near copies gives a few pairs per member.
 
 Long lists of unlike documents (a passage that many share) are avoided by choosing which values stand for a class:
 if at least half of its indexed values have short lists, those do; else the rarest ones that a document as
@@ -39,8 +39,11 @@ SKETCH = 64
 INDEX = 32
 #: Lists up to this length are short, and paired fully once pivots have done their part.
 SHORT = 24
-#: Members of a long list that one block takes.
-BLOCK = 128
+#: Members of a long list that one side of a block takes, and columns of its matrices at a time.
+BLOCK = 512
+COLUMNS = 4096
+#: Long lists in which a class takes part: two classes as similar as THRESHOLD that share long lists share one of their LISTS longest but for one time in 20,000.
+LISTS = 6
 #: Estimates may fall short of the threshold by five standard deviations of a sample of SKETCH.
 MARGIN = 5 * (0.75 * 0.25 / SKETCH) ** 0.5
 #: Words whose hashes a worker keeps.
@@ -114,7 +117,7 @@ def estimate_ok(n_a: Column, a: Column, n_b: Column, b: Column) -> Column:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(value, node) of the inverted lists with at least two members, after the choice of values."""
+    """(value, node, weight) of the inverted lists with at least two members, after the choice of values."""
     k = F.least(F.size("sketch"), F.lit(INDEX))
     all_ = classes.select("node", "n_shingles", k.alias("k"), F.explode(F.slice("sketch", 1, INDEX)).alias("value"))
     lengths = cut(all_.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"))
@@ -127,7 +130,8 @@ def _postings(classes: DataFrame) -> DataFrame:
     lack = F.when(F.col("n") <= INDEX, F.floor(F.col("k") * (100 - THRESHOLD) / 100)).otherwise(INDEX - 12)
     rarest = F.slice("lists", F.lit(1), F.greatest(F.lit(0), (lack + 1).cast("int") - alone))
     chosen = F.when((alone + F.size(short)) * 2 >= F.col("k"), short).otherwise(rarest)
-    return own.select("node", F.explode(chosen).alias("x")).select(F.col("x.value").alias("value"), "node")
+    weight = F.aggregate("lists", F.lit(0).cast("bigint"), lambda a, x: a + x["length"])
+    return own.select("node", weight.alias("weight"), F.explode(chosen).alias("x")).select(F.col("x.value").alias("value"), "node", "weight")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -162,40 +166,67 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return joined.where(similar("a", "text_a", "text_b")).select("a", "b")
 
 
-def _in_blocks(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of members of different components of long lists (value, node, component, length) that pass the estimate.
+def _block_links(g: pd.DataFrame) -> pd.DataFrame:
+    """Links between members of different components, right against left members; one for each pair of components that they join.
 
-    Members are dealt to blocks by hash; each pair of blocks is one small group.
+    Intersections are products of incidence matrices over the values that occur on both sides.
     """
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    own = F.pmod(F.hash("node"), blocks)
-    rows = lists.join(classes.select("node", "n_shingles", "sketch"), "node").withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "sketch")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        i, j = g["i"].iloc[0], g["j"].iloc[0]
-        left, right = g[g["own"] == i], g[g["own"] == j]
-        found = []
-        tables = [[(r.node, r.component, r.n_shingles, set(r.sketch), r.sketch[SKETCH - 1] if r.n_shingles > SKETCH else None) for r in part.itertuples()] for part in (left, right)]
-        for a, ca, na, sa, ta in tables[0]:
-            for b, cb, nb, sb, tb in tables[1]:
-                if ca == cb or (i == j and a >= b) or 100 * min(na, nb) < THRESHOLD * max(na, nb):
-                    continue
-                both, union = len(sa & sb), None
-                tops = [t for t in (ta, tb) if t is not None]
-                if tops:
-                    top = min(tops)
-                    both = sum(x <= top for x in sa & sb)
-                    union = sum(x <= top for x in sa | sb)
-                    ok = 100 * both >= (THRESHOLD - 100 * MARGIN) * union
-                else:
-                    ok = 100 * both >= THRESHOLD * len(sa | sb)
-                if ok:
-                    found.append((min(a, b), max(a, b)))
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return rows.groupBy("value", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    sides = [g[g["side"] == k] for k in ("l", "r")]
+    sets = [[np.asarray(x, dtype=np.int64) for x in side["set"]] for side in sides]
+    if not sets[0] or not sets[1]:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    flat = [np.concatenate(x) for x in sets]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    rows = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in sets]
+    both = np.zeros((len(sets[0]), len(sets[1])), dtype=np.float32)
+    for i in range(0, len(shared), COLUMNS):
+        part, matrices = shared[i : i + COLUMNS], []
+        for row, values, x in zip(rows, flat, sets, strict=True):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            there = part[at] == values
+            m = np.zeros((len(x), len(part)), dtype=np.float32)
+            m[row[there], at[there]] = 1
+            matrices.append(m)
+        both += matrices[0] @ matrices[1].T
+    sizes = [np.array([len(x) for x in y], dtype=np.float64) for y in sets]
+    component = [side["component"].to_numpy() for side in sides]
+    ok = 100 * both >= THRESHOLD * (sizes[0][:, None] + sizes[1][None, :] - both)
+    ok &= component[0][:, None] != component[1][None, :]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out, nodes = [], [side["node"].to_numpy() for side in sides]
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        c, d = find(int(component[0][i])), find(int(component[1][j]))
+        if c != d:
+            root[c] = d
+            out.append((int(nodes[0][i]), int(nodes[1][j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _in_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of different components of long lists, compared on their full sets within tasks.
+
+    lists: (value, node, component, length); sets: (node, set). Each node takes part in the LISTS longest of its lists. In a list,
+    members outside its largest component meet all members, in blocks dealt by hash; a block gives at most as many links as it joins components.
+    """
+    longest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("l"), "value", "component"))), 1, LISTS)
+    own = lists.groupBy("node").agg(longest.alias("x")).select("node", F.explode("x").alias("x")).select("node", "x.value", "x.component")
+    own = cut(own)
+    parts = own.groupBy("value", "component").agg(F.count("*").alias("n"))
+    lead = parts.groupBy("value").agg(F.max_by("component", "n").alias("lead"), F.max("n").alias("most"), F.sum("n").alias("m")).where("most < m")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = own.join(cut(lead.select("value", "lead", blocks(F.col("m")).alias("left"), blocks(F.col("m") - F.col("most")).alias("right"))), "value")
+    rows = rows.join(sets, "node")
+    place = lambda n: F.pmod(F.hash("node"), F.col(n))
+    one = rows.withColumn("side", F.lit("l")).withColumn("i", place("left")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("right") - 1)))
+    other = rows.where("component != lead").withColumn("side", F.lit("r")).withColumn("j", place("right")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("left") - 1)))
+    names = ["value", "i", "j", "side", "node", "component", "set"]
+    return one.select(names).unionByName(other.select(names)).groupBy("value", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()
 
 
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,22 +237,29 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _to_pivots(postings: DataFrame) -> DataFrame:
-    """Each member with the pivot of its list: the smallest, which classes of a group of near copies mostly have in common."""
-    pivots = cut(postings.groupBy("value").agg(F.min("node").alias("pivot")))
+    """Each member with the pivot of its list: the one whose lists are longest in sum, which in a group of copies has the fewest edits."""
+    pivots = cut(postings.groupBy("value").agg(F.max(F.struct("weight", "node")).alias("p")).select("value", F.col("p.node").alias("pivot")))
     return postings.join(pivots, "value").where("node != pivot").select(*_ordered("node", "pivot")).distinct()
 
 
-def _remaining(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs of members of different components that pass the estimate: short lists in pairs, long ones in blocks."""
-    short = lists.where(F.col("length") <= SHORT)
-    members = short.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("m")).select("m").distinct()
+def _short_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs of members of different components of short lists that pass the estimate."""
+    members = lists.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("m")).select("m").distinct()
     ahead = lambda x: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & (y["component"] != x["component"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
     pairs = members.select(F.explode(F.flatten(F.transform("m", ahead))).alias("p")).select("p.a", "p.b").distinct()
-    out = _estimated(pairs, classes)
-    long_ = lists.where(F.col("length") > SHORT)
-    if not long_.isEmpty():
-        out = out.unionByName(_in_blocks(long_, classes)).distinct()
-    return out
+    return _estimated(pairs, classes)
+
+
+def _full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, set): the full shingle sets."""
+
+    @F.pandas_udf("array<bigint>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = _Hashes()
+        for b in batches:
+            yield pd.Series([shingle_set(t, hashes, size) for t in b])
+
+    return texts.select("node", sets("text").alias("set"))
 
 
 def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -240,16 +278,22 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
     places = active.select("node", F.col("row.id").alias("rid"), F.col("row.content").alias("rcontent"))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def texts_of(nodes: DataFrame) -> DataFrame:
         same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("content") == F.col("rcontent"))
-        texts = stored(own.join(places.join(needed, "node", "left_semi"), same).select("node", "text"), "near-dup-texts")
+        return own.join(places.join(nodes.distinct(), "node", "left_semi"), same).select("node", "text")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        texts = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "near-dup-texts")
         return cut(_links(pairs, texts, size))
 
     links = links_of(cut(_estimated(_to_pivots(postings), active)))
     labels = cut(components(links))
     lists = cut(_labelled(postings, labels))
-    more = links_of(cut(_remaining(lists, active)))
+    more = links_of(cut(_short_pairs(lists.where(F.col("length") <= SHORT), active)))
+    long_ = lists.where(F.col("length") > SHORT)
+    if not long_.isEmpty():
+        sets = stored(_full_sets(texts_of(long_.select("node")), size), "near-dup-sets")
+        more = more.unionByName(cut(_in_blocks(long_, sets)))
     # only the components that new links join need rounds again
     name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     joined = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

@@ -26,7 +26,7 @@ def edited(text, k):
 def corpus():
     base, shared = prose(120), prose(60)
     texts = [prose(random.randint(1, 150)) for _ in range(30)]
-    texts += [edited(base, random.randint(0, 4)) for _ in range(60)]  # a group of near copies, longer than a short list
+    texts += [edited(base, random.randint(0, 9)) for _ in range(60)]  # a group of near copies, longer than a short list
     texts += [f"{prose(4)} {shared} {prose(5)}" for _ in range(60)]  # unlike texts around one passage
     texts += [base, base.upper(), base.replace(" ", "\n"), None, "", " \t\n", "One", "one", "a b c", "A b C", "x " * 30_000, "x " * 30_000]
     rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)]
