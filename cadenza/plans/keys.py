@@ -379,23 +379,23 @@ def synthetic_networks(features: int, hidden: int = 3, count: int = 2) -> scorin
     return scoring.Networks(0.1 + 0.01 * np.arange(features), nets)
 
 
-NETWORK = STATS + """, x AS (SELECT loop_id, fx, pc, (value - avg(value) OVER (PARTITION BY loop_id, fx)) / (0.1 + 0.01 * fx) AS v FROM d),
+NETWORK = STATS + """, x AS (SELECT loop_id, fx, pc, (value - avg(value) OVER (PARTITION BY loop_id, fx)) / 1000 / (0.1 + 0.01 * fx) AS v FROM d),
   h AS (SELECT loop_id, k, tonic, hh, greatest(sum(v * ((((fx * 12 + (pc - tonic + 12) % 12) * 3 + hh) * (37 + 16 * k)) % 101 - 50) / 100.0) + hh * 0.1 - 0.1, 0) AS a FROM x CROSS JOIN (SELECT range AS tonic FROM range(12)) t CROSS JOIN (SELECT range AS hh FROM range(3)) q CROSS JOIN (SELECT range AS k FROM range(2)) ks GROUP BY loop_id, k, tonic, hh),
   z AS (SELECT loop_id, k, tonic + 12 * m AS key_ix, CASE m WHEN 0 THEN 0.05 ELSE -0.05 END + sum(a * (((hh * 2 + m) * (13 + k)) % 11 - 5) / 10.0) AS z FROM h CROSS JOIN (SELECT range AS m FROM range(2)) ms GROUP BY loop_id, k, tonic, m),
   y AS (SELECT loop_id, k, key_ix, z - max(z) OVER w AS y FROM z WINDOW w AS (PARTITION BY loop_id, k)), p AS (SELECT loop_id, k, key_ix, y - ln(sum(exp(y)) OVER (PARTITION BY loop_id, k)) AS p FROM y)
-  SELECT loop_id, CAST(key_ix AS BIGINT) AS key_ix, round(avg(p), 4) + 0.0 AS logp FROM p GROUP BY ALL"""
+  SELECT loop_id, CAST(key_ix AS BIGINT) AS key_ix, round(avg(p), 5) + 0.0 AS logp FROM p GROUP BY ALL"""
 
 
 def _statistic_vectors(x: Tables) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, FEATURES)), L("feature"))
     rows = midi.statistics(x.notes).groupBy("loop_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("f"), "pc", "value"))).alias("s"))
-    return rows.select("loop_id", F.transform("s", lambda s: s["value"]).alias("values"))
+    return rows.select("loop_id", F.transform("s", lambda s: s["value"] / 1000).alias("values"))
 
 
 @query("m5_network", NETWORK)
 def m5(x: Tables) -> DataFrame:
     scores = scoring.network_scores(_statistic_vectors(x), synthetic_networks(len(FEATURES)))
-    return scores.select("loop_id", L("key_ix").cast("bigint").alias("key_ix"), (F.round("logp", 4) + 0.0).alias("logp"))
+    return scores.select("loop_id", L("key_ix").cast("bigint").alias("key_ix"), (F.round("logp", 5) + 0.0).alias("logp"))
 
 
 @query("m6_network_file", "SELECT vec_id % 50 AS loop_id, CAST(24 AS BIGINT) AS keys, 1.0::DOUBLE AS total FROM embeddings GROUP BY 1")
