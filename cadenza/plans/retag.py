@@ -187,14 +187,14 @@ def e11(x: Tables) -> DataFrame:
     return e.cancel(x.edits, _chosen(x), "loop_id").select("loop_id", "category")
 
 
-@query("w6_catalogue_order", """WITH k AS (SELECT loop_id, file_name, lower(regexp_extract(file_name, '^([^0-9]*)', 1)) AS a, CAST(regexp_extract(file_name, '([0-9]+)\\.', 1) AS BIGINT) AS n, CASE WHEN beat_count > 0 THEN least(greatest(round(beat_count * 60 / (n_frames / sample_rate)), 0), 999) ELSE 0 END AS bpm FROM {loops} l)
-  SELECT loop_id, row_number() OVER (ORDER BY a, n, file_name) AS by_name, row_number() OVER (ORDER BY bpm DESC, a DESC, n DESC, file_name DESC) AS by_bpm_down FROM k""")
+@query("w6_catalogue_order", """WITH k AS (SELECT loop_id, file_name, container, lower(regexp_extract(file_name, '^([^0-9]*)', 1)) AS a, CAST(regexp_extract(file_name, '([0-9]+)\\.', 1) AS BIGINT) AS n, CASE WHEN beat_count > 0 THEN least(greatest(round(beat_count * 60 / (n_frames / sample_rate)), 0), 999) ELSE 0 END AS bpm FROM {loops} l)
+  SELECT 'name' AS by_, loop_id FROM (SELECT * FROM k ORDER BY a, n, file_name LIMIT 100) UNION ALL SELECT 'type', loop_id FROM (SELECT * FROM k ORDER BY container, a, n, file_name LIMIT 100)
+  UNION ALL SELECT 'bpm', loop_id FROM (SELECT * FROM k ORDER BY bpm DESC, a DESC, n DESC, file_name DESC LIMIT 100)""")
 def w6(x: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
+    """The first page of 100 in three orders; a page is a top-k, so that no task sorts the whole catalogue."""
     from ..functions import tags as t
     from ..operators import ranking
 
-    own = x.loops.withColumn("bpm", t.tempo(L("beat_count"), L("n_frames") / L("sample_rate")))
-    place = lambda by, down: F.row_number().over(Window.orderBy(*(c.desc() if down else c.asc() for c in ranking.order_key(by)))).cast("bigint")
-    return own.select("loop_id", place("name", False).alias("by_name"), place("bpm", True).alias("by_bpm_down"))
+    own = x.loops.withColumns({"bpm": t.tempo(L("beat_count"), L("n_frames") / L("sample_rate")), "file_type": L("container")})
+    pages = [ranking.in_order(own, by, down).limit(100).select(F.lit(by).alias("by_"), "loop_id") for by, down in (("name", False), ("type", False), ("bpm", True))]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
