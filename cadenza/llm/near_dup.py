@@ -9,11 +9,12 @@ members. Pairs that pass the union-sketch estimate are compared on their full sh
 that hold are joined to components. Members of one component need no comparison any more. In lists that still
 have several components, members of different ones are compared: short lists pair by pair, long ones on full sets in
 blocks within tasks, where the members outside a list's largest component meet all. A block gives only links that join
-components. So no link is lost to a long list, and a group of near copies gives a few pairs per member.
+components. Long lists go in rounds, and components are merged after each, until every list has been visited or has one component;
+only lists whose members are all in another list are left out. So no link is lost to a long list, and a group of near copies gives a few pairs per member.
 
 Long lists of unlike documents (a passage that many share) are avoided by choosing which values stand for a class:
-if at least half of its indexed values have short lists, those do; else the rarest ones that a document as
-similar as THRESHOLD must share (all but the number it may lack). Both lose a link only if sampling goes wrong by over five
+the rarest ones of which a document as similar as THRESHOLD must share one (one more than it may lack); if so many have
+short lists, all of these. Both lose a link only if sampling goes wrong by over five
 standard deviations; sets up to INDEX shingles are exact.
 
 Texts without words (null, empty, blank) have no shingles and are linked with nothing. Null identifiers are rows like
@@ -42,7 +43,7 @@ SHORT = 24
 #: Members of a long list that one side of a block takes, and columns of its matrices at a time.
 BLOCK = 512
 COLUMNS = 4096
-#: Long lists in which a class takes part: two classes as similar as THRESHOLD that share long lists share one of their LISTS longest but for one time in 20,000.
+#: Long lists of a class that one round visits, the longest first.
 LISTS = 6
 #: Estimates may fall short of the threshold by five standard deviations of a sample of SKETCH.
 MARGIN = 5 * (0.75 * 0.25 / SKETCH) ** 0.5
@@ -126,10 +127,11 @@ def _postings(classes: DataFrame) -> DataFrame:
     own = shared.groupBy("node").agg(F.first("k").alias("k"), F.first("n_shingles").alias("n"), by_rarity.alias("lists"))
     short = F.filter("lists", lambda x: x["length"] <= SHORT)
     alone = F.col("k") - F.size("lists")
-    # a whole set as similar as THRESHOLD shares all but a quarter of it; a sample of INDEX at least 12 (24 less five deviations)
-    lack = F.when(F.col("n") <= INDEX, F.floor(F.col("k") * (100 - THRESHOLD) / 100)).otherwise(INDEX - 12)
-    rarest = F.slice("lists", F.lit(1), F.greatest(F.lit(0), (lack + 1).cast("int") - alone))
-    chosen = F.when((alone + F.size(short)) * 2 >= F.col("k"), short).otherwise(rarest)
+    # a whole set as similar as THRESHOLD shares all but a quarter of it, less what a larger set has beyond INDEX; a sample of INDEX at least 12 (24 less five deviations)
+    whole = F.greatest(F.floor(F.col("k") * (100 - THRESHOLD) / 100), F.floor(F.col("k") * 100 / THRESHOLD) - INDEX)
+    need = F.when(F.col("n") <= INDEX, whole).otherwise(INDEX - 12).cast("int") + 1
+    rarest = F.slice("lists", F.lit(1), F.greatest(F.lit(0), need - alone))
+    chosen = F.when(alone + F.size(short) >= need, short).otherwise(rarest)
     weight = F.aggregate("lists", F.lit(0).cast("bigint"), lambda a, x: a + x["length"])
     return own.select("node", weight.alias("weight"), F.explode(chosen).alias("x")).select(F.col("x.value").alias("value"), "node", "weight")
 
@@ -208,15 +210,29 @@ def _block_links(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _in_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
+def _rounds(lists: DataFrame) -> DataFrame:
+    """(value, node, round) of long lists; each list has one round, that of its best place among the longest lists of a member.
+
+    A list within another one gives no further pairs and is left out; of equal lists the least value stays.
+    """
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("l"), "value")))
+    own = cut(lists.groupBy("node").agg(ranked.alias("x")))
+    # later in the order: shorter, or equal with a greater value
+    later = lambda x, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda y: F.struct(y["value"].alias("value"), y["l"].alias("l"), x["value"].alias("other")))
+    together = own.select(F.explode(F.flatten(F.transform("x", later))).alias("p")).groupBy("p.value", "p.l", "p.other").agg(F.count("*").alias("n"))
+    within = together.where("n = -l").select("value").distinct()
+    placed = own.select("node", F.posexplode("x").alias("i", "x")).select("node", "i", F.col("x.value").alias("value"))
+    placed = placed.join(within, "value", "left_anti")
+    rounds = placed.groupBy("value").agg(F.floor(F.min("i") / LISTS).cast("int").alias("round"))
+    return placed.select("value", "node").join(rounds, "value")
+
+
+def _in_blocks(own: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of different components of long lists, compared on their full sets within tasks.
 
-    lists: (value, node, component, length); sets: (node, set). Each node takes part in the LISTS longest of its lists. In a list,
-    members outside its largest component meet all members, in blocks dealt by hash; a block gives at most as many links as it joins components.
+    own: (value, node, component); sets: (node, set). In a list, members outside its largest component meet all
+    members, in blocks dealt by hash; a block gives at most as many links as it joins components.
     """
-    longest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("l"), "value", "component"))), 1, LISTS)
-    own = lists.groupBy("node").agg(longest.alias("x")).select("node", F.explode("x").alias("x")).select("node", "x.value", "x.component")
-    own = cut(own)
     parts = own.groupBy("value", "component").agg(F.count("*").alias("n"))
     lead = parts.groupBy("value").agg(F.max_by("component", "n").alias("lead"), F.max("n").alias("most"), F.sum("n").alias("m")).where("most < m")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -262,6 +278,18 @@ def _full_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("node", sets("text").alias("set"))
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after new links; only the components that these join need rounds again."""
+    if links.isEmpty():
+        return labels
+    name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    joined = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(joined).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return cut(every.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
+
+
 def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """One row per row of docs: the identifier, n_shingles, component_id (smallest identifier of its group) and kept.
 
@@ -290,17 +318,18 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = cut(components(links))
     lists = cut(_labelled(postings, labels))
     more = links_of(cut(_short_pairs(lists.where(F.col("length") <= SHORT), active)))
+    labels = _merged(labels, more)
     long_ = lists.where(F.col("length") > SHORT)
     if not long_.isEmpty():
-        sets = stored(_full_sets(texts_of(long_.select("node")), size), "near-dup-sets")
-        more = more.unionByName(cut(_in_blocks(long_, sets)))
-    # only the components that new links join need rounds again
-    name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    joined = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = cut(components(joined).select(F.col("node").alias("component"), F.col("component").alias("whole")))
+        rounds = cut(_rounds(long_))
+        sets = stored(_full_sets(texts_of(rounds.select("node")), size), "near-dup-sets")
+        for (turn,) in sorted(rounds.select("round").distinct().collect()):
+            left = cut(_labelled(rounds.where(F.col("round") == turn).select("value", "node"), labels))
+            if not left.isEmpty():
+                labels = _merged(labels, cut(_in_blocks(left, sets)))
 
     out = rows.select("id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    out = out.join(merged, "component", "left").withColumn("group", F.coalesce("whole", "component"))
+    out = out.withColumnRenamed("component", "group")
     first = cut(out.where("group is not null").groupBy("group").agg(F.min("id").alias("first")))
     out = out.join(first, "group", "left")
     component = F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("first"))

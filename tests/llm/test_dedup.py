@@ -71,6 +71,29 @@ def test_near_dup_blocks_lose_no_link(spark, corpus, monkeypatch):
     assert sorted(tuple(r) for r in near_dup.near_dup_groups(df).collect()) == brute_groups(corpus)
 
 
+def passages_of_unequal_popularity():
+    """A = P + Q is as similar as THRESHOLD to B = P, but A's longest lists are those of Q, and other members of P's lists weigh more than B."""
+    own = random.Random(11)
+    words = lambda n: [own.choice(VOCAB) for _ in range(n)]
+    p, q, loads, rest = words(300), words(95), [words(80), words(80)], [words(60) for _ in range(10)]
+    texts = [p, p + q, p[:237] + loads[0], p[63:] + loads[1]]
+    texts += [p + words(130) for _ in range(27)] + [p + words(700) for _ in range(10)]
+    texts += [q + rest[a] + rest[b] for a in range(10) for b in range(a)]
+    texts += [x + words(130) for x in rest for _ in range(28)] + [x + words(175) for x in loads for _ in range(45)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_near_dup_visits_all_long_lists(spark, monkeypatch):
+    pivots = near_dup._to_pivots
+    monkeypatch.setattr(near_dup, "LISTS", 1)
+    monkeypatch.setattr(near_dup, "_to_pivots", lambda postings: pivots(postings).where(F.lit(False)))  # the lists alone
+    rows = passages_of_unequal_popularity()
+    want = brute_groups(rows)
+    assert (1, 391, 0, False) in want
+    got = near_dup.near_dup_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
