@@ -234,6 +234,25 @@ def f2(x: Tables) -> DataFrame:
     return frames.select("loop_id", F.posexplode("bands").alias("band", "mag")).where("band % 12 = 0").select("loop_id", L("band").cast("bigint").alias("band"), (F.round("mag", 5) + 0.0).alias("mag"))
 
 
+#: Frames of 32 values, 16 apart: three of each signal; all bands.
+F2_FRAMES = """WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS n FROM embeddings),
+  w AS (SELECT vec_id, frame_ix, n - 16 * frame_ix AS n, x * (0.5 - 0.5 * cos(2 * pi() * (n - 16 * frame_ix) / 31)) AS x FROM s JOIN (SELECT range AS frame_ix FROM range(3)) f ON n BETWEEN 16 * frame_ix AND 16 * frame_ix + 31),
+  d AS (SELECT vec_id, frame_ix, k, pow(sum(x * cos(2 * pi() * k * n / 32)), 2) + pow(sum(x * sin(2 * pi() * k * n / 32)), 2) AS p FROM w CROSS JOIN (SELECT range AS k FROM range(17)) ks GROUP BY ALL),
+  c AS (SELECT vec_id, frame_ix, k + 1 AS i, sum(p) OVER (PARTITION BY vec_id, frame_ix ORDER BY k ROWS UNBOUNDED PRECEDING) AS t FROM d UNION ALL SELECT DISTINCT vec_id, frame_ix, 0, 0 FROM d),
+  e AS (SELECT k, least(greatest(32.7032 * pow(2, (k - 0.5) / 36) / 64, 0), 17) AS pos FROM (SELECT range AS k FROM range(253)) r),
+  v AS (SELECT a.vec_id, a.frame_ix, e.k, a.t * (1 - (pos - floor(pos))) + b.t * (pos - floor(pos)) AS t FROM e JOIN c a ON a.i = floor(pos) JOIN c b ON b.i = least(floor(pos) + 1, 17) AND b.vec_id = a.vec_id AND b.frame_ix = a.frame_ix),
+  m AS (SELECT vec_id, frame_ix, k, sqrt(greatest(lead(t) OVER (PARTITION BY vec_id, frame_ix ORDER BY k) - t, 0)) AS mag FROM v)
+  SELECT vec_id AS loop_id, CAST(frame_ix AS BIGINT) AS frame_ix, CAST(k AS BIGINT) AS band, round(mag, 5) + 0.0 AS mag FROM m WHERE k < 252"""
+
+
+@query("f2_spectrogram_frames", F2_FRAMES)
+def f2_frames(x: Tables) -> DataFrame:
+    signals = x.embeddings.select(L("vec_id").alias("loop_id"), L("embedding").alias("samples"))
+    frames = audio.spectrogram(signals, frame=32, hop=16, rate=F2_RATE, precision="double")
+    long = frames.select("loop_id", L("frame_ix").cast("bigint").alias("frame_ix"), F.posexplode("bands").alias("band", "mag"))
+    return long.select("loop_id", "frame_ix", L("band").cast("bigint").alias("band"), (F.round("mag", 5) + 0.0).alias("mag"))
+
+
 TUNE = """tu AS (SELECT loop_id, atan2(sum(mag * mag * sin(2 * pi() * band / 3)), sum(mag * mag * cos(2 * pi() * band / 3))) * 3 / (2 * pi()) AS phase FROM {frames_long} f WHERE band BETWEEN 36 AND 215 GROUP BY loop_id),
   tn AS (SELECT loop_id, phase, CAST(round_even(least(greatest(phase, -1), 1), 0) AS INT) AS tune FROM tu)"""
 
