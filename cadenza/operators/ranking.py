@@ -59,3 +59,20 @@ def order_key(by: str) -> list[Column]:
 def in_order(rows: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
     """The catalogue in order; descending turns the whole list round."""
     return rows.orderBy(*(c.desc() if descending else c.asc() for c in order_key(by)))
+
+
+def places(rows: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
+    """All rows with their place (from 0) in the order: a sort by ranges, the rows of the ranges before, and the place within the range.
+
+    No task holds the whole catalogue; the driver sees one count per range. The sorted rows are kept, so that both reads see the same ranges.
+    """
+    at = F.monotonically_increasing_id()  # the partition above 33 bits of the row's place within it
+    kept = in_order(rows, by, descending).withColumn("at_", at).checkpoint(eager=True)
+    part = F.shiftright("at_", 33)
+    counts = kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    before, total = {}, 0
+    for r in counts:
+        before[r.part] = total
+        total += r.n
+    offsets = F.create_map(*(F.lit(x) for p, n in before.items() for x in (p, n))) if before else F.create_map().cast("map<bigint,int>")
+    return kept.withColumn("place", (F.element_at(offsets, part) + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")).drop("at_")

@@ -198,3 +198,22 @@ def w6(x: Tables) -> DataFrame:
     own = x.loops.withColumns({"bpm": t.tempo(L("beat_count"), L("n_frames") / L("sample_rate")), "file_type": L("container")})
     pages = [ranking.in_order(own, by, down).limit(100).select(F.lit(by).alias("by_"), "loop_id") for by, down in (("name", False), ("type", False), ("bpm", True))]
     return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+PLACE = "row_number() OVER (ORDER BY {}) - 1 AS place, loop_id FROM k"
+
+
+@query("w6_catalogue_places", """WITH k AS (SELECT l.loop_id, file_name, container, lower(regexp_extract(file_name, '^([^0-9]*)', 1)) AS a, CAST(regexp_extract(file_name, '([0-9]+)\\.', 1) AS BIGINT) AS n, CASE WHEN beat_count > 0 THEN least(greatest(round(beat_count * 60 / (n_frames / sample_rate)), 0), 999) ELSE 0 END AS bpm,
+    CASE WHEN l.loop_id % 3 <> 2 THEN 0 ELSE 1 END AS no_midi, CASE WHEN x.loop_id IS NULL THEN 0 ELSE 1 END AS changed FROM {loops} l LEFT JOIN {edits} x ON x.loop_id = l.loop_id)
+  SELECT 'name' AS by_, """ + PLACE.format("a, n, file_name") + " UNION ALL SELECT 'type', " + PLACE.format("container, a, n, file_name") + " UNION ALL SELECT 'midi', " + PLACE.format("no_midi, a, n, file_name")
+  + " UNION ALL SELECT 'bpm', " + PLACE.format("bpm DESC, a DESC, n DESC, file_name DESC") + " UNION ALL SELECT 'changes', " + PLACE.format("changed DESC, a DESC, n DESC, file_name DESC"))
+def w6_places(x: Tables) -> DataFrame:
+    """Every loop with its place in each of the five orders; w6_catalogue_order is their first page."""
+    from ..functions import tags as t
+    from ..operators import ranking
+
+    own = x.loops.join(x.edits.select("loop_id", F.lit(True).alias("edited")), "loop_id", "left")
+    own = own.withColumns({"bpm": t.tempo(L("beat_count"), L("n_frames") / L("sample_rate")), "file_type": L("container"), "has_midi": L("loop_id") % 3 != 2, "has_changes": L("edited").isNotNull()})
+    orders = (("name", False), ("type", False), ("midi", False), ("bpm", True), ("changes", True))
+    out = [ranking.places(own, by, down).select(F.lit(by).alias("by_"), "place", "loop_id") for by, down in orders]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
