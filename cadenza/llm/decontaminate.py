@@ -10,8 +10,7 @@ compute comes first, for all passages of a batch at once: an item's heaviest wor
 bring the rest themselves. It never drops an item that would reach THETA.
 
 A retrieved item counts if its question and its answer are both there: the share of their word
-trigrams found in the passage must reach OVERLAP. An item without these parts is split before
-its last sentence.
+trigrams found in the passage must reach OVERLAP. An item that is one text counts by the share of the whole of it.
 
 Items are broadcast in shards of at most SHARD_CHARS characters; statistics (number of items, mean length,
 document frequencies) are those of all items. Items of fewer than MIN_WORDS words cannot be told from chance
@@ -35,7 +34,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored, text_batches
 
 WORD = regex.compile(r"\w+")
-SENTENCE = regex.compile(r"(?<=[.!?])\s+(?=\S)")
 K1, B = 1.2, 0.75
 THETA = 0.6
 OVERLAP = 0.7
@@ -49,12 +47,6 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def parts_of(text: str) -> tuple[str, str]:
-    """Question and answer of an item that is one text: all but the last sentence, and that one."""
-    sentences = SENTENCE.split(text.strip())
-    return (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (text, text)
-
-
 def trigrams(words: list[str]) -> set[tuple[str, ...]]:
     n = min(3, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
@@ -267,17 +259,13 @@ def _scanner(spark, shard: tuple[list, Statistics]):
 def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", found: str = "found", item_id: str = "item_id", item_text: str = "text", question: str | None = None, answer: str | None = None) -> DataFrame:
     """docs with an array of the items found in each whole text (item_id, score, question, answer), by item_id.
 
-    question and answer name columns of items; without them item_text is split by parts_of.
+    question and answer name columns of items; without them item_text as a whole is both.
     """
     spark = docs.sparkSession
     text_batches(spark)
     if question is None or answer is None:
-
-        @F.pandas_udf("question string, answer string")
-        def split(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([parts_of(t) for t in texts], columns=["question", "answer"])
-
-        own = items.select(F.col(item_id).cast("long").alias("item_id"), split(F.coalesce(F.col(item_text), F.lit(""))).alias("p")).select("item_id", "p.question", "p.answer")
+        whole = F.coalesce(F.col(item_text), F.lit(""))
+        own = items.select(F.col(item_id).cast("long").alias("item_id"), whole.alias("question"), whole.alias("answer"))
     else:
         own = items.select(F.col(item_id).cast("long").alias("item_id"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((question, "question"), (answer, "answer"))))
     own = stored(own.where("item_id is not null"), "bm25-items")

@@ -159,6 +159,15 @@ def test_decontamination(spark):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 8, 9]
 
 
+def test_edited_copy_with_a_short_last_sentence(spark):
+    item = prose(60) + ". The old mill by the river."
+    docs = spark.createDataFrame([(1, f"{prose(40)} {item.replace('mill', 'barn')} {prose(40)}"), (2, prose(140))], "doc_id long, text string")
+    found = decontaminate.find_items(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, [x.item_id for x in r.found]) for r in found) == [(1, [1]), (2, [])]
+    split = decontaminate.find_items(docs, spark.createDataFrame([(1, *item.split(". "))], "item_id long, q string, a string"), question="q", answer="a")
+    assert all(not r.found for r in split.collect())  # a real answer is asked for by itself
+
+
 def test_shards_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, prose(20)) for i in range(40)], "item_id long, text string").cache()
     texts = [r.text for r in items.collect()]
