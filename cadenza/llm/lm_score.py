@@ -10,7 +10,7 @@ occurrences in all documents.
 
     e = embeddings of the 2 * WINDOW context words     h = tanh(e W1 + b1)     P(class) = softmax(h W2 + b2)
 
-Training masks one position in MASK_EVERY of every document, a different one in each of ROUNDS rounds. Each partition
+Training masks every position of every document once: each of ROUNDS rounds takes every ROUNDS-th one. Each partition
 trains on its documents from the same weights by mini-batches (AdaGrad, numpy); the weights are then averaged in Spark, by number of positions.
 So the work and what is gathered grow with the corpus, and the driver holds one set of weights.
 
@@ -41,7 +41,6 @@ CLASSES = 32 + ENDINGS
 WINDOW = 2
 WIDTH = 8
 HIDDEN = 24
-MASK_EVERY = 16
 ROUNDS = 2
 RATE = 0.1
 BATCH = 1024
@@ -208,7 +207,7 @@ def train(ids: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> Network:
             for b in batches:
                 for raw in b["ids"]:
                     doc = np.frombuffer(raw, dtype="<u2").astype(np.int64)
-                    at = np.arange((zlib.crc32(raw[:64]) + turn * 7) % MASK_EVERY, len(doc), MASK_EVERY)
+                    at = np.arange((zlib.crc32(raw[:64]) + turn) % rounds, len(doc), rounds)
                     if len(at):
                         waiting.append((contexts(doc, at), of[doc[at]]))
                         n += len(at)
@@ -235,7 +234,7 @@ def train(ids: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> Network:
         some = some.groupBy("part", "salt").applyInPandas(add, schema)
         rows = some.groupBy("part").applyInPandas(add, schema).orderBy("part").collect()
         if not rows:
-            return net
+            continue
         net = net.filled(np.concatenate([r.weights for r in rows]) / rows[0].n)
     return net
 

@@ -183,6 +183,16 @@ def test_lm_scores_equal_one_by_one(spark):
     assert whole.sum() > before.sum()
 
 
+def test_lm_trains_on_every_position(spark):
+    """A text of one word trains too: its only position is a target of one of the rounds."""
+    docs = docs_of(spark, ["one", "one two three"]).coalesce(1)
+    vocabulary = lm_score.Vocabulary(lm_score.most_frequent(docs))
+    ids = lm_score.encoded(docs, vocabulary, "doc_id", "text")
+    new = lm_score.Network.new()
+    alone = lm_score.train(ids.where(F.octet_length("ids") == 2), vocabulary.classes)
+    assert (alone.flat() != new.flat()).any()
+
+
 def test_lm_odd_rows(spark):
     got = lm_score.score_documents(docs_of(spark, ODD)).collect()
     assert len(got) == len(ODD) + 3
