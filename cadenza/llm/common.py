@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,13 +16,15 @@ TEXT_BATCH_ROWS = 512
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none and all runs on one machine (tests), a temporary folder is made and set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     made = spark.sparkContext.getCheckpointDir()
     if made is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         made = spark.sparkContext.getCheckpointDir()
     return made
@@ -31,19 +35,56 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like cut, as a Parquet table, so that later reads take single columns of it."""
+    """The rows of df, computed once and kept as a Parquet table in the shared folder; the lineage ends there."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder. They go when the operator has its result, also if it fails."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self._paths = spark, new_folder(spark, name), {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of df, computed once; the lineage ends there."""
+        path = f"{self.folder}/{len(self._paths)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for t in tables:
+            delete(self.spark, self._paths[id(t)][0])
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Scratch]:
+    own = Scratch(spark, name)
+    try:
+        yield own
+    finally:
+        delete(spark, own.folder)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, made from name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small for this session; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -64,13 +64,53 @@ def test_near_dup_equals_brute_force(spark, corpus):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in got if r[3]}
 
 
-def test_near_dup_blocks_lose_no_link(spark, corpus, monkeypatch):
+@pytest.mark.parametrize("fewer", [near_dup.FEWER, 0.0])
+def test_near_dup_long_lists_lose_no_link(spark, corpus, monkeypatch, fewer):
+    """Almost every list is long here; without FEWER the blocks compare all that is left after the first grouping."""
     monkeypatch.setattr(near_dup, "SHORT", 1)
     monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "FEWER", fewer)
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     assert sorted(tuple(r) for r in near_dup.near_dup_groups(df).collect()) == brute_groups(corpus)
 
 
+def popular_parts(seed):
+    """Documents made of popular passages with own words in all proportions, some passages damaged: groups, satellites, links across groups."""
+    own = random.Random(seed)
+    words = lambda n: [own.choice(VOCAB) for _ in range(n)]
+    parts, out = [words(own.randint(20, 60)) for _ in range(5)], []
+    for _ in range(150):
+        text = [w for p in own.sample(parts, own.randint(1, 3)) for w in p]
+        if own.random() < 0.4:
+            at = own.randrange(len(text))
+            text[at : at + own.randint(1, 4)] = words(2)
+        out.append(" ".join(text + words(own.randint(0, len(text) // 2))))
+    return [*enumerate(out)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_near_dup_groups_of_popular_parts(spark, monkeypatch, seed):
+    pivots = near_dup._to_pivots
+    monkeypatch.setattr(near_dup, "SHORT", 2)
+    monkeypatch.setattr(near_dup, "BLOCK", 6)
+    monkeypatch.setattr(near_dup, "_to_pivots", lambda postings, own: pivots(postings, own).where(F.lit(False)))  # the lists alone
+    rows = popular_parts(seed)
+    got = near_dup.near_dup_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == brute_groups(rows)
+
+
+def test_near_dup_satellites(spark):
+    """Equal popular words: the smallest document is linked with those close in size, another group's document with a larger one."""
+    items = spark.createDataFrame([(1, 10, [*range(10)]), (2, 12, [*range(12)]), (3, 14, [*range(10), 90, 91, 92, 93])], "node long, size long, set array<long>")
+    pairs = spark.createDataFrame([(1, 2, 10, 12, 10)], "a long, b long, size_a long, size_b long, both long")
+    with near_dup.scratch(spark, "test") as own:
+        far = spark.createDataFrame([(7, 11, 1), (8, 13, 2), (9, 14, 2)], "node long, size long, key long")
+        linked = near_dup._of_satellites(far, pairs, own).collect()
+        assert sorted(tuple(r) for r in linked) == [(7, 2), (8, 1)]  # 10 shared of 13, of 13, of 14
+        blocks = {frozenset((r.a, r.b)): r.both for r in near_dup._in_blocks(items, own).collect()}
+        assert blocks[frozenset((1, 2))] == 10 and blocks[frozenset((1, 3))] == 10
+
+
 def passages_of_unequal_popularity():
     """A = P + Q is as similar as THRESHOLD to B = P, but A's longest lists are those of Q, and other members of P's lists weigh more than B."""
     own = random.Random(11)
@@ -85,8 +125,7 @@ def passages_of_unequal_popularity():
 
 def test_near_dup_visits_all_long_lists(spark, monkeypatch):
     pivots = near_dup._to_pivots
-    monkeypatch.setattr(near_dup, "LISTS", 1)
-    monkeypatch.setattr(near_dup, "_to_pivots", lambda postings: pivots(postings).where(F.lit(False)))  # the lists alone
+    monkeypatch.setattr(near_dup, "_to_pivots", lambda postings, own: pivots(postings, own).where(F.lit(False)))  # the lists alone
     rows = passages_of_unequal_popularity()
     want = brute_groups(rows)
     assert (1, 391, 0, False) in want
