@@ -41,18 +41,35 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_collecting: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, computed once and kept as a Parquet table in the shared folder; the lineage ends there."""
     path = new_folder(df.sparkSession, name)
+    for paths in _collecting[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def transient(spark: SparkSession) -> Iterator[None]:
+    """All tables that operators store meanwhile are removed at the end: for results that have been written by then."""
+    _collecting.append([])
+    try:
+        yield
+    finally:
+        for path in _collecting.pop():
+            delete(spark, path)
+
+
 class Scratch:
     """Tables of one operator in the shared folder. They go when the operator has its result, also if it fails."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder, self._paths = spark, new_folder(spark, name), {}
+        self.spark, self.folder = spark, new_folder(spark, name)
+        self._paths: dict[int, tuple[str, DataFrame]] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """The rows of df, computed once; the lineage ends there."""
@@ -62,10 +79,13 @@ class Scratch:
         self._paths[id(out)] = path, out
         return out
 
+    def path_of(self, table: DataFrame) -> str:
+        return self._paths[id(table)][0]
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that nothing reads any more."""
         for t in tables:
-            delete(self.spark, self._paths[id(t)][0])
+            delete(self.spark, self.path_of(t))
 
 
 @contextmanager

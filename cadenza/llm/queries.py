@@ -50,7 +50,7 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_dedup(docs)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """op3, op4 and op2 on small tables with the cases that the contracts name, against brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -164,23 +165,35 @@ def brute_exact(rows):
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda c: (F.length(c) % 3).cast("string")])
 def test_exact_dedup_equals_brute_force(spark, corpus, digest):
-    rows = [*corpus, (None, "same"), (None, "s a m e"), (5000, "same"), (5001, "sa me "), (4000, "sam e")]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
-    out = exact_dedup.exact_dedup(df, digest=digest, files_per_batch=1)
-    got = out.collect()
+    rows = [*corpus, (None, "same"), (None, "s a m e"), (5000, "same"), (5001, "sa me "), (4000, "sam e"), (6000, "abc"), (6000, "abd")]
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, kept string, n int, rank int")
+    got = exact_dedup.exact_dedup(df.repartition(6), digest=digest, batches=3).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=repr) == brute_exact(rows)
-    assert [(r.doc_id, r.text) for r in got if r.text and r.text.replace(" ", "") == "same" and r.kept] == [(None, "s a m e")]
-    import hashlib
-
-    assert {r.text_sha256 for r in got if r.doc_id == 5000} == {hashlib.sha256(b"same").hexdigest()}
-
-
-def test_drop_copies_leaves_one(spark, corpus):
-    df = spark.createDataFrame([(i, t, 1) for i, t in corpus], "doc_id long, text string, digest int")
+    assert [r.doc_id for r in got if r.text_sha256 == hashlib.sha256(b"same").hexdigest() and r.kept] == [None]
+
+
+def test_exact_dedup_meets_state_of_earlier_batches(spark, tmp_path):
+    rows = [(i, f"text {i % 7}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    entries = []
+    with exact_dedup.scratch(spark, "test") as own:
+        keys = own.keep(exact_dedup.keys_of(docs, "doc_id", "text", exact_dedup.sha256), "keys")
+        last = exact_dedup.run_state(spark, own.path_of(keys), keys.schema, f"{own.folder}/stream", 2).collect()
+        entries = spark.read.parquet(f"{own.folder}/stream/entries").groupBy("digest").count().collect()
+    assert max(r["count"] for r in entries) > 1
+    assert sorted((r.keep_id, r.group_size) for r in last) == sorted((i, sum(j % 7 == i for j, _ in rows)) for i in range(7))
+    assert all(r.keep_locator for r in last)
+
+
+@pytest.mark.parametrize("repeated", [True, False])
+def test_drop_copies_leaves_one(spark, corpus, repeated):
+    rows = corpus if repeated else [(n, t) for n, (_, t) in enumerate(corpus)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, digest int, gone_id int, own_key int")
     kept = exact_dedup.drop_copies(df)
     assert kept.columns == df.columns
     norm = lambda t: "".join((t or "").split())
-    assert sorted(norm(r.text) for r in kept.collect()) == sorted({norm(t) for _, t in corpus})
+    assert sorted(norm(r.text) for r in kept.collect()) == sorted({norm(t) for _, t in rows})
 
 
 def test_decontamination(spark):
