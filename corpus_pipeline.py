@@ -10,7 +10,8 @@ the next one's documents.
 - benchmark: documents that hold a test item go.
 - tokens: what remains is encoded; the last stage returns doc_id, n_tokens, ids (packed, see cadenza.llm.bpe) and the decoded text's digest.
 
-Empty tables give empty results. Extra columns of documents pass through all but the last stage.
+Empty tables give empty results. Extra columns of documents pass through all but the last stage. Null texts and texts without
+letters go in the first stage; repeated rows are exact copies of each other, of which one stays.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadenza.llm import bpe, decontaminate, exact_dedup, langid, near_dup
-from cadenza.llm.common import new_folder, table
+from cadenza.llm.common import delete, free_name, new_folder, table, transient
 from cadenza.llm.queries import tokenizer_path
 from cadenza.plans.session import ship_package
 
@@ -26,8 +27,8 @@ from cadenza.plans.session import ship_package
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learn = docs.where(~langid.held_out(F.col("doc_id")))
     model = langid.fit(learn, langid.vocabulary(tokenizer_path("piece_bpe_32k.model")))
-    known = langid.predict(docs, model, lang_pred="lang_pred_", score="score_")
-    return known.where(F.col("lang_pred_") != langid.UNKNOWN).select(*docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    return langid.predict(docs, model, lang_pred=lang, score=score).where(F.col(lang) != langid.UNKNOWN).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,11 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. What a stage stored, and its predecessor's output, go as soon as its own output is committed."""
     ship_package(spark)
-    docs = table(spark, sf_dir, "documents")
-    folder = new_folder(spark, "pipeline")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = new_folder(spark, "pipeline-" + name.replace(" ", "-"))
+        with transient(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
