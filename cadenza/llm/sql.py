@@ -60,7 +60,7 @@ WITH p AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host = '' THEN 'block'
-    WHEN regexp_matches(host || path, '(^|[./])(login|signin|cart|checkout|adserver|tracker|casino|porn)([./]|$)') THEN 'block'
+    WHEN regexp_matches(host || path, '(?s)^(.*[./])?(login|signin|signup|logout|cart|checkout|adserver|tracker|casino|porn|wp-login\.php|wp-admin/[^.]+\.php|xmlrpc\.php|cgi-bin/[^/]+\.(cgi|pl)|(tag|category)/[^/]+/page/[0-9]+|calendar/[0-9]{4}/[0-9]{1,2}|user/[^/]+/(edit|password)|search/[^/]+/[0-9]+|ads?[0-9]*\.[^/]+/banner|api/v[0-9]+/[^/]+|feed/(rss|atom))([./].*)?$') THEN 'block'
     ELSE 'allow' END AS verdict FROM r
 """
 

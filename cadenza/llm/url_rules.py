@@ -6,6 +6,9 @@ filed under that one. A URL looks up each of its own tokens, and only the rules
 expression. The longest fitting list rule decides; without one, the first fitting pattern of the
 method does, and else the URL is allowed. A URL without host is blocked: nothing can be fetched.
 
+The method's patterns name pages without running text: forms, baskets, machine interfaces, paged lists, calendars, advertising.
+Another list can be given; a rule states its tokens, and pattern_rule refuses tokens that are not whole ones.
+
 Null and malformed URLs have empty host and path. Repeated rows are judged alike; extra columns
 stay as they are, and those named like a result are replaced.
 """
@@ -20,8 +23,12 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import free_name
+
 #: Rules in one broadcast index; a longer list is split into indexes of this size, all of which are asked.
 RULES_PER_INDEX = 200_000
+#: Tokens of rules that are broadcast to be counted.
+BROADCAST_TOKENS = 1_000_000
 TOKEN = r"[^./]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,13 +51,28 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
     return Rule(host + path, verdict, pattern, tuple(tokens), len(host + path))
 
 
-def segment_rule(verdict: str, token: str) -> Rule:
-    """A pattern of the method: token as a whole label of the host or segment of the path."""
-    return Rule(f"*{token}*", verdict, rf"(?:.*[./])?{re.escape(token)}(?:[./].*)?$", (token,))
+def pattern_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
+    """A pattern of the method, for any place of host and path that follows a . or / or the start; tokens are literal ones of whatever it fits."""
+    if any(not re.fullmatch(TOKEN, t) for t in tokens):
+        raise ValueError(f"not whole tokens: {tokens}")
+    return Rule(pattern, verdict, rf"(?:.*[./])?(?:{pattern})(?:[./].*)?$", tokens)
 
 
-#: The method's own patterns: pages that hold forms, baskets or advertising instead of text.
-PATTERNS = [segment_rule("block", t) for t in ("login", "signin", "cart", "checkout", "adserver", "tracker", "casino", "porn")]
+#: The method's own rules: expressions between a separator or end on both sides, and their literal tokens.
+PATTERNS = [
+    *(pattern_rule("block", t, t) for t in ("login", "signin", "signup", "logout", "cart", "checkout", "adserver", "tracker", "casino", "porn")),
+    pattern_rule("block", r"wp-login\.php", "wp-login", "php"),
+    pattern_rule("block", r"wp-admin/[^.]+\.php", "wp-admin", "php"),
+    pattern_rule("block", r"xmlrpc\.php", "xmlrpc", "php"),
+    pattern_rule("block", r"cgi-bin/[^/]+\.(?:cgi|pl)", "cgi-bin"),
+    pattern_rule("block", r"(?:tag|category)/[^/]+/page/[0-9]+", "page"),
+    pattern_rule("block", r"calendar/[0-9]{4}/[0-9]{1,2}", "calendar"),
+    pattern_rule("block", r"user/[^/]+/(?:edit|password)", "user"),
+    pattern_rule("block", r"search/[^/]+/[0-9]+", "search"),
+    pattern_rule("block", r"ads?[0-9]*\.[^/]+/banner", "banner"),
+    pattern_rule("block", r"api/v[0-9]+/[^/]+", "api"),
+    pattern_rule("block", r"feed/(?:rss|atom)", "feed"),
+]
 
 
 def host_of(url: Column) -> Column:
@@ -75,7 +97,9 @@ def token_counts(pages: DataFrame, rules: list[Rule], url: str = "url") -> dict[
         return {}
     key = F.concat(host_of(F.col(url)), path_of(F.col(url)))
     tokens = F.array_distinct(F.regexp_extract_all(key, F.lit(f"({TOKEN})"), F.lit(1)))
+    # as long as the list of rules, which the driver holds; beyond BROADCAST_TOKENS Spark chooses the join
     names = pages.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+    names = F.broadcast(names) if len(wanted) <= BROADCAST_TOKENS else names
     counts = pages.select(F.explode(tokens).alias("token")).join(names, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     return {r.token: r.n for r in counts.collect()}
 
@@ -89,16 +113,21 @@ def by_rarest_token(rules: list[Rule], counts: dict[str, int]) -> dict[str, list
 
 
 class Judge:
-    """Looks rules up for one URL at a time."""
+    """Looks rules up for one URL at a time. A rule's expression is compiled when a URL first fetches the rule."""
 
     def __init__(self, index: dict[str, list[Rule]]):
-        self.index = {t: [(r, re.compile(r.pattern, re.S)) for r in rules] for t, rules in index.items()}
+        self.index, self.compiled = index, {}
+
+    def fits(self, rule: Rule, key: str) -> bool:
+        if rule not in self.compiled:
+            self.compiled[rule] = re.compile(rule.pattern, re.S)
+        return self.compiled[rule].match(key) is not None
 
     def best(self, host: str, path: str) -> Rule | None:
         key, found = host + path, None
         for token in {"", *re.findall(TOKEN, key)}:
-            for rule, pattern in self.index.get(token, ()):
-                if (found is None or (-rule.length, rule.name) < (-found.length, found.name)) and pattern.match(key):
+            for rule in self.index.get(token, ()):
+                if (found is None or (-rule.length, rule.name) < (-found.length, found.name)) and self.fits(rule, key):
                     found = rule
         return found
 
@@ -126,11 +155,12 @@ def judge_urls(pages: DataFrame, list_rules: list[Rule], patterns: list[Rule] =
                 rows.append((best.length, best.name, best.verdict) if best else (None, None, None))
             yield pd.DataFrame(rows, columns=["length", "name", "verdict"])
 
-    out = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url))).withColumn("__r", decide("host", "path"))
-    by_list = F.col("__r.length") > 0
+    own = free_name(pages, "url_rule")
+    out = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url))).withColumn(own, decide("host", "path"))
+    by_list = F.col(f"{own}.length") > 0
     return (
-        out.withColumn("rule", F.when(by_list, F.col("__r.name")))
-        .withColumn("pattern", F.when(~by_list, F.col("__r.name")))
-        .withColumn("verdict", F.coalesce(F.col("__r.verdict"), F.when(F.col("host") == "", "block").otherwise("allow")))
-        .drop("__r")
+        out.withColumn("rule", F.when(by_list, F.col(f"{own}.name")))
+        .withColumn("pattern", F.when(~by_list, F.col(f"{own}.name")))
+        .withColumn("verdict", F.coalesce(F.col(f"{own}.verdict"), F.when(F.col("host") == "", "block").otherwise("allow")))
+        .drop(own)
     )

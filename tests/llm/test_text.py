@@ -151,6 +151,36 @@ def test_urls(spark):
     assert url_rules.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_many_url_rules_equal_trying_all(spark):
+    import random
+
+    own = random.Random(4)
+    hosts = [f"{own.choice(['www', 'a', 'b'])}.h{own.randrange(300)}.{own.choice(['com', 'org', 'net'])}" for _ in range(400)]
+    url = lambda: f"http://{own.choice(hosts)}/{own.choice(['en', 'de', 'x'])}/p{own.randrange(40)}/tag/y/page/{own.randrange(9)}"
+    rules = [url_rules.host_rule(own.choice(["allow", "block"]), own.choice(hosts).split(".", own.randrange(2))[-1], f"/{own.choice(['', 'en/', 'de/p', 'x/p1'])}{k if own.random() < 0.9 else ''}") for k in range(50_000)]
+    rules = [*{r.name: r for r in rules}.values()]
+    urls = [url() for _ in range(200)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = url_rules.judge_urls(pages, rules).collect()
+    every = [(r, re.compile(r.pattern, re.S)) for r in [*rules, *url_rules.PATTERNS]]
+    for r in got[:40]:
+        fits = [x for x, p in every if p.match(r.host + r.path)]
+        best = min(fits, key=lambda x: (-x.length, x.name), default=None)
+        assert r.verdict == (best.verdict if best else "allow")
+        assert (r.rule or r["pattern"]) == (best.name if best else None)
+    judge = url_rules.Judge(url_rules.by_rarest_token(rules, url_rules.token_counts(pages, rules)))
+    for r in got:
+        judge.best(r.host, r.path)
+    assert len(judge.compiled) <= sum(len(judge.index.get(t, ())) for t in {"", *(t for r in got for t in re.findall(url_rules.TOKEN, r.host + r.path))}) < len(rules)
+
+
+@pytest.mark.parametrize("path", ["wp-login.php", "tag/x/page/3", "category/y/page/10/", "api/v2/items", "ads3.net/banner", "a/search/b/3"])
+def test_url_patterns(path):
+    judge = url_rules.Judge(url_rules.by_rarest_token(url_rules.PATTERNS, {}))
+    assert judge.best("h.com", f"/{path}").verdict == "block"
+    assert judge.best("h.com", f"/x{path}x") is None or path.startswith("a/")
+
+
 def test_grades(spark):
     good, bad = [f"fine text number {i} about things" for i in range(150)], [f"fine text number {i} worthless trash" for i in range(150)]
     rows = [(i, t, g) for g, ts in ((2, good), (0, bad)) for i, t in enumerate(ts)] + [(900, "null grade", None), (901, None, 2), (902, "", 1)]
