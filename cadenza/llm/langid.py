@@ -3,15 +3,16 @@
 Pieces come from a fixed public vocabulary. Per language each piece has a probability; a word's
 probability is the sum over all ways to cut it into pieces of the product of theirs, by the forward
 algorithm. A text's score per language is the sum of its words' log probabilities; the
-best language is predicted, and its posterior at equal priors is the score.
+best language is predicted. The score is its posterior at equal priors, given the text's mean word (the geometric mean of its words'
+probabilities), so that it does not run to one with the length of the text.
 
 Probabilities are fitted by expectation-maximisation on word counts of a bounded sample of labelled rows
-(PER_LANGUAGE rows a language are expected, chosen by hash of the identifier, for at most LANGUAGES languages, the most frequent).
-Each step is a Spark job over the counts; only the table of pieces by languages reaches the driver.
+(PER_LANGUAGE rows a language are expected, chosen by hash of the identifier). Each step is a Spark job over the counts; only the
+table of pieces by languages reaches the driver. To learn from, letter runs of over CHUNK letters are cut into parts; texts are
+scored on whole runs of any length.
 
-A text that is null or has no letter is `und` with score 0. Letter runs of over CHUNK letters are
-scored in consecutive parts of CHUNK letters. Ties go to the language that comes first in the alphabet. Without any labelled row everything
-is `und`.
+A text that is null or has no letter is `und` with score 0. Ties go to the language that comes first in the alphabet. Without any
+labelled row, and so with an empty table, everything is `und`. Repeated rows are scored alike; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,17 +25,17 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored, text_batches
+from .common import free_name, stored, text_batches
 
 UNKNOWN = "und"
 PER_LANGUAGE = 1500
-LANGUAGES = 200
 ROUNDS = 2
 #: Added to each expected count.
 SMOOTHING = 0.02
 CHUNK = 32
 START = "▁"
-CACHE_WORDS = 400_000
+#: Words by languages that a worker remembers.
+CACHE_CELLS = 4_000_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -48,11 +49,13 @@ def vocabulary(path: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, long ones in parts."""
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > CHUNK for w in found):
-        found = [w[i : i + CHUNK] for w in found for i in range(0, len(w), CHUNK)]
-    return found
+    """Lower-cased runs of letters."""
+    return LETTERS.findall(text.lower())
+
+
+def in_parts(words: list[str]) -> list[str]:
+    """Words of at most CHUNK letters."""
+    return [w[i : i + CHUNK] for w in words for i in range(0, len(w), CHUNK)]
 
 
 class Pieces:
@@ -67,6 +70,7 @@ class Pieces:
         self.size = len(own) + 1
         #: Every prefix of a piece -> the piece's number, or -1.
         self.prefixes = {p[:k]: -1 for p in own for k in range(1, len(p))} | {p: i for i, p in enumerate(own)}
+        self.longest = max(map(len, own))
 
     def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Word, start, end and piece of each occurrence, by end, then word; single letters that are no piece count as unknown."""
@@ -108,11 +112,40 @@ class Pieces:
 
     def log_p(self, words: list[str], theta: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
-        if not words:
-            return np.zeros((0, theta.shape[1]))
-        alpha = self.forward(words, theta)
-        whole = alpha[np.arange(len(words)), [len(w) + 1 for w in words]]
-        return np.log(np.maximum(whole, 1e-300))
+        out = np.zeros((len(words), theta.shape[1]))
+        short = [i for i, w in enumerate(words) if len(w) <= CHUNK]
+        if short:
+            own = [words[i] for i in short]
+            alpha = self.forward(own, theta)
+            out[short] = np.log(np.maximum(alpha[np.arange(len(own)), [len(w) + 1 for w in own]], 1e-300))
+        for i, w in enumerate(words):
+            if len(w) > CHUNK:
+                out[i] = self.long_log_p(w, theta)
+        return out
+
+    def long_log_p(self, word: str, theta: np.ndarray) -> np.ndarray:
+        """The same for a word of any length, piece by piece of its beginnings: of these only as many are kept as the longest piece reaches back."""
+        s, get = START + word, self.prefixes.get
+        n, reach = len(s), self.longest + 1
+        ahead, scale = np.zeros((reach, theta.shape[1])), np.zeros(theta.shape[1])
+        ahead[0] = 1
+        for j in range(n):
+            here = ahead[j % reach].copy()
+            ahead[j % reach] = 0
+            if j % 16 == 15:  # before numbers get too small
+                most = np.maximum(np.maximum(ahead.max(axis=0), here), 1e-300)
+                ahead /= most
+                here /= most
+                scale += np.log(most)
+            v = get(s[j])
+            ahead[(j + 1) % reach] += here * theta[v if v is not None and v >= 0 else self.unknown]
+            for e in range(j + 2, n + 1) if v is not None else ():
+                v = get(s[j:e])
+                if v is None:
+                    break
+                if v >= 0:
+                    ahead[e % reach] += here * theta[v]
+        return np.log(np.maximum(ahead[n % reach], 1e-300)) + scale
 
     def expected(self, words: list[str], counts: np.ndarray, theta: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, one language."""
@@ -138,7 +171,7 @@ class Model:
 
 def _sample(labelled: DataFrame, per_language: int, id_col: str, lang_col: str) -> DataFrame:
     """About per_language rows of each language, by a hash of the identifier."""
-    n = labelled.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(LANGUAGES).collect()
+    n = labelled.groupBy(lang_col).agg(F.count("*").alias("n")).collect()
     if not n:
         return labelled.limit(0)
     rate = F.create_map(*[F.lit(x) for r in n for x in (r[0], min(1.0, per_language / r.n))])
@@ -155,7 +188,7 @@ def fit(labelled: DataFrame, pieces: list[str], per_language: int = PER_LANGUAGE
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
-                words = pd.Series([w for t in texts for w in words_of(t)], dtype=object).value_counts()
+                words = pd.Series(in_parts([w for t in texts for w in words_of(t)]), dtype=object).value_counts()
                 yield pd.DataFrame({"lang": lang, "word": words.index, "n": words.to_numpy()})
 
     words = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(split, "lang string, word string, n long")
@@ -191,10 +224,10 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages)), dtype=np.float32)
 
-    def texts(self, texts: list[str | None]) -> np.ndarray:
-        """Log probability of each text in each language; NaN without letters."""
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """Log probability of each text in each language, NaN without letters; numbers of words."""
         split = [words_of(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if self.rows.size > CACHE_CELLS:
             self.known, self.rows = {}, self.rows[:0]
         new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.known]
         for i in range(0, len(new), 4000):
@@ -205,7 +238,7 @@ class Scorer:
         for i, ws in enumerate(split):
             if ws:
                 out[i] = self.rows[[*map(self.known.__getitem__, ws)]].sum(axis=0, dtype=np.float64)
-        return out
+        return out, [len(ws) for ws in split]
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -219,19 +252,20 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_pred: st
         for texts in batches:
             langs, scores = [], []
             if shared.value.languages:
-                for row in scorer.texts(texts.tolist()):
+                for row, n in zip(*scorer.texts(texts.tolist()), strict=True):
                     if np.isnan(row[0]):
                         langs.append(UNKNOWN)
                         scores.append(0.0)
                     else:
                         langs.append(shared.value.languages[int(row.argmax())])
-                        scores.append(float(1 / np.exp(row - row.max()).sum()))
+                        scores.append(float(1 / np.exp((row - row.max()) / n).sum()))
             else:
                 langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             yield pd.DataFrame({"lang": langs, "score": scores})
 
-    out = docs.withColumn("lid_", run(F.col(text_col)))
-    return out.withColumn(lang_pred, F.col("lid_.lang")).withColumn(score, F.col("lid_.score")).drop("lid_")
+    own = free_name(docs, "lid")
+    out = docs.withColumn(own, run(F.col(text_col)))
+    return out.withColumn(lang_pred, F.col(f"{own}.lang")).withColumn(score, F.col(f"{own}.score")).drop(own)
 
 
 def held_out(id_col: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -64,6 +65,14 @@ def test_language_forward_equals_enumeration():
                 out += theta[pieces.unknown, k] * total(s[1:], k)
         return out
 
+    long = "".join(np.random.default_rng(2).choice([*"abx"], 1000))
+    s = langid.START + long  # one beginning after the other, all of them kept, with exact numbers
+    exact = [[Fraction(1)] * 2]
+    for e in range(1, len(s) + 1):
+        arcs = [(j, number.get(s[j:e], -1)) for j in range(max(0, e - 3), e)]
+        exact.append([sum(exact[j][k] * Fraction(theta[v if v >= 0 else pieces.unknown, k]) for j, v in arcs if v >= 0 or e - j == 1) for k in (0, 1)])
+    want = [float(np.log(float(x.numerator >> (x.numerator.bit_length() - 900))) + (x.numerator.bit_length() - 900 - x.denominator.bit_length() + 900) * np.log(2) - np.log(float(x.denominator >> (x.denominator.bit_length() - 900)))) for x in exact[-1]]
+    assert pieces.log_p(["ab", long], theta)[1] == pytest.approx(want)
     for w in ("ab", "aba", "bxab", "a"):
         assert np.exp(pieces.log_p([w], theta)[0]) == pytest.approx([total(langid.START + w, k) for k in (0, 1)])
     counts = pieces.expected(["ab", "ba"], np.array([2.0, 1.0]), theta[:, :1])
