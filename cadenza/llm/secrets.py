@@ -1,7 +1,7 @@
 """Secret scan: fixed shapes, and a battery of randomness tests for strings of no fixed shape.
 
-Shapes (kinds assign, access, hex) are searched in every whole text. Beside them every run of 20 or
-more characters of the base-64 alphabets is a candidate of kind random:
+Shapes (kinds assign, access, hex) are searched in every whole text. Every run of 20 or
+more characters of the base-64 alphabets is a candidate of kind random, also within a shape: there it tells a generated value from a chosen one:
 
 - its encoding is inferred (hex, base 32, alphanumeric, base 64), which fixes the alphabet size A;
 - three tests ask whether it can be uniform: chi-squared over the alphabet, number of runs above
@@ -15,7 +15,8 @@ more characters of the base-64 alphabets is a candidate of kind random:
   documents, bounds the share of false discoveries.
 
 Corpus counts cover every document and reach the driver only as 128 character counts and a fixed
-grid of p-value counts. Null and empty texts have no spans. Positions are code points, end exclusive.
+grid of p-value counts. Null and empty texts have no spans, an empty table gives an empty one; repeated rows count as often as they
+occur and get the same spans. A column of the result's name is replaced. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -75,7 +76,6 @@ def shapes(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-
 def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -153,13 +153,11 @@ def _cell(p: float) -> int:
     return min(GRID - 1, max(0, int((1 - max(LOWEST, math.log10(max(p, 1e-300))) / LOWEST) * GRID)))
 
 
-def candidates(text: str, taken: list[tuple[str, int, int]], moments: list) -> list[tuple[int, int, float, float]]:
-    """Start, end, p-value of language and of uniformity of each candidate outside the fixed shapes."""
+def candidates(text: str, moments: list) -> list[tuple[int, int, float, float]]:
+    """Start, end, p-value of language and of uniformity of each candidate."""
     out = []
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for _, s, e in taken):
-            continue
         code, chi2, uniform = battery(m[0])
         out.append((start, end, language_p(code, chi2, end - start, moments), uniform))
     return out
@@ -172,7 +170,7 @@ def thresholds(docs: DataFrame, moments: list, text: str = "text", rate: float =
         total = np.zeros((len(STRATA), GRID), dtype=np.int64)
         for b in batches:
             for t in b["t"]:
-                for start, end, p, _ in candidates(t, shapes(t), moments):
+                for start, end, p, _ in candidates(t, moments):
                     total[_stratum(end - start), _cell(p)] += 1
         s, c = total.nonzero()
         yield pd.DataFrame({"s": s, "c": c, "n": total[s, c]})
@@ -181,13 +179,14 @@ def thresholds(docs: DataFrame, moments: list, text: str = "text", rate: float =
     source = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     for r in source.mapInPandas(grid, "s int, c int, n long").groupBy("s", "c").agg(F.sum("n").alias("n")).collect():
         counts[r.s, r.c] = r.n
+    return [step_up(row, rate) for row in counts]
+
+
+def step_up(counts: np.ndarray, rate: float = RATE) -> int:
+    """The highest cell of one stratum that Benjamini and Hochberg reject: with k of n p-values up to its upper end, that end is at most rate * k / n."""
     upper = 10 ** (LOWEST * (1 - (np.arange(GRID) + 1) / GRID))
-    out = []
-    for row in counts:
-        below = row.cumsum()
-        ok = np.nonzero((row > 0) & (upper <= rate * below / max(1, row.sum())))[0]
-        out.append(int(ok[-1]) if len(ok) else -1)
-    return out
+    ok = np.nonzero((counts > 0) & (upper <= rate * counts.cumsum() / max(1, counts.sum())))[0]
+    return int(ok[-1]) if len(ok) else -1
 
 
 def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", rate: float = RATE) -> DataFrame:
@@ -208,7 +207,7 @@ def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", rate
             if t:
                 fixed = shapes(t)
                 found = [(*s, None) for s in fixed]
-                found += [("random", s, e, p) for s, e, p, u in candidates(t, fixed, moments) if u >= UNIFORM_AT_LEAST and _cell(p) <= cells[_stratum(e - s)]]
+                found += [("random", s, e, p) for s, e, p, u in candidates(t, moments) if u >= UNIFORM_AT_LEAST and _cell(p) <= cells[_stratum(e - s)]]
                 found.sort(key=lambda x: (x[1], order[x[0]]))
             rows.append([dict(zip(("kind", "start", "end", "p_value"), x, strict=True)) for x in found])
         return pd.Series(rows)

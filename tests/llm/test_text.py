@@ -112,6 +112,65 @@ def test_secret_shapes_and_random_strings(spark):
     assert not any("random" in by[t] for t in plain + prose)
 
 
+def test_secret_found_by_the_battery_within_a_shape(spark):
+    rng = np.random.default_rng(8)
+    keys = ["".join(rng.choice([*"0123456789abcdef"], 40)) for _ in range(30)]
+    texts = [f'token = "{k}" x' for k in keys] + ["password = correct_horse_battery_staple_and_more x"] + ["the quick brown fox jumps over the lazy dog " * 99] * 19
+    got = secrets.find_secrets(docs_of(spark, texts)).collect()
+    assert sum({"assign", "random"} <= {s.kind for s in r.spans} for r in got) >= 27
+    assert all("random" not in {s.kind for s in r.spans} for r in got if "horse" in r.text or "fox" in r.text)
+    assert secrets.find_secrets(docs_of(spark, [])).count() == 0
+
+
+def test_battery_equals_direct_sums():
+    rng = np.random.default_rng(5)
+    for n in (20, 31, 64, 200):
+        token = "".join(rng.choice([*(secrets.DIGITS + "abcdef")], n))
+        code, chi2, uniform = secrets.battery(token)
+        assert secrets.ENCODINGS[code][0] == "hex"
+        x = [secrets.ENCODINGS[code][1].index(c) for c in token]
+        want = sum((x.count(k) - n / 16) ** 2 / (n / 16) for k in range(16))
+        assert chi2 == pytest.approx(want)
+        tail = np.mean(rng.chisquare(15, 200_000) >= want)
+        assert secrets._chi2_tail(want, 15) == pytest.approx(tail, abs=0.01)
+        up = [v >= 8 for v in x]
+        a, b, runs = sum(up), n - sum(up), 1 + sum(p != q for p, q in zip(up, up[1:]))
+        mean = 2 * a * b / n + 1
+        z = abs(runs - mean) / np.sqrt((mean - 1) * (mean - 2) / (n - 1))
+        m = sum(x) / n
+        r = sum((p - m) * (q - m) for p, q in zip(x, x[1:])) / sum((p - m) ** 2 for p in x)
+        ps = [secrets._chi2_tail(want, 15), 2 * secrets._normal_tail(z), 2 * secrets._normal_tail(abs(r) * np.sqrt(n))]
+        joint = np.mean(rng.chisquare(6, 400_000) >= -2 * sum(map(np.log, ps)))
+        assert uniform == pytest.approx(joint, abs=0.01)
+
+
+def test_language_p_equals_drawing():
+    """The share of strings drawn like the corpus that are as even as a given one."""
+    rng = np.random.default_rng(6)
+    counts = np.zeros(128)
+    for c, f in zip("0123456789abcdef", rng.random(16) ** 3 * 1000 + 5, strict=True):
+        counts[ord(c)] = int(f)
+    p = np.array([counts[ord(c)] + 1 for c in "0123456789abcdef"])
+    draws = rng.multinomial(40, p / p.sum(), 20_000)
+    chi2 = (draws**2).sum(axis=1) * 16 / 40 - 40
+    moments = secrets.moments_of(counts)
+    for q in (0.1, 0.3, 0.5, 0.7):
+        assert secrets.language_p(0, float(np.quantile(chi2, q)), 40, moments) == pytest.approx(q, abs=0.12)
+
+
+def test_step_up_equals_the_rule_on_single_values():
+    rng = np.random.default_rng(7)
+    for share in (0.0, 0.1, 0.5):
+        p = np.where(rng.random(3000) < share, 10 ** -rng.uniform(3, 30, 3000), rng.random(3000))
+        counts, cells = np.zeros(secrets.GRID, dtype=np.int64), np.array([secrets._cell(x) for x in p])
+        np.add.at(counts, cells, 1)
+        taken = cells <= secrets.step_up(counts)
+        ranked = np.sort(p)
+        ok = np.nonzero(ranked <= secrets.RATE * np.arange(1, 3001) / 3000)[0]
+        cut = ranked[ok[-1]] if len(ok) else -1.0
+        assert not (taken & (p > cut)).any() and (taken | (p > cut * 10**-0.05)).all()  # a cell is 0.04 of a power of ten
+
+
 def brute_personal(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
