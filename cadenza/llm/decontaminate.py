@@ -2,7 +2,8 @@
 
 The test items are indexed by word, with BM25 contributions divided by the item's score for itself,
 so that one threshold THETA holds for items of all lengths. Every training text is cut into
-overlapping passages, long enough that each item fits into one, and each passage is a query.
+overlapping passages, long enough that each item fits into one, and each passage is a query. Items are indexed
+by classes of length, so that a long item does not make the passages of short ones long.
 
 Retrieval returns every item at or above THETA, by block-max WAND: lists sorted by item, upper bounds
 per list and per block of items decide which items need a full score. A bound that is cheaper to
@@ -12,9 +13,11 @@ bring the rest themselves. It never drops an item that would reach THETA.
 A retrieved item counts if its question and its answer are both there: the share of their word
 trigrams found in the passage must reach OVERLAP. An item that is one text counts by the share of the whole of it.
 
-Items are broadcast in shards of at most SHARD_CHARS characters; statistics (number of items, mean length,
-document frequencies) are those of all items. Items of fewer than MIN_WORDS words cannot be told from chance
-and are left out. Null and empty texts hold no item. Repeated rows are treated alike.
+Items are broadcast in shards of at most about SHARD_CHARS characters, one after the other: with several shards the documents
+are scanned as often, and stored between the scans, so that driver and workers hold one shard at a time. Statistics (number of items, mean length,
+document frequencies) are those of all items. Items of fewer than MIN_WORDS words say too little for a score; they count
+where their exact sequence of words occurs, with score 1. Items without words are never found. Null and empty texts hold no item, an empty table of items is
+found nowhere. Repeated rows are treated alike; a column of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored, text_batches
+from .common import free_name, stored, text_batches
 
 WORD = regex.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -39,6 +42,8 @@ THETA = 0.6
 OVERLAP = 0.7
 MIN_WORDS = 5
 BLOCK = 64
+#: Items whose lengths in words have the same power of this share an index.
+LENGTH_CLASS = 8
 SHARD_CHARS = 16_000_000
 FOUND = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
 
@@ -72,7 +77,7 @@ class Statistics:
 
 @dataclass
 class Index:
-    """The inverted index of one shard."""
+    """The inverted index of items of one class of length."""
 
     ids: list[int] = field(default_factory=list)
     parts: list[tuple[list[str], list[str]]] = field(default_factory=list)
@@ -85,8 +90,6 @@ class Index:
         for item, question, answer in items:
             q, a = words_of(question), words_of(answer)
             words = q if question == answer else q + a
-            if len(words) < MIN_WORDS:
-                continue
             length = K1 * (1 - B + B * len(words) / stats.mean_length)
             own = {t: math.log(1 + (stats.items - (n := stats.frequency[t]) + 0.5) / (n + 0.5)) * c * (K1 + 1) / (c + length) for t, c in Counter(words).items()}
             total = sum(own.values())
@@ -192,60 +195,98 @@ class Index:
             live = [k for k in live if at[k] < len(lists[k][0])]
         return found
 
-    def matches(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
-        """For each text the items found in it: identifier, best score, shares of question and answer."""
-        split = [words_of(t) for t in texts]
-        out: list[dict] = [{} for _ in texts]
+    def matches(self, split: list[list[str]]) -> list[dict[int, tuple[float, float, float]]]:
+        """For the words of each text the items found in it: identifier -> best score, shares of question and answer."""
+        out: list[dict] = [{} for _ in split]
         for t, k in self.passages(split):
             passage = split[t][k * self.stride : (k + 2) * self.stride]
             for item, score in self.search(passage):
                 question, answer = (share(p, passage) for p in self.parts[item])
                 if question >= OVERLAP and answer >= OVERLAP:
                     out[t][self.ids[item]] = max(out[t].get(self.ids[item], (0.0, 0.0, 0.0)), (score, question, answer))
+        return out
+
+
+class Phrases:
+    """Items of few words, found as they stand."""
+
+    def __init__(self, items: list[tuple[int, list[str]]]):
+        self.by_first: dict[str, list[tuple[int, list[str]]]] = {}
+        for item, words in items:
+            self.by_first.setdefault(words[0], []).append((item, words))
+
+    def matches(self, split: list[list[str]]) -> list[dict[int, tuple[float, float, float]]]:
+        out, get = [], self.by_first.get
+        for words in split:
+            out.append({item: (1.0, 1.0, 1.0) for i, w in enumerate(words) for item, own in get(w, ()) if words[i : i + len(own)] == own})
+        return out
+
+
+def item_words(question: str, answer: str) -> list[str]:
+    return words_of(question) if question == answer else words_of(question) + words_of(answer)
+
+
+class Shard:
+    """The indexes of one shard of items: one for each class of length, and the phrases."""
+
+    def __init__(self, items: list[tuple[int, str, str]], stats: Statistics):
+        classes: dict[int, list] = {}
+        short = []
+        for item, question, answer in items:
+            words = item_words(question, answer)
+            if len(words) >= MIN_WORDS:
+                classes.setdefault(int(math.log(len(words), LENGTH_CLASS)), []).append((item, question, answer))
+            elif words:
+                short.append((item, words))
+        self.indexes = [Index.build(own, stats) for _, own in sorted(classes.items())] + [Phrases(short)] * bool(short)
+
+    def matches(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
+        """For each text the items found in it: identifier, best score, shares of question and answer."""
+        split = [words_of(t) for t in texts]
+        out: list[dict] = [{} for _ in texts]
+        for index in self.indexes:
+            for whole, found in zip(out, index.matches(split), strict=True):
+                for item, x in found.items():
+                    whole[item] = max(whole.get(item, (0.0, 0.0, 0.0)), x)
         return [[(i, *x) for i, x in sorted(o.items())] for o in out]
 
 
-_built: dict[str, Index] = {}
+_built: dict[str, Shard] = {}
 
 
-def _index(key: str, shard) -> Index:
+def _index(key: str, shard) -> Shard:
+    """This worker's indexes of a broadcast shard."""
     if key not in _built:
         _built.clear()
-        _built[key] = Index.build(*shard.value)
+        _built[key] = Shard(*shard.value)
     return _built[key]
 
 
-def _shards(items: DataFrame) -> list[tuple[list, Statistics]]:
-    """Items and statistics of each shard; items has item_id, question, answer, no nulls."""
+def _shards(items: DataFrame) -> Iterator[tuple[list, Statistics]]:
+    """Items and statistics of each shard, one at a time; items has item_id, question, answer, no nulls."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words = [words_of(q) if q == a else words_of(q) + words_of(a) for q, a in zip(b["question"], b["answer"], strict=True)]
-            words = [w for w in words if len(w) >= MIN_WORDS]
+            words = [w for q, a in zip(b["question"], b["answer"], strict=True) if (w := item_words(q, a))]
             yield pd.DataFrame([(t, 1, 0) for w in words for t in set(w)] + [("", 1, len(w)) for w in words], columns=["term", "n", "length"])
 
     counts = stored(items.mapInPandas(count, "term string, n long, length long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")), "bm25-counts")
     whole = counts.where("term = ''").first()
     if whole is None:
-        return []
+        return
     chars = items.agg(F.sum(F.length("question") + F.length("answer")).alias("n")).first().n or 0
     shards = -(-chars // SHARD_CHARS) or 1
-    out = []
     for k in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id", "question"), F.lit(shards)) == k).orderBy("item_id", "question", "answer")
         rows = [(r.item_id, r.question, r.answer) for r in own.collect()]
-        terms = sorted({w for _, q, a in rows for w in [*words_of(q), *words_of(a)]})
-        if shards == 1:
-            wanted = counts
-        else:
-            wanted = counts.join(items.sparkSession.createDataFrame([(t,) for t in terms], "term string"), "term")
-        frequency = {r.term: r.n for r in wanted.where("term != ''").collect()}
-        out.append((rows, Statistics(whole.n, whole.length / whole.n, frequency)))
-    return out
+        if rows:
+            terms = sorted({w for _, q, a in rows for w in item_words(q, a)})
+            wanted = counts.join(items.sparkSession.createDataFrame([(t,) for t in terms], "term string"), "term") if shards > 1 else counts.where("term != ''")
+            yield rows, Statistics(whole.n, whole.length / whole.n, {r.term: r.n for r in wanted.collect()})
 
 
 def _scanner(spark, shard: tuple[list, Statistics]):
-    """A column function that searches texts for the items of one shard."""
+    """A column function that searches texts for the items of one shard, and the broadcast."""
     shared, key = spark.sparkContext.broadcast(shard), uuid.uuid4().hex
 
     @F.pandas_udf(FOUND)
@@ -253,7 +294,7 @@ def _scanner(spark, shard: tuple[list, Statistics]):
         names = ("item_id", "score", "question", "answer")
         return pd.Series([[dict(zip(names, m, strict=True)) for m in row] for row in _index(key, shared).matches(texts.tolist())])
 
-    return scan
+    return scan, shared
 
 
 def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", found: str = "found", item_id: str = "item_id", item_text: str = "text", question: str | None = None, answer: str | None = None) -> DataFrame:
@@ -269,11 +310,19 @@ def find_items(docs: DataFrame, items: DataFrame, text_col: str = "text", found:
     else:
         own = items.select(F.col(item_id).cast("long").alias("item_id"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((question, "question"), (answer, "answer"))))
     own = stored(own.where("item_id is not null"), "bm25-items")
-    columns = [_scanner(spark, shard)(F.col(text_col)) for shard in _shards(own)]
-    empty = F.expr(f"cast(array() as {FOUND})")
-    return docs.withColumn(found, F.array_sort(F.concat(*columns)) if len(columns) > 1 else columns[0] if columns else empty)
+    out, before = docs, None
+    for shard in _shards(own):
+        scan, shared = _scanner(spark, shard)
+        if before is not None:  # the scan before is done before the next shard is there
+            out = stored(out, "bm25-scanned")
+            before.unpersist()
+        first = before is None
+        out = out.withColumn(found, scan(F.col(text_col)) if first else F.array_sort(F.concat(F.col(found), scan(F.col(text_col)))))
+        before = shared
+    return out if before is not None else docs.withColumn(found, F.expr(f"cast(array() as {FOUND})"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs in which no item is found."""
-    return find_items(docs, items, text_col, "found_").where(F.size("found_") == 0).drop("found_")
+    found = free_name(docs, "found")
+    return find_items(docs, items, text_col, found).where(F.size(found) == 0).drop(found)

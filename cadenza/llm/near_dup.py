@@ -20,7 +20,7 @@ Those of lists that still have several components go on with their full sets, wi
   with equal popular shingles are one group. Its smallest class stands for it: whoever is linked with a larger one is linked with this one. A
   class that is too large to be linked with it is a satellite, linked with another group's smallest class if one is close enough;
 - groups are fewer than classes, so that popular shingles become rare among them, and the same is done to groups, until
-  nothing gets fewer. What then is left is compared in blocks of close sizes, in tasks; a block gives a spanning set of links.
+  they are few or get no fewer. What then is left is compared in blocks of close sizes, in tasks; a block gives a spanning set of links.
 
 So thousands of unlike documents around one passage are one group, and no link is lost to a long list.
 
@@ -50,7 +50,8 @@ SHORT = 24
 #: Items that one side of a block takes, and columns of its matrices at a time.
 BLOCK = 1024
 COLUMNS = 4096
-#: Groups go on by popular shingles while there are at most this share of what there was before.
+#: Groups go on by popular shingles while they are more than FEW blocks and at most this share of what there was before.
+FEW = 4
 FEWER = 0.9
 #: Estimates may fall short of the threshold by five standard deviations of a sample of SKETCH.
 MARGIN = 5 * (0.75 * 0.25 / SKETCH) ** 0.5
@@ -337,7 +338,7 @@ def _hot_links(items: DataFrame, labels: DataFrame, sketched: DataFrame, own: Sc
         items, n = groups, groups.count()
         if n <= 1:
             break
-        if n <= BLOCK or n > FEWER * before:
+        if n <= FEW * BLOCK or n > FEWER * before:
             every = own.keep(_in_blocks(items, own), "blocks")
             links += [every.where(SIMILAR).select("a", "b"), _of_satellites(satellites, every, own)]
             break
@@ -385,10 +386,11 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, own: Scratch
     links = links_of(_to_pivots(postings, own))
     labels = own.keep(components(links, within=own), "labels")
     lists = own.keep(_labelled(postings, labels, own), "several")
-    labels = _merged(labels, links_of(_short_pairs(lists.where(F.col("length") <= SHORT))), own)
+    more = links_of(_short_pairs(lists.where(F.col("length") <= SHORT)))
     long_ = own.keep(lists.where(F.col("length") > SHORT).select("node").distinct(), "popular")
     if not long_.isEmpty():
-        labels = _merged(labels, _hot_links(own.keep(sets.join(long_, "node", "left_semi"), "popular-sets"), labels, active, own), own)
+        more = more.unionByName(_hot_links(own.keep(sets.join(long_, "node", "left_semi"), "popular-sets"), labels, active, own))
+    labels = _merged(labels, more, own)
 
     out = members.join(labels, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("group"))
     first = own.keep(out.where("group is not null").groupBy("group").agg(F.min("id").alias("first")), "first")

@@ -70,6 +70,7 @@ def test_near_dup_long_lists_lose_no_link(spark, corpus, monkeypatch, fewer):
     """Almost every list is long here; without FEWER the blocks compare all that is left after the first grouping."""
     monkeypatch.setattr(near_dup, "SHORT", 1)
     monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "FEW", 1)
     monkeypatch.setattr(near_dup, "FEWER", fewer)
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     assert sorted(tuple(r) for r in near_dup.near_dup_groups(df).collect()) == brute_groups(corpus)
@@ -94,6 +95,7 @@ def test_near_dup_groups_of_popular_parts(spark, monkeypatch, seed):
     pivots = near_dup._to_pivots
     monkeypatch.setattr(near_dup, "SHORT", 2)
     monkeypatch.setattr(near_dup, "BLOCK", 6)
+    monkeypatch.setattr(near_dup, "FEW", 1)
     monkeypatch.setattr(near_dup, "_to_pivots", lambda postings, own: pivots(postings, own).where(F.lit(False)))  # the lists alone
     rows = popular_parts(seed)
     got = near_dup.near_dup_groups(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -206,9 +208,9 @@ def test_decontamination(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item_id string")
     found = decontaminate.find_items(df, spark.createDataFrame(items, "item_id long, text string"))
     got = sorted((r.doc_id, tuple(x.item_id for x in r.found)) for r in found.collect())
-    assert got == [(1, (1,)), (2, (1, 2)), (3, ()), (4, ()), (5, ()), (6, ()), (7, (2,)), (7, (2,)), (8, ()), (9, ())]
+    assert got == [(1, (1,)), (2, (1, 2)), (3, ()), (4, ()), (5, ()), (6, ()), (7, (2,)), (7, (2,)), (8, (4,)), (9, ())]
     left = decontaminate.drop_contaminated(df, spark.createDataFrame(items, "item_id long, text string"))
-    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 8, 9]
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 9]
 
 
 def test_edited_copy_with_a_short_last_sentence(spark):
@@ -227,8 +229,78 @@ def test_shards_give_the_same(spark, monkeypatch):
     rows = lambda: sorted((r.doc_id, tuple(x.item_id for x in r.found)) for r in decontaminate.find_items(docs, items).collect())
     whole = rows()
     assert whole == [(i, (i, 39 - i)) for i in range(20)]
-    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 500)
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 1000)
     assert rows() == whole
+    own = items.withColumnRenamed("text", "question").withColumn("answer", F.col("question"))
+    assert len([*decontaminate._shards(own)]) >= 3
+
+
+def test_a_worker_builds_each_shard_once(monkeypatch):
+    built = []
+    build = decontaminate.Index.build.__func__
+    monkeypatch.setattr(decontaminate.Index, "build", classmethod(lambda cls, *a: built.append(1) or build(cls, *a)))
+    stats = decontaminate.Statistics(3, 20.0, {f"w{i}": 1 for i in range(400)})
+    shared = type("Shared", (), {"value": ([(1, t := prose(20), t), (2, u := prose(300), u)], stats)})
+    for _ in range(10):
+        decontaminate._index("some key", shared).matches([prose(40), t])
+    assert len(built) == 2  # one for each class of length
+
+
+def brute_items(text, items, stats_of):
+    """Scores of all items for all passages of a text, without index."""
+    words, out = decontaminate.words_of(text), {}
+    longest = {}
+    for _, t in items:
+        n = len(decontaminate.words_of(t))
+        if n >= decontaminate.MIN_WORDS:
+            c = int(decontaminate.math.log(n, decontaminate.LENGTH_CLASS))
+            longest[c] = max(longest.get(c, 1), n)
+    for item, t in items:
+        own = decontaminate.words_of(t)
+        if not own:
+            continue
+        if len(own) < decontaminate.MIN_WORDS:
+            if any(words[i : i + len(own)] == own for i in range(len(words))):
+                out[item] = 1.0
+            continue
+        weights = stats_of(own)
+        stride = longest[int(decontaminate.math.log(len(own), decontaminate.LENGTH_CLASS))]
+        for k in range(0, max(1, len(words)), stride):
+            passage = words[k : k + 2 * stride]
+            score = sum(x for w, x in weights.items() if w in set(passage)) / sum(weights.values())
+            if score >= decontaminate.THETA - 1e-9 and decontaminate.share(own, passage) >= decontaminate.OVERLAP:
+                out[item] = max(out.get(item, 0.0), score)
+    return out
+
+
+def test_items_equal_brute_force(spark):
+    own = random.Random(3)
+    words = lambda n: [own.choice(VOCAB[:120]) for _ in range(n)]
+    lengths = [1, 2, 4, 5, 7, 9, 20, 40, 63, 64, 65, 90, 0]
+    items = [(i, " ".join(words(lengths[i % len(lengths)] if i % len(lengths) > 2 or i < 30 else 4))) for i in range(60)]
+    docs = []
+    for i in range(60):
+        t = own.choice(items)[1].split()
+        for j in own.sample(range(len(t)), own.randint(0, len(t) // 6)):
+            t[j] = own.choice(VOCAB)
+        docs.append((i, " ".join(words(own.randint(0, 200)) + t + words(own.randint(0, 200)))))
+    lists = [w for _, t in items if (w := decontaminate.words_of(t))]
+    mean, count = sum(map(len, lists)) / len(lists), {}
+    for w in lists:
+        for t in set(w):
+            count[t] = count.get(t, 0) + 1
+
+    def weights(ws):
+        k = decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(ws) / mean)
+        idf = lambda t: decontaminate.math.log(1 + (len(lists) - count[t] + 0.5) / (count[t] + 0.5))
+        return {t: idf(t) * ws.count(t) * (decontaminate.K1 + 1) / (ws.count(t) + k) for t in set(ws)}
+
+    found = decontaminate.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: {x.item_id: x.score for x in r.found} for r in found.collect()}
+    for i, t in docs:
+        want = brute_items(t, items, weights)
+        assert got[i].keys() == want.keys() and all(got[i][k] == pytest.approx(want[k]) for k in want)
+    assert sum(map(len, got.values())) >= 40
 
 
 def test_wand_equals_full_scores():
