@@ -3,106 +3,159 @@
 Every word of a document is predicted from the WINDOW words before it and the WINDOW after it; the sum
 of the log conditional probabilities scores the document.
 
-Vocabulary: the WORDS most frequent words of all documents; other words share BUCKETS hashed entries
-by their last two letters. The output is factored: the network gives a distribution over CLASSES classes (the most frequent
-words alone, the rest by their endings), and a word's share of its class is its share of the class's
-occurrences in all documents.
-
-    e = embeddings of the 2 * WINDOW context words     h = tanh(e W1 + b1)     P(class) = softmax(h W2 + b2)
-
-Training masks every position of every document once: each of ROUNDS rounds takes every ROUNDS-th one. Each partition
-trains on its documents from the same weights by mini-batches (AdaGrad, numpy); the weights are then averaged in Spark, by number of positions.
-So the work and what is gathered grow with the corpus, and the driver holds one set of weights.
-
-Null and empty texts have no words and score 0 with a null mean. Repeated rows are scored alike. The averages depend on how
-rows lie in partitions, so scores agree between runs over the same files and settings only.
+    h = tanh(T1[word two before] + T2[word before] + T3[word after] + T4[word two after])
+    P(word | context) = product over the nodes on the word's way through a binary tree of sigmoid(+-(V[node] . h + c[node]))
+
+The leaves of the tree are the WORDS most frequent words of all documents and one leaf for all other words; it is a
+Huffman tree of their counts, so that frequent words have short ways. A word of the last leaf is spelled:
+its letters and its end have the shares that they have in all such words of the corpus, and letters that
+never occur share what one new letter would get. So the probabilities of all words in a context sum to one.
+
+Training masks every position of every document once: each of ROUNDS rounds takes every ROUNDS-th one. Documents are dealt
+to shards of about SHARD positions, by hash, and sorted in them; each shard trains from the same weights by mini-batches (AdaGrad, numpy);
+the weights are then averaged in Spark, by number of positions. Shards depend on the documents alone, so that scores do not
+depend on partitions or cores (but for the last digits). Work and what is gathered grow with the corpus, and the driver holds one
+set of weights, the most frequent words and at most one count for each code point.
+
+Null and empty texts have no words and score 0 with a null mean. Repeated rows are scored alike; rows without
+identifier that are equal share a shard. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored, text_batches
+from .common import Scratch, scratch, stored, text_batches
 
 WORD = regex.compile(r"\w+|[^\w\s]")
-WORDS = 4096
-ENDINGS = 32
-PER_ENDING = 16
-BUCKETS = ENDINGS * PER_ENDING
-CLASSES = 32 + ENDINGS
+WORDS = 8192
 WINDOW = 2
-WIDTH = 8
-HIDDEN = 24
+WIDTH = 16
 ROUNDS = 2
 RATE = 0.1
-BATCH = 1024
-#: Groups in which partitions' weights are added first.
+BATCH = 8192
+#: Positions of a shard.
+SHARD = 4_000_000
+#: Groups in which shards' weights are added first.
 SALTS = 64
-#: The entry that stands beyond the ends of a text.
-EDGE = WORDS + BUCKETS
+PARTS = 8
 CACHE_WORDS = 400_000
 #: Positions that are scored at a time.
 CHUNK = 1 << 15
+CODE_POINTS = 0x110000
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def ending(word: str) -> int:
-    return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % ENDINGS
+class Spelling:
+    """Probabilities of words that have no leaf, letter by letter."""
+
+    def __init__(self, letters: dict[str, int], words: int, top: list[str]):
+        """Counts of letters in words without leaf, number of such words, the words with one."""
+        new = max(1, len(letters))
+        whole = sum(letters.values()) + words + 1 + new
+        self.letters = {c: log(n / whole) for c, n in letters.items()}
+        self.end = log((words + 1) / whole)
+        self.other = log(new / whole / (CODE_POINTS - len(letters)))
+        self.known: dict[str, float] = {}
+        #: Nothing and the words that have a leaf are never spelled.
+        self.rest = log(1 - np.exp(self.end) - sum(np.exp(self.plain(w)) for w in top))
 
+    def plain(self, word: str) -> float:
+        get, other = self.letters.get, self.other
+        return sum(get(c, other) for c in word) + self.end
 
-class Vocabulary(dict):
-    """Word -> entry; words that are not among the most frequent are hashed and remembered for a while."""
+    def log_p(self, word: str) -> float:
+        p = self.known.get(word)
+        if p is None:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            p = self.known[word] = self.plain(word) - self.rest
+        return p
 
-    def __init__(self, top: list[str]):
-        super().__init__((w, i) for i, w in enumerate(top))
-        self.top = top
-        #: class of each entry
-        self.classes = np.zeros(EDGE + 1, dtype=np.int64)
-        for i, w in enumerate(top):
-            self.classes[i] = i if i < CLASSES - ENDINGS else CLASSES - ENDINGS + ending(w)
-        self.classes[WORDS:EDGE] = CLASSES - ENDINGS + np.arange(BUCKETS) // PER_ENDING
 
-    def __reduce__(self):
-        return Vocabulary, (self.top,)
+@dataclass
+class Tree:
+    """Ways from the root to the leaves: those of leaf k are places at[k] to at[k + 1] of nodes and bits."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > len(self.top) + CACHE_WORDS:
-            self.clear()
-            self.update((w, i) for i, w in enumerate(self.top))
-        entry = WORDS + ending(word) * PER_ENDING + zlib.crc32(word.encode("utf-8", "surrogatepass")) // ENDINGS % PER_ENDING
-        self[word] = entry
-        return entry
+    at: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    #: Share of the occurrences below a node that go to bit 1, as log odds.
+    odds: np.ndarray
 
-    def encode(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.__getitem__, words), dtype="<u2", count=len(words))
+    @classmethod
+    def of(cls, counts: list[int]) -> Tree:
+        """Huffman's tree of at least two leaves; each count is at least one."""
+        heap = [(n, k) for k, n in enumerate(counts)]
+        heapq.heapify(heap)
+        leaves, up = len(counts), {}
+        odds = []
+        while len(heap) > 1:
+            (m, a), (n, b) = heapq.heappop(heap), heapq.heappop(heap)
+            node = len(odds)
+            odds.append(log(n / m))
+            up[a], up[b] = (node, 0), (node, 1)
+            heapq.heappush(heap, (m + n, leaves + node))
+        ways = []
+        for k in range(leaves):
+            way, x = [], k
+            while x in up:
+                node, bit = up[x]
+                way.append((node, bit))
+                x = leaves + node
+            ways.append(way[::-1])
+        flat = [x for w in ways for x in w]
+        return cls(np.concatenate([[0], np.cumsum([len(w) for w in ways])]), np.array([n for n, _ in flat]), np.array([b for _, b in flat], dtype=np.float32), np.array(odds, dtype=np.float32))
+
+    def places(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the ways of these leaves, one after the other, and where each begins."""
+        n = self.at[leaves + 1] - self.at[leaves]
+        begins = np.cumsum(n) - n
+        return np.repeat(self.at[leaves] - begins, n) + np.arange(n.sum()), begins
+
+
+@dataclass
+class Vocabulary:
+    top: list[str]
+    tree: Tree
+    spelling: Spelling
+
+    def __post_init__(self):
+        self.leaf = {w: i for i, w in enumerate(self.top)}
+        #: Leaf of words that are spelled, and the entry beyond the ends of a text.
+        self.rare, self.edge = len(self.top), len(self.top) + 1
+
+    def encode(self, text: str | None) -> tuple[np.ndarray, float]:
+        """Leaves of a whole text's words, and the log probability of spelling those that have none."""
+        words, get, rare = words_of(text), self.leaf.get, self.rare
+        ids = np.array([get(w, rare) for w in words], dtype="<u2")
+        spell = self.spelling.log_p
+        return ids, sum((spell(words[i]) for i in np.flatnonzero(ids == rare).tolist()), 0.0)
 
 
 @dataclass
 class Network:
-    E: np.ndarray
-    W1: np.ndarray
-    b1: np.ndarray
-    W2: np.ndarray
-    b2: np.ndarray
+    T: np.ndarray
+    V: np.ndarray
+    c: np.ndarray
 
     @classmethod
-    def new(cls, seed: int = 1) -> Network:
+    def new(cls, tree: Tree, entries: int, seed: int = 1) -> Network:
+        """Without training it gives each word its share of the corpus."""
         r = np.random.default_rng(seed)
-        wide = 2 * WINDOW * WIDTH
-        make = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
-        return cls(make(EDGE + 1, WIDTH, scale=0.3), make(wide, HIDDEN, scale=wide**-0.5), np.zeros(HIDDEN, np.float32), make(HIDDEN, CLASSES, scale=HIDDEN**-0.5), np.zeros(CLASSES, np.float32))
+        return cls((r.standard_normal((2 * WINDOW, entries, WIDTH)) * 0.3).astype(np.float32), np.zeros((len(tree.odds), WIDTH), np.float32), tree.odds.copy())
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in vars(self).values()])
@@ -114,45 +167,52 @@ class Network:
             at += x.size
         return Network(*out)
 
-    def log_p(self, context: np.ndarray) -> np.ndarray:
-        """Log probabilities of the classes for rows of context entries."""
-        h = np.tanh(self.E[context].reshape(len(context), -1) @ self.W1 + self.b1)
-        z = h @ self.W2 + self.b2
-        z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    def learn(self, context: np.ndarray, target: np.ndarray, squares: Network) -> None:
-        """One mini-batch of AdaGrad on the mean negative log probability."""
-        n = len(context)
-        e = self.E[context].reshape(n, -1)
-        h = np.tanh(e @ self.W1 + self.b1)
-        z = h @ self.W2 + self.b2
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        p /= n
-        dh = (p @ self.W2.T) * (1 - h * h)
-        de = (dh @ self.W1.T).reshape(-1, WIDTH)
-        entries, where = np.unique(context.ravel(), return_inverse=True)
-        dE = np.zeros((len(entries), WIDTH), dtype=np.float32)
-        np.add.at(dE, where, de)
-        squares.E[entries] += dE * dE
-        self.E[entries] -= RATE * dE / np.sqrt(squares.E[entries])
-        for name, g in (("W1", e.T @ dh), ("b1", dh.sum(axis=0)), ("W2", h.T @ p), ("b2", p.sum(axis=0))):
-            s = getattr(squares, name)
-            s += g * g
-            getattr(self, name)[...] -= RATE * g / np.sqrt(s)
-
-
-def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        return np.tanh(sum(self.T[k][context[:, k]] for k in range(2 * WINDOW)))
+
+    def log_p(self, tree: Tree, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probabilities of target leaves, row by row."""
+        h = self.hidden(context)
+        at, begins = tree.places(target)
+        nodes = tree.nodes[at]
+        z = np.einsum("ij,ij->i", self.V[nodes], np.repeat(h, tree.at[target + 1] - tree.at[target], axis=0)) + self.c[nodes]
+        return np.add.reduceat(-np.logaddexp(0, np.where(tree.bits[at] > 0, -z, z)), begins) if len(target) else np.zeros(0)
+
+    def learn(self, tree: Tree, context: np.ndarray, target: np.ndarray, squares: Network) -> None:
+        """One mini-batch of AdaGrad on the sum of negative log probabilities."""
+        h = self.hidden(context)
+        at, begins = tree.places(target)
+        nodes = tree.nodes[at]
+        long = np.repeat(h, tree.at[target + 1] - tree.at[target], axis=0)
+        own = self.V[nodes]
+        z = np.einsum("ij,ij->i", own, long) + self.c[nodes]
+        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - tree.bits[at]
+        dh = np.add.reduceat(own * g[:, None], begins, axis=0) * (1 - h * h)
+        long *= g[:, None]
+        by = lambda keys, x, n: np.stack([np.bincount(keys, weights=x[:, j], minlength=n) for j in range(WIDTH)], axis=1).astype(np.float32)
+        self._step(self.V, squares.V, by(nodes, long, len(self.V)))
+        self._step(self.c, squares.c, np.bincount(nodes, weights=g, minlength=len(self.c)).astype(np.float32))
+        for k in range(2 * WINDOW):
+            entries, where = np.unique(context[:, k], return_inverse=True)
+            d = by(where, dh, len(entries))
+            squares.T[k][entries] += d * d
+            self.T[k][entries] -= RATE * d / np.sqrt(squares.T[k][entries])
+
+    @staticmethod
+    def _step(x: np.ndarray, squares: np.ndarray, d: np.ndarray) -> None:
+        squares += d * d
+        x -= RATE * d / np.sqrt(squares)
+
+
+def contexts(ids: np.ndarray, at: np.ndarray, edge: int) -> np.ndarray:
     """The entries around the given positions of one document."""
-    padded = np.full(len(ids) + 2 * WINDOW, EDGE, dtype=np.int64)
+    padded = np.full(len(ids) + 2 * WINDOW, edge, dtype=np.int64)
     padded[WINDOW : WINDOW + len(ids)] = ids
     return np.stack([padded[at + k] for k in range(2 * WINDOW + 1) if k != WINDOW], axis=1)
 
 
-def most_frequent(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The WORDS most frequent words of all documents; ties in order of the words."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) of all words of all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -165,93 +225,103 @@ def most_frequent(docs: DataFrame, text_col: str = "text") -> list[str]:
         if seen:
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
-    counts = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    return docs.select(F.col(text_col).alias("t")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """id and the entries of the text's words as little-endian unsigned 16-bit integers, kept in the shared folder."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log2(n) * 16).cast("int")
 
-    @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
-        own = shared.value
-        return pd.Series([own.encode(t).tobytes() for t in texts], dtype=object)
 
-    return stored(docs.select(F.col(id_col).alias("id"), encode(F.col(text_col)).alias("ids")), "lm-ids")
+def vocabulary(counts: DataFrame, own: Scratch) -> Vocabulary:
+    """From the counts of all words. The most frequent ones are sought among those of sufficient size only; ties in order of the words."""
+    sizes = {r.c: r.k for r in counts.groupBy(_size_class(F.col("n")).alias("c")).agg(F.count("*").alias("k")).collect()}
+    least, there = max(sizes, default=0), 0
+    for c in sorted(sizes, reverse=True):
+        least, there = c, there + sizes[c]
+        if there >= WORDS:
+            break
+    top = own.keep(counts.where(_size_class(F.col("n")) >= least).orderBy(F.desc("n"), "word").limit(WORDS), "words")
+    rows = sorted(top.collect(), key=lambda r: (-r.n, r.word))
+    others = counts.join(F.broadcast(top.select("word")), "word", "left_anti")  # at most WORDS words
+    rare = others.agg(F.sum("n").alias("n")).first().n or 0
+    letters = others.select(F.explode(F.split("word", "")).alias("c"), "n").where("c != ''").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    names = [r.word for r in rows]
+    return Vocabulary(names, Tree.of([*(r.n for r in rows), rare + 1, *[1] * (not rows)]), Spelling({r.c: r.n for r in letters}, rare, names))
 
 
-def entry_counts(ids: DataFrame) -> np.ndarray:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(EDGE + 1, dtype=np.int64)
-        for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b["ids"]), dtype="<u2"), minlength=EDGE + 1)
-        yield pd.DataFrame({"entry": np.arange(EDGE + 1), "n": total})
+def encoded(docs: DataFrame, words: Vocabulary, id_col: str, text_col: str, own: Scratch) -> DataFrame:
+    """id, leaves of the text's words as little-endian unsigned 16-bit integers, and the log probability of its spelled words."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("ids binary, spelled double")
+    def encode(texts: pd.Series) -> pd.DataFrame:
+        rows = [shared.value.encode(t) for t in texts]
+        return pd.DataFrame({"ids": pd.Series([x.tobytes() for x, _ in rows], dtype=object), "spelled": pd.Series([float(s) for _, s in rows], dtype=float)})
+
+    return own.keep(docs.select(F.col(id_col).alias("id"), encode(F.col(text_col)).alias("x")).select("id", "x.ids", "x.spelled"), "ids")
 
-    rows = ids.select("ids").mapInPandas(count, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(EDGE + 1)
-    out[rows["entry"]] = rows["n"]
-    return out
 
+def train_on(docs: list[np.ndarray], net: Network, words: Vocabulary, turn: int, rounds: int) -> int:
+    """Train net on every rounds-th position of the documents; the number of positions."""
+    squares = net.filled(np.ones(net.flat().size, dtype=np.float32))
+    waiting, n, seen = [], 0, 0
 
-def train(ids: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> Network:
+    def flush() -> None:
+        c, t = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        for i in range(0, n, BATCH):
+            net.learn(words.tree, c[i : i + BATCH], t[i : i + BATCH], squares)
+
+    for doc in docs:
+        at = np.arange((len(doc) + turn) % rounds, len(doc), rounds)
+        if len(at):
+            waiting.append((contexts(doc, at, words.edge), doc[at]))
+            n += len(at)
+        if n >= BATCH:
+            flush()
+            seen, waiting, n = seen + n, [], 0
+    if n:
+        flush()
+    return seen + n
+
+
+def _trainer(shared, turn: int, rounds: int):
+    """A grouped function that trains the broadcast network on one shard."""
+
+    def local(g: pd.DataFrame) -> pd.DataFrame:
+        start, words = shared.value
+        own = start.filled(start.flat())
+        docs = [np.frombuffer(x, dtype="<u2").astype(np.int64) for x in g.sort_values(["id", "ids"])["ids"]]
+        seen = train_on(docs, own, words, turn, rounds)
+        return pd.DataFrame({"part": range(PARTS), "order": int(g["shard"].iloc[0]), "weights": np.array_split(own.flat().astype(np.float64) * seen, PARTS), "n": seen})
+
+    return local
+
+
+def train(ids: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Network:
     """Rounds of local training and averaging over all documents."""
-    spark, net = ids.sparkSession, Network.new()
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((net, classes))
-
-        def local(batches: Iterator[pd.DataFrame], turn=turn, shared=shared) -> Iterator[pd.DataFrame]:
-            start, of = shared.value
-            own, squares = start.filled(start.flat()), start.filled(np.full(start.flat().size, 1e-3, dtype=np.float32))
-            seen, waiting, n = 0, [], 0
-            for b in batches:
-                for raw in b["ids"]:
-                    doc = np.frombuffer(raw, dtype="<u2").astype(np.int64)
-                    at = np.arange((zlib.crc32(raw[:64]) + turn) % rounds, len(doc), rounds)
-                    if len(at):
-                        waiting.append((contexts(doc, at), of[doc[at]]))
-                        n += len(at)
-                    if n >= BATCH:
-                        c, t = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                        for i in range(0, n, BATCH):
-                            own.learn(c[i : i + BATCH], t[i : i + BATCH], squares)
-                        seen, waiting, n = seen + n, [], 0
-            if n:
-                c, t = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                own.learn(c, t, squares)
-                seen += n
-            if seen:
-                flat = own.flat().astype(np.float64) * seen
-                parts = np.array_split(flat, 8)
-                yield pd.DataFrame({"part": range(8), "weights": parts, "n": [seen] * 8})
-
-        def add(g: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"part": [g["part"].iloc[0]], "weights": [np.sum(np.stack(g["weights"]), axis=0)], "n": [g["n"].sum()]})
-
-        schema = "part int, weights array<double>, n long"
-        # sums of sums, so that no group takes the weights of more than a SALTS-th of the partitions
-        some = ids.select("ids").mapInPandas(local, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-        some = some.groupBy("part", "salt").applyInPandas(add, schema)
-        rows = some.groupBy("part").applyInPandas(add, schema).orderBy("part").collect()
-        if not rows:
-            continue
-        net = net.filled(np.concatenate([r.weights for r in rows]) / rows[0].n)
-    return net
+    spark, net = ids.sparkSession, Network.new(words.tree, words.edge + 1)
+    whole = ids.agg(F.sum(F.octet_length("ids") / 2).alias("n")).first().n or 0
+    shards = int(-(-whole // SHARD)) or 1
+    dealt = ids.where(F.octet_length("ids") > 0).select(F.pmod(F.xxhash64("id", "ids"), F.lit(shards)).cast("int").alias("shard"), "id", "ids")
 
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("order")
+        return pd.DataFrame({"part": g["part"].iloc[:1], "order": g["order"].iloc[:1], "weights": [np.sum(np.stack(g["weights"]), axis=0)], "n": [g["n"].sum()]})
 
-def document_score(ids: np.ndarray, net: Network, classes: np.ndarray, share: np.ndarray) -> float:
-    """Sum of log P(word | words around it) of one document."""
-    total = 0.0
-    for i in range(0, len(ids), CHUNK):
-        at = np.arange(i, min(i + CHUNK, len(ids)))
-        own = ids[at]
-        total += float(net.log_p(contexts(ids, at))[np.arange(len(at)), classes[own]].sum(dtype=np.float64) + share[own].sum())
-    return total
+    schema = "part int, order int, weights array<double>, n long"
+    for turn in range(rounds):
+        local = _trainer(spark.sparkContext.broadcast((net, words)), turn, rounds)
+        # sums of sums, so that no group takes the weights of more than a SALTS-th of the shards
+        some = dealt.groupBy("shard").applyInPandas(local, schema).withColumn("salt", F.col("order") % SALTS)
+        rows = some.groupBy("part", "salt").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).orderBy("part").collect()
+        if rows and rows[0].n:
+            net = net.filled(np.concatenate([r.weights for r in rows]) / rows[0].n)
+    return net
 
 
-def batch_scores(docs: list[np.ndarray], net: Network, classes: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """document_score of many documents, whose positions go through the network together."""
-    gap = np.full(WINDOW, EDGE, dtype=np.int64)
+def batch_scores(docs: list[np.ndarray], net: Network, words: Vocabulary) -> np.ndarray:
+    """Sums of log P(leaf | context) of documents, whose positions go through the network together."""
+    gap = np.full(WINDOW, words.edge, dtype=np.int64)
     row = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     starts = WINDOW + np.cumsum(sizes + WINDOW) - (sizes + WINDOW)
@@ -260,36 +330,29 @@ def batch_scores(docs: list[np.ndarray], net: Network, classes: np.ndarray, shar
     for i in range(0, len(at), CHUNK):
         here = at[i : i + CHUNK]
         context = np.stack([row[here + k] for k in range(-WINDOW, WINDOW + 1) if k], axis=1)
-        own = row[here]
-        each[i : i + CHUNK] = net.log_p(context)[np.arange(len(here)), classes[own]] + share[own]
+        each[i : i + CHUNK] = net.log_p(words.tree, context, row[here])
     sums = np.concatenate([[0.0], np.cumsum(each)])
     ends = np.cumsum(sizes)
     return sums[ends] - sums[ends - sizes]
 
 
-def class_shares(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Log of each entry's share of its class; one is added to each count."""
-    own = counts + 1
-    own[EDGE] = 0
-    whole = np.bincount(classes, weights=own, minlength=CLASSES)
-    return np.log(np.maximum(own, 1) / whole[classes])
-
-
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its identifier, n_words, log_likelihood, and mean_log_likelihood (null without words)."""
+    """One row per document: its identifier, n_words, log_likelihood, and mean_log_likelihood (null without words).
+
+    The result is a table in the shared folder; all others are removed.
+    """
     spark = docs.sparkSession
     text_batches(spark)
-    vocabulary = Vocabulary(most_frequent(docs, text_col))
-    ids = encoded(docs, vocabulary, id_col, text_col)
-    share = class_shares(entry_counts(ids), vocabulary.classes)
-    net = train(ids, vocabulary.classes)
-    shared = spark.sparkContext.broadcast((net, vocabulary.classes, share))
-
-    @F.pandas_udf("double")
-    def score(raws: pd.Series) -> pd.Series:
-        return pd.Series(batch_scores([np.frombuffer(r, dtype="<u2").astype(np.int64) for r in raws], *shared.value))
-
-    n = (F.octet_length("ids") / 2).cast("long")
-    out = ids.select(F.col("id").alias(id_col), n.alias("n_words"), score("ids").alias("log_likelihood"))
-    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
-    return out.withColumn("mean_log_likelihood", mean)
+    with scratch(spark, "lm-score") as own:
+        words = vocabulary(own.keep(word_counts(docs, text_col), "word-counts"), own)
+        ids = encoded(docs, words, id_col, text_col, own)
+        shared = spark.sparkContext.broadcast((train(ids, words), words))
+
+        @F.pandas_udf("double")
+        def score(raws: pd.Series) -> pd.Series:
+            return pd.Series(batch_scores([np.frombuffer(r, dtype="<u2").astype(np.int64) for r in raws], *shared.value))
+
+        n = (F.octet_length("ids") / 2).cast("long")
+        out = ids.select(F.col("id").alias(id_col), n.alias("n_words"), (score("ids") + F.col("spelled")).alias("log_likelihood"))
+        mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+        return stored(out.withColumn("mean_log_likelihood", mean), "lm-score-result")

@@ -203,6 +203,27 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs_of(spark, [])).count() == 0
 
 
+def test_personal_data_that_the_shapes_miss(spark):
+    """Local telephone numbers and spelled-out addresses are found by the trees, dates and amounts are left alone."""
+    rng = np.random.default_rng(9)
+    n = lambda k: "".join(map(str, rng.integers(1, 10, k)))
+    some = lambda: " ".join(rng.choice(["ser", "hon", "ther", "an", "en", "mil", "tor"], 12))
+    known = [f"{some()} +1 ({n(3)}) {n(3)}-{n(4)} {some()} x.{n(2)}@mail{n(1)}.example.com {some()}" for _ in range(200)]
+    hidden = [f"({n(3)}) {n(3)}-{n(4)}" for _ in range(15)] + [f"{n(3)}-{n(3)}-{n(4)}" for _ in range(15)] + [f"ab.{n(2)} (at) mail{n(1)}.example.com" for _ in range(15)] + [f"ab{n(2)} [at] host [dot] com" for _ in range(15)]
+    plain = [f"20{n(2)}-0{n(1)}-1{n(1)}" for _ in range(15)] + [f"{n(2)}.{n(3)}.{n(3)}" for _ in range(15)] + [f"19{n(2)}-20{n(2)}" for _ in range(15)]
+    texts = known + [f"{some()} {h} {some()}" for h in hidden] + [f"{some()} {h} {some()}" for h in plain]
+    by = {r.text: [r.text[s.start : s.end] for s in r.spans if s.kind in ("number", "address")] for r in pii.find_personal_data(docs_of(spark, texts)).collect()}
+    caught = sum(any(h in x for x in by[t]) for t, h in zip(texts[200:], hidden, strict=False))
+    wrong = sum(bool(by[t]) for t in texts[-len(plain) :])
+    assert caught >= 0.9 * len(hidden) and wrong <= 0.05 * len(plain)
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "a@b.cd 10.0.0.1 " * 3000
+    found = pii.find_personal_data(docs_of(spark, [text])).select(F.filter("spans", lambda s: s["kind"].isin("email", "ip")).alias("s")).first().s
+    assert [(s.kind, s.start, s.end) for s in found] == [x for i in range(3000) for x in (("email", 16 * i, 16 * i + 6), ("ip", 16 * i + 7, 16 * i + 15))]
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.ORG/en/1?x", "example.org/en/1", "block"), (2, "https://example.org/en/2", "org/", "allow"), (3, "x://example.org", None, "allow"), (4, "http://b.com/de/1#x", "com/de/", "block"),
@@ -262,33 +283,99 @@ def test_grades(spark):
     assert not ordinal.grade_documents(docs_of(spark, ["x"]), None).first().selected
 
 
-def test_lm_scores_equal_one_by_one(spark):
-    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40)
-    top = lm_score.most_frequent(rows)
-    vocabulary = lm_score.Vocabulary(top)
-    assert lm_score.Vocabulary(top)["zzzunseen"] == vocabulary["zzzunseen"] >= lm_score.WORDS
-    ids = lm_score.encoded(rows, vocabulary, "doc_id", "text")
-    share = lm_score.class_shares(lm_score.entry_counts(ids), vocabulary.classes)
-    net = lm_score.train(ids, vocabulary.classes, rounds=1)
-    for own in range(lm_score.CLASSES):  # a class's shares sum to one
-        assert np.exp(share[:-1][vocabulary.classes[:-1] == own]).sum() == pytest.approx(1, abs=1e-6)
-    texts = [r.text for r in rows.collect()] + ["", "one"]
-    each = [vocabulary.encode(t).astype(np.int64) for t in texts]
-    whole = lm_score.batch_scores(each, net, vocabulary.classes, share)
-    assert whole == pytest.approx([lm_score.document_score(x, net, vocabulary.classes, share) for x in each], rel=1e-5)
-    # training beats the untrained network
-    before = lm_score.batch_scores(each, lm_score.Network.new(), vocabulary.classes, share)
+def lm_of(spark, texts, monkeypatch, words=60):
+    monkeypatch.setattr(lm_score, "WORDS", words)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    with lm_score.scratch(spark, "test") as own:
+        return lm_score.vocabulary(own.keep(lm_score.word_counts(docs), "counts"), own)
+
+
+def sf_texts(spark, n):
+    return [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(n).select("text").collect()]
+
+
+def test_lm_words_and_probabilities(spark, monkeypatch):
+    texts = sf_texts(spark, 60)
+    words = lm_of(spark, texts, monkeypatch)
+    count = {}
+    for w in (w for t in texts for w in lm_score.words_of(t)):
+        count[w] = count.get(w, 0) + 1
+    assert words.top == sorted(count, key=lambda w: (-count[w], w))[:60]
+    # leaves of any context sum to one
+    net = lm_score.Network.new(words.tree, words.edge + 1)
+    net.V += np.random.default_rng(1).standard_normal(net.V.shape).astype(np.float32)
+    leaves = np.arange(words.rare + 1)
+    for context in np.random.default_rng(2).integers(0, words.edge + 1, (20, 4)):
+        assert np.exp(net.log_p(words.tree, np.tile(context, (len(leaves), 1)), leaves)).sum() == pytest.approx(1, abs=1e-5)
+    # the untrained network knows the shares of the words
+    plain = np.exp(lm_score.Network.new(words.tree, words.edge + 1).log_p(words.tree, np.zeros((len(leaves), 4), dtype=int), leaves))
+    want = np.array([count[w] for w in words.top] + [sum(n for w, n in count.items() if w not in words.leaf) + 1])
+    assert plain == pytest.approx(want / want.sum(), rel=1e-3)
+
+
+def test_lm_spelling_sums_to_one():
+    own = lm_score.Spelling({"a": 5, "b": 3}, 40, ["a", "bb"])
+    total, level = 0.0, [""]
+    for _ in range(12):
+        level = [w + c for w in level for c in "ab"]
+        total += sum(np.exp(own.log_p(w)) for w in level if w not in ("a", "bb"))
+    # words with a letter that never occurs: all but those of known letters alone
+    known = np.exp(own.letters["a"]) + np.exp(own.letters["b"])
+    every = (1 - np.exp(own.end)) - sum(known**k * np.exp(own.end) for k in range(1, 60))
+    assert total + every / np.exp(own.rest) == pytest.approx(1, abs=1e-4)
+    assert known + np.exp(own.end) + (lm_score.CODE_POINTS - 2) * np.exp(own.other) == pytest.approx(1)
+
+
+def test_lm_scores_equal_plain_loops(spark, monkeypatch):
+    texts = sf_texts(spark, 25) + ["", "one", "unheardofword"]
+    words = lm_of(spark, texts, monkeypatch)
+    each = [words.encode(t) for t in texts]
+    net = lm_score.Network.new(words.tree, words.edge + 1)
+    before = lm_score.batch_scores([x.astype(np.int64) for x, _ in each], net, words)
+    for turn in range(2):
+        lm_score.train_on([x.astype(np.int64) for x, _ in each], net, words, turn, 2)
+    whole = lm_score.batch_scores([x.astype(np.int64) for x, _ in each], net, words)
     assert whole.sum() > before.sum()
-
-
-def test_lm_trains_on_every_position(spark):
-    """A text of one word trains too: its only position is a target of one of the rounds."""
-    docs = docs_of(spark, ["one", "one two three"]).coalesce(1)
-    vocabulary = lm_score.Vocabulary(lm_score.most_frequent(docs))
-    ids = lm_score.encoded(docs, vocabulary, "doc_id", "text")
-    new = lm_score.Network.new()
-    alone = lm_score.train(ids.where(F.octet_length("ids") == 2), vocabulary.classes)
-    assert (alone.flat() != new.flat()).any()
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for text, (_, spelled), got in [*zip(texts, each, whole, strict=True)][-9:]:
+        ws, total, spell = lm_score.words_of(text), 0.0, 0.0
+        entry = lambda i: words.edge if i < 0 or i >= len(ws) else words.leaf.get(ws[i], words.rare)
+        for i, w in enumerate(ws):
+            h = [np.tanh(sum(float(net.T[k][entry(i + d)][j]) for k, d in enumerate((-2, -1, 1, 2)))) for j in range(lm_score.WIDTH)]
+            leaf = entry(i)
+            for p in range(words.tree.at[leaf], words.tree.at[leaf + 1]):
+                node = words.tree.nodes[p]
+                q = sigmoid(sum(float(net.V[node][j]) * h[j] for j in range(lm_score.WIDTH)) + float(net.c[node]))
+                total += np.log(q if words.tree.bits[p] else 1 - q)
+            if w not in words.leaf:
+                spell += sum(words.spelling.letters.get(c, words.spelling.other) for c in w) + words.spelling.end - words.spelling.rest
+        assert got == pytest.approx(total, rel=1e-4, abs=1e-4) and spelled == pytest.approx(spell)
+
+
+def test_lm_trains_on_every_position(spark, monkeypatch):
+    texts = ["one", "one two three", "", "four five"]
+    words = lm_of(spark, texts, monkeypatch)
+    docs = [words.encode(t)[0].astype(np.int64) for t in texts]
+    seen = []
+    monkeypatch.setattr(lm_score.Network, "learn", lambda self, tree, c, t, squares: seen.extend(t.tolist()))
+    assert sum(lm_score.train_on(docs, lm_score.Network.new(words.tree, words.edge + 1), words, k, 2) for k in range(2)) == 6
+    assert sorted(seen) == sorted(x for d in docs for x in d.tolist())
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD", 20_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    few, many = ({r.doc_id: r.log_likelihood for r in lm_score.score_documents(docs.repartition(n)).collect()} for n in (4, 16))
+    assert few.keys() == many.keys() and all(many[k] == pytest.approx(few[k], rel=1e-5) for k in few)
+
+
+def test_lm_repeated_documents_score_higher(spark):
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 300, 80))
+    often = text()
+    rows = [(i, often) for i in range(40)] + [(100 + i, text()) for i in range(80)]
+    by = {r.doc_id: r.mean_log_likelihood for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[0] > max(v for k, v in by.items() if k >= 100) + 0.5
 
 
 def test_lm_odd_rows(spark):
