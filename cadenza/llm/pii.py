@@ -1,21 +1,23 @@
 """Personal data: fixed shapes, and boosted trees over loose proposals, in Spark SQL only.
 
-Shapes (kinds email, ip, card, phone) are searched in every whole text and always stay. Two
-generators of high recall propose further spans, which overlap the shapes freely: any chain of seven
-or more digits with separators (kind number), and anything around an @ (kind address). Format
+Shapes (kinds email, ip, card, phone) are searched in every whole text and always stay. Three
+generators of high recall propose further spans, which overlap each other and the shapes freely: any chain of seven
+or more digits with separators (kind number), anything around an @, and words around a spelled-out "at" with a dot or "dot" behind it (both kind address). Format
 and context of a proposal are binned into a cell: generator, digits, separators, opening, cue
-words before it, character before it, rank of its token form.
+words before it, character before it, form (dates, decimals, groups of a telephone number or card, brackets).
 
-Labels come from the data: a proposal that overlaps a valid shape is personal, one that a hard
-check refutes (checksum, octet range, too many digits, no letters beside the @) is not, others have
-none. Labelled proposals of all documents are counted by cell and label; gradient-boosted trees learn from
+Labels come from the data and from planted variants. A proposal that overlaps a valid shape is personal, one that a hard
+check refutes (checksum, octet range, too many digits, no letters beside the @) is not. Every valid shape of the corpus is also rewritten, in its own
+context, into forms that the shapes miss (local telephone numbers, cards with other separators, mail addresses that are spelled out), which
+are personal, and into forms that are not (dates, ranges, decimals, amounts). Other proposals have no label.
+Labelled proposals of all documents are counted by cell and label; gradient-boosted trees learn from
 the counts, which are at most as many as cells. Per generator the score threshold is calibrated to a precision of
-PRECISION by those counts. Unlabelled proposals in selected cells that overlap no shape are added.
+PRECISION by those counts. All proposals in selected cells that no hard check refutes are results.
 
 Positions are found from the pieces between matches: `split` and `regexp_extract_all` see the same
-matches, so sums of lengths give code-point offsets. Possessive quantifiers keep the expressions
-linear and iterative on very long texts. Null and empty texts have no spans; repeated rows are
-handled alike; without labels of both sides nothing is added.
+matches, so sums of lengths give code-point offsets. They are gathered in stretches of STRETCH matches, so that a text with very many takes linear time. Possessive
+quantifiers keep the expressions linear and iterative on very long texts. Null and empty texts have no spans; repeated rows are
+handled alike; without labels of both sides (as in an empty table) only shapes are found.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 KINDS = ("email", "ip", "card", "phone", "number", "address")
 SHAPES = KINDS[:4]
 PRECISION = 0.95
+#: Matches that are gathered at a time.
+STRETCH = 256
 SPAN = "struct<kind:string,start:int,end:int>"
 PROPOSAL = "struct<kind:string,start:int,end:int,cell:int,refuted:boolean>"
 
@@ -42,19 +46,40 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: The generators.
 NUMBER = r"(?<![\p{L}\p{N}])[(]?+[0-9](?:[\x20()./-]{0,2}+[0-9]){6,}+"
 ADDRESS = r"(?<![^\x20\x09-\x0D@])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]++"
+_AT, _DOT = r"(?:\x20?[(\[{]at[)\]}]\x20?|\x20at\x20)", r"(?:\.|\x20?[(\[{]dot[)\]}]\x20?|\x20dot\x20)"
+SPELLED = rf"(?<![{_LOCAL}])[{_LOCAL}]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
 
 CUES = ("phone|tel|call|mobile|fax|ruf|teléf", "card|visa|iban|account|karte|tarjeta|carte", "mail|contact|kontakt|write", "ip|host|server|address")
-FEATURES = {"generator": 2, "digits": 8, "separators": 4, "opening": 3, "cue": 5, "before": 4}
-
-
-def _found(text: Column, pattern: str, kind: str, ok, more=lambda s, before: [], shape: str = SPAN) -> Column:
-    """Array of spans of the matches for which ok(match) holds; more(match, text before it) gives further fields."""
-    parts = F.zip_with(
+FEATURES = {"generator": 3, "digits": 8, "separators": 4, "opening": 3, "cue": 5, "before": 4, "form": 8}
+#: Forms of proposals, the first that fits; none of them is 0.
+FORMS = (
+    r"^[(]?[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}$|^[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4}$",
+    r"^[0-9]{1,3}(?:[.][0-9]{3})+$",
+    r"^[0-9]+[-./][0-9]+$",
+    r"^[0-9]{4}(?:[\x20./-]{1,2}[0-9]{4}){3}$",
+    r"^[+]?[0-9]{0,3}\x20?[(]?[0-9]{2,4}[)]?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{2,4}$",
+    r"[(\[{](?:at|dot)[)\]}]",
+    r"\x20(?:at|dot)\x20",
+)
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """Array of matches, each with the text between it and the one before; the last is what follows, without a match."""
+    return F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda before, match: F.struct(before.alias("before"), match.alias("match")),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{shape}>)").alias("out"))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _found(text: Column, pattern: str, kind: str, ok, more=lambda s, before: [], shape: str = SPAN) -> Column:
+    """Array of spans of the matches for which ok(match) holds; more(match, text before it) gives further fields."""
+    none, lists = (F.expr(f"cast(array() as array<{x}>)") for x in (shape, f"array<{shape}>"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["before"])
@@ -63,7 +88,12 @@ def _found(text: Column, pattern: str, kind: str, ok, more=lambda s, before: [],
         out = F.when(x["match"].isNotNull() & ok(x["match"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    return F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    def stretch(acc: Column, part: Column) -> Column:
+        found = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return _let(found, lambda f: F.struct(f["at"].alias("at"), F.concat(acc["out"], F.array(f["out"])).alias("out")))
+
+    parts = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / STRETCH).cast("int")), lambda i: F.slice(p, i * STRETCH + 1, F.lit(STRETCH)))
+    return F.aggregate(_let(_pieces(text, pattern), parts), F.struct(F.lit(0).alias("at"), lists.alias("out")), stretch, lambda acc: F.flatten(acc["out"]))
 
 
 def _where(needed: Column, spans: Column, shape: str = SPAN) -> Column:
@@ -114,7 +144,9 @@ def _cell(generator: int, s: Column, before: Column) -> Column:
     cue = F.lit(0)
     for i, words in reversed([*enumerate(CUES, 1)]):
         cue = F.when(near.rlike(words), i).otherwise(cue)
-    last = F.right(before, F.lit(1))
+    last, form = F.right(before, F.lit(1)), F.lit(0)
+    for i, pattern in reversed([*enumerate(FORMS, 1)]):
+        form = F.when(s.rlike(pattern), i).otherwise(form)
     values = {
         "generator": F.lit(generator),
         "digits": _bin(digits, [1, 7, 9, 11, 14, 17, 20]),
@@ -122,6 +154,7 @@ def _cell(generator: int, s: Column, before: Column) -> Column:
         "opening": F.when(last == "+", 2).when(F.startswith(s, F.lit("(")), 1).otherwise(0),
         "cue": cue,
         "before": F.when(last == "", 0).when(last.rlike(r"\s"), 1).when(last.rlike(r"[\p{L}\p{N}]"), 2).otherwise(3),
+        "form": form,
     }
     out = F.lit(0)
     for name, size in FEATURES.items():
@@ -147,6 +180,44 @@ def proposals(text: Column) -> Column:
     return F.concat(
         _where(text.rlike("[0-9]"), _found(text, NUMBER, "number", any_, lambda s, b: [_cell(0, s, b), _refuted_number(s)], PROPOSAL), PROPOSAL),
         _where(F.contains(text, F.lit("@")), _found(text, ADDRESS, "address", any_, lambda s, b: [_cell(1, s, b), _refuted_address(s)], PROPOSAL), PROPOSAL),
+        _where(text.rlike(r"[(\[{\x20]at[)\]}\x20]"), _found(text, SPELLED, "address", any_, lambda s, b: [_cell(2, s, b), F.lit(False)], PROPOSAL), PROPOSAL),
+    )
+
+
+def variants(text: Column) -> Column:
+    """Planted cases: every valid shape of the text rewritten, as cell and label."""
+    case = lambda generator, s, before, label: F.struct(_cell(generator, s, before).alias("cell"), F.lit(label).alias("label"))
+    none = F.expr("cast(array() as array<struct<cell:int,label:double>>)")
+
+    def of(pattern: str, needed: Column, ok, cases) -> Column:
+        valid = F.filter(_pieces(text, pattern), lambda x: x["match"].isNotNull() & ok(x["match"]))
+        return F.when(needed, F.flatten(F.transform(valid, lambda x: F.array(*cases(x["match"], x["before"]))))).otherwise(none)
+
+    def of_phone(m: Column, before: Column) -> list[Column]:
+        local = F.regexp_replace(m, r"^\+[0-9]{1,3}[\x20.-]*", "")
+        bare = F.trim(F.regexp_replace(F.translate(local, "()", "  "), r"[\x20.-]+", " "))
+        return [case(0, s, before, 1.0) for s in (local, bare, F.translate(bare, " ", "-"), F.translate(bare, " ", "."))] + _amounts(_digits(m), before)
+
+    def of_card(m: Column, before: Column) -> list[Column]:
+        fours = lambda sep: F.concat_ws(sep, *(F.substring(_digits(m), i, 4) for i in (1, 5, 9, 13)))
+        return [case(0, fours(sep), before, 1.0) for sep in (".", "/", "  ")] + _amounts(_digits(m), before)
+
+    def _amounts(d: Column, before: Column) -> list[Column]:
+        two = lambda i: F.substring(d, i, 2)
+        day = F.concat_ws("-", F.concat(F.lit("20"), two(1)), F.concat(F.lit("0"), F.substring(d, 3, 1)), F.concat(F.lit("1"), F.substring(d, 4, 1)))
+        others = (day, F.translate(day, "-", "."), F.concat(F.lit("19"), two(1), F.lit("-20"), two(3)), F.concat(F.substring(d, 1, 4), F.lit("."), F.substring(d, 5, 4)), F.concat_ws(".", F.substring(d, 1, 2), F.substring(d, 3, 3), F.substring(d, 6, 3)))
+        return [case(0, s, before, 0.0) for s in others]
+
+    def of_email(m: Column, before: Column) -> list[Column]:
+        name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+        ways = ((" (at) ", "."), ("[at]", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "(dot)"))
+        return [case(2, F.concat(name, F.lit(at), F.replace(host, F.lit("."), F.lit(dot))), before, 1.0) for at, dot in ways] + [case(2, F.concat(name, F.lit(" at "), host), before, 0.0)]
+
+    numbered = text.rlike("[0-9]")
+    return F.concat(
+        of(PHONE, F.contains(text, F.lit("+")), lambda s: F.length(_digits(s)).between(9, 15), of_phone),
+        of(CARD, numbered, _card_ok, of_card),
+        of(EMAIL, F.contains(text, F.lit("@")), lambda s: F.lit(True), of_email),
     )
 
 
@@ -159,11 +230,11 @@ def selected_cells(docs: DataFrame, text: str = "text") -> list[int]:
 
     The list is at most as long as there are cells (product of FEATURES).
     """
-    seen = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select(shape_spans(F.col("t")).alias("b"), proposals(F.col("t")).alias("p"))
-    one = seen.select("b", F.explode("p").alias("p")).select(
-        F.col("p.cell").alias("cell"),
-        F.when(_overlaps(F.col("b"), F.col("p")), 1.0).when(F.col("p.refuted"), 0.0).alias("label"),
-    )
+    t = F.col("t")
+    seen = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select(shape_spans(t).alias("b"), proposals(t).alias("p"), variants(t).alias("v"))
+    label = lambda b, p: F.when(_overlaps(b, p), 1.0).when(p["refuted"], 0.0)
+    own = F.transform("p", lambda p: F.struct(p["cell"].alias("cell"), label(F.col("b"), p).alias("label")))
+    one = seen.select(F.explode(F.concat(own, "v")).alias("x")).select("x.cell", "x.label")
     counts = one.groupBy("cell", "label").agg(F.count("*").cast("double").alias("weight"))
     cells, rest = stored(counts, "pii-cells"), F.col("cell")
     for name, size in reversed(FEATURES.items()):
@@ -185,25 +256,27 @@ def selected_cells(docs: DataFrame, text: str = "text") -> list[int]:
 def find_personal_data(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """docs with an array of spans (kind, start, end), by start, then kind in the order of KINDS."""
     cells = selected_cells(docs, text)
-    base = docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__b", shape_spans(F.col("__t")))
+    t, b = free_name(docs, "pii_text"), free_name(docs, "pii_spans")
+    base = docs.withColumn(t, F.coalesce(F.col(text), F.lit(""))).withColumn(b, shape_spans(F.col(t)))
     if cells:
-        extra = F.filter(proposals(F.col("__t")), lambda p: ~p["refuted"] & p["cell"].isin(cells) & ~_overlaps(F.col("__b"), p))
+        extra = F.filter(proposals(F.col(t)), lambda p: ~p["refuted"] & p["cell"].isin(cells))
         extra = F.transform(extra, lambda p: F.struct(p["kind"], p["start"], p["end"]).cast(SPAN))
-        base = base.withColumn("__b", F.concat("__b", extra))
+        base = base.withColumn(b, F.concat(b, extra))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    keyed = F.transform("__b", lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    keyed = F.transform(b, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"], s["start"], s["end"]).cast(SPAN))
-    return base.withColumn(spans, ordered).drop("__t", "__b")
+    return base.withColumn(spans, ordered).drop(t, b)
 
 
 def redact(found: DataFrame, text: str = "text", spans: str = "spans", redacted: str = "redacted") -> DataFrame:
-    """found with a copy of the text in which each span is replaced by its kind in brackets; of overlapping spans the first decides."""
+    """found with a copy of the text in which spans are replaced by their kind in brackets; what overlaps goes as one, named by the first."""
     t = F.coalesce(F.col(text), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         out = F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]"))))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), out.alias("out"))).otherwise(acc)
+        apart = s["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, out).otherwise(acc["out"]).alias("out"))
 
     whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
     return found.withColumn(redacted, whole)
