@@ -283,6 +283,65 @@ def test_grades(spark):
     assert not ordinal.grade_documents(docs_of(spark, ["x"]), None).first().selected
 
 
+def grade_loss(model, rows):
+    """Negative log likelihood of the cumulative-link model, summed plainly."""
+    total = 0.0
+    for grade, at, x in rows:
+        z = sum(model.w[a] * v for a, v in zip(at, x, strict=True))
+        below = [0.0, *(1 / (1 + np.exp(-(t - z))) for t in model.thresholds), 1.0]
+        total -= np.log(below[grade + 1] - below[grade])
+    return total
+
+
+def test_grade_steps_follow_the_gradient(monkeypatch):
+    """One row at a time: the step is against the gradient that finite differences give."""
+    monkeypatch.setattr(ordinal, "DECAY", 0.0)
+    rng = np.random.default_rng(4)
+    for grade in (0, 1, 2, 3):
+        model = ordinal.Model(rng.normal(size=6), np.array([-0.7, 0.1, -0.4]))
+        row = (grade, np.array([0, 2, 5]), rng.random(3))
+        numbers = []
+        for part in ("w", "gaps"):
+            for i in range(len(getattr(model, part))):
+                up, down = ordinal.Model(model.w.copy(), model.gaps.copy()), ordinal.Model(model.w.copy(), model.gaps.copy())
+                getattr(up, part)[i] += 1e-5
+                getattr(down, part)[i] -= 1e-5
+                numbers.append((grade_loss(up, [row]) - grade_loss(down, [row])) / 2e-5)
+        after, squares = ordinal.Model(model.w.copy(), model.gaps.copy()), ordinal.Model(np.full(6, 1e12), np.full(3, 1e12))
+        after.learn([row], squares)
+        steps = np.concatenate([model.w - after.w, model.gaps - after.gaps]) * 1e6 / ordinal.RATE
+        assert steps == pytest.approx(numbers, abs=1e-5)
+
+
+def test_grade_training_reaches_the_best_likelihood():
+    rng = np.random.default_rng(5)
+    truth, rows = np.array([2.0, -1.5, 0.5]), []
+    for _ in range(400):
+        x = rng.random(3)
+        rows.append((int(np.searchsorted([-0.3, 0.9], truth @ x + rng.logistic())), np.arange(3), x))
+    model, squares = ordinal.Model(np.zeros(3), np.array([-0.5, 0.0])), ordinal.Model(np.full(3, 1.0), np.full(2, 10.0))
+    for _ in range(200):
+        model.learn(rows, squares)
+    best, step = ordinal.Model(np.zeros(3), np.array([-0.5, 0.0])), 0.5  # a plain search along single coordinates
+    while step > 1e-4:
+        moved = False
+        for part in ("w", "gaps"):
+            for i in range(len(getattr(best, part))):
+                for d in (step, -step):
+                    other = ordinal.Model(best.w.copy(), best.gaps.copy())
+                    getattr(other, part)[i] += d
+                    if grade_loss(other, rows) < grade_loss(best, rows) - 1e-9:
+                        best, moved = other, True
+        step = step if moved else step / 2
+    assert grade_loss(model, rows) <= grade_loss(best, rows) * 1.01
+
+
+def test_grades_of_an_empty_table(spark):
+    rows = [(i, f"word{i % 3}", i % 3) for i in range(30)]
+    fitted = ordinal.fit(spark.createDataFrame(rows, "doc_id long, text string, grade int"), 3)
+    assert ordinal.grade_documents(docs_of(spark, []), fitted).count() == 0
+
+
 def lm_of(spark, texts, monkeypatch, words=60):
     monkeypatch.setattr(lm_score, "WORDS", words)
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
@@ -387,6 +446,40 @@ def test_lm_odd_rows(spark):
     assert lm_score.score_documents(docs_of(spark, [])).count() == 0
 
 
+ROW = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def run_stages(spark, rows, items, tmp_path, more=""):
+    import corpus_pipeline
+
+    sf = f"{tmp_path}/sf"
+    spark.createDataFrame(rows, ROW + more).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    return corpus_pipeline.run(spark, sf)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    assert run_stages(spark, [], [(1, "some words of a test item that nobody has")], tmp_path).count() == 0
+
+
+def test_pipeline_of_odd_rows_leaves_one_table(spark, tmp_path):
+    """Nulls, no letters, a very long text, repeated rows, clashing columns; the shared folder ends with the last output."""
+    import os
+
+    prose = " ".join(f"word{i}" for i in range(300))
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    texts = [None, "", "12 34", "x " * 60_000, prose, prose, prose.replace("word7 ", "other "), f"{prose[:700]} {item} {prose[700:]} more to say", "short one", "short  one", "another text of its own with words"]
+    rows = [(i, t, "en", "s", 0, "a", 1) for i, t in enumerate(texts)]
+    rows += [rows[8], (None, "nobody knows my number", None, None, None, None, None), (None, None, None, None, None, None, None)]
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    out = run_stages(spark, rows, [(1, item), (2, None)], tmp_path, ", lang_pred string, found int")
+    ids = sorted((r.doc_id for r in out.collect()), key=repr)
+    assert ids == sorted([3, 4, 9, 10, None], key=repr)  # 9 is longer than 8 before blanks go
+    left = {n for n in set(os.listdir(shared)) - before if os.path.isdir(f"{shared}/{n}") and any(f.endswith(".parquet") for _, _, fs in os.walk(f"{shared}/{n}") for f in fs)}
+    assert len(left) == 1
+
+
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
     import tokenizers
