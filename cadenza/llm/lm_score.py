@@ -24,6 +24,7 @@ identifier that are equal share a shard. An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,15 +32,14 @@ from math import log
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch, scratch, stored, text_batches
 
-WORD = regex.compile(r"\w+|[^\w\s]")
+WORD = re.compile(r"\w+|[^\w\s]")
 WORDS = 8192
 WINDOW = 2
-WIDTH = 16
+WIDTH = 8
 ROUNDS = 2
 RATE = 0.1
 BATCH = 8192
@@ -68,7 +68,6 @@ class Spelling:
         self.letters = {c: log(n / whole) for c, n in letters.items()}
         self.end = log((words + 1) / whole)
         self.other = log(new / whole / (CODE_POINTS - len(letters)))
-        self.known: dict[str, float] = {}
         #: Nothing and the words that have a leaf are never spelled.
         self.rest = log(1 - np.exp(self.end) - sum(np.exp(self.plain(w)) for w in top))
 
@@ -77,12 +76,7 @@ class Spelling:
         return sum(get(c, other) for c in word) + self.end
 
     def log_p(self, word: str) -> float:
-        p = self.known.get(word)
-        if p is None:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            p = self.known[word] = self.plain(word) - self.rest
-        return p
+        return self.plain(word) - self.rest
 
 
 @dataclass
@@ -126,6 +120,25 @@ class Tree:
         return np.repeat(self.at[leaves] - begins, n) + np.arange(n.sum()), begins
 
 
+class _Entries(dict):
+    """Word -> leaf, or for words without leaf a number beyond the leaves, under which their spelling is remembered."""
+
+    def __init__(self, top: list[str], spelling: Spelling):
+        super().__init__((w, i) for i, w in enumerate(top))
+        self.top, self.spelling, self.spelled, self.next = top, spelling, np.zeros(CACHE_WORDS), 0
+
+    def __missing__(self, word: str) -> int:
+        self.spelled[self.next] = self.spelling.log_p(word)
+        self.next += 1
+        entry = self[word] = len(self.top) + self.next
+        return entry
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, float]:
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        rare = at[at >= len(self.top)] - len(self.top) - 1
+        return np.minimum(at, len(self.top)).astype("<u2"), float(self.spelled[rare].sum())
+
+
 @dataclass
 class Vocabulary:
     top: list[str]
@@ -134,15 +147,25 @@ class Vocabulary:
 
     def __post_init__(self):
         self.leaf = {w: i for i, w in enumerate(self.top)}
+        self.entries = None
         #: Leaf of words that are spelled, and the entry beyond the ends of a text.
         self.rare, self.edge = len(self.top), len(self.top) + 1
 
     def encode(self, text: str | None) -> tuple[np.ndarray, float]:
         """Leaves of a whole text's words, and the log probability of spelling those that have none."""
-        words, get, rare = words_of(text), self.leaf.get, self.rare
-        ids = np.array([get(w, rare) for w in words], dtype="<u2")
-        spell = self.spelling.log_p
-        return ids, sum((spell(words[i]) for i in np.flatnonzero(ids == rare).tolist()), 0.0)
+        words = words_of(text)
+        if self.entries is None or self.entries.next + len(words) > CACHE_WORDS:
+            self.entries = _Entries(self.top, self.spelling)
+        if len(words) <= CACHE_WORDS:
+            return self.entries.encode(words)
+        parts = [self.encode_part(words[i : i + CACHE_WORDS]) for i in range(0, len(words), CACHE_WORDS)]
+        return np.concatenate([x for x, _ in parts]), sum(s for _, s in parts)
+
+    def encode_part(self, words: list[str]) -> tuple[np.ndarray, float]:
+        return _Entries(self.top, self.spelling).encode(words)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"entries": None}
 
 
 @dataclass

@@ -415,6 +415,11 @@ def test_lm_trains_on_every_position(spark, monkeypatch):
     texts = ["one", "one two three", "", "four five"]
     words = lm_of(spark, texts, monkeypatch)
     docs = [words.encode(t)[0].astype(np.int64) for t in texts]
+    long = " ".join(texts * 50)
+    whole = words.encode(long)
+    monkeypatch.setattr(lm_score, "CACHE_WORDS", 7)
+    words.entries = None
+    assert words.encode(long)[0].tolist() == whole[0].tolist() and words.encode(long)[1] == pytest.approx(whole[1])
     seen = []
     monkeypatch.setattr(lm_score.Network, "learn", lambda self, tree, c, t, squares: seen.extend(t.tolist()))
     assert sum(lm_score.train_on(docs, lm_score.Network.new(words.tree, words.edge + 1), words, k, 2) for k in range(2)) == 6
