@@ -21,9 +21,13 @@ def file_type(path: Column) -> Column:
     return F.upper(F.regexp_extract(file_name(path), r"\.([^.]+)$", 1))
 
 
-def is_loop_path(path: Column) -> Column:
-    """A file with one of the extensions, in any case, that is not hidden and lies in no hidden folder."""
-    return F.lower(file_type(path)).isin(*EXTENSIONS) & ~path.rlike(r"(^|/)\.")
+def is_loop_path(path: Column, depth: int = 0) -> Column:
+    """A file with one of the extensions, in any case, that is not hidden and lies in no hidden folder.
+
+    The first depth parts of the path lead to the library and may be hidden.
+    """
+    below = F.slice(F.split(path, "/"), F.lit(depth + 1), F.size(F.split(path, "/")))
+    return F.lower(file_type(path)).isin(*EXTENSIONS) & ~F.exists(below, lambda part: part.startswith("."))
 
 
 def is_one_shot(beats: Column) -> Column:
@@ -65,4 +69,5 @@ def natural_key(name: Column) -> Column:
     """
     parts = F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     number = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(number(x), 20, "0")).otherwise(x)), "")
+    ranked = lambda n: F.concat(F.lpad(F.length(n).cast("string"), 10, "0"), n)  # a run with more digits comes later
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), ranked(number(x))).otherwise(x)), "")

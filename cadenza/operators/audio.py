@@ -1,7 +1,8 @@
 """Audio descriptors of loops: mixdown, spectrogram, tuning, and 36 descriptors of 12 pitch classes.
 
-Per frame everything is array expressions; per loop it is one grouping by loop_id, combined in the map stage,
-so that a row of 252 bands never crosses a shuffle.
+Tuning and loudness of a loop are windows over its frames (at most MAX_SECONDS of them), so that nothing before them is computed twice.
+Bands are dealt by loop once, for the tuning; chroma once, for the loudness and the grouping, as the numpy step between them loses
+the order. Per frame everything else is array expressions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Fixed values of the descriptors.
 SAMPLE_RATE, MAX_SECONDS = 22_050, 60
@@ -86,13 +87,35 @@ def spectrogram(loops: DataFrame, frame: int = FRAME, hop: int = HOP, rate: floa
     return loops.select("loop_id", "samples").mapInPandas(run, "loop_id long, frame_ix long, n_frames long, bands array<double>")
 
 
+def _weights() -> tuple[Column, Column]:
+    """Sine and cosine parts of a frame's energy over the three bands of a semitone."""
+    middle = F.slice("bands", 37, 180)
+    part = lambda f: F.aggregate(F.zip_with(middle, F.array(*(F.lit(f(2 * math.pi * k / 3)) for k in range(36, 216))), lambda v, w: v * v * w), F.lit(0.0), lambda a, x: a + x)
+    return part(math.sin), part(math.cos)
+
+
+def _phase(s: Column, c: Column) -> Column:
+    return F.atan2(s, c) / (2 * math.pi) * 3
+
+
+def _tune(phase: Column) -> Column:
+    return F.bround(F.least(F.greatest(phase, F.lit(-1.0)), F.lit(1.0))).cast("int")
+
+
 def tuning(frames: DataFrame) -> DataFrame:
     """(loop_id, phase, tune): the phase of the energy over the three bands of a semitone, rounded half to even to -1, 0 or 1."""
-    middle = F.slice("bands", 37, 180)
-    weight = lambda f: F.aggregate(F.zip_with(middle, F.array(*(F.lit(f(2 * math.pi * k / 3)) for k in range(36, 216))), lambda v, w: v * v * w), F.lit(0.0), lambda a, x: a + x)
-    sums = frames.select("loop_id", weight(math.sin).alias("s"), weight(math.cos).alias("c")).groupBy("loop_id").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    phase = F.atan2("s", "c") / (2 * math.pi) * 3
-    return sums.select("loop_id", phase.alias("phase"), F.bround(F.least(F.greatest(phase, F.lit(-1.0)), F.lit(1.0))).cast("int").alias("tune"))
+    s, c = _weights()
+    sums = frames.select("loop_id", s.alias("s"), c.alias("c")).groupBy("loop_id").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    phase = _phase(F.col("s"), F.col("c"))
+    return sums.select("loop_id", phase.alias("phase"), _tune(phase).alias("tune"))
+
+
+def with_tuning(frames: DataFrame) -> DataFrame:
+    """frames with the tune of their loop; deals them by loop."""
+    s, c = _weights()
+    loop = Window.partitionBy("loop_id")
+    own = frames.withColumns({"tune_s": s, "tune_c": c}).withColumns({"tune_s": F.sum("tune_s").over(loop), "tune_c": F.sum("tune_c").over(loop)})
+    return own.withColumn("tune", _tune(_phase(F.col("tune_s"), F.col("tune_c")))).drop("tune_s", "tune_c")
 
 
 def _sum(a: Column) -> Column:
@@ -175,12 +198,12 @@ def softmaxed(e: Column) -> Column:
     return F.transform(F.arrays_zip(e.alias("e"), F.array_repeat(_sum(e), 24).alias("t")), lambda x: x["e"] / x["t"])
 
 
-def frame_features(frames: DataFrame, tune: DataFrame | None = None) -> DataFrame:
-    """One row per frame with chroma of all kinds; frames has bands, peak, harm (see peak_and_harmonic).
+def frame_features(frames: DataFrame) -> DataFrame:
+    """One row per frame with chroma of all kinds; frames: (loop_id, frame_ix, n_frames, bands).
 
     Steps are separate projections, as each uses the one before several times.
     """
-    own = frames.join(tuning(frames) if tune is None else tune, "loop_id")
+    own = peak_and_harmonic(with_tuning(frames))
     own = own.select("loop_id", "frame_ix", "n_frames", *(semitones(p, F.col("tune")).alias(n) for n, p in (("M", raw_power(F.col("bands"))), ("Mp", F.col("peak")), ("Mh", F.col("harm")))))
     own = own.select(
         "loop_id", "frame_ix", "n_frames", "M",
@@ -191,12 +214,12 @@ def frame_features(frames: DataFrame, tune: DataFrame | None = None) -> DataFram
     return own.withColumns({c: normalised(F.col(c)) for c in own.columns if c[:4] in ("raw_", "peak", "harm")})
 
 
-def descriptors(frames: DataFrame, tune: DataFrame | None = None) -> DataFrame:
+def descriptors(frames: DataFrame) -> DataFrame:
     """One row per loop with the descriptors of NAMES, each an array of 12 under its column_of.
 
     frames: (loop_id, frame_ix, n_frames, bands).
     """
-    own = frame_features(peak_and_harmonic(frames), tune)
+    own = frame_features(frames)
     n, ix = F.col("n_frames"), F.col("frame_ix")
     mix = F.col("raw_mix")
     own = own.withColumns({
@@ -213,9 +236,8 @@ def descriptors(frames: DataFrame, tune: DataFrame | None = None) -> DataFrame:
         "chord": softmaxed(F.col("chord_e")), "chord_h": softmaxed(F.col("chord_he")),
         "cb_major": F.zip_with(triads(mix, 4), "raw_bass", lambda a, b: a * b), "cb_minor": F.zip_with(triads(mix, 3), "raw_bass", lambda a, b: a * b),
     })
-    # the loud quarter: one percentile a loop, joined back by loop
-    level = own.groupBy("loop_id").agg(F.percentile("energy", F.lit(0.75)).alias("loud_from"), F.sum("salience").alias("salience_all"))
-    own = own.join(level, "loop_id")
+    loop = Window.partitionBy("loop_id")  # the loud quarter: one percentile a loop
+    own = own.withColumns({"loud_from": F.percentile("energy", F.lit(0.75)).over(loop), "salience_all": F.sum("salience").over(loop)})
     first2, last2 = ix < 2, ix >= n - 2
     quarter = ix < F.greatest(F.lit(1), F.floor(n / 4))
     mean = lambda where=None: (lambda x: F.avg(x if where is None else F.when(where, x)))

@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DRUMS = 9
 BASS_BELOW = 52
-#: Ticks of a time bin of the interval join.
-BIN = 480
 
 
 def with_ticks(events: DataFrame) -> DataFrame:
-    """events with the absolute tick: the running sum of delta times of a track, over events of all kinds."""
+    """events with the absolute tick: the running sum of delta times of a track, over events of all kinds; null beyond 63 bits."""
     track = Window.partitionBy("loop_id", "track").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("tick", F.sum("delta").over(track))
+    return events.withColumn("tick", F.try_sum("delta").over(track))
 
 
 def paired_notes(events: DataFrame) -> DataFrame:
@@ -21,7 +19,7 @@ def paired_notes(events: DataFrame) -> DataFrame:
 
     note_ord is the order of ending, tracks in sequence.
     """
-    ticks = with_ticks(events).where(F.col("kind").isin("on", "off"))
+    ticks = with_ticks(events).where(F.col("kind").isin("on", "off") & F.col("tick").isNotNull())
     one = Window.partitionBy("loop_id", "track", "channel", "pitch").orderBy("seq")
     ticks = ticks.withColumns({"before": F.lag("kind").over(one), "start_tick": F.lag("tick").over(one)})
     notes = ticks.where("kind = 'off' and before = 'on'")
@@ -64,26 +62,32 @@ def dense(loops: DataFrame, sums: DataFrame, names: list[str]) -> DataFrame:
     return wide.unpivot(["loop_id", "pc"], names, "feature", "value")
 
 
-def sounding(notes: DataFrame, bin_ticks: int = BIN) -> DataFrame:
+def sounding(notes: DataFrame) -> DataFrame:
     """(loop_id, onset, note_ord, pitch, length): notes with start <= onset < end for each distinct onset of pitched notes.
 
-    Onsets with nothing sounding (notes of no length) get the notes that start there. The interval join is an
-    equi-join on loop and time bin, so that a note only meets the onsets of the bins that it covers.
+    Onsets with nothing sounding (notes of no length) get the notes that start there. Onsets are numbered in each loop, and so
+    is the last onset before each note's end; a note then meets the numbers between its own and that one. So the work is the size of the result,
+    however long a note is.
     """
     own = pitched(notes).withColumn("length", _length())
-    onsets = own.select("loop_id", F.col("start_tick").alias("onset")).distinct().withColumn("bin", F.floor(F.col("onset") / bin_ticks))
-    covered = F.sequence(F.floor(F.col("start_tick") / bin_ticks), F.floor((F.greatest("end_tick", F.col("start_tick") + 1) - 1) / bin_ticks))
-    binned = own.where("end_tick > start_tick").withColumn("bin", F.explode(covered))
-    over = onsets.join(binned, ["loop_id", "bin"]).where("start_tick <= onset and onset < end_tick")
-    over = over.select("loop_id", "onset", "note_ord", "pitch", "length")
+    onsets = own.select("loop_id", F.col("start_tick").alias("tick")).distinct()
+    ends = own.where("end_tick > start_tick").select("loop_id", F.col("end_tick").alias("tick"), F.struct("start_tick", "note_ord", "pitch", "length").alias("note"))
+    marks = onsets.withColumns({"note": F.lit(None).cast(ends.schema["note"].dataType), "starts": F.lit(1)}).unionByName(ends.withColumn("starts", F.lit(0)))
+    # an end comes before the onsets of its tick
+    before = Window.partitionBy("loop_id").orderBy("tick", "starts").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumn("number", F.sum("starts").over(before))
+    numbered = marks.where("starts = 1").select("loop_id", F.col("tick").alias("onset"), "number")
+    until = marks.where("starts = 0").select("loop_id", F.col("note.start_tick").alias("onset"), "note.note_ord", "note.pitch", "note.length", F.col("number").alias("last"))
+    over = until.join(numbered, ["loop_id", "onset"]).drop("onset").withColumn("number", F.explode(F.sequence("number", "last")))
+    over = over.join(numbered, ["loop_id", "number"]).select("loop_id", "onset", "note_ord", "pitch", "length")
     # a note of some length sounds at its own onset, so only onsets of none remain
-    silent = onsets.join(over.select("loop_id", "onset").distinct(), ["loop_id", "onset"], "left_anti").select("loop_id", "onset")
+    silent = numbered.join(over.select("loop_id", "onset").distinct(), ["loop_id", "onset"], "left_anti").select("loop_id", "onset")
     there = own.select("loop_id", F.col("start_tick").alias("onset"), "note_ord", "pitch", "length").join(silent, ["loop_id", "onset"], "left_semi")
     return over.unionByName(there)
 
 
-def bass_line(notes: DataFrame, bin_ticks: int = BIN) -> DataFrame:
+def bass_line(notes: DataFrame) -> DataFrame:
     """Long rows of the statistic bass_line: at each onset the lowest sounding note (first of equals) counts with its length."""
-    low = sounding(notes, bin_ticks).groupBy("loop_id", "onset").agg(F.min(F.struct("pitch", "note_ord", "length")).alias("n"))
+    low = sounding(notes).groupBy("loop_id", "onset").agg(F.min(F.struct("pitch", "note_ord", "length")).alias("n"))
     sums = low.groupBy("loop_id", (F.col("n.pitch") % 12).cast("int").alias("pc")).agg(F.sum("n.length").cast("double").alias("bass_line"))
     return dense(pitched(notes).select("loop_id").distinct(), sums, ["bass_line"])

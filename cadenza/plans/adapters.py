@@ -132,6 +132,11 @@ class Tables:
         """(loop_id, descriptors): the words of each loop in order."""
         return self.loop_descriptors.groupBy("loop_id").agg(F.array_sort(F.collect_list("descriptor")).alias("descriptors"))
 
+    @cached_property
+    def paths(self) -> DataFrame:
+        """(loop_id, path) of files, without their contents."""
+        return self.loops.select("loop_id", path_of_loop().alias("path"))
+
     @cached_property
     def files(self) -> DataFrame:
         return files_of(self.loops, self.words)
@@ -249,4 +254,8 @@ def files_of(loops: DataFrame, words: DataFrame) -> DataFrame:
     aiff = F.concat(ascii_("FORM"), be(F.octet_length("body") + 4, 4), F.when(i % 5 == 0, ascii_("AIFC")).otherwise(ascii_("AIFF")), F.col("body"))
     content = F.when(F.col("container") == "caf", caf).otherwise(aiff)
     own = own.withColumn("content", F.when(i % 97 == 0, F.substring(content, 1, 11)).otherwise(content))
-    return own.select("loop_id", F.concat(F.lit("/library/"), F.col("pack"), F.lit("/"), F.col("file_name")).alias("path"), "content")
+    return own.select("loop_id", path_of_loop().alias("path"), "content")
+
+
+def path_of_loop() -> Column:
+    return F.concat(F.lit("/library/"), F.col("pack"), F.lit("/"), F.col("file_name"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tags as t, vocabulary as v
@@ -35,7 +37,7 @@ def s3(x: Tables) -> DataFrame:
 
 def _read(x: Tables) -> DataFrame:
     """The files' fields with their loops."""
-    return containers.read_containers(x.files).join(x.files.select("path", "loop_id"), "path")
+    return containers.read_containers(x.files).join(x.paths, "path")
 
 
 @query("s4_chunks", """SELECT l.loop_id, CASE WHEN container = 'caf' THEN
@@ -46,7 +48,7 @@ def _read(x: Tables) -> DataFrame:
   CAST(CASE WHEN container = 'caf' THEN 4 + 4 * (l.loop_id % 50) ELSE 18 END AS BIGINT) AS sound_length
   FROM {loops} l JOIN {faults} f ON l.loop_id = f.loop_id WHERE error_code IS NULL OR error_code = 'not_a_loop'""")
 def s4(x: Tables) -> DataFrame:
-    rows = containers.chunk_rows(containers.read_containers(x.files)).join(x.files.select("path", "loop_id"), "path")
+    rows = containers.chunk_rows(containers.read_containers(x.files)).join(x.paths, "path")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "id"))), lambda c: c["id"]), "|")
     length = F.max(F.when(L("id").isin("data", "COMM"), L("data_length")))
     return rows.groupBy("loop_id").agg(ids.alias("ids"), F.sum(L("has_pad").cast("bigint")).alias("padded"), length.alias("sound_length"))
@@ -97,7 +99,7 @@ def s8(x: Tables) -> DataFrame:
 
 
 def _tags(x: Tables) -> DataFrame:
-    return containers.tags(containers.read_containers(x.files)).join(x.files.select("path", "loop_id"), "path")
+    return containers.tags(containers.read_containers(x.files)).join(x.paths, "path")
 
 
 @query("s9_has_midi", f"SELECT t.loop_id, has_midi FROM ({TAGS}) t JOIN {{faults}} f ON f.loop_id = t.loop_id WHERE error_code IS NULL")
@@ -140,11 +142,14 @@ def s12(x: Tables) -> DataFrame:
 
 
 def out_folder(x: Tables, name: str) -> str:
-    """A new folder where driver and executors both write: below the cluster's shared folder, or a temporary one in tests."""
+    """A new folder where driver and executors both write: below the cluster's shared folder, or a temporary one on a single machine."""
     import tempfile
     import uuid
 
-    shared = x.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    shared = x.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", x.spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or tempfile.mkdtemp(prefix="spark-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

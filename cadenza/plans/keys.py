@@ -224,14 +224,14 @@ F2 = """WITH s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(6
   e AS (SELECT k, least(greatest(32.7032 * pow(2, (k - 0.5) / 36) / 32, 0), 33) AS pos FROM (SELECT range AS k FROM range(253)) r),
   v AS (SELECT a.vec_id, e.k, a.t * (1 - (pos - floor(pos))) + b.t * (pos - floor(pos)) AS t FROM e JOIN c a ON a.i = floor(pos) JOIN c b ON b.i = least(floor(pos) + 1, 33) AND b.vec_id = a.vec_id),
   m AS (SELECT vec_id, k, sqrt(greatest(lead(t) OVER (PARTITION BY vec_id ORDER BY k) - t, 0)) AS mag FROM v)
-  SELECT vec_id AS loop_id, CAST(k AS BIGINT) AS band, round(mag, 5) + 0.0 AS mag FROM m WHERE k < 252 AND k % 12 = 0"""
+  SELECT vec_id AS loop_id, CAST(k AS BIGINT) AS band, round(mag, 5) + 0.0 AS mag FROM m WHERE k < 252"""
 
 
 @query("f2_spectrogram", F2)
 def f2(x: Tables) -> DataFrame:
     signals = x.embeddings.select(L("vec_id").alias("loop_id"), L("embedding").alias("samples"))
     frames = audio.spectrogram(signals, frame=64, hop=32, rate=F2_RATE, precision="double")
-    return frames.select("loop_id", F.posexplode("bands").alias("band", "mag")).where("band % 12 = 0").select("loop_id", L("band").cast("bigint").alias("band"), (F.round("mag", 5) + 0.0).alias("mag"))
+    return frames.select("loop_id", F.posexplode("bands").alias("band", "mag")).select("loop_id", L("band").cast("bigint").alias("band"), (F.round("mag", 5) + 0.0).alias("mag"))
 
 
 #: Frames of 32 values, 16 apart: three of each signal; all bands.
@@ -296,7 +296,7 @@ FOLD = SEMI + """, fo AS (SELECT loop_id, frame_ix, m % 12 AS pc, sum(CASE WHEN
 
 @query("f5_chroma", FOLD + " SELECT loop_id, frame_ix, CAST(pc AS BIGINT) AS pc, round(rm, 6) AS mix, round(rb, 6) AS bass FROM nn")
 def f5(x: Tables) -> DataFrame:
-    own = audio.frame_features(audio.peak_and_harmonic(x.frames))
+    own = audio.frame_features(x.frames)
     rows = own.select("loop_id", "frame_ix", F.posexplode(F.arrays_zip("raw_mix", "raw_bass")).alias("pc", "v"))
     return rows.select("loop_id", "frame_ix", L("pc").cast("bigint").alias("pc"), F.round("v.raw_mix", 6).alias("mix"), F.round("v.raw_bass", 6).alias("bass"))
 
@@ -380,11 +380,19 @@ def f15(x: Tables) -> DataFrame:
     return _descriptors(x, "chord_bass_M", "chord_bass_m")
 
 
-@query("f16_assembled", "SELECT loop_id, CAST(36 AS BIGINT) AS features, CAST(432 AS BIGINT) AS values_, CAST(432 AS BIGINT) AS vector FROM {frames_long} f GROUP BY loop_id")
+#: Descriptors whose places and values in the assembled vector are compared: SQL expressions over a frame's pitch class.
+PLACED = {
+    "raw_mix": "avg(rm)", "harm_mix": "avg(hm)", "peak_mix": "avg(pm)", "raw_bass": "avg(rb)", "harm_bass": "avg(hb)", "peak_bass": "avg(pb)", "raw_mid": "avg(rd)", "maxchroma": "max(rm)",
+    "first_mix": "avg(CASE WHEN frame_ix = 0 THEN rm END)", "sqrtmix": "avg(sqrt(rm))", "bass_first": "avg(CASE WHEN frame_ix < 2 THEN rb END)", "mid_first": "avg(CASE WHEN frame_ix < 2 THEN rd END)",
+}
+
+
+@query("f16_assembled", FOLD + ", pl AS (" + " UNION ALL ".join(f"SELECT loop_id, CAST({audio.NAMES.index(n) * 12} + pc AS BIGINT) AS place, {v} AS v FROM nn GROUP BY loop_id, pc" for n, v in PLACED.items())
+  + ") SELECT loop_id, place, round(v, 5) + 0.0 AS value, CAST(432 AS BIGINT) AS size FROM pl")
 def f16(x: Tables) -> DataFrame:
-    wide = audio.descriptors(x.frames)
-    rows = audio.as_rows(wide).where("value is not null").groupBy("loop_id").agg(F.count_distinct("feature").alias("features"), F.count("*").alias("values_"))
-    return rows.join(audio.as_vector(wide).select("loop_id", F.size("values").cast("bigint").alias("vector")), "loop_id")
+    values = audio.as_vector(audio.descriptors(x.frames)).select("loop_id", F.size("values").cast("bigint").alias("size"), F.posexplode("values").alias("place", "value"))
+    wanted = [audio.NAMES.index(n) for n in PLACED]
+    return values.where(F.floor(L("place") / 12).isin(wanted)).select("loop_id", L("place").cast("bigint").alias("place"), (F.round("value", 5) + 0.0).alias("value"), "size")
 
 
 def synthetic_networks(features: int, hidden: int = 3, count: int = 2) -> scoring.Networks:
@@ -417,8 +425,16 @@ def m5(x: Tables) -> DataFrame:
     return scores.select("loop_id", L("key_ix").cast("bigint").alias("key_ix"), (F.round("logp", 5) + 0.0).alias("logp"))
 
 
-@query("m6_network_file", "SELECT vec_id % 50 AS loop_id, CAST(24 AS BIGINT) AS keys, 1.0::DOUBLE AS total FROM embeddings GROUP BY 1")
+@query("m6_network_file", NETWORK.replace("round(avg(p), 5)", "round(avg(p), 3)"))
 def m6(x: Tables) -> DataFrame:
+    """m5 with networks that went through the bytes of a file, which holds single precision."""
+    networks = scoring.Networks.parse(synthetic_networks(len(FEATURES)).serialised())
+    return scoring.network_scores(_statistic_vectors(x), networks).select("loop_id", L("key_ix").cast("bigint").alias("key_ix"), (F.round("logp", 3) + 0.0).alias("logp"))
+
+
+@query("m6_network_keys", "SELECT vec_id % 50 AS loop_id, CAST(24 AS BIGINT) AS keys, 1.0::DOUBLE AS total FROM embeddings GROUP BY 1")
+def m6_keys(x: Tables) -> DataFrame:
+    """A network on the audio descriptors gives 24 probabilities that sum to one."""
     networks = scoring.Networks.parse(synthetic_networks(36, count=1).serialised())
     scores = scoring.network_scores(audio.as_vector(audio.descriptors(x.frames)), networks)
     return scores.groupBy("loop_id").agg(F.count("*").alias("keys"), F.round(F.sum(F.exp("logp")), 1).alias("total"))

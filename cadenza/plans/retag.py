@@ -164,7 +164,7 @@ REWRITTEN = """WITH t AS (SELECT d.*, x.category AS ecat, x.genre AS egenre, x.k
 def s13(x: Tables) -> DataFrame:
     done = rewrite.rewrite(_edited_files(x))
     again = containers.tags(containers.read_containers(done.where("error_code is null").select("path", L("new_content").alias("content"))))
-    out = done.select("path", L("error_code").alias("failed")).join(again.drop("error_code"), "path", "left").join(x.files.select("path", "loop_id"), "path")
+    out = done.select("path", L("error_code").alias("failed")).join(again.drop("error_code"), "path", "left").join(x.paths, "path")
     return out.select("loop_id", L("failed").alias("error_code"), "category", "genre", "key", "mode", F.coalesce("beat_count", F.lit(0)).cast("bigint").alias("beat_count"))
 
 
@@ -177,9 +177,11 @@ def _edited_files(x: Tables) -> DataFrame:
 
 @query("e10_outcome", REWRITTEN + """SELECT loop_id, CASE WHEN ecat IS NULL AND egenre IS NULL AND ekey IS NULL AND emode IS NULL AND NOT conv THEN 'no-op' WHEN error IS NOT NULL THEN concat('failed: ', error) ELSE 'saved' END AS outcome FROM s""")
 def e10(x: Tables) -> DataFrame:
-    own = x.edits.join(x.faults, "loop_id").join(x.loops.select("loop_id", "container"), "loop_id")
+    """Errors are those of rewriting the files; an edit that needs basc has failed there if there was none."""
+    done = rewrite.rewrite(_edited_files(x)).select("path", "error_code").join(x.paths, "path")
+    own = x.edits.join(done, "loop_id").join(x.loops.select("loop_id", "container"), "loop_id")
     edit = {"category": L("category"), "genre": L("genre"), "key": L("key_"), "mode": L("mode_"), "one_shot": L("convert_to_one_shot")}
-    return own.select("loop_id", e.outcome(L("container"), L("loop_id") % 7 != 0, L("error_code"), edit).alias("outcome"))
+    return own.select("loop_id", e.outcome(L("container"), F.lit(True), L("error_code"), edit).alias("outcome"))
 
 
 @query("e11_cancel", f"SELECT x.loop_id, x.category FROM {{edits}} x WHERE loop_id NOT IN (SELECT loop_id FROM ({CHOSEN}) c)")
@@ -187,10 +189,10 @@ def e11(x: Tables) -> DataFrame:
     return e.cancel(x.edits, _chosen(x), "loop_id").select("loop_id", "category")
 
 
-@query("w6_catalogue_order", """WITH k AS (SELECT loop_id, file_name, container, lower(regexp_extract(file_name, '^([^0-9]*)', 1)) AS a, CAST(regexp_extract(file_name, '([0-9]+)\\.', 1) AS BIGINT) AS n, CASE WHEN beat_count > 0 THEN least(greatest(round(beat_count * 60 / (n_frames / sample_rate)), 0), 999) ELSE 0 END AS bpm FROM {loops} l)
+@query("w6_catalogue_page", """WITH k AS (SELECT loop_id, file_name, container, lower(regexp_extract(file_name, '^([^0-9]*)', 1)) AS a, CAST(regexp_extract(file_name, '([0-9]+)\\.', 1) AS BIGINT) AS n, CASE WHEN beat_count > 0 THEN least(greatest(round(beat_count * 60 / (n_frames / sample_rate)), 0), 999) ELSE 0 END AS bpm FROM {loops} l)
   SELECT 'name' AS by_, loop_id FROM (SELECT * FROM k ORDER BY a, n, file_name LIMIT 100) UNION ALL SELECT 'type', loop_id FROM (SELECT * FROM k ORDER BY container, a, n, file_name LIMIT 100)
   UNION ALL SELECT 'bpm', loop_id FROM (SELECT * FROM k ORDER BY bpm DESC, a DESC, n DESC, file_name DESC LIMIT 100)""")
-def w6(x: Tables) -> DataFrame:
+def w6_page(x: Tables) -> DataFrame:
     """The first page of 100 in three orders; a page is a top-k, so that no task sorts the whole catalogue."""
     from ..functions import tags as t
     from ..operators import ranking
@@ -203,12 +205,12 @@ def w6(x: Tables) -> DataFrame:
 PLACE = "row_number() OVER (ORDER BY {}) - 1 AS place, loop_id FROM k"
 
 
-@query("w6_catalogue_places", """WITH k AS (SELECT l.loop_id, file_name, container, lower(regexp_extract(file_name, '^([^0-9]*)', 1)) AS a, CAST(regexp_extract(file_name, '([0-9]+)\\.', 1) AS BIGINT) AS n, CASE WHEN beat_count > 0 THEN least(greatest(round(beat_count * 60 / (n_frames / sample_rate)), 0), 999) ELSE 0 END AS bpm,
+@query("w6_catalogue_order", """WITH k AS (SELECT l.loop_id, file_name, container, lower(regexp_extract(file_name, '^([^0-9]*)', 1)) AS a, CAST(regexp_extract(file_name, '([0-9]+)\\.', 1) AS BIGINT) AS n, CASE WHEN beat_count > 0 THEN least(greatest(round(beat_count * 60 / (n_frames / sample_rate)), 0), 999) ELSE 0 END AS bpm,
     CASE WHEN l.loop_id % 3 <> 2 THEN 0 ELSE 1 END AS no_midi, CASE WHEN x.loop_id IS NULL THEN 0 ELSE 1 END AS changed FROM {loops} l LEFT JOIN {edits} x ON x.loop_id = l.loop_id)
   SELECT 'name' AS by_, """ + PLACE.format("a, n, file_name") + " UNION ALL SELECT 'type', " + PLACE.format("container, a, n, file_name") + " UNION ALL SELECT 'midi', " + PLACE.format("no_midi, a, n, file_name")
   + " UNION ALL SELECT 'bpm', " + PLACE.format("bpm DESC, a DESC, n DESC, file_name DESC") + " UNION ALL SELECT 'changes', " + PLACE.format("changed DESC, a DESC, n DESC, file_name DESC"))
-def w6_places(x: Tables) -> DataFrame:
-    """Every loop with its place in each of the five orders; w6_catalogue_order is their first page."""
+def w6(x: Tables) -> DataFrame:
+    """Every loop with its place in each of the five orders."""
     from ..functions import tags as t
     from ..operators import ranking
 

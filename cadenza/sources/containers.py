@@ -197,9 +197,18 @@ def decode(b: bytes, compat: bool = False) -> dict:
 COLUMNS = ("path", "container", "form_type", "error_code", "error_detail", "chunks", "pairs", "cate", "basc", "sample_rate", "valid_frames", "frame_bytes", "audio_bytes", "smf")
 
 
+#: Bytes of an Arrow batch of file contents, and the setting's default.
+BATCH_BYTES, UNBOUNDED = "67108864", "-1"
+
+
 def read_containers(files: DataFrame, compat: bool = False) -> DataFrame:
-    """One row per file (path, content) with the fields of SCHEMA. Null content is unrecognised."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    """One row per file (path, content) with the fields of SCHEMA. Null content is unrecognised.
+
+    Where the session sets no bound on the bytes of Arrow batches, one is set, so that contents of many files fit a worker.
+    """
+    spark, key = files.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == UNBOUNDED:
+        spark.conf.set(key, BATCH_BYTES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

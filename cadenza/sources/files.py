@@ -12,16 +12,25 @@ SCHEMA = "path string, modificationTime timestamp, length bigint, content binary
 def scan(spark: SparkSession, *roots: str) -> DataFrame:
     """All loop files below the roots, each once.
 
-    Spark itself leaves out files and folders whose names start with _ or a dot. Only overlapping roots cost a shuffle.
+    Hidden files and folders below a root are left out; the root itself may lie in a hidden folder. Spark itself leaves out files and folders whose names start with _ or a dot. Only overlapping roots cost a shuffle.
     """
-    read = lambda root: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    def read(root: str) -> DataFrame:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        return found.where(is_loop_path(F.col("path"), _depth(spark, root)))
+
     out = read(roots[0])
     for root in roots[1:]:
         out = out.unionByName(read(root))
-    out = out.where(is_loop_path(F.col("path")))
     return once(out) if len(roots) > 1 else out
 
 
+def _depth(spark: SparkSession, root: str) -> int:
+    """Number of parts, between slashes, of the whole path of a root, which may hold wildcards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return len(whole.rstrip("/").split("/"))
+
+
 def once(files: DataFrame) -> DataFrame:
     """Each path once."""
     return files.dropDuplicates(["path"])

@@ -22,17 +22,19 @@ class _Bytes:
         return x
 
     def number(self) -> int:
-        """Seven bits a byte, highest first; the last byte has the top bit clear."""
+        """Seven bits a byte, highest first; the last byte has the top bit clear. Of numbers beyond 63 bits nothing is read."""
         value = 0
         while True:
             x = self.one()
             value = value << 7 | x & 0x7F
+            if value >> 63:
+                raise IndexError
             if x < 0x80:
                 return value
 
 
 def events(b: bytes) -> list[tuple] | None:
-    """(track, seq, delta, kind, channel, pitch) of all events; None if any read goes past the end or data comes before a status.
+    """(track, seq, delta, kind, channel, pitch) of all events; None if any read goes past the end, a number has over 63 bits or data comes before a status.
 
     Any status byte replaces the running status. An unknown system status ends its track, a foreign chunk header ends the file.
     """

@@ -4,6 +4,39 @@ import numpy as np
 import pytest
 
 from cadenza.operators import audio, midi, scoring
+from cadenza.sources import smf
+
+
+# Published descriptors of the four chords below, and a Standard MIDI File with its statistics.
+DESCRIPTORS = {
+    "raw_mix": [0.2391, 0.0214, 0.0383, 0.0066, 0.1017, 0.1619, 0.0264, 0.1736, 0.0148, 0.1661, 0.0064, 0.0436],
+    "harm_mix": [0.2519, 0.0145, 0.0530, 0.0103, 0.0768, 0.1956, 0.0159, 0.1670, 0.0126, 0.1645, 0.0078, 0.0301],
+    "peak_mix": [0.2570, 0.0127, 0.0316, 0.0000, 0.1067, 0.1761, 0.0163, 0.1803, 0.0040, 0.1750, 0.0002, 0.0401],
+    "raw_bass": [0.1899, 0.0386, 0.0082, 0.0078, 0.0129, 0.1968, 0.0346, 0.1703, 0.0191, 0.2663, 0.0096, 0.0460],
+    "lownote": [0.2727, 0.0000, 0.0000, 0.0000, 0.0000, 0.3636, 0.0000, 0.1818, 0.0000, 0.1818, 0.0000, 0.0000],
+    "salw_mix": [0.2471, 0.0190, 0.0406, 0.0039, 0.0968, 0.1621, 0.0203, 0.1935, 0.0112, 0.1535, 0.0041, 0.0481],
+    "bass_loud": [0.1159, 0.0576, 0.0282, 0.0280, 0.0451, 0.2262, 0.0830, 0.1106, 0.0481, 0.1919, 0.0288, 0.0364],
+    "maxchroma": [0.6118, 0.0854, 0.1521, 0.0308, 0.2212, 0.6152, 0.0905, 0.6329, 0.0512, 0.4963, 0.0280, 0.1901],
+    "chordM_mix": [0.1272, 0.0151, 0.0068, 0.0112, 0.0023, 0.2184, 0.0009, 0.0952, 0.0134, 0.0226, 0.0159, 0.0013],
+    "chordm_harm": [0.0574, 0.0017, 0.0864, 0.0009, 0.0400, 0.0712, 0.0081, 0.0312, 0.0011, 0.1675, 0.0190, 0.0019],
+    "mid_last": [0.0015, 0.0000, 0.5967, 0.0002, 0.0000, 0.0000, 0.0000, 0.2295, 0.0000, 0.0000, 0.0000, 0.1721],
+    "chord_bass_M": [0.1668, 0.0040, 0.0019, 0.0011, 0.0021, 0.1609, 0.0034, 0.1455, 0.0034, 0.1528, 0.0016, 0.0083],
+}
+SMF = (
+    "4d546864000000060000000101e04d54726b0000009800902d64003950009924640a903c500a405050892400822c903900003c0000400046802d000a"
+    "902964003550009924640a9039500a3c5050892400822c903500003900003c00468029000a902b64003750009924640a903b500a3e5050892400822c"
+    "903700003b00003e0046802b000a902d64003950009924640a903c500a405050892400822c903900003c0000400046802d0000ff2f00"
+)
+STATISTICS = ("duration", "count", "bass", "first", "last", "lowest", "bass_line")
+OF_SMF = [
+    [1160, 0, 380, 0, 760, 870, 0, 870, 0, 2130, 0, 390],
+    [3, 0, 1, 0, 2, 2, 0, 2, 0, 5, 0, 1],
+    [0, 0, 0, 0, 0, 470, 0, 470, 0, 940, 0, 0],
+    [0, 0, 0, 0, 0, 0, 0, 0, 0, 2, 0, 0],
+    [0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0],
+    [0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0],
+    [0, 0, 0, 0, 0, 1410, 0, 1410, 0, 2820, 0, 0],
+]
 
 
 def chords_loop():
@@ -42,6 +75,32 @@ def test_descriptors(loop):
     assert int(wide[audio.NAMES.index("chordM_first_mix")].argmax()) == 0  # it begins with C major
 
 
+def test_descriptors_equal_published_values(loop):
+    wide = audio.descriptors(audio.spectrogram(loop)).first()
+    for name, want in DESCRIPTORS.items():
+        assert wide[audio.column_of(name)] == pytest.approx(want, abs=2e-4)
+
+
+def test_statistics_of_a_midi_file_equal_published_values(spark):
+    events = smf.midi_events(spark.createDataFrame([(1, bytes.fromhex(SMF))], "loop_id long, smf binary"))
+    notes = midi.paired_notes(events)
+    rows = midi.statistics(notes).unionByName(midi.bass_line(notes)).collect()
+    got = {(r.feature, r.pc): r.value for r in rows}
+    assert {(n, pc): v for n, vs in zip(STATISTICS, OF_SMF, strict=True) for pc, v in enumerate(vs)} == got
+
+
+def test_frames_are_computed_once(loop):
+    plan = audio.descriptors(audio.spectrogram(loop))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("MapInPandas") == 1
+
+
+def test_a_note_of_any_length_and_late_ends(spark):
+    notes = [(1, 1, 0, 1 << 60, 40, 0), (1, 2, 480, 960, 50, 0), (1, 3, 960, 960, 60, 0), (1, 4, 960, 1000, 62, 0), (2, 1, 5, 5, 40, 0)]
+    df = spark.createDataFrame(notes, "loop_id long, note_ord long, start_tick long, end_tick long, pitch long, channel long")
+    want = {(l, o, n) for l in (1, 2) for o in {x[2] for x in notes if x[0] == l} for (m, n, a, b, *_) in notes if m == l and a <= o < b} | {(2, 5, 1)}
+    assert {(r.loop_id, r.onset, r.note_ord) for r in midi.sounding(df).collect()} == want
+
+
 def test_silence_is_rejected(spark):
     rows = spark.createDataFrame([(1, [0.0] * 100), (2, []), (3, None), (4, [0.5])], "loop_id long, samples array<float>")
     assert [r.ok for r in rows.select("loop_id", audio.is_audible("samples").alias("ok")).orderBy("loop_id").collect()] == [False, False, False, True]
@@ -60,6 +119,6 @@ def test_networks_round_trip():
 
 def test_bass_line_takes_notes_of_no_length_only_in_silence(spark):
     notes = spark.createDataFrame([(1, 1, 0, 100, 60, 0), (1, 2, 50, 50, 40, 0), (1, 3, 200, 200, 47, 0), (1, 4, 0, 500, 30, 9)], "loop_id long, note_ord long, start_tick long, end_tick long, pitch long, channel long")
-    got = {(r.onset, r.note_ord) for r in midi.sounding(notes, 64).collect()}
+    got = {(r.onset, r.note_ord) for r in midi.sounding(notes).collect()}
     assert got == {(0, 1), (50, 1), (200, 3)}
     assert midi.statistics(notes.where("channel = 9")).count() == 0

@@ -4,6 +4,10 @@ import struct
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from cadenza.functions.tags import natural_key
+from cadenza.operators.midi import paired_notes
 from cadenza.sources import containers as c, files, rewrite, smf
 
 PAIRS = [("category", "Drums"), ("key signature", "Bb"), ("category", "Bass"), ("beat count", "8")]
@@ -133,6 +137,28 @@ def test_scan_skips_hidden_and_other_files(spark, tmp_path):
     assert sorted(r.path.rsplit("/", 1)[1] for r in got.select("path").collect()) == ["a.CAF", "b.aiff", "d.aif"]
 
 
+def test_a_library_may_lie_in_a_hidden_folder(spark, tmp_path):
+    for name in (".data/lib/a.caf", ".data/lib/sub/b.aif", ".data/lib/.trash/c.caf", ".data/lib/.d.caf"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"x")
+    for root in (f"{tmp_path}/.data/lib", f"file://{tmp_path}/.data/lib/", f"{tmp_path}/.data/*"):
+        assert sorted(r.path.rsplit("/", 1)[1] for r in files.scan(spark, root).select("path").collect()) == ["a.caf", "b.aif"]
+
+
+def test_reading_leaves_the_session_as_it_is(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    c.read_containers(spark.createDataFrame([("a.caf", b"x")], "path string, content binary")).count()
+    assert spark.conf.get(key) == before
+
+
+def test_digit_runs_of_any_length_sort_by_value(spark):
+    names = ["a9", "a010", "a10b", "a" + "9" * 20, "a" + "9" * 21, "a1" + "0" * 21, "B1", "b02"]
+    rows = spark.createDataFrame([(n,) for n in reversed(names)], "name string").orderBy(natural_key(F.col("name")), "name").collect()
+    assert [r.name for r in rows] == names
+
+
 def midi_file(track, tracks=1):
     return b"MThd" + struct.pack(">IHHH", 6, 0, tracks, 480) + b"MTrk" + struct.pack(">I", len(track)) + track
 
@@ -143,11 +169,20 @@ def test_running_status_and_velocity_zero():
     assert [(e[2], e[3], e[5]) for e in got] == [(0, "on", 60), (480, "off", 60), (10, "other", None), (0, "on", 62), (5, "off", 62), (0, "other", None)]
 
 
-@pytest.mark.parametrize("b", [b"MThd", midi_file(bytes([0, 60, 64])), midi_file(bytes([0, 0x90, 60])), midi_file(bytes([0x81]))])
+@pytest.mark.parametrize("b", [b"MThd", midi_file(bytes([0, 60, 64])), midi_file(bytes([0, 0x90, 60])), midi_file(bytes([0x81])), midi_file(bytes([0x83] * 10 + [0, 0x90, 60, 64]))])
 def test_malformed_midi_has_no_events(b):
     assert smf.events(b) is None
 
 
+def test_one_malformed_file_does_not_end_the_job(spark):
+    good = midi_file(bytes([0, 0x90, 60, 64, 5, 0x80, 60, 0]))
+    late = midi_file(bytes([0xFF] * 8 + [0x7F, 0x90, 60, 64] + [0xFF] * 8 + [0x7F, 0x80, 60, 0]))  # each delta fits, their sum does not
+    rows = [(1, midi_file(bytes([0xFF] * 12 + [0, 0x90, 60, 64]))), (2, good), (3, None), (4, late)]
+    events = smf.midi_events(spark.createDataFrame(rows, "loop_id long, smf binary"))
+    assert sorted({r.loop_id for r in events.collect()}) == [2, 4]
+    assert [r.loop_id for r in paired_notes(events).collect()] == [2]
+
+
 def test_unknown_status_ends_the_track():
     assert smf.events(midi_file(bytes([0, 0x90, 60, 64, 0, 0xF1, 0, 0x80, 60, 0]))) == [(0, 0, 0, "on", 0, 60)]
 
