@@ -396,19 +396,19 @@ def f16(x: Tables) -> DataFrame:
 
 
 def synthetic_networks(features: int, hidden: int = 3, count: int = 2) -> scoring.Networks:
-    """Weights by formula, as the trained ones are not public."""
+    """Weights by formula, as the trained ones are not public; all of them are exact in single precision."""
     nets = []
     for k in range(count):
         i = np.arange(features * 12 * hidden)
-        w1 = ((i * (37 + 16 * k) % 101 - 50) / 100.0).reshape(features * 12, hidden)
-        v = ((np.arange(hidden * 2) * (13 + k) % 11 - 5) / 10.0).reshape(hidden, 2)
-        nets.append((w1, np.arange(hidden) * 0.1 - 0.1, v, np.array([0.05, -0.05])))
-    return scoring.Networks(0.1 + 0.01 * np.arange(features), nets)
+        w1 = ((i * (37 + 16 * k) % 101 - 50) / 128.0).reshape(features * 12, hidden)
+        v = ((np.arange(hidden * 2) * (13 + k) % 11 - 5) / 8.0).reshape(hidden, 2)
+        nets.append((w1, np.arange(hidden) * 0.125 - 0.125, v, np.array([0.0625, -0.0625])))
+    return scoring.Networks(0.125 + 0.015625 * np.arange(features), nets)
 
 
-NETWORK = STATS + """, x AS (SELECT loop_id, fx, pc, (value - avg(value) OVER (PARTITION BY loop_id, fx)) / 1000 / (0.1 + 0.01 * fx) AS v FROM d),
-  h AS (SELECT loop_id, k, tonic, hh, greatest(sum(v * ((((fx * 12 + (pc - tonic + 12) % 12) * 3 + hh) * (37 + 16 * k)) % 101 - 50) / 100.0) + hh * 0.1 - 0.1, 0) AS a FROM x CROSS JOIN (SELECT range AS tonic FROM range(12)) t CROSS JOIN (SELECT range AS hh FROM range(3)) q CROSS JOIN (SELECT range AS k FROM range(2)) ks GROUP BY loop_id, k, tonic, hh),
-  z AS (SELECT loop_id, k, tonic + 12 * m AS key_ix, CASE m WHEN 0 THEN 0.05 ELSE -0.05 END + sum(a * (((hh * 2 + m) * (13 + k)) % 11 - 5) / 10.0) AS z FROM h CROSS JOIN (SELECT range AS m FROM range(2)) ms GROUP BY loop_id, k, tonic, m),
+NETWORK = STATS + """, x AS (SELECT loop_id, fx, pc, (value - avg(value) OVER (PARTITION BY loop_id, fx)) / 1000 / (0.125 + 0.015625 * fx) AS v FROM d),
+  h AS (SELECT loop_id, k, tonic, hh, greatest(sum(v * ((((fx * 12 + (pc - tonic + 12) % 12) * 3 + hh) * (37 + 16 * k)) % 101 - 50) / 128.0) + hh * 0.125 - 0.125, 0) AS a FROM x CROSS JOIN (SELECT range AS tonic FROM range(12)) t CROSS JOIN (SELECT range AS hh FROM range(3)) q CROSS JOIN (SELECT range AS k FROM range(2)) ks GROUP BY loop_id, k, tonic, hh),
+  z AS (SELECT loop_id, k, tonic + 12 * m AS key_ix, CASE m WHEN 0 THEN 0.0625 ELSE -0.0625 END + sum(a * (((hh * 2 + m) * (13 + k)) % 11 - 5) / 8.0) AS z FROM h CROSS JOIN (SELECT range AS m FROM range(2)) ms GROUP BY loop_id, k, tonic, m),
   y AS (SELECT loop_id, k, key_ix, z - max(z) OVER w AS y FROM z WINDOW w AS (PARTITION BY loop_id, k)), p AS (SELECT loop_id, k, key_ix, y - ln(sum(exp(y)) OVER (PARTITION BY loop_id, k)) AS p FROM y)
   SELECT loop_id, CAST(key_ix AS BIGINT) AS key_ix, round(avg(p), 5) + 0.0 AS logp FROM p GROUP BY ALL"""
 
@@ -425,11 +425,11 @@ def m5(x: Tables) -> DataFrame:
     return scores.select("loop_id", L("key_ix").cast("bigint").alias("key_ix"), (F.round("logp", 5) + 0.0).alias("logp"))
 
 
-@query("m6_network_file", NETWORK.replace("round(avg(p), 5)", "round(avg(p), 3)"))
+@query("m6_network_file", NETWORK)
 def m6(x: Tables) -> DataFrame:
-    """m5 with networks that went through the bytes of a file, which holds single precision."""
-    networks = scoring.Networks.parse(synthetic_networks(len(FEATURES)).serialised())
-    return scoring.network_scores(_statistic_vectors(x), networks).select("loop_id", L("key_ix").cast("bigint").alias("key_ix"), (F.round("logp", 3) + 0.0).alias("logp"))
+    """m5 with networks that went through the bytes of a file."""
+    networks = scoring.Networks.parse(synthetic_networks(len(FEATURES)).serialised(), len(FEATURES))
+    return scoring.network_scores(_statistic_vectors(x), networks).select("loop_id", L("key_ix").cast("bigint").alias("key_ix"), (F.round("logp", 5) + 0.0).alias("logp"))
 
 
 @query("m6_network_keys", "SELECT vec_id % 50 AS loop_id, CAST(24 AS BIGINT) AS keys, 1.0::DOUBLE AS total FROM embeddings GROUP BY 1")
