@@ -69,15 +69,15 @@ FROM (SELECT l_partkey AS loop_id, l_orderkey AS ok, l_linenumber AS ln, l_suppk
 #: DuckDB only; Spark keeps the bands of a frame in an array.
 FRAMES_LONG = """
 SELECT loop_id, frame_ix, n_frames, band, abs(CAST(embedding[CAST((band * 5) % 64 + 1 AS INT)] AS DOUBLE)) AS mag
-FROM (SELECT vec_id % 50 AS loop_id, embedding,
-             row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) - 1 AS frame_ix,
-             count(*) OVER (PARTITION BY vec_id % 50) AS n_frames
+FROM (SELECT CAST(floor(vec_id / 10) AS BIGINT) AS loop_id, embedding,
+             row_number() OVER (PARTITION BY CAST(floor(vec_id / 10) AS BIGINT) ORDER BY vec_id) - 1 AS frame_ix,
+             count(*) OVER (PARTITION BY CAST(floor(vec_id / 10) AS BIGINT)) AS n_frames
       FROM {embeddings}) f CROSS JOIN (SELECT range AS band FROM range(252)) b
 """
 
 FRAMES = """
-SELECT vec_id % 50 AS loop_id, CAST(row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) - 1 AS BIGINT) AS frame_ix,
-       CAST(count(*) OVER (PARTITION BY vec_id % 50) AS BIGINT) AS n_frames,
+SELECT CAST(floor(vec_id / 10) AS BIGINT) AS loop_id, CAST(row_number() OVER (PARTITION BY CAST(floor(vec_id / 10) AS BIGINT) ORDER BY vec_id) - 1 AS BIGINT) AS frame_ix,
+       CAST(count(*) OVER (PARTITION BY CAST(floor(vec_id / 10) AS BIGINT)) AS BIGINT) AS n_frames,
        transform(sequence(0, 251), b -> abs(CAST(element_at(embedding, (b * 5) % 64 + 1) AS DOUBLE))) AS bands
 FROM {embeddings}
 """

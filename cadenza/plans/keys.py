@@ -432,7 +432,7 @@ def m6(x: Tables) -> DataFrame:
     return scoring.network_scores(_statistic_vectors(x), networks).select("loop_id", L("key_ix").cast("bigint").alias("key_ix"), (F.round("logp", 5) + 0.0).alias("logp"))
 
 
-@query("m6_network_keys", "SELECT vec_id % 50 AS loop_id, CAST(24 AS BIGINT) AS keys, 1.0::DOUBLE AS total FROM embeddings GROUP BY 1")
+@query("m6_network_keys", "SELECT CAST(floor(vec_id / 10) AS BIGINT) AS loop_id, CAST(24 AS BIGINT) AS keys, 1.0::DOUBLE AS total FROM embeddings GROUP BY 1")
 def m6_keys(x: Tables) -> DataFrame:
     """A network on the audio descriptors gives 24 probabilities that sum to one."""
     networks = scoring.Networks.parse(synthetic_networks(36, count=1).serialised())
