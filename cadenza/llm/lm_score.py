@@ -199,7 +199,10 @@ class Network:
         at, begins = tree.places(target)
         nodes = tree.nodes[at]
         z = np.einsum("ij,ij->i", self.V[nodes], np.repeat(h, tree.at[target + 1] - tree.at[target], axis=0)) + self.c[nodes]
-        return np.add.reduceat(-np.logaddexp(0, np.where(tree.bits[at] > 0, -z, z)), begins) if len(target) else np.zeros(0)
+        if not len(target):
+            return np.zeros(0)
+        p = 1 / (1 + np.exp(np.clip(np.where(tree.bits[at] > 0, -z, z), -30, 30)).astype(np.float64))
+        return np.add.reduceat(np.log(p), begins)
 
     def learn(self, tree: Tree, context: np.ndarray, target: np.ndarray, squares: Network) -> None:
         """One mini-batch of AdaGrad on the sum of negative log probabilities."""

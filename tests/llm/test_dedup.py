@@ -90,7 +90,7 @@ def popular_parts(seed):
     return [*enumerate(out)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_near_dup_groups_of_popular_parts(spark, monkeypatch, seed):
     pivots = near_dup._to_pivots
     monkeypatch.setattr(near_dup, "SHORT", 2)
@@ -102,6 +102,23 @@ def test_near_dup_groups_of_popular_parts(spark, monkeypatch, seed):
     assert sorted(tuple(r) for r in got.collect()) == brute_groups(rows)
 
 
+def test_near_dup_many_long_lists_at_production_parameters(spark):
+    """25 passages in 30 documents each give over 2,000 lists of more than SHORT members."""
+    own = random.Random(17)
+    words = lambda n: [f"v{own.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for _ in range(25):
+        passage = words(130)
+        for k in range(30):
+            cut = own.choice([0, 0, 0, own.randrange(40)])
+            rows.append(passage[cut:] + words(own.choice([0, 5, 12, 20, 28, 33, 40, 60, 120])))
+            if k % 10 == 0:
+                rows.append(rows[-1][: own.randrange(90, 130)])
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    got = near_dup.near_dup_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == brute_groups(rows)
+
+
 def test_near_dup_satellites(spark):
     """Equal popular words: the smallest document is linked with those close in size, another group's document with a larger one."""
     items = spark.createDataFrame([(1, 10, [*range(10)]), (2, 12, [*range(12)]), (3, 14, [*range(10), 90, 91, 92, 93])], "node long, size long, set array<long>")
