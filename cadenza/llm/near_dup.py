@@ -371,28 +371,28 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, own: Scratch
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
     places = active.select("node", F.col("row.id").alias("rid"), F.col("row.content").alias("rcontent"))
-    # both sides grow with the documents, so neither is broadcast at any size
-    texts = texts.join(places.hint("merge"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("content") == F.col("rcontent"))).select("node", "text")
-    if repeated:
-        texts = texts.dropDuplicates(["node"])
-    sets = own.keep(_full_sets(texts, size), "sets")
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
-    def links_of(pairs: DataFrame, some: DataFrame) -> DataFrame:
-        return own.keep(_compared(pairs, some).where(SIMILAR).select("a", "b"), "links")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Full sets of some classes. Texts meet no more than the places of these, and no table of all sets is moved again."""
+        at = places.join(nodes.distinct(), "node", "left_semi")
+        # both sides grow with the documents, so neither is broadcast at any size
+        found = texts.join(at.hint("merge"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("content") == F.col("rcontent"))).select("node", "text")
+        return own.keep(_full_sets(found.dropDuplicates(["node"]) if repeated else found, size), "sets")
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    links_of = lambda pairs, sets: own.keep(_compared(pairs, sets).where(SIMILAR).select("a", "b"), "links")
 
     pairs = own.keep(_estimated(_to_pivots(postings, own), active), "pairs")
-    some = own.keep(sets.join(ends(pairs), "node", "left_semi"), "some-sets")
-    labels = own.keep(components(links_of(pairs, some), within=own), "labels")
-    own.drop(some)
+    sets = sets_of(ends(pairs))
+    labels = own.keep(components(links_of(pairs, sets), within=own), "labels")
+    own.drop(sets)
     lists = own.keep(_labelled(postings, labels, own), "several")
     pairs = own.keep(_estimated(_short_pairs(lists.where(F.col("length") <= SHORT)), active), "pairs")
     long_ = own.keep(lists.where(F.col("length") > SHORT).select("node").distinct(), "popular")
-    some = own.keep(sets.join(ends(pairs).unionByName(long_).distinct(), "node", "left_semi"), "some-sets")
-    own.drop(sets)
-    more = links_of(pairs, some)
+    sets = sets_of(ends(pairs).unionByName(long_))
+    more = links_of(pairs, sets)
     if not long_.isEmpty():
-        more = more.unionByName(_hot_links(own.keep(some.join(long_, "node", "left_semi"), "popular-sets"), labels, active, own))
+        more = more.unionByName(_hot_links(own.keep(sets.join(long_, "node", "left_semi"), "popular-sets"), labels, active, own))
     labels = _merged(labels, more, own)
 
     out = members.join(labels, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("group"))
