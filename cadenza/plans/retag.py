@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import vocabulary as v
 from ..operators import edits as e
 from ..sources import containers, rewrite
 from .adapters import Tables, query
