@@ -64,4 +64,33 @@ SELECT page_id, host, path, rule, CASE
     ELSE 'allow' END AS verdict FROM r
 """
 
-ORACLES = {"op3_near_dup": OP3, "op4_exact_dedup": OP4, "op7_url_filter": OP7}
+OP13 = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda x: x <> '') AS w FROM documents
+), f AS (
+  SELECT part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e,
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic FROM w
+), m AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL
+), l AS (
+  SELECT chr(65 + i::INT) AS x, 1 << i::INT AS bit FROM range(5) r(i)
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1 : step - 1]), 0)::BIGINT AS earlier FROM o, range(1, 6) r(step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+    sum(n) FILTER (failed & (earlier | bit) = 0) AS kept, sum(n) FILTER (failed & bit > 0 AND failed & earlier = 0) AS removed, sum(n) FILTER (failed & bit > 0 AND failed & earlier > 0) AS redundant,
+    sum(n) FILTER (failed = bit) AS unique_fails, sum(good) FILTER (failed & bit > 0 AND failed & earlier = 0) AS good_lost, sum(toxic) FILTER (failed & bit > 0 AND failed & earlier = 0) AS toxic_lost
+  FROM m, s GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM r
+"""
+
+ORACLES = {"op3_near_dup": OP3, "op4_exact_dedup": OP4, "op7_url_filter": OP7, "op13_filter_audit": OP13}
