@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, exact_dedup, filter_audit, langid, lm_score, near_dup, ordinal, pii, secrets, url_rules
+from . import bpe, decontaminate, divergence, exact_dedup, filter_audit, langid, lm_score, near_dup, ordinal, pii, secrets, url_rules
 from .common import table
 
 
@@ -102,6 +102,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(pii.find_personal_data(docs), pii.SHAPES)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))

@@ -64,6 +64,40 @@ SELECT page_id, host, path, rule, CASE
     ELSE 'allow' END AS verdict FROM r
 """
 
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 10
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL
+), c AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (
+  SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL
+), grp AS (
+  SELECT g.lang, g.source, coalesce(t.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN totals t USING (lang, source)
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * l.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.n + 2)) // (l.total + 2 * l.v)::HUGEINT AS q
+  FROM grp g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(any_value(x.value), 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  GROUP BY ALL
+), parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
 OP13 = f"""
 WITH w AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
@@ -93,4 +127,4 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
 FROM r
 """
 
-ORACLES = {"op3_near_dup": OP3, "op4_exact_dedup": OP4, "op7_url_filter": OP7, "op13_filter_audit": OP13}
+ORACLES = {"op3_near_dup": OP3, "op4_exact_dedup": OP4, "op7_url_filter": OP7, "op11_source_divergence": OP11, "op13_filter_audit": OP13}
