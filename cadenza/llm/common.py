@@ -71,10 +71,11 @@ class Scratch:
         self.spark, self.folder = spark, new_folder(spark, name)
         self._paths: dict[int, tuple[str, DataFrame]] = {}
 
-    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
         """The rows of df, computed once; the lineage ends there. by: a folder for each value of that column, which has few."""
         path = f"{self.folder}/{len(self._paths)}-{name}"
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        writer = df.write.options(**options)
+        (writer.partitionBy(by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path, out
         return out

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, divergence, exact_dedup, filter_audit, langid, lm_score, near_dup, ordinal, pii, secrets, url_rules
+from . import bpe, decontaminate, divergence, exact_dedup, filter_audit, langid, lm_score, near_dup, ordinal, pii, secrets, url_rules, warc
 from .common import table
 
 
@@ -106,6 +106,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no date: page i is taken as captured i seconds after the start of 2024."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    date = F.concat(F.replace(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id)").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+    return warc.captures(pages, date)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return filter_audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))

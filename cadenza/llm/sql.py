@@ -98,6 +98,21 @@ WITH d AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 10
 """
 
+OP12 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS date FROM pages
+), f AS (
+  SELECT *, CASE WHEN strlen(h) >= 100 AND page_id > min(page_id) OVER (PARTITION BY h) THEN min(page_id) OVER (PARTITION BY h) END AS first,
+    regexp_extract(url, '(?s)^.*?://([^#]*)', 1) AS rest FROM p
+), k AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN
+      array_to_string(list_reverse(string_split(translate(regexp_extract(rest, '^([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.')), ',') || ')'
+      || coalesce(nullif(regexp_extract(rest, '(?s)^[^/?]*(.*)$', 1), ''), '/') ELSE url END AS url_key FROM f
+)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, first AS refers_to,
+  url_key, date, row_number() OVER (ORDER BY url_key, date, page_id) AS place FROM k
+"""
+
 OP13 = f"""
 WITH w AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
@@ -127,4 +142,4 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
 FROM r
 """
 
-ORACLES = {"op3_near_dup": OP3, "op4_exact_dedup": OP4, "op7_url_filter": OP7, "op11_source_divergence": OP11, "op13_filter_audit": OP13}
+ORACLES = {"op3_near_dup": OP3, "op4_exact_dedup": OP4, "op7_url_filter": OP7, "op11_source_divergence": OP11, "op12_warc": OP12, "op13_filter_audit": OP13}
