@@ -195,8 +195,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                         rows = []
             yield _nullable(pd.DataFrame(rows, columns=columns))
 
-    # one archive a row, dealt one by one
-    return archives.select("archive").distinct().repartition("archive").mapInPandas(run, RECORDS)
+    # names are small and archives large: a number of partitions that is given is not made smaller by their size
+    names = archives.select("archive").distinct()
+    return names.repartition(max(1, names.count()), "archive").mapInPandas(run, RECORDS)
 
 
 def _nullable(rows: pd.DataFrame) -> pd.DataFrame:
