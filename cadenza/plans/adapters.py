@@ -6,11 +6,15 @@ The blocks of SQL run unchanged in Spark and DuckDB; {name} stands for a table.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.ranges import write_path
+from .shared import out_folder
+
 LOOPS = """
 SELECT CAST(p.p_partkey AS BIGINT) AS loop_id, p.p_brand AS pack,
        concat(p.p_name, ' ', CAST(p.p_partkey AS STRING), CASE WHEN p.p_partkey % 2 = 0 THEN '.caf' ELSE '.AIF' END) AS file_name,
@@ -142,6 +146,25 @@ class Tables:
         return files_of(self.loops, self.words)
 
 
+def written(files: DataFrame, name: str = "library") -> str:
+    """A new shared folder with a file for each row (path from the root, content); tasks write them, and a repeated task writes the same."""
+    folder = out_folder(files.sparkSession, name)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                write_path(folder + path, bytes(content))
+            yield b[["path"]]
+
+    files.select("path", "content").mapInPandas(run, "path string").count()
+    return folder
+
+
+def path_in(folder: str) -> Column:
+    """The part of path, as Spark lists it, below a folder."""
+    return F.regexp_extract("path", re.escape(folder.rsplit("/", 1)[1]) + "(/.*)$", 1)
+
+
 def duckdb_sql(text: str) -> str:
     """text with the adapters that it names (in braces) as common table expressions before it."""
     order: list[str] = []

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tags as t, vocabulary as v
 from ..operators import edits as e
 from ..sources import containers, files, smf
-from .adapters import Tables, ascii_, be, chunk, query
+from .adapters import Tables, ascii_, be, chunk, path_in, query, written
+from .shared import out_folder, settled
 
 L = F.col
 
@@ -19,7 +18,10 @@ PATHS = """SELECT loop_id, concat('/lib/', CASE WHEN loop_id % 17 = 0 THEN '.cac
 
 @query("s1_scan", f"SELECT loop_id, path FROM ({PATHS}) p WHERE regexp_matches(lower(path), '\\.(caf|aif|aiff)$') AND NOT regexp_matches(path, '(^|/)\\.')")
 def s1(x: Tables) -> DataFrame:
-    return x.sql(PATHS).where(t.is_loop_path(L("path")))
+    """Of a folder that holds files of all these paths, hidden ones and others too, those that are listed."""
+    paths = x.sql(PATHS)
+    root = written(paths.select("path", F.lit(b"x").alias("content")))
+    return settled(files.listing(x.spark, root).select(path_in(root).alias("path")).join(paths, "path").select("loop_id", "path"), "s1", root)
 
 
 @query("s2_once", f"SELECT DISTINCT path FROM ({PATHS}) p")
@@ -40,6 +42,12 @@ def _read(x: Tables) -> DataFrame:
     return containers.read_containers(x.files).join(x.paths, "path")
 
 
+def _library(x: Tables) -> tuple[str, DataFrame]:
+    """A folder with the loops' files, and what is read of them by range."""
+    root = written(x.files)
+    return root, containers.read_by_range(files.listing(x.spark, root)).withColumn("path", path_in(root))
+
+
 @query("s4_chunks", """SELECT l.loop_id, CASE WHEN container = 'caf' THEN
     concat('desc', CASE WHEN l.loop_id % 4 = 0 THEN '|pakt' ELSE '' END, CASE WHEN l.loop_id % 12 = 0 OR l.loop_id % 83 = 0 THEN '|uuid' ELSE '' END, CASE WHEN l.loop_id % 83 <> 0 THEN '|uuid' ELSE '' END,
       CASE WHEN l.loop_id % 3 <> 2 THEN '|midi' ELSE '' END, '|data')
@@ -48,10 +56,11 @@ def _read(x: Tables) -> DataFrame:
   CAST(CASE WHEN container = 'caf' THEN 4 + 4 * (l.loop_id % 50) ELSE 18 END AS BIGINT) AS sound_length
   FROM {loops} l JOIN {faults} f ON l.loop_id = f.loop_id WHERE error_code IS NULL OR error_code = 'not_a_loop'""")
 def s4(x: Tables) -> DataFrame:
-    rows = containers.chunk_rows(containers.read_containers(x.files)).join(x.paths, "path")
+    root, read = _library(x)
+    rows = containers.chunk_rows(read).join(x.paths, "path")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "id"))), lambda c: c["id"]), "|")
     length = F.max(F.when(L("id").isin("data", "COMM"), L("data_length")))
-    return rows.groupBy("loop_id").agg(ids.alias("ids"), F.sum(L("has_pad").cast("bigint")).alias("padded"), length.alias("sound_length"))
+    return settled(rows.groupBy("loop_id").agg(ids.alias("ids"), F.sum(L("has_pad").cast("bigint")).alias("padded"), length.alias("sound_length")), "s4", root)
 
 
 FLAT_TEXT = """CASE WHEN loop_id % 4 = 2 THEN CASE key_ WHEN 'C#' THEN 'Db' WHEN 'D#' THEN 'Eb' WHEN 'F#' THEN 'Gb' WHEN 'G#' THEN 'Ab' WHEN 'A#' THEN 'Bb' ELSE key_ END ELSE key_ END"""
@@ -94,8 +103,9 @@ TAGS = f"""SELECT d.loop_id, d.container, category, subcategory, stored_subcateg
 @query("s8_tags", f"""SELECT t.loop_id, t.container, t.category, t.subcategory, t.stored_subcategory, t.genre, t.key, t.mode, t.beat_count, coalesce(w.words, '') AS words FROM ({TAGS}) t JOIN {{faults}} f ON f.loop_id = t.loop_id
   LEFT JOIN (SELECT loop_id, string_agg(descriptor, ',' ORDER BY descriptor) AS words FROM {{loop_descriptors}} GROUP BY loop_id) w ON w.loop_id = t.loop_id WHERE error_code IS NULL""")
 def s8(x: Tables) -> DataFrame:
-    rows = _tags(x).where("error_code is null")
-    return rows.select("loop_id", "container", "category", "subcategory", "stored_subcategory", "genre", "key", "mode", "beat_count", t.join_descriptors(L("descriptors"), ",").alias("words"))
+    root, read = _library(x)
+    rows = containers.tags(read).where("error_code is null").join(x.paths, "path")
+    return settled(rows.select("loop_id", "container", "category", "subcategory", "stored_subcategory", "genre", "key", "mode", "beat_count", t.join_descriptors(L("descriptors"), ",").alias("words")), "s8", root)
 
 
 def _tags(x: Tables) -> DataFrame:
@@ -134,25 +144,13 @@ def smf_files(events: DataFrame) -> DataFrame:
 
 @query("s12_saved", "SELECT CASE WHEN error_code IS NULL THEN container END AS container, error_code, count(*) AS files FROM {loops} l JOIN {faults} f ON f.loop_id = l.loop_id GROUP BY ALL")
 def s12(x: Tables) -> DataFrame:
-    folder = save(_tags(x), out_folder(x, "catalogue"))
+    folder = save(_tags(x), out_folder(x.spark, "catalogue"))
     read = lambda name: x.spark.read.parquet(f"{folder}/{name}")
     ok = read("tags").select(L("container").cast("string").alias("container"), F.lit(None).cast("string").alias("error_code"))
     bad = read("failures").select(F.lit(None).cast("string").alias("container"), "error_code")
     return ok.unionByName(bad).groupBy("container", "error_code").agg(F.count("*").alias("files"))
 
 
-def out_folder(x: Tables, name: str) -> str:
-    """A new folder where driver and executors both write: below the cluster's shared folder, or a temporary one on a single machine."""
-    import tempfile
-    import uuid
-
-    shared = x.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not re.fullmatch(r"local(\[.*\])?", x.spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    shared = shared or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def save(catalogue: DataFrame, folder: str) -> str:
     """Write the tags, partitioned by container, and the failures."""
     catalogue.where("error_code is null").write.partitionBy("container").parquet(f"{folder}/tags")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import edits as e
-from ..sources import containers, rewrite
-from .adapters import Tables, query
+from ..sources import containers, files, rewrite
+from .adapters import Tables, path_in, query, written
+from .shared import settled
 
 L = F.col
 
@@ -161,17 +162,25 @@ REWRITTEN = """WITH t AS (SELECT d.*, x.category AS ecat, x.genre AS egenre, x.k
     ELSE CASE coalesce(CASE lower(emode) WHEN 'minor' THEN 1 WHEN '' THEN 0 WHEN 'any' THEN 0 END, loop_id % 6) WHEN 1 THEN 'Minor' WHEN 2 THEN 'Major' WHEN 3 THEN 'Neither' WHEN 4 THEN 'Both' ELSE CASE WHEN coalesce(ekey, key_) <> '' THEN 'Any' ELSE '' END END END END AS mode,
   CAST(CASE WHEN error IS NULL AND NOT conv AND NOT bare THEN beat_count ELSE 0 END AS BIGINT) AS beat_count FROM s""")
 def s13(x: Tables) -> DataFrame:
-    done = rewrite.rewrite(_edited_files(x))
+    """Of a folder with all files, those that an edit names are opened, by the tasks that rewrite them."""
+    root = written(x.files)
+    edits = _file_edits(x).join(x.paths, "loop_id").drop("loop_id").withColumnRenamed("path", "at")
+    wanted = files.listing(x.spark, root).select("path", path_in(root).alias("at")).join(edits, "at")
+    done = rewrite.rewrite_paths(wanted.drop("at")).withColumn("path", path_in(root))
     again = containers.tags(containers.read_containers(done.where("error_code is null").select("path", L("new_content").alias("content"))))
     out = done.select("path", L("error_code").alias("failed")).join(again.drop("error_code"), "path", "left").join(x.paths, "path")
-    return out.select("loop_id", L("failed").alias("error_code"), "category", "genre", "key", "mode", F.coalesce("beat_count", F.lit(0)).cast("bigint").alias("beat_count"))
+    out = out.select("loop_id", L("failed").alias("error_code"), "category", "genre", "key", "mode", F.coalesce("beat_count", F.lit(0)).cast("bigint").alias("beat_count"))
+    return settled(out, "s13", root)
 
 
-def _edited_files(x: Tables) -> DataFrame:
-    """Files of edited loops with their edits; the join with the edits comes before the contents are used."""
+def _file_edits(x: Tables) -> DataFrame:
     none = F.lit(None)
-    edits = x.edits.select("loop_id", "category", none.cast("string").alias("subcategory"), "genre", none.cast("array<string>").alias("descriptors"), L("key_").alias("key"), L("mode_").alias("mode"), L("convert_to_one_shot").alias("one_shot"))
-    return x.files.join(edits, "loop_id")
+    return x.edits.select("loop_id", "category", none.cast("string").alias("subcategory"), "genre", none.cast("array<string>").alias("descriptors"), L("key_").alias("key"), L("mode_").alias("mode"), L("convert_to_one_shot").alias("one_shot"))
+
+
+def _edited_files(x: Tables) -> DataFrame:
+    """Files of edited loops, contents at hand, with their edits."""
+    return x.files.join(_file_edits(x), "loop_id")
 
 
 @query("e10_outcome", REWRITTEN + """SELECT loop_id, CASE WHEN ecat IS NULL AND egenre IS NULL AND ekey IS NULL AND emode IS NULL AND NOT conv THEN 'no-op' WHEN error IS NOT NULL THEN concat('failed: ', error) ELSE 'saved' END AS outcome FROM s""")

@@ -1,0 +1,34 @@
+"""Folders that driver and executors share, for queries that write files and read them again."""
+
+from __future__ import annotations
+
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def out_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors both write: below the cluster's shared folder, or a temporary one on a single machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(df: DataFrame, name: str, *temporary: str) -> DataFrame:
+    """The rows of df, written to the shared folder, after which the temporary folders that they were made from are removed."""
+    spark, path = df.sparkSession, out_folder(df.sparkSession, name)
+    try:
+        df.write.parquet(path)
+    finally:
+        for folder in temporary:
+            delete(spark, folder)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.tags import is_loop_path
+from .ranges import read_path
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -24,6 +28,42 @@ def scan(spark: SparkSession, *roots: str) -> DataFrame:
     return once(out) if len(roots) > 1 else out
 
 
+def listing(spark: SparkSession, *roots: str) -> DataFrame:
+    """Path, time and length of the loop files below the roots; contents are not read."""
+    return scan(spark, *roots).select("path", "modificationTime", "length")
+
+
+#: Bytes of contents that a task holds at a time, unless one file alone has more.
+CONTENT_BYTES = 64 << 20
+
+
+def fetched(paths: DataFrame, content_bytes: int = CONTENT_BYTES) -> DataFrame:
+    """paths (path and any other columns) with content: each file is opened by the task that has its row, a bounded number of bytes at a time.
+
+    Filter and join before: only the files of these rows are opened. content is null, and read_error says why, where a file cannot be read.
+    """
+
+    def read(path: str | None) -> tuple[bytes | None, str | None]:
+        try:
+            return (read_path(path), None) if path is not None else (None, "no path")
+        except OSError as e:
+            return None, str(e)[:200]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, begin, size, got = [*b.schema.names, "content", "read_error"], 0, 0, []
+            for at, path in enumerate(b.column("path").to_pylist()):
+                got.append(read(path))
+                size += len(got[-1][0] or b"")
+                if size >= content_bytes or at + 1 == b.num_rows:
+                    rows = b.slice(begin, at + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([c for c, _ in got], pa.binary()), pa.array([e for _, e in got], pa.string())], names)
+                    begin, size, got = at + 1, 0, []
+
+    schema = paths.schema.add("content", "binary").add("read_error", "string")
+    return paths.mapInArrow(run, schema)
+
+
 def _depth(spark: SparkSession, root: str) -> int:
     """Number of parts, between slashes, of the whole path of a root, which may hold wildcards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

@@ -1,6 +1,6 @@
 """New file bytes for edits, as a table. Spark cannot write binary files back; the table is the result.
 
-Join edits with paths before contents are read, so that only edited files are read.
+rewrite_paths takes edits by path and opens those files only; rewrite takes contents that are there already.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import vocabulary as v
 from . import containers as c
+from .ranges import read_path
 
 NEEDS_BASC = "key_edit_requires_basc"
 SCHEMA = "path string, new_content binary, error_code string"
@@ -107,21 +108,48 @@ def rewritten(b: bytes, edit: dict) -> bytes:
     return (_caf if found[0] == "caf" else _aiff)(b, edit)
 
 
+def _row(path: str, content: bytes, r: dict) -> tuple[str, bytes | None, str | None]:
+    edit = {f: None if r[f] is None or isinstance(r[f], float) else r[f] for f in FIELDS}
+    edit["descriptors"] = None if edit["descriptors"] is None else list(edit["descriptors"])
+    try:
+        return path, rewritten(content, edit), None
+    except LookupError as e:
+        return path, None, str(e.args[0])
+    except c.Corrupt:
+        return path, None, c.CORRUPT
+
+
 def rewrite(files: DataFrame) -> DataFrame:
     """(path, new_content, error_code) from rows of path, content and the edit's FIELDS (null: untouched)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for r in batch.to_dict("records"):
-                edit = {f: None if r[f] is None or isinstance(r[f], float) else r[f] for f in FIELDS}
-                edit["descriptors"] = None if edit["descriptors"] is None else list(edit["descriptors"])
-                try:
-                    rows.append((r["path"], rewritten(bytes(r["content"] or b""), edit), None))
-                except LookupError as e:
-                    rows.append((r["path"], None, str(e.args[0])))
-                except c.Corrupt:
-                    rows.append((r["path"], None, c.CORRUPT))
+            rows = [_row(r["path"], bytes(r["content"] or b""), r) for r in batch.to_dict("records")]
             yield pd.DataFrame(rows, columns=["path", "new_content", "error_code"], dtype=object)
 
     return files.select("path", "content", *FIELDS).mapInPandas(run, SCHEMA)
+
+
+#: Bytes of new contents that a task hands on at a time, unless one file alone has more.
+CONTENT_BYTES = 64 << 20
+
+
+def rewrite_paths(edits: DataFrame, content_bytes: int = CONTENT_BYTES) -> DataFrame:
+    """(path, new_content, error_code) from rows of path and the edit's FIELDS: the task that has an edit opens its file, and no other file is read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=["path", "new_content", "error_code"], dtype=object)
+        for batch in batches:
+            rows, size = [], 0
+            for r in batch.to_dict("records"):
+                try:
+                    rows.append(_row(r["path"], read_path(r["path"]), r))
+                except OSError:
+                    rows.append((r["path"], None, c.UNREADABLE))
+                size += len(rows[-1][1] or b"")
+                if size >= content_bytes:
+                    yield frame(rows)
+                    rows, size = [], 0
+            yield frame(rows)
+
+    return edits.select("path", *FIELDS).mapInPandas(run, SCHEMA)
