@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.tags import is_loop_path
 from .ranges import read_path
@@ -60,8 +60,7 @@ def fetched(paths: DataFrame, content_bytes: int = CONTENT_BYTES) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([c for c, _ in got], pa.binary()), pa.array([e for _, e in got], pa.string())], names)
                     begin, size, got = at + 1, 0, []
 
-    schema = paths.schema.add("content", "binary").add("read_error", "string")
-    return paths.mapInArrow(run, schema)
+    return paths.mapInArrow(run, T.StructType([*paths.schema, T.StructField("content", T.BinaryType()), T.StructField("read_error", T.StringType())]))
 
 
 def _depth(spark: SparkSession, root: str) -> int:

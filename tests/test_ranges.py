@@ -114,6 +114,7 @@ def test_contents_come_for_a_list_of_paths(spark, tmp_path, content_bytes):
         (tmp_path / f"{i}.caf").write_bytes(bytes([i]) * 1000)
         want[f"{i}.caf"] = (i, bytes([i]) * 1000, None)
     paths = files.listing(spark, str(tmp_path)).select("path", F.regexp_extract("path", r"(\d+)\.caf$", 1).cast("int").alias("n"), F.array(F.lit("w")).alias("words"))
+    paths = spark.createDataFrame(paths.collect(), paths.schema)
     gone = paths.limit(1).withColumns({"path": F.concat("path", F.lit("x")), "n": F.lit(-1)})
     nowhere = gone.withColumns({"path": F.lit(None).cast("string"), "n": F.lit(-2)})
     rows = files.fetched(paths.unionByName(gone).unionByName(nowhere).coalesce(1), content_bytes).collect()
