@@ -1,8 +1,7 @@
 """Audio descriptors of loops: mixdown, spectrogram, tuning, and 36 descriptors of 12 pitch classes.
 
-Tuning and loudness of a loop are windows over its frames (at most MAX_SECONDS of them), so that nothing before them is computed twice.
-Bands are dealt by loop once, for the tuning; chroma once, for the loudness and the grouping, as the numpy step between them loses
-the order. Per frame everything else is array expressions.
+A loop is one row of samples, at most MAX_SECONDS of which are used. All that its descriptors need, tuning and loudness over its frames included,
+is computed where that row is, by numpy on the frames of one loop at a time; no shuffle lies between samples and descriptors.
 """
 
 from __future__ import annotations
@@ -12,7 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..sources.containers import bounded_batches
 
 # Fixed values of the descriptors.
 SAMPLE_RATE, MAX_SECONDS = 22_050, 60
@@ -43,6 +44,18 @@ def mono(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda a, b: (a + b) / 2)
 
 
+def mixdown(interleaved: Column, channels: Column) -> Column:
+    """Mean of any number of channels whose samples are interleaved; what is left of a last, incomplete frame is dropped.
+
+    Null without samples or with no channel; one channel is itself.
+    """
+    mean = lambda i: F.aggregate(F.slice(interleaved, i * channels + 1, channels), F.lit(0.0), lambda a, v: a + v, lambda a: a / channels)
+    whole = F.floor(F.size(interleaved) / channels).cast("int")
+    frames = F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), mean)).otherwise(F.array().cast("array<double>"))
+    one = F.transform(interleaved, lambda v: v.cast("double"))
+    return F.when(interleaved.isNotNull() & (channels > 0), F.when(channels == 1, one).otherwise(frames))
+
+
 def loudest(samples: Column) -> Column:
     """Largest magnitude of the first 60 seconds; null without samples."""
     return F.array_max(F.transform(F.slice(samples, 1, SAMPLE_RATE * MAX_SECONDS), lambda x: F.abs(x)))
@@ -77,6 +90,7 @@ def frame_bands(samples: np.ndarray, frame: int, hop: int, rate: float, single:
 
 def spectrogram(loops: DataFrame, frame: int = FRAME, hop: int = HOP, rate: float = SAMPLE_RATE, precision: str = "single") -> DataFrame:
     """(loop_id, frame_ix, n_frames, bands) from (loop_id, samples); samples never cross a shuffle."""
+    bounded_batches(loops.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -110,26 +124,10 @@ def tuning(frames: DataFrame) -> DataFrame:
     return sums.select("loop_id", phase.alias("phase"), _tune(phase).alias("tune"))
 
 
-def with_tuning(frames: DataFrame) -> DataFrame:
-    """frames with the tune of their loop; deals them by loop."""
-    s, c = _weights()
-    loop = Window.partitionBy("loop_id")
-    own = frames.withColumns({"tune_s": s, "tune_c": c}).withColumns({"tune_s": F.sum("tune_s").over(loop), "tune_c": F.sum("tune_c").over(loop)})
-    return own.withColumn("tune", _tune(_phase(F.col("tune_s"), F.col("tune_c")))).drop("tune_s", "tune_c")
-
-
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def raw_power(bands: Column) -> Column:
     return F.transform(bands, lambda v: v * v)
 
 
-def _fourth(x: Column) -> Column:
-    return x * x * x * x
-
-
 def peak_and_harmonic(frames: DataFrame) -> DataFrame:
     """frames with peak and harmonic powers of each band: numpy on batches of whole frames, no shuffle.
 
@@ -140,119 +138,150 @@ def peak_and_harmonic(frames: DataFrame) -> DataFrame:
     @F.pandas_udf("peak array<double>, harm array<double>")
     def powers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = np.sqrt(np.stack([np.asarray(x, dtype=float) for x in b])) if len(b) else np.zeros((0, BANDS))
-            wide = np.pad(s, ((0, 0), (36, 35)), mode="symmetric")
-            total = np.concatenate([np.zeros((len(s), 1)), np.cumsum(wide, axis=1)], axis=1)
-            peak = np.maximum(s - (total[:, 72:] - total[:, :-72]) / 72, 0) ** 4
-            harm = np.zeros_like(s)
-            for i, shift in enumerate(SHIFTS):
-                harm[:, : s.shape[1] - shift] += 0.8**i * s[:, shift:]
-            yield pd.DataFrame({"peak": [*peak], "harm": [*harm**4]})
+            peak, harm = peak_and_harmonic_powers(np.stack([np.asarray(x, dtype=float) for x in b]) if len(b) else np.zeros((0, BANDS)))
+            yield pd.DataFrame({"peak": [*peak], "harm": [*harm]})
 
     return frames.withColumn("powers_", powers("bands")).withColumns({"peak": F.col("powers_.peak"), "harm": F.col("powers_.harm")}).drop("powers_")
 
 
-def semitones(power: Column, tune: Column) -> Column:
-    """Root of the power of the three bands around each of 84 semitones, shifted by the tuning, wrapping round."""
-    at = lambda m, j: F.get(power, F.pmod(m * 3 + (j - 1) + tune, F.lit(BANDS)))
-    return F.transform(F.sequence(F.lit(0), F.lit(SEMITONES - 1)), lambda m: F.sqrt(at(m, 0) + at(m, 1) + at(m, 2)))
+# The kernel: frames x bands of one loop.
 
 
-def fold(m: Column, a: int, b: int) -> Column:
-    """Sums of semitones [a, b) by pitch class."""
-    octaves = range(a, b, 12)
-    return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda c: sum((F.get(m, F.pmod(c - a, F.lit(12)) + o) for o in octaves), F.lit(0.0)))
+def peak_and_harmonic_powers(bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = np.sqrt(bands)
+    wide = np.pad(s, ((0, 0), (36, 35)), mode="symmetric")
+    total = np.concatenate([np.zeros((len(s), 1)), np.cumsum(wide, axis=1)], axis=1)
+    peak = np.maximum(s - (total[:, 72:] - total[:, :-72]) / 72, 0)
+    harm = np.zeros_like(s)
+    for i, shift in enumerate(SHIFTS):
+        harm[:, : s.shape[1] - shift] += 0.8**i * s[:, shift:]
+    return peak**4, harm**4
 
 
-def normalised(c: Column) -> Column:
-    total = _sum(c) + EPSILON
-    return F.transform(F.arrays_zip(c.alias("c"), F.array_repeat(total, 12).alias("t")), lambda x: x["c"] / x["t"])
+_ANGLE = 2 * math.pi * np.arange(36, 216) / 3
 
 
-def first_max(m: Column, a: int, b: int) -> Column:
-    """Place and value of the first of the loudest semitones in [a, b)."""
-    part = F.slice(m, a + 1, b - a)
-    top = F.array_max(part)
-    return F.struct((F.array_position(part, top).cast("int") - 1 + a).alias("at"), top.alias("level"))
+def tune_of(bands: np.ndarray) -> int:
+    """The tune of a loop, as in tuning."""
+    energy = (bands[:, 36:216] ** 2).sum(axis=0)
+    phase = math.atan2(energy @ np.sin(_ANGLE), energy @ np.cos(_ANGLE)) / (2 * math.pi) * 3
+    return round(min(max(phase, -1.0), 1.0))
 
 
-def one_hot(place: Column, value: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda c: F.when(c == place % 12, value).otherwise(0.0))
+def levels(power: np.ndarray, tune: int) -> np.ndarray:
+    """frames x 84: root of the power of the three bands around each semitone, shifted by the tuning, wrapping round."""
+    middle = 3 * np.arange(SEMITONES) + tune
+    return np.sqrt(sum(power[:, (middle + j) % BANDS] for j in (-1, 0, 1)))
 
 
-def triads(c: Column, third: int) -> Column:
-    at = lambda r, k: F.get(c, (r + k) % 12)
-    return F.transform(F.sequence(F.lit(0), F.lit(11)), lambda r: at(r, 0) + at(r, third) + at(r, 7))
+def folded(m: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Sums of semitones [a, b), whole octaves from a C, by pitch class."""
+    return m[:, a:b].reshape(len(m), -1, 12).sum(axis=1)
 
 
-def chords(c: Column) -> Column:
-    """Softmax of twice the standardised scores of 12 major, then 12 minor triads."""
-    s = F.concat(triads(c, 4), triads(c, 3))
-    std = F.sqrt(F.aggregate(s, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda acc, x: F.struct((acc["a"] + x).alias("a"), (acc["b"] + x * x).alias("b")), lambda acc: F.greatest(acc["b"] / 24 - (acc["a"] / 24) * (acc["a"] / 24), F.lit(0.0))))
-    top = F.array_max(s)
-    e = F.transform(F.arrays_zip(s.alias("s"), F.array_repeat(F.struct(top.alias("top"), std.alias("std")), 24).alias("k")), lambda x: F.exp((x["s"] - x["k"]["top"]) / (x["k"]["std"] + EPSILON) * 2))
-    return e
+def normalised(c: np.ndarray) -> np.ndarray:
+    return c / (c.sum(axis=-1, keepdims=True) + EPSILON)
 
 
-def softmaxed(e: Column) -> Column:
-    return F.transform(F.arrays_zip(e.alias("e"), F.array_repeat(_sum(e), 24).alias("t")), lambda x: x["e"] / x["t"])
+def chroma(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised folds of a frame's whole range and of its bass."""
+    return normalised(folded(m, 12, 84)), normalised(folded(m, 12, 36))
 
 
-def frame_features(frames: DataFrame) -> DataFrame:
-    """One row per frame with chroma of all kinds; frames: (loop_id, frame_ix, n_frames, bands).
+def loudest_class(m: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """frames x 12: one-hot class of the first of the loudest semitones in [a, b), and its level there; zero where all is silent."""
+    at = m[:, a:b].argmax(axis=1) + a
+    level = m[np.arange(len(m)), at][:, None] * (np.arange(12) == (at % 12)[:, None])
+    return (level > 0).astype(float), level
+
+
+def triads(c: np.ndarray) -> np.ndarray:
+    """frames x 24: sums of the notes of 12 major, then 12 minor triads."""
+    third, fifth = [np.roll(c, -k, axis=1) for k in (4, 3)], np.roll(c, -7, axis=1)
+    return np.concatenate([c + t + fifth for t in third], axis=1)
+
+
+def chords(c: np.ndarray) -> np.ndarray:
+    """Softmax of twice the standardised scores of the triads."""
+    s = triads(c)
+    z = 2 * (s - s.mean(axis=1, keepdims=True)) / (s.std(axis=1, keepdims=True) + EPSILON)
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def loop_descriptors(bands: np.ndarray) -> np.ndarray:
+    """36 x 12: the descriptors of one loop, in the order of NAMES, from its frames (at least one) x bands."""
+    n, tune = len(bands), tune_of(bands)
+    peak, harm = peak_and_harmonic_powers(bands)
+    raw = levels(bands**2, tune)
+    (mix, bass), (peak_mix, peak_bass), (harm_mix, harm_bass) = map(chroma, (raw, levels(peak, tune), levels(harm, tune)))
+    mid, bass_fold = normalised(folded(raw, 36, 60)), folded(raw, 12, 36)
+    (low, low_level), (sub, _), (b3, _) = (loudest_class(raw, a, b) for a, b in ((12, 36), (0, 24), (24, 48)))
+    salience = mix.max(axis=1) / (mix.mean(axis=1) + EPSILON)
+    energy = bass_fold.sum(axis=1)
+    chord, chord_h, both = chords(mix), chords(harm_mix), triads(mix)
+    first2, last2, mean = slice(0, 2), slice(max(0, n - 2), n), lambda x: x.mean(axis=0)
+    out = {
+        "raw_mix": mean(mix), "harm_mix": mean(harm_mix), "peak_mix": mean(peak_mix), "raw_bass": mean(bass), "harm_bass": mean(harm_bass), "peak_bass": mean(peak_bass),
+        "raw_mid": mean(mid), "lownote": mean(low), "lown_b2": mean(low), "lown_sub": mean(sub), "lown_b3": mean(b3), "lownote_w": normalised(low_level.sum(axis=0)),
+        "salw_mix": salience @ mix / (salience.sum() or 1.0), "dompc": mean(np.eye(12)[mix.argmax(axis=1)]), "maxchroma": mix.max(axis=0), "sqrtmix": mean(np.sqrt(mix)),
+        "first_mix": mix[0], "firstq": mean(mix[: max(1, n // 4)]), "mix_first2": mean(mix[first2]), "mix_last2": mean(mix[last2]),
+        "mid_first": mean(mid[first2]), "mid_last": mean(mid[last2]), "bass_first": mean(bass[first2]), "bass_last": mean(bass[last2]),
+        "bass_energy": normalised(bass_fold.sum(axis=0)), "bass_loud": mean(bass[energy >= np.percentile(energy, 75)]),
+        "chord_bass_M": mean(both[:, :12] * bass), "chord_bass_m": mean(both[:, 12:] * bass),
+    }
+    for k, half in (("M", slice(0, 12)), ("m", slice(12, 24))):
+        out |= {f"chord{k}_mix": mean(chord)[half], f"chord{k}_harm": mean(chord_h)[half], f"chord{k}_first_mix": mean(chord[first2])[half], f"chord{k}_last_mix": mean(chord[last2])[half]}
+    return np.stack([out[name] for name in NAMES])
 
-    Steps are separate projections, as each uses the one before several times.
+
+DESCRIPTORS = ", ".join(f"{column_of(name)} array<double>" for name in NAMES)
+
+
+def _wide(loops: list, values: list[np.ndarray]) -> pd.DataFrame:
+    columns = {column_of(name): [v[i] for v in values] for i, name in enumerate(NAMES)}
+    return pd.DataFrame({"loop_id": pd.Series(loops, dtype="int64")} | columns)
+
+
+def descriptors_of_samples(loops: DataFrame, frame: int = FRAME, hop: int = HOP, rate: float = SAMPLE_RATE, precision: str = "single") -> DataFrame:
+    """One row per loop with the descriptors of NAMES, each an array of 12 under its column_of, from (loop_id, samples).
+
+    A loop is one row, and all its frames come out of that row: nothing is shuffled between samples and descriptors.
     """
-    own = peak_and_harmonic(with_tuning(frames))
-    own = own.select("loop_id", "frame_ix", "n_frames", *(semitones(p, F.col("tune")).alias(n) for n, p in (("M", raw_power(F.col("bands"))), ("Mp", F.col("peak")), ("Mh", F.col("harm")))))
-    own = own.select(
-        "loop_id", "frame_ix", "n_frames", "M",
-        *(fold(F.col(m), a, b).alias(f"{t}_{n}") for t, m in (("raw", "M"), ("peak", "Mp"), ("harm", "Mh")) for n, a, b in (("mix", 12, 84), ("bass", 12, 36))),
-        fold(F.col("M"), 36, 60).alias("raw_mid"),
-    )
-    own = own.withColumn("bass_fold", F.col("raw_bass"))
-    return own.withColumns({c: normalised(F.col(c)) for c in own.columns if c[:4] in ("raw_", "peak", "harm")})
+    bounded_batches(loops.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            frames = [frame_bands(s[: int(rate * MAX_SECONDS)], frame, hop, rate, precision == "single").astype(float) for s in b["samples"]]
+            yield _wide(b["loop_id"].tolist(), [*map(loop_descriptors, frames)])
+
+    return loops.select("loop_id", "samples").mapInPandas(run, f"loop_id long, {DESCRIPTORS}")
+
+
+def _bands(part: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    part = part.sort_values("frame_ix")
+    return part, np.stack([np.asarray(b, dtype=float) for b in part["bands"]])
 
 
 def descriptors(frames: DataFrame) -> DataFrame:
-    """One row per loop with the descriptors of NAMES, each an array of 12 under its column_of.
+    """descriptors_of_samples from frames that are at hand, (loop_id, frame_ix, bands): at most MAX_SECONDS of frames a loop meet in one shuffle."""
 
-    frames: (loop_id, frame_ix, n_frames, bands).
-    """
-    own = frame_features(frames)
-    n, ix = F.col("n_frames"), F.col("frame_ix")
-    mix = F.col("raw_mix")
-    own = own.withColumns({
-        "low": first_max(F.col("M"), 12, 36), "sub": first_max(F.col("M"), 0, 24), "b3": first_max(F.col("M"), 24, 48),
-        "salience": F.array_max(mix) / (_sum(mix) / 12 + EPSILON),
-        "dominant": F.array_position(mix, F.array_max(mix)).cast("int") - 1,
-        "chord_e": chords(mix), "chord_he": chords(F.col("harm_mix")),
-        "energy": _sum(F.col("bass_fold")),
-    })
-    hot = lambda s: one_hot(F.col(s)["at"], F.when(F.col(s)["level"] > 0, 1.0).otherwise(0.0))
-    own = own.withColumns({
-        "lownote": hot("low"), "lown_sub": hot("sub"), "lown_b3": hot("b3"), "low_w": one_hot(F.col("low")["at"], F.col("low")["level"]),
-        "dompc": one_hot(F.col("dominant"), F.lit(1.0)),
-        "chord": softmaxed(F.col("chord_e")), "chord_h": softmaxed(F.col("chord_he")),
-        "cb_major": F.zip_with(triads(mix, 4), "raw_bass", lambda a, b: a * b), "cb_minor": F.zip_with(triads(mix, 3), "raw_bass", lambda a, b: a * b),
-    })
-    loop = Window.partitionBy("loop_id")  # the loud quarter: one percentile a loop
-    own = own.withColumns({"loud_from": F.percentile("energy", F.lit(0.75)).over(loop), "salience_all": F.sum("salience").over(loop)})
-    first2, last2 = ix < 2, ix >= n - 2
-    quarter = ix < F.greatest(F.lit(1), F.floor(n / 4))
-    mean = lambda where=None: (lambda x: F.avg(x if where is None else F.when(where, x)))
-    slot = lambda values, alias, agg, offset=0: F.array(*(agg(F.get(F.col(values), F.lit(c + offset))) for c in range(12))).alias(alias)
-    aggs = [slot(c, c, mean()) for c in ("raw_mix", "harm_mix", "peak_mix", "raw_bass", "harm_bass", "peak_bass", "raw_mid", "lownote", "lown_sub", "lown_b3", "dompc")]
-    aggs += [slot("lownote", "lown_b2", mean()), slot("raw_mix", "firstq", mean(quarter)), slot("raw_mix", "first_mix", mean(ix == 0))]
-    aggs += [slot("raw_mix", "salw_mix", lambda x: F.sum(x * F.col("salience") / F.col("salience_all"))), slot("raw_mix", "maxchroma", F.max), slot("raw_mix", "sqrtmix", lambda x: F.avg(F.sqrt(x)))]
-    aggs += [slot("raw_bass", "bass_first", mean(first2)), slot("raw_bass", "bass_last", mean(last2)), slot("raw_mix", "mix_first2", mean(first2)), slot("raw_mix", "mix_last2", mean(last2)), slot("raw_mid", "mid_first", mean(first2)), slot("raw_mid", "mid_last", mean(last2))]
-    aggs += [slot("raw_bass", "bass_loud", mean(F.col("energy") >= F.col("loud_from"))), slot("low_w", "low_sum", F.sum), slot("bass_fold", "bass_sum", F.sum)]
-    for name, offset in (("chord_major", 0), ("chord_minor", 12)):
-        aggs += [slot("chord", f"{name}_mix", mean(), offset), slot("chord_h", f"{name}_harm", mean(), offset), slot("chord", f"{name}_first_mix", mean(first2), offset), slot("chord", f"{name}_last_mix", mean(last2), offset)]
-    aggs += [slot("cb_major", "chord_bass_major", mean()), slot("cb_minor", "chord_bass_minor", mean())]
-    out = own.groupBy("loop_id").agg(*aggs)
-    out = out.withColumns({"lownote_w": normalised(F.col("low_sum")), "bass_energy": normalised(F.col("bass_sum"))})
-    return out.select("loop_id", *map(column_of, NAMES))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return _wide([part["loop_id"].iloc[0]], [loop_descriptors(_bands(part)[1])])
+
+    return frames.select("loop_id", "frame_ix", "bands").groupBy("loop_id").applyInPandas(run, f"loop_id long, {DESCRIPTORS}")
+
+
+def frame_features(frames: DataFrame) -> DataFrame:
+    """One row per frame of (loop_id, frame_ix, bands): the levels of its 84 semitones, and chroma of the whole range and of the bass."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part, bands = _bands(part)
+        m = levels(bands**2, tune_of(bands))
+        mix, bass = chroma(m)
+        return pd.DataFrame({"loop_id": part["loop_id"], "frame_ix": part["frame_ix"], "levels": [*m], "raw_mix": [*mix], "raw_bass": [*bass]})
+
+    return frames.select("loop_id", "frame_ix", "bands").groupBy("loop_id").applyInPandas(run, "loop_id long, frame_ix long, levels array<double>, raw_mix array<double>, raw_bass array<double>")
 
 
 def as_vector(loops: DataFrame) -> DataFrame:

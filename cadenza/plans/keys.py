@@ -282,9 +282,8 @@ SEMI = f"""WITH {TUNE}, {POWERS}, ms AS (SELECT p.loop_id, p.frame_ix, m, sqrt(s
 
 @query("f4_semitones", SEMI + " SELECT loop_id, frame_ix, CAST(m AS BIGINT) AS m, round(raw, 5) AS level FROM ms")
 def f4(x: Tables) -> DataFrame:
-    own = x.frames.join(audio.tuning(x.frames), "loop_id")
-    levels = audio.semitones(audio.raw_power(L("bands")), L("tune"))
-    return own.select("loop_id", "frame_ix", F.posexplode(levels).alias("m", "level")).select("loop_id", "frame_ix", L("m").cast("bigint").alias("m"), F.round("level", 5).alias("level"))
+    own = audio.frame_features(x.frames).select("loop_id", "frame_ix", F.posexplode("levels").alias("m", "level"))
+    return own.select("loop_id", "frame_ix", L("m").cast("bigint").alias("m"), F.round("level", 5).alias("level"))
 
 
 FOLD = SEMI + """, fo AS (SELECT loop_id, frame_ix, m % 12 AS pc, sum(CASE WHEN m >= 12 THEN raw ELSE 0 END) AS rm, sum(CASE WHEN m BETWEEN 12 AND 35 THEN raw ELSE 0 END) AS rb, sum(CASE WHEN m BETWEEN 36 AND 59 THEN raw ELSE 0 END) AS rd,

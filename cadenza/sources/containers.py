@@ -10,7 +10,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import tags as t, vocabulary as v
 from .ranges import Ranges, open_path
@@ -204,15 +204,17 @@ COLUMNS = ("path", "container", "form_type", "error_code", "error_detail", "chun
 BATCH_BYTES, UNBOUNDED = "67108864", "-1"
 
 
-def read_containers(files: DataFrame, compat: bool = False) -> DataFrame:
-    """One row per file (path, content) with the fields of SCHEMA. Null content is unrecognised.
-
-    Where the session sets no bound on the bytes of Arrow batches, one is set, so that contents of many files fit a worker.
-    """
-    spark, key = files.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+def bounded_batches(spark: SparkSession) -> None:
+    """Where the session sets no bound on the bytes of Arrow batches, set one, so that contents or samples of many loops fit a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == UNBOUNDED:
         spark.conf.set(key, BATCH_BYTES)
 
+
+def read_containers(files: DataFrame, compat: bool = False) -> DataFrame:
+    """One row per file (path, content) with the fields of SCHEMA. Null content is unrecognised; batches are bounded."""
+    bounded_batches(files.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield _rows([{"path": p} | decode(bytes(c) if c is not None else b"", compat) for p, c in zip(b["path"], b["content"], strict=True)])

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.operators import audio, midi, scoring
 from cadenza.sources import smf
@@ -89,9 +90,38 @@ def test_statistics_of_a_midi_file_equal_published_values(spark):
     assert {(n, pc): v for n, vs in zip(STATISTICS, OF_SMF, strict=True) for pc, v in enumerate(vs)} == got
 
 
-def test_frames_are_computed_once(loop):
-    plan = audio.descriptors(audio.spectrogram(loop))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("MapInPandas") == 1
+def test_nothing_is_shuffled_between_samples_and_descriptors(loop):
+    own = audio.descriptors_of_samples(loop)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInPandas") == 1
+    by_frames = audio.descriptors(audio.spectrogram(loop))
+    assert by_frames._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    for a, b in zip(own.first()[1:], by_frames.first()[1:], strict=True):
+        assert a == pytest.approx(b, abs=1e-12)
+
+
+def test_loops_of_one_frame_and_of_silence_have_finite_descriptors(spark):
+    rows = [(1, [0.5, -0.5] * 50), (2, [0.0] * 300), (3, [1e-3] * 40_000)]
+    wide = audio.descriptors_of_samples(spark.createDataFrame(rows, "loop_id long, samples array<float>")).collect()
+    assert [r.loop_id for r in wide] == [1, 2, 3]
+    assert all(np.isfinite(v).all() for r in wide for v in r[1:])
+
+
+def test_nearly_equal_chord_scores_keep_their_digits():
+    c = np.full((1, 12), 1 / 12) + 1e-11 * np.arange(12)
+    s = audio.triads(c)
+    z = 2 * (s - s.mean()) / (s.std() + audio.EPSILON)
+    assert np.log(audio.chords(c)) == pytest.approx(z - np.log(np.exp(z).sum()), abs=1e-9)
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 6])
+def test_mixdown_of_any_number_of_channels(spark, channels):
+    rng = np.random.default_rng(channels)
+    x = rng.normal(size=(50, channels))
+    rows = [(1, x.ravel().tolist(), channels), (2, x.ravel().tolist()[:-1], channels), (3, [], channels), (4, None, channels), (5, [1.0], 0)]
+    got = {r.id: r.m for r in spark.createDataFrame(rows, "id int, s array<double>, c int").select("id", audio.mixdown(F.col("s"), F.col("c")).alias("m")).collect()}
+    assert got[1] == pytest.approx(x.mean(axis=1).tolist())
+    assert len(got[2]) == (49 if channels > 1 else 49) and got[3] == [] and got[4] is None and got[5] is None
 
 
 def test_a_note_of_any_length_and_late_ends(spark):
