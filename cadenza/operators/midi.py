@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DRUMS = 9
@@ -86,8 +91,48 @@ def sounding(notes: DataFrame) -> DataFrame:
     return over.unionByName(there)
 
 
+def _sweep(notes: Iterator[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Pitch class and length of the lowest sounding note at each onset, from one loop's notes (start, pitch, note_ord, end, length), sorted.
+
+    Sounding notes wait in a heap, lowest first; those that have ended leave it when they come to the top.
+    """
+    heap: list[tuple[int, int, int, int]] = []
+    for onset, group in groupby(notes, key=lambda n: n[0]):
+        starting = [(pitch, order, end, length) for _, pitch, order, end, length in group]
+        for note in starting:
+            if note[2] > onset:
+                heappush(heap, note)
+        while heap and heap[0][2] <= onset:
+            heappop(heap)
+        pitch, _, _, length = heap[0] if heap else starting[0]
+        yield pitch % 12, length
+
+
 def bass_line(notes: DataFrame) -> DataFrame:
-    """Long rows of the statistic bass_line: at each onset the lowest sounding note (first of equals) counts with its length."""
-    low = sounding(notes).groupBy("loop_id", "onset").agg(F.min(F.struct("pitch", "note_ord", "length")).alias("n"))
-    sums = low.groupBy("loop_id", (F.col("n.pitch") % 12).cast("int").alias("pc")).agg(F.sum("n.length").cast("double").alias("bass_line"))
-    return dense(pitched(notes).select("loop_id").distinct(), sums, ["bass_line"])
+    """Long rows of the statistic bass_line: at each onset the lowest sounding note (first of equals) counts with its length.
+
+    The same notes as the lowest of sounding, in one pass over the notes of a loop by onset: a task holds those that sound, not all pairs of note and onset, nor the loop.
+    """
+    columns = ["start_tick", "pitch", "note_ord", "end_tick", "length"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((loop, note) for b in batches for loop, note in zip(b["loop_id"].tolist(), zip(*(b[c].tolist() for c in columns), strict=True), strict=True))
+        out: list[tuple[int, int, float]] = []
+        for loop, group in groupby(rows, key=lambda r: r[0]):
+            sums = [0] * 12
+            for pc, length in _sweep(note for _, note in group):
+                sums[pc] += length
+            out += [(loop, pc, float(v)) for pc, v in enumerate(sums)]
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["loop_id", "pc", "value"])
+                out = []
+        yield pd.DataFrame(out, columns=["loop_id", "pc", "value"])
+
+    own = pitched(notes).select("loop_id", *(F.col(c).cast("long").alias(c) for c in columns[:-1]), _length().cast("long").alias("length"))
+    swept = own.repartition("loop_id").sortWithinPartitions("loop_id", "start_tick", "pitch", "note_ord").mapInPandas(run, "loop_id long, pc int, value double")
+    return swept.select("loop_id", "pc", F.lit("bass_line").alias("feature"), "value")
+
+
+def all_statistics(notes: DataFrame) -> DataFrame:
+    """statistics and bass_line: the seven that keys are scored from."""
+    return statistics(notes).unionByName(bass_line(notes))

@@ -12,7 +12,7 @@ from ..operators import audio, edits as e, midi, ranking, scoring
 from .adapters import Tables, query
 
 L = F.col
-FEATURES = ["duration", "count", "bass", "first", "last", "lowest"]
+FEATURES = ["duration", "count", "bass", "first", "last", "lowest", "bass_line"]
 BIAS = (0.03, -0.03)
 FEATURE_SQL = "(VALUES (0,'duration'),(1,'count'),(2,'bass'),(3,'first'),(4,'last'),(5,'lowest'))"
 
@@ -65,9 +65,9 @@ def a5(x: Tables) -> DataFrame:
 
 
 OVER = f"""WITH {PITCHED}, o AS (SELECT DISTINCT loop_id, start_tick AS onset FROM n),
-  s AS (SELECT o.loop_id, o.onset, n.note_ord, n.pitch, n.len FROM o JOIN n ON n.loop_id = o.loop_id AND n.start_tick <= o.onset AND o.onset < n.end_tick),
-  e AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.loop_id = o.loop_id AND s.onset = o.onset)),
-  a AS (SELECT * FROM s UNION ALL SELECT e.loop_id, e.onset, n.note_ord, n.pitch, n.len FROM e JOIN n ON n.loop_id = e.loop_id AND n.start_tick = e.onset)"""
+  so AS (SELECT o.loop_id, o.onset, n.note_ord, n.pitch, n.len FROM o JOIN n ON n.loop_id = o.loop_id AND n.start_tick <= o.onset AND o.onset < n.end_tick),
+  eo AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM so WHERE so.loop_id = o.loop_id AND so.onset = o.onset)),
+  a AS (SELECT * FROM so UNION ALL SELECT eo.loop_id, eo.onset, n.note_ord, n.pitch, n.len FROM eo JOIN n ON n.loop_id = eo.loop_id AND n.start_tick = eo.onset)"""
 
 
 @query("j4_sounding", OVER + " SELECT loop_id, onset, note_ord, pitch FROM a")
@@ -75,14 +75,19 @@ def j4(x: Tables) -> DataFrame:
     return midi.sounding(x.notes).select("loop_id", "onset", "note_ord", "pitch")
 
 
-@query("a6_bass_line", OVER + """, b AS (SELECT loop_id, onset, pitch, len, row_number() OVER (PARTITION BY loop_id, onset ORDER BY pitch, note_ord) AS r FROM a),
-  g AS (SELECT loop_id, pitch % 12 AS pc, sum(len) AS v FROM b WHERE r = 1 GROUP BY ALL)
-  SELECT l.loop_id, CAST(c.pc AS BIGINT) AS pc, CAST(coalesce(v, 0) AS DOUBLE) AS value FROM (SELECT DISTINCT loop_id FROM n) l CROSS JOIN (SELECT range AS pc FROM range(12)) c LEFT JOIN g ON g.loop_id = l.loop_id AND g.pc = c.pc""")
+BASS = OVER + """, lo AS (SELECT loop_id, onset, pitch, len, row_number() OVER (PARTITION BY loop_id, onset ORDER BY pitch, note_ord) AS r FROM a),
+  bl AS (SELECT loop_id, pitch % 12 AS pc, sum(len) AS v FROM lo WHERE r = 1 GROUP BY ALL),
+  bass AS (SELECT k.loop_id, c.pc, coalesce(v, 0) AS value FROM (SELECT DISTINCT loop_id FROM n) k CROSS JOIN (SELECT range AS pc FROM range(12)) c LEFT JOIN bl ON bl.loop_id = k.loop_id AND bl.pc = c.pc)"""
+
+
+@query("a6_bass_line", BASS + " SELECT loop_id, CAST(pc AS BIGINT) AS pc, CAST(value AS DOUBLE) AS value FROM bass")
 def a6(x: Tables) -> DataFrame:
     return midi.bass_line(x.notes).select("loop_id", L("pc").cast("bigint").alias("pc"), "value")
 
 
-SCALED = STATS + """, s AS (SELECT *, value / (sum(value) OVER w + 1e-9) AS v FROM d WINDOW w AS (PARTITION BY loop_id, fx)),
+#: All seven statistics, as d7.
+STATS7 = STATS + ", " + BASS.removeprefix(f"WITH {PITCHED}, ") + f""", d7 AS (SELECT * FROM d UNION ALL SELECT loop_id, 6, 'bass_line', pc, value FROM bass)"""
+SCALED = STATS7 + """, s AS (SELECT *, value / (sum(value) OVER w + 1e-9) AS v FROM d7 WINDOW w AS (PARTITION BY loop_id, fx)),
   x AS (SELECT loop_id, fx, feature, pc, (v - avg(v) OVER (PARTITION BY loop_id, fx)) / (0.1 + 0.01 * fx) AS v FROM s)"""
 TURNED = SCALED + ", t AS (SELECT x.*, y.tonic, (pc - tonic + 12) % 12 AS o FROM x CROSS JOIN (SELECT range AS tonic FROM range(12)) y)"
 LINEAR = TURNED + """, z AS (SELECT loop_id, tonic AS key_ix, 0.03 + sum(v * ((fx * 12 + o) * 37 % 101 - 50) / 100.0) AS z FROM t GROUP BY ALL
@@ -93,7 +98,7 @@ RANKED = LOGP + f""", r AS (SELECT loop_id, key_ix, exp(logp) AS probability, ro
 
 
 def _scaled(x: Tables) -> DataFrame:
-    return scoring.scaled(midi.statistics(x.notes), deviations(x), by_sum=True)
+    return scoring.scaled(midi.all_statistics(x.notes), deviations(x), by_sum=True)
 
 
 def _logp(x: Tables) -> DataFrame:
@@ -210,6 +215,15 @@ def f1(x: Tables) -> DataFrame:
     return wide.select("vec_id", (F.round(F.aggregate(mono, F.lit(0.0), lambda a, b: a + b), 5) + 0.0).alias("total"))
 
 
+@query("f1_mixdown", """SELECT vec_id, CAST(i // c AS BIGINT) AS frame, round(sum(e) / c, 6) + 0.0 AS value FROM (SELECT vec_id, [1, 2, 6][CAST(vec_id % 3 + 1 AS INT)] AS c, unnest(embedding)::DOUBLE AS e, unnest(range(64)) AS i FROM embeddings) x
+  WHERE i // c < 64 // c GROUP BY vec_id, i // c, c""")
+def f1_mixdown(x: Tables) -> DataFrame:
+    """Signals of one, two and six channels, all frames."""
+    channels = F.get(F.array(*map(F.lit, (1, 2, 6))), (L("vec_id") % 3).cast("int"))
+    rows = x.embeddings.select("vec_id", F.posexplode(audio.mixdown(L("embedding").cast("array<double>"), channels)).alias("frame", "value"))
+    return rows.select("vec_id", L("frame").cast("bigint").alias("frame"), (F.round("value", 6) + 0.0).alias("value"))
+
+
 @query("a8_audible", "SELECT vec_id, list_max(list_transform(embedding, lambda v: abs(v::DOUBLE * CASE WHEN vec_id % 5 = 0 THEN 0 ELSE 1 END))) > 1e-5 AS audible FROM embeddings")
 def a8(x: Tables) -> DataFrame:
     samples = F.transform(L("embedding").cast("array<double>"), lambda v: v * F.when(L("vec_id") % 5 == 0, 0.0).otherwise(1.0))
@@ -379,19 +393,43 @@ def f15(x: Tables) -> DataFrame:
     return _descriptors(x, "chord_bass_M", "chord_bass_m")
 
 
-#: Descriptors whose places and values in the assembled vector are compared: SQL expressions over a frame's pitch class.
-PLACED = {
-    "raw_mix": "avg(rm)", "harm_mix": "avg(hm)", "peak_mix": "avg(pm)", "raw_bass": "avg(rb)", "harm_bass": "avg(hb)", "peak_bass": "avg(pb)", "raw_mid": "avg(rd)", "maxchroma": "max(rm)",
-    "first_mix": "avg(CASE WHEN frame_ix = 0 THEN rm END)", "sqrtmix": "avg(sqrt(rm))", "bass_first": "avg(CASE WHEN frame_ix < 2 THEN rb END)", "mid_first": "avg(CASE WHEN frame_ix < 2 THEN rd END)",
+_MEAN = lambda v, where="": f"avg(CASE WHEN {where} THEN {v} END)" if where else f"avg({v})"
+FIRST2, LAST2 = "frame_ix < 2", "frame_ix >= n - 2"
+#: Descriptors that are aggregates over a pitch class of nn (with n frames), of the dominant class, and of chord posteriors.
+OF_CHROMA = {
+    "raw_mix": "avg(rm)", "harm_mix": "avg(hm)", "peak_mix": "avg(pm)", "raw_bass": "avg(rb)", "harm_bass": "avg(hb)", "peak_bass": "avg(pb)", "raw_mid": "avg(rd)",
+    "first_mix": _MEAN("rm", "frame_ix = 0"), "firstq": _MEAN("rm", "frame_ix < greatest(1, n // 4)"), "maxchroma": "max(rm)", "sqrtmix": "avg(sqrt(rm))",
+    "bass_first": _MEAN("rb", FIRST2), "bass_last": _MEAN("rb", LAST2), "mix_first2": _MEAN("rm", FIRST2), "mix_last2": _MEAN("rm", LAST2), "mid_first": _MEAN("rd", FIRST2), "mid_last": _MEAN("rd", LAST2),
 }
-
-
-@query("f16_assembled", FOLD + ", pl AS (" + " UNION ALL ".join(f"SELECT loop_id, CAST({audio.NAMES.index(n) * 12} + pc AS BIGINT) AS place, {v} AS v FROM nn GROUP BY loop_id, pc" for n, v in PLACED.items())
-  + ") SELECT loop_id, place, round(v, 5) + 0.0 AS value, CAST(432 AS BIGINT) AS size FROM pl")
+OF_CHORDS = {f"chord{k}_{t}": _MEAN(v, f"k = '{k}'" + (f" AND {w}" if w else "")) for k in "Mm" for t, v, w in (("mix", "p", ""), ("harm", "ph", ""), ("first_mix", "p", FIRST2), ("last_mix", "p", LAST2))}
+#: Every descriptor, as rows (loop_id, place, v) of dv.
+ALL_DESCRIPTORS = CHORDS + f""", al AS (SELECT nn.*, nf.n FROM nn JOIN nf ON nf.loop_id = nn.loop_id), ac AS (SELECT cp.*, nf.n FROM cp JOIN nf ON nf.loop_id = cp.loop_id),
+  l1 AS ({_low(12, 36)}), l2 AS ({_low(0, 24)}), l3 AS ({_low(24, 48)}), gd AS (SELECT DISTINCT loop_id, pc FROM nn),
+  sa AS (SELECT loop_id, frame_ix, max(rm) / (sum(rm) / 12 + 1e-9) AS s FROM nn GROUP BY ALL), sl AS (SELECT loop_id, frame_ix, s / sum(s) OVER (PARTITION BY loop_id) AS w FROM sa),
+  dm AS (SELECT *, row_number() OVER (PARTITION BY loop_id, frame_ix ORDER BY rm DESC, pc) AS r FROM nn),
+  qe AS (SELECT loop_id, quantile_cont(energy, 0.75) AS t FROM (SELECT DISTINCT loop_id, frame_ix, energy FROM nn) en GROUP BY loop_id),
+  lw AS (SELECT loop_id, m % 12 AS pc, sum(raw) AS v FROM l1 WHERE r = 1 GROUP BY ALL), lt AS (SELECT loop_id, sum(v) AS t FROM lw GROUP BY loop_id), be AS (SELECT loop_id, pc, sum(bass) AS v FROM nn GROUP BY ALL),
+  nv AS (""" + " UNION ALL ".join(
+    [f"SELECT loop_id, '{name}' AS name, pc, {v} AS v FROM al GROUP BY loop_id, pc" for name, v in OF_CHROMA.items()]
+    + [f"SELECT loop_id, '{name}', pc, {v} FROM ac GROUP BY loop_id, pc" for name, v in OF_CHORDS.items()]
+    + [f"SELECT g.loop_id, '{name}', g.pc, {_hot(low, 'v')} FROM gd g JOIN nf ON nf.loop_id = g.loop_id" for name, low in (("lownote", "l1"), ("lown_b2", "l1"), ("lown_sub", "l2"), ("lown_b3", "l3"))]
+    + [
+        "SELECT gd.loop_id, 'lownote_w', gd.pc, coalesce(lw.v, 0) / (t + 1e-9) FROM gd JOIN lt ON lt.loop_id = gd.loop_id LEFT JOIN lw ON lw.loop_id = gd.loop_id AND lw.pc = gd.pc",
+        "SELECT nn.loop_id, 'salw_mix', pc, sum(rm * w) FROM nn JOIN sl ON sl.loop_id = nn.loop_id AND sl.frame_ix = nn.frame_ix GROUP BY nn.loop_id, pc",
+        "SELECT loop_id, 'dompc', pc, avg(CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END) FROM dm GROUP BY loop_id, pc",
+        "SELECT nn.loop_id, 'bass_loud', pc, avg(CASE WHEN energy >= t THEN rb END) FROM nn JOIN qe ON qe.loop_id = nn.loop_id GROUP BY nn.loop_id, pc",
+        "SELECT loop_id, 'bass_energy', pc, v / (sum(v) OVER (PARTITION BY loop_id) + 1e-9) FROM be",
+        "SELECT loop_id, 'chord_bass_M', pc, avg(mj * rb) FROM tr GROUP BY loop_id, pc",
+        "SELECT loop_id, 'chord_bass_m', pc, avg(mi * rb) FROM tr GROUP BY loop_id, pc",
+    ]
+) + f"), dv AS (SELECT loop_id, CAST((list_position({list(audio.NAMES)}, name) - 1) * 12 + pc AS BIGINT) AS place, v FROM nv)"
+
+
+@query("f16_assembled", ALL_DESCRIPTORS + " SELECT loop_id, place, round(v, 5) + 0.0 AS value, CAST(432 AS BIGINT) AS size FROM dv")
 def f16(x: Tables) -> DataFrame:
+    """All 36 descriptors of 12 classes at their places."""
     values = audio.as_vector(audio.descriptors(x.frames)).select("loop_id", F.size("values").cast("bigint").alias("size"), F.posexplode("values").alias("place", "value"))
-    wanted = [audio.NAMES.index(n) for n in PLACED]
-    return values.where(F.floor(L("place") / 12).isin(wanted)).select("loop_id", L("place").cast("bigint").alias("place"), (F.round("value", 5) + 0.0).alias("value"), "size")
+    return values.select("loop_id", L("place").cast("bigint").alias("place"), (F.round("value", 5) + 0.0).alias("value"), "size")
 
 
 def synthetic_networks(features: int, hidden: int = 3, count: int = 2) -> scoring.Networks:
@@ -405,7 +443,7 @@ def synthetic_networks(features: int, hidden: int = 3, count: int = 2) -> scorin
     return scoring.Networks(0.125 + 0.015625 * np.arange(features), nets)
 
 
-NETWORK = STATS + """, x AS (SELECT loop_id, fx, pc, (value - avg(value) OVER (PARTITION BY loop_id, fx)) / 1000 / (0.125 + 0.015625 * fx) AS v FROM d),
+NETWORK = STATS7 + """, x AS (SELECT loop_id, fx, pc, (value - avg(value) OVER (PARTITION BY loop_id, fx)) / 1000 / (0.125 + 0.015625 * fx) AS v FROM d7),
   h AS (SELECT loop_id, k, tonic, hh, greatest(sum(v * ((((fx * 12 + (pc - tonic + 12) % 12) * 3 + hh) * (37 + 16 * k)) % 101 - 50) / 128.0) + hh * 0.125 - 0.125, 0) AS a FROM x CROSS JOIN (SELECT range AS tonic FROM range(12)) t CROSS JOIN (SELECT range AS hh FROM range(3)) q CROSS JOIN (SELECT range AS k FROM range(2)) ks GROUP BY loop_id, k, tonic, hh),
   z AS (SELECT loop_id, k, tonic + 12 * m AS key_ix, CASE m WHEN 0 THEN 0.0625 ELSE -0.0625 END + sum(a * (((hh * 2 + m) * (13 + k)) % 11 - 5) / 8.0) AS z FROM h CROSS JOIN (SELECT range AS m FROM range(2)) ms GROUP BY loop_id, k, tonic, m),
   y AS (SELECT loop_id, k, key_ix, z - max(z) OVER w AS y FROM z WINDOW w AS (PARTITION BY loop_id, k)), p AS (SELECT loop_id, k, key_ix, y - ln(sum(exp(y)) OVER (PARTITION BY loop_id, k)) AS p FROM y)
@@ -414,7 +452,7 @@ NETWORK = STATS + """, x AS (SELECT loop_id, fx, pc, (value - avg(value) OVER (P
 
 def _statistic_vectors(x: Tables) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, FEATURES)), L("feature"))
-    rows = midi.statistics(x.notes).groupBy("loop_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("f"), "pc", "value"))).alias("s"))
+    rows = midi.all_statistics(x.notes).groupBy("loop_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("f"), "pc", "value"))).alias("s"))
     return rows.select("loop_id", F.transform("s", lambda s: s["value"] / 1000).alias("values"))
 
 
