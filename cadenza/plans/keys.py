@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import audio, edits as e, midi, ranking, scoring
+from ..operators import analysis, audio, edits as e, midi, ranking, scoring
 from .adapters import Tables, query
 
 L = F.col
@@ -477,6 +477,63 @@ def m6_keys(x: Tables) -> DataFrame:
     return scores.groupBy("loop_id").agg(F.count("*").alias("keys"), F.round(F.sum(F.exp("logp")), 1).alias("total"))
 
 
+#: Loops with samples and loops with MIDI events overlap; a fifth of the samples are silent.
+SAMPLED = "SELECT vec_id AS loop_id, vec_id, embedding FROM {embeddings} e"
+SILENT = "vec_id % 5 = 0"
+PAIRED = "(" + EVENTS + " SELECT loop_id, row_number() OVER (PARTITION BY loop_id ORDER BY track, seq) AS note_ord, start_tick, tick AS end_tick, pitch, channel FROM p WHERE kind = 'off' AND before_ = 'on')"
+
+#: Log probabilities of the audible loops: frames of 32 values, 16 apart, through all 36 descriptors and two networks, as al.
+_BANDS = F2_FRAMES.removeprefix("WITH ").replace("FROM embeddings)", f"FROM embeddings WHERE NOT ({SILENT}))").split("  SELECT vec_id AS loop_id")[0]
+_FRAMED = _BANDS + ", framed AS (SELECT vec_id AS loop_id, frame_ix, 3 AS n_frames, k AS band, mag FROM m WHERE k < 252)"
+
+
+def network_sql(inputs: str, features: str) -> str:
+    """Log probabilities (loop_id, key_ix, p by network k) of the synthetic networks, as CTEs from rows (loop_id, fx, pc, v) of features."""
+    return f"""{features} AS ({inputs}), nx AS (SELECT loop_id, fx, pc, (v - avg(v) OVER (PARTITION BY loop_id, fx)) / (0.125 + 0.015625 * fx) AS v FROM {features}),
+  nh AS (SELECT loop_id, k, tonic, hh, greatest(sum(v * ((((fx * 12 + (pc - tonic + 12) % 12) * 3 + hh) * (37 + 16 * k)) % 101 - 50) / 128.0) + hh * 0.125 - 0.125, 0) AS a FROM nx CROSS JOIN (SELECT range AS tonic FROM range(12)) t CROSS JOIN (SELECT range AS hh FROM range(3)) q CROSS JOIN (SELECT range AS k FROM range(2)) ks GROUP BY loop_id, k, tonic, hh),
+  nz AS (SELECT loop_id, k, tonic + 12 * m AS key_ix, CASE m WHEN 0 THEN 0.0625 ELSE -0.0625 END + sum(a * (((hh * 2 + m) * (13 + k)) % 11 - 5) / 8.0) AS z FROM nh CROSS JOIN (SELECT range AS m FROM range(2)) ms GROUP BY loop_id, k, tonic, m),
+  ny AS (SELECT loop_id, k, key_ix, z - max(z) OVER w AS y FROM nz WINDOW w AS (PARTITION BY loop_id, k)), np AS (SELECT loop_id, k, key_ix, y - ln(sum(exp(y)) OVER (PARTITION BY loop_id, k)) AS p FROM ny)"""
+
+
+AUDIO_NETWORK = f"WITH {_FRAMED}, " + ALL_DESCRIPTORS.removeprefix("WITH ").replace("{frames_long} f", "framed f") + ", " + network_sql("SELECT loop_id, place // 12 AS fx, place % 12 AS pc, v FROM dv", "fv") + " SELECT loop_id, key_ix, avg(p) AS audio FROM np GROUP BY ALL"
+SCORED = f"""WITH loud AS ({AUDIO_NETWORK}), played AS ({LOGP.replace("{notes} x", PAIRED + " x")} SELECT loop_id, key_ix, logp AS midi FROM p), lps AS (SELECT DISTINCT loop_id FROM ({SAMPLED}) s UNION SELECT DISTINCT loop_id FROM {{midi_events}} n),
+  both_ AS (SELECT coalesce(u.loop_id, d.loop_id) AS loop_id, coalesce(u.key_ix, d.key_ix) AS key_ix, d.loop_id IS NOT NULL AS uses_midi, CASE WHEN audio IS NULL THEN midi WHEN midi IS NULL THEN audio ELSE (audio + midi) / 2 END AS z FROM loud u FULL OUTER JOIN played d ON d.loop_id = u.loop_id AND d.key_ix = u.key_ix),
+  lp AS (SELECT *, z - max(z) OVER w - ln(sum(exp(z - max_)) OVER w) AS logp FROM (SELECT *, max(z) OVER (PARTITION BY loop_id) AS max_ FROM both_) b WINDOW w AS (PARTITION BY loop_id)),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY loop_id ORDER BY round(logp, 9) DESC, key_ix) AS rank, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][CAST(key_ix % 12 + 1 AS INT)] AS key, CASE WHEN key_ix < 12 THEN 'Major' ELSE 'Minor' END AS mode FROM lp)"""
+SUGGESTED = SCORED + """ SELECT loop_id, CAST(rank AS BIGINT) AS rank, key, mode, round(exp(logp), 4) + 0.0 AS probability, uses_midi, '' AS error_code FROM rk WHERE rank <= 3
+  UNION ALL SELECT loop_id, 0, '', '', 0.0, false, CASE WHEN loop_id IN (SELECT vec_id FROM embeddings) THEN 'silent_audio' ELSE 'no_audio' END FROM lps WHERE loop_id NOT IN (SELECT loop_id FROM both_)"""
+
+
+def _evidence(x: Tables) -> tuple:
+    """samples, notes, networks, model, deviations, bias: what keys are scored from."""
+    samples = x.sql(SAMPLED).select("loop_id", F.transform("embedding", lambda v: F.when(F.expr(SILENT), F.lit(0.0)).otherwise(v.cast("double"))).alias("samples"))
+    return samples, midi.paired_notes(x.midi_events), synthetic_networks(36), model(x), deviations(x), BIAS
+
+
+SHORT_FRAMES = {"frame": 32, "hop": 16, "rate": F2_RATE, "precision": "double"}
+
+
+@query("m7_suggested", SUGGESTED)
+def m7_suggested(x: Tables) -> DataFrame:
+    """From samples and notes to suggestions: descriptors and networks on one side, statistics and the linear model on the other, and a row with an error for each loop without either."""
+    evidence = _evidence(x)
+    loops = evidence[0].select("loop_id").union(x.midi_events.select("loop_id")).distinct()
+    out = analysis.suggested(loops, *evidence, **SHORT_FRAMES)
+    out = out.select("loop_id", L("rank").cast("bigint").alias("rank"), "key", "mode", (F.round("probability", 4) + 0.0).alias("probability"), "uses_midi", "error_code")
+    return out.fillna(0, ["rank", "probability"]).fillna("", ["key", "mode", "error_code"]).fillna(False, ["uses_midi"])
+
+
+@query("a7_agreement_by_midi", SCORED + """, c AS (SELECT rk.*, d.key_ AS tag_key, d.mode_ AS tag_mode FROM rk JOIN {disk} d ON d.loop_id = rk.loop_id WHERE d.key_ <> '' AND d.mode_ IN ('Major', 'Minor')),
+  ag AS (SELECT uses_midi, loop_id, max(CASE WHEN rank = 1 AND key = tag_key THEN 1 ELSE 0 END) AS t, max(CASE WHEN rank = 1 AND key = tag_key AND mode = tag_mode THEN 1 ELSE 0 END) AS b, max(CASE WHEN rank <= 3 AND key = tag_key THEN 1 ELSE 0 END) AS h, max(CASE WHEN rank = 1 THEN exp(logp) END) AS p FROM c GROUP BY ALL)
+  SELECT uses_midi, count(*) AS loops, round(avg(t), 6) AS tonic, round(avg(b), 6) AS both, round(avg(h), 6) AS top3, round(avg(p), 4) AS confidence FROM ag GROUP BY uses_midi""")
+def a7_by_midi(x: Tables) -> DataFrame:
+    """Agreement of suggestions from samples and notes with the tags, for loops with notes and without."""
+    scores = analysis.analysed(*_evidence(x), **SHORT_FRAMES).withColumn("logp", F.round("logp", 9))
+    tags = x.disk.select("loop_id", L("key_").alias("tag_key"), L("mode_").alias("tag_mode"))
+    out = ranking.agreement(ranking.compared(ranking.ranked(scoring.probabilities(scores)), tags), "uses_midi")
+    return out.select("uses_midi", "loops", *(F.round(c, 6).alias(c) for c in ("tonic", "both", "top3")), F.round("confidence", 4).alias("confidence"))
+
+
 def flagship(x: Tables) -> DataFrame:
     """The three likeliest keys of each loop from its notes."""
     return w5(x)

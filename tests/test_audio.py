@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import audio, midi, scoring
+from cadenza.operators import analysis, audio, midi, scoring
 from cadenza.sources import smf
 
 
@@ -167,3 +167,27 @@ def test_bass_line_takes_notes_of_no_length_only_in_silence(spark):
     got = {(r.onset, r.note_ord) for r in midi.sounding(notes).collect()}
     assert got == {(0, 1), (50, 1), (200, 3)}
     assert midi.statistics(notes.where("channel = 9")).count() == 0
+
+
+def test_samples_and_notes_lead_to_suggestions_or_errors(spark):
+    """Loop 1 has both kinds of evidence, 2 samples only, 3 notes only and silence, 4 silence, 5 drums only and no samples, 6 empty samples."""
+    rng = np.random.default_rng(5)
+    nets = scoring.Networks(np.ones(36), [(rng.normal(size=(432, 4)), rng.normal(size=4), rng.normal(size=(4, 2)), np.zeros(2)) for _ in range(2)])
+    loop = chords_loop().tolist()
+    samples = spark.createDataFrame([(1, loop), (2, loop), (3, [0.0] * 100), (4, [0.0] * 100), (6, [])], "loop_id long, samples array<float>")
+    notes = spark.createDataFrame([(1, 1, 0, 9, 60, 0), (3, 1, 0, 9, 60, 0), (5, 1, 0, 9, 60, 9)], "loop_id long, note_ord long, start_tick long, end_tick long, pitch long, channel long")
+    model = spark.createDataFrame([(f, o, m, float((i * 7 + o) % 5)) for i, f in enumerate(STATISTICS) for o in range(12) for m in ("Major", "Minor")], "feature string, offset int, mode string, weight double")
+    std = spark.createDataFrame([(f, 0.5) for f in STATISTICS], "feature string, std double")
+    loops = spark.range(1, 7).withColumnRenamed("id", "loop_id")
+    evidence = (samples, notes, nets, model, std, (0.1, -0.1))
+    rows = analysis.suggested(loops, *evidence).collect()
+    assert {(r.loop_id, r.error_code) for r in rows if r.error_code} == {(4, "silent_audio"), (5, "no_audio"), (6, "silent_audio")}
+    assert {(r.loop_id, r["rank"], r.uses_midi) for r in rows if not r.error_code} == {(i, k, i != 2) for i in (1, 2, 3) for k in (1, 2, 3)}
+    scores = {(r.loop_id, r.key_ix): r.logp for r in analysis.analysed(*evidence).collect()}
+    alone = {r.key_ix: r.logp for r in analysis.midi_scores(notes, model, std, (0.1, -0.1)).where("loop_id = 3").collect()}
+    wide = audio.descriptors_of_samples(samples.where("loop_id = 2")).first()
+    heard = nets.log_p(np.array([wide[audio.column_of(n)] for n in audio.NAMES])[None])[0]
+    mean = np.array([(heard[k] + alone[k]) / 2 for k in range(24)])
+    mean -= np.log(np.exp(mean).sum())
+    for k in range(24):
+        assert scores[2, k] == pytest.approx(heard[k], abs=1e-6) and scores[3, k] == pytest.approx(alone[k]) and scores[1, k] == pytest.approx(mean[k], abs=1e-6)
