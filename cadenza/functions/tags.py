@@ -62,12 +62,17 @@ def join_descriptors(words: Column, separator: str = ", ") -> Column:
     return F.array_join(words, separator)
 
 
-def natural_key(name: Column) -> Column:
-    """Sorts names without regard to case and digit runs by value.
+#: The order of names where no language is named: the Unicode collation algorithm's own.
+COLLATION = "UNICODE"
 
-    Platforms' own comparisons also know accents and punctuation of a locale; this key does not.
+
+def natural_key(name: Column, collation: str = COLLATION) -> Column:
+    """Sorts names as a file browser does: digit runs by value, the rest by a collation, which looks at letters first, then at accents, then at case.
+
+    The collation is one of Spark's (UNICODE, or that of a language such as de or sv). A digit run is written with its number of digits before it, so that the
+    collation compares runs by value.
     """
-    parts = F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    parts = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     number = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
     ranked = lambda n: F.concat(F.lpad(F.length(n).cast("string"), 10, "0"), n)  # a run with more digits comes later
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), ranked(number(x))).otherwise(x)), "")
+    return F.collate(F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), ranked(number(x))).otherwise(x)), ""), collation)

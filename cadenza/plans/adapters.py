@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.ranges import write_path
-from .shared import out_folder
+from ..sources.shared import out_folder
 
 LOOPS = """
 SELECT CAST(p.p_partkey AS BIGINT) AS loop_id, p.p_brand AS pack,

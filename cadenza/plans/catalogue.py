@@ -8,7 +8,7 @@ from ..functions import tags as t, vocabulary as v
 from ..operators import edits as e
 from ..sources import containers, files, smf
 from .adapters import Tables, ascii_, be, chunk, path_in, query, written
-from .shared import out_folder, settled
+from ..sources.shared import out_folder, settled
 
 L = F.col
 

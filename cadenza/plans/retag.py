@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import edits as e
 from ..sources import containers, files, rewrite
 from .adapters import Tables, path_in, query, written
-from .shared import settled
+from ..sources.shared import settled
 
 L = F.col
 
@@ -224,6 +224,4 @@ def w6(x: Tables) -> DataFrame:
 
     own = x.loops.join(x.edits.select("loop_id", F.lit(True).alias("edited")), "loop_id", "left")
     own = own.withColumns({"bpm": t.tempo(L("beat_count"), L("n_frames") / L("sample_rate")), "file_type": L("container"), "has_midi": L("loop_id") % 3 != 2, "has_changes": L("edited").isNotNull()})
-    orders = (("name", False), ("type", False), ("midi", False), ("bpm", True), ("changes", True))
-    out = [ranking.places(own, by, down).select(F.lit(by).alias("by_"), "place", "loop_id") for by, down in orders]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+    return ranking.places(own, {"name": False, "type": False, "midi": False, "bpm": True, "changes": True})
