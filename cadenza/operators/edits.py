@@ -41,18 +41,48 @@ def common_flag(value: str) -> Column:
     return F.when(F.min(F.col(value)) == F.max(F.col(value)), F.min(F.col(value)))
 
 
-def shared_descriptors(descriptors: DataFrame, members: DataFrame, group: str, on: str, word: str) -> DataFrame:
-    """Per group the words that every member has, as a sorted array. Groups without such a word have no row.
+def word_mask(words: Column) -> Column:
+    """The vocabulary's words in an array, as bits: one for each of the 18."""
+    return sum((F.when(F.array_contains(words, w), 1 << i).otherwise(0) for i, w in enumerate(v.DESCRIPTORS)), F.lit(0)).cast("bigint")
 
-    Counting words against members needs no group in one task.
+
+def words_of(mask: Column) -> Column:
+    """The vocabulary's words of a mask, in their own order."""
+    return F.filter(F.array(*(F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, w) for i, w in enumerate(v.DESCRIPTORS))), lambda w: w.isNotNull())
+
+
+def extra_words(words: Column) -> Column:
+    """Words outside the vocabulary, each once, sorted."""
+    return F.array_sort(F.array_except(words, F.array(*map(F.lit, v.DESCRIPTORS))))
+
+
+def _no_words() -> Column:
+    return F.array().cast("array<string>")
+
+
+def shared_descriptors(loops: DataFrame, group: str, words: str = "descriptors") -> DataFrame:
+    """(group, shared): the words that every loop of a group has, sorted; loops has one row a loop, null words being none.
+
+    Words of the vocabulary are bits that bit_and keeps, so that a group is one number in each task. Of other words those of the loop that has fewest can be shared;
+    where there are any, a second pass finds those that some loop lacks, as bits too.
     """
-    sizes = members.groupBy(group).agg(F.count_distinct(on).alias("members"))
-    words = descriptors.select(on, word).distinct().join(members.select(group, on).distinct(), on).groupBy(group, word).agg(F.count("*").alias("n"))
-    return words.join(sizes, group).where("n = members").groupBy(group).agg(F.sort_array(F.collect_set(word)).alias("shared"))
+    own = loops.select(group, F.coalesce(F.col(words), _no_words()).alias("w")).select(group, word_mask(F.col("w")).alias("mask"), extra_words(F.col("w")).alias("extras"))
+    fewest = F.min_by("extras", F.struct(F.size("extras"), "extras"))
+    groups = own.groupBy(group).agg(F.bit_and("mask").alias("mask"), fewest.alias("candidates"))
+    # a bit for each candidate, as many numbers as they need
+    lacks = lambda at: F.aggregate(F.slice("candidates", at * 62 + 1, 62), F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("bits")), lambda acc, w: F.struct((acc["i"] + 1).alias("i"), F.when(F.array_contains("extras", w), acc["bits"]).otherwise(acc["bits"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), acc["i"]))).alias("bits")), lambda acc: acc["bits"])
+    open_ = groups.where(F.size("candidates") > 0).select(F.col(group).alias("g_"), "candidates")
+    checked = own.join(open_, F.col(group) == F.col("g_")).select(group, "extras", "candidates", F.explode(F.sequence(F.lit(0), F.floor((F.size("candidates") - 1) / 62).cast("int"))).alias("at"))
+    lacking = checked.select(group, "at", F.slice("candidates", F.col("at") * 62 + 1, F.lit(62)).alias("part"), lacks(F.col("at")).alias("bits")).groupBy(group, "at", "part").agg(F.bit_or("bits").alias("bits"))
+    left = F.transform(F.filter(F.transform("part", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["i"])) == 0), lambda x: x["w"])
+    extras = lacking.select(F.col(group).alias("g_"), left.alias("left")).groupBy("g_").agg(F.flatten(F.collect_list("left")).alias("left"))
+    both = groups.join(extras, F.col(group) == F.col("g_"), "left")
+    return both.select(group, F.array_sort(F.concat(words_of(F.col("mask")), F.coalesce("left", _no_words()))).alias("shared"))
 
 
 def same_words(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_distinct(a)).eqNullSafe(F.array_sort(F.array_distinct(b)))
+    """Whether two arrays have the same words, whatever their order: equal masks and equal extras."""
+    return word_mask(a).eqNullSafe(word_mask(b)) & extra_words(a).eqNullSafe(extra_words(b))
 
 
 def is_canonical(stored: Column) -> Column:
@@ -70,6 +100,13 @@ def field_changes(disk: str = "disk", pending: str = "pending") -> dict[str, Col
     return out
 
 
+def sparse_edit(changes: dict[str, Column], pending: str = "pending") -> Column:
+    """The edit that takes the file to its pending values: a struct of seven fields, null where nothing differs. Descriptors are in their stored order."""
+    p = F.col(pending)
+    value = {f: p[f] for f in changes} | {"descriptors": descriptor_order(p["descriptors"])}
+    return F.struct(*(F.when(changes[f], value[f]).alias(f) for f in changes))
+
+
 def any_change(changes: dict[str, Column]) -> Column:
     out = F.lit(False)
     for c in changes.values():
@@ -79,8 +116,7 @@ def any_change(changes: dict[str, Column]) -> Column:
 
 def descriptor_order(words: Column) -> Column:
     """Vocabulary words in their own order, then others sorted."""
-    known = F.array(*map(F.lit, v.DESCRIPTORS))
-    return F.concat(F.array_intersect(known, words), F.array_sort(F.array_except(words, known)))
+    return F.concat(words_of(word_mask(words)), extra_words(words))
 
 
 def set_unless_one_shot(selected: Column, one_shot: Column, value: Column, old: Column) -> Column:

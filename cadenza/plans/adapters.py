@@ -146,9 +146,9 @@ class Tables:
         return files_of(self.loops, self.words)
 
 
-def written(files: DataFrame, name: str = "library") -> str:
-    """A new shared folder with a file for each row (path from the root, content); tasks write them, and a repeated task writes the same."""
-    folder = out_folder(files.sparkSession, name)
+def written(files: DataFrame, name: str = "library", folder: str | None = None) -> str:
+    """A shared folder, new unless it is given, with a file for each row (path from the root, content); tasks write them, and a repeated task writes the same."""
+    folder = folder or out_folder(files.sparkSession, name)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import tags as t, vocabulary as v
-from ..operators import edits as e
-from ..sources import containers, files, smf
+from ..operators import edits as e, ranking
+from ..sources import containers, files, rewrite, saved, smf
+from . import keys
 from .adapters import Tables, ascii_, be, chunk, path_in, query, written
 from ..sources.shared import out_folder, settled
 
@@ -144,18 +145,36 @@ def smf_files(events: DataFrame) -> DataFrame:
 
 @query("s12_saved", "SELECT CASE WHEN error_code IS NULL THEN container END AS container, error_code, count(*) AS files FROM {loops} l JOIN {faults} f ON f.loop_id = l.loop_id GROUP BY ALL")
 def s12(x: Tables) -> DataFrame:
-    folder = save(_tags(x), out_folder(x.spark, "catalogue"))
-    read = lambda name: x.spark.read.parquet(f"{folder}/{name}")
-    ok = read("tags").select(L("container").cast("string").alias("container"), F.lit(None).cast("string").alias("error_code"))
-    bad = read("failures").select(F.lit(None).cast("string").alias("container"), "error_code")
-    return ok.unionByName(bad).groupBy("container", "error_code").agg(F.count("*").alias("files"))
-
-
-def save(catalogue: DataFrame, folder: str) -> str:
-    """Write the tags, partitioned by container, and the failures."""
-    catalogue.where("error_code is null").write.partitionBy("container").parquet(f"{folder}/tags")
-    catalogue.where("error_code is not null").select("path", "error_code", "error_detail").write.parquet(f"{folder}/failures")
-    return folder
+    root, folder = written(x.files), out_folder(x.spark, "catalogue")
+    saved.refresh(folder, 1, files.listing(x.spark, root))
+    ok = saved.saved(x.spark, folder, saved.TAGS).select(L("container").cast("string").alias("container"), F.lit(None).cast("string").alias("error_code"))
+    bad = saved.saved(x.spark, folder, saved.FAILURES).select(F.lit(None).cast("string").alias("container"), "error_code")
+    return settled(ok.unionByName(bad).groupBy("container", "error_code").agg(F.count("*").alias("files")), "s12", root, folder)
+
+
+#: The files at a second save: a tenth are gone, a tenth have been retagged.
+GONE, RETAGGED = "loop_id % 10 = 0", "loop_id % 10 = 1"
+
+
+@query("s12_saved_again", keys.RANKED + f""" SELECT l.loop_id, coalesce(f.error_code, '') AS error_code, CASE WHEN f.error_code IS NOT NULL THEN '' WHEN l.{RETAGGED} THEN 'Strings' ELSE d.category END AS category,
+  CASE WHEN f.error_code IS NULL THEN coalesce(r.key, '') ELSE '' END AS suggested FROM {{loops}} l JOIN {{faults}} f ON f.loop_id = l.loop_id JOIN {{disk}} d ON d.loop_id = l.loop_id LEFT JOIN r ON r.loop_id = l.loop_id AND rank = 1 WHERE NOT (l.{GONE})""")
+def s12_again(x: Tables) -> DataFrame:
+    """A library saved with its suggestions, then changed and saved once more, that batch twice."""
+    root, folder = written(x.files), out_folder(x.spark, "catalogue")
+    best = ranking.suggestions(keys.candidates(x), 1).join(x.paths, "loop_id").select("path", "rank", "key", "mode", "probability")
+    suggest = lambda read: read.select("path", path_in(root).alias("at")).join(best.withColumnRenamed("path", "at"), "at").drop("at")
+    saved.refresh(folder, 1, files.listing(x.spark, root), suggest)
+    none = F.lit(None)
+    edits = x.paths.where(RETAGGED).select("loop_id", "path", F.lit("Strings").alias("category"), *(none.cast("string").alias(c) for c in ("subcategory", "genre", "key", "mode")), none.cast("array<string>").alias("descriptors"), none.cast("boolean").alias("one_shot"))
+    done = rewrite.rewrite(x.files.drop("path").join(edits, "loop_id")).where("new_content is not null")
+    written(done.select("path", L("new_content").alias("content")), folder=root)
+    still = files.listing(x.spark, root).withColumn("at", path_in(root)).join(x.paths.where(f"not ({GONE})").select(L("path").alias("at")), "at", "left_semi").drop("at")
+    for _ in range(2):
+        saved.refresh(folder, 2, still, suggest)
+    tags, failures, suggestions = (saved.saved(x.spark, folder, name) for name in (saved.TAGS, saved.FAILURES, saved.SUGGESTIONS))
+    rows = tags.select("path", F.lit("").alias("error_code"), "category").unionByName(failures.select("path", "error_code", F.lit("").alias("category")))
+    rows = rows.join(suggestions.select("path", L("key").alias("suggested")), "path", "left").withColumn("path", path_in(root)).join(x.paths, "path")
+    return settled(rows.select("loop_id", "error_code", "category", F.coalesce("suggested", F.lit("")).alias("suggested")), "s12", root, folder)
 
 
 @query("p1_file_name", f"""WITH p AS ({PATHS}), n AS (SELECT loop_id, regexp_extract(path, '([^/]*)$', 1) AS name FROM p)

@@ -105,7 +105,7 @@ def _logp(x: Tables) -> DataFrame:
     return scoring.log_softmax(scoring.linear_scores(_scaled(x), model(x), BIAS))
 
 
-def _candidates(x: Tables) -> DataFrame:
+def candidates(x: Tables) -> DataFrame:
     # scores are rounded before they are ranked, so that sums in another order rank alike
     return scoring.probabilities(_logp(x).withColumn("logp", F.round("logp", 9)))
 
@@ -144,12 +144,12 @@ def m8(x: Tables) -> DataFrame:
 
 @query("w4_ranked", RANKED + " SELECT loop_id, CAST(rank AS BIGINT) AS rank, key, mode FROM r")
 def w4(x: Tables) -> DataFrame:
-    return ranking.ranked(_candidates(x)).select("loop_id", L("rank").cast("bigint").alias("rank"), "key", "mode")
+    return ranking.ranked(candidates(x)).select("loop_id", L("rank").cast("bigint").alias("rank"), "key", "mode")
 
 
 @query("w5_suggestions", RANKED + " SELECT loop_id, CAST(rank AS BIGINT) AS rank, key, mode, round(probability, 4) + 0.0 AS probability, probability < 0.3 AS is_uncertain FROM r WHERE rank <= 3")
 def w5(x: Tables) -> DataFrame:
-    return ranking.suggestions(_candidates(x)).select("loop_id", L("rank").cast("bigint").alias("rank"), "key", "mode", (F.round("probability", 4) + 0.0).alias("probability"), "is_uncertain")
+    return ranking.suggestions(candidates(x)).select("loop_id", L("rank").cast("bigint").alias("rank"), "key", "mode", (F.round("probability", 4) + 0.0).alias("probability"), "is_uncertain")
 
 
 JOINED = RANKED + ", c AS (SELECT r.*, d.pack, d.key_ AS tag_key, d.mode_ AS tag_mode FROM r JOIN {disk} d ON d.loop_id = r.loop_id WHERE key_ <> '' AND mode_ IN ('Major', 'Minor'))"
@@ -157,7 +157,7 @@ JOINED = RANKED + ", c AS (SELECT r.*, d.pack, d.key_ AS tag_key, d.mode_ AS tag
 
 def _compared(x: Tables) -> DataFrame:
     tags = x.disk.select("loop_id", "pack", L("key_").alias("tag_key"), L("mode_").alias("tag_mode"))
-    return ranking.compared(ranking.ranked(_candidates(x)), tags)
+    return ranking.compared(ranking.ranked(candidates(x)), tags)
 
 
 @query("j7_compared", JOINED + " SELECT loop_id, key, mode, tag_key, tag_mode FROM c WHERE rank = 1")
@@ -175,7 +175,7 @@ def a7(x: Tables) -> DataFrame:
 
 @query("e8_apply_suggestion", RANKED + " SELECT d.loop_id, CASE WHEN NOT one_shot AND r.key IS NOT NULL THEN r.key ELSE key_ END AS key, CASE WHEN NOT one_shot AND r.key IS NOT NULL THEN r.mode ELSE mode_ END AS mode FROM {disk} d LEFT JOIN r ON r.loop_id = d.loop_id AND rank = 1")
 def e8(x: Tables) -> DataFrame:
-    best = ranking.suggestions(_candidates(x), 1).select("loop_id", "key", "mode")
+    best = ranking.suggestions(candidates(x), 1).select("loop_id", "key", "mode")
     own = x.disk.join(best, "loop_id", "left")
     known = L("key").isNotNull()
     return own.select("loop_id", e.set_unless_one_shot(known, L("one_shot"), L("key"), L("key_")).alias("key"), e.set_unless_one_shot(known, L("one_shot"), L("mode"), L("mode_")).alias("mode"))

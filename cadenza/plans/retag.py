@@ -50,18 +50,19 @@ def j3(x: Tables) -> DataFrame:
 @query("a1_common_values", f"""WITH s AS (SELECT d.* FROM {{disk}} d JOIN ({CHOSEN}) c ON c.loop_id = d.loop_id)
   SELECT pack, CASE WHEN min(key_) = max(key_) THEN CASE WHEN min(key_) = '' THEN '(None)' ELSE min(key_) END ELSE '(Multiple)' END AS key,
   CASE WHEN min(genre) = max(genre) THEN CASE WHEN min(genre) = '' THEN '(None)' ELSE min(genre) END ELSE '(Multiple)' END AS genre,
-  CASE WHEN min(category) = max(category) THEN nullif(min(category), '') END AS category, CASE WHEN min(one_shot) = max(one_shot) THEN CAST(min(one_shot) AS STRING) END AS one_shot FROM s GROUP BY pack""")
+  CASE WHEN min(mode_) = max(mode_) THEN CASE WHEN min(mode_) = '' THEN '(None)' ELSE min(mode_) END ELSE '(Multiple)' END AS scale,
+  CASE WHEN min(category) = max(category) THEN nullif(min(category), '') END AS category, CASE WHEN min(subcategory) = max(subcategory) THEN nullif(min(subcategory), '') END AS subcategory, CASE WHEN min(one_shot) = max(one_shot) THEN CAST(min(one_shot) AS STRING) END AS one_shot FROM s GROUP BY pack""")
 def a1(x: Tables) -> DataFrame:
     own = e.chosen(x.disk, _chosen(x), "loop_id")
-    return own.groupBy("pack").agg(e.common_value("key_").alias("key"), e.common_value("genre").alias("genre"), e.common_value("category", None).alias("category"), e.common_flag("one_shot").cast("string").alias("one_shot"))
+    return own.groupBy("pack").agg(e.common_value("key_").alias("key"), e.common_value("genre").alias("genre"), e.common_value("mode_").alias("scale"), e.common_value("category", None).alias("category"), e.common_value("subcategory", None).alias("subcategory"), e.common_flag("one_shot").cast("string").alias("one_shot"))
 
 
 @query("a2_shared_descriptors", """WITH m AS (SELECT loop_id, loop_id % 40 AS grp FROM {loops} l), n AS (SELECT grp, count(*) AS n FROM m GROUP BY grp),
   w AS (SELECT grp, descriptor, count(*) AS k FROM m JOIN {loop_descriptors} d ON d.loop_id = m.loop_id GROUP BY ALL)
   SELECT w.grp, string_agg(descriptor, ',' ORDER BY descriptor) AS shared FROM w JOIN n ON n.grp = w.grp WHERE k = n GROUP BY w.grp""")
 def a2(x: Tables) -> DataFrame:
-    members = x.loops.select("loop_id", (L("loop_id") % 40).alias("grp"))
-    return e.shared_descriptors(x.loop_descriptors, members, "grp", "loop_id", "descriptor").select("grp", F.array_join("shared", ",").alias("shared"))
+    loops = x.loops.select("loop_id", (L("loop_id") % 40).alias("grp")).join(x.words, "loop_id", "left")
+    return e.shared_descriptors(loops, "grp").where(F.size("shared") > 0).select("grp", F.array_join("shared", ",").alias("shared"))
 
 
 CHANGES = f"""SELECT loop_id, pack, category IS DISTINCT FROM disk_category AS c_category, genre IS DISTINCT FROM disk_genre AS c_genre, key_ IS DISTINCT FROM disk_key AS c_key, mode_ IS DISTINCT FROM disk_mode AS c_mode,
@@ -82,12 +83,19 @@ def e1(x: Tables) -> DataFrame:
     return own.select("loop_id", e.any_change(changes).alias("has_changes"))
 
 
+#: Pending words in the order in which they are stored.
+PENDING_WORDS = """SELECT l.loop_id, string_agg(descriptor, ',' ORDER BY ix) AS words FROM {loops} l LEFT JOIN (SELECT loop_id, descriptor FROM {loop_descriptors} d WHERE NOT (loop_id % 3 = 2 AND descriptor = 'Clean') UNION ALL SELECT loop_id, 'Fill' FROM {loops} k WHERE loop_id % 3 = 0) w ON w.loop_id = l.loop_id
+  LEFT JOIN (VALUES (0,'Grooving'),(1,'Part'),(2,'Single'),(3,'Melodic'),(4,'Clean'),(5,'Electric'),(8,'Dry'),(13,'Dark'),(15,'Fill'),(99,'Vintage')) AS o(ix, name) ON o.name = w.descriptor GROUP BY l.loop_id"""
+
+
 @query("e2_sparse", f"""SELECT c.loop_id, CASE WHEN c_category THEN category END AS category, CASE WHEN c_genre THEN genre END AS genre, CASE WHEN c_key THEN key_ END AS key, CASE WHEN c_mode THEN mode_ END AS mode,
-  CASE WHEN c_one_shot THEN 'true' END AS one_shot FROM ({CHANGES}) c JOIN ({PENDING}) p ON p.loop_id = c.loop_id""")
+  CASE WHEN c_one_shot THEN 'true' END AS one_shot, CASE WHEN c_subcategory THEN disk_subcategory END AS subcategory, CASE WHEN c_words THEN coalesce(pw.words, '') END AS descriptors
+  FROM ({CHANGES}) c JOIN ({PENDING}) p ON p.loop_id = c.loop_id LEFT JOIN ({PENDING_WORDS}) pw ON pw.loop_id = c.loop_id""")
 def e2(x: Tables) -> DataFrame:
+    """All seven fields: those that differ, null otherwise; descriptors in the order in which they are stored."""
     own, changes = _changes(x)
-    kept = [F.when(changes[f], L("pending")[f]).cast("string").alias(f) for f in ("category", "genre", "key", "mode", "one_shot")]
-    return own.select("loop_id", *kept)
+    kept = [L(f"edit.{f}").cast("string").alias(f) for f in ("category", "genre", "key", "mode", "one_shot", "subcategory")]
+    return own.withColumn("edit", e.sparse_edit(changes)).select("loop_id", *kept, F.array_join("edit.descriptors", ",").alias("descriptors"))
 
 
 @query("a3_unsaved", f"SELECT pack, bool_or{ANY} AS unsaved FROM ({CHANGES}) c GROUP BY pack")
