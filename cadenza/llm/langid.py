@@ -58,6 +58,10 @@ def in_parts(words: list[str]) -> list[str]:
     return [w[i : i + CHUNK] for w in words for i in range(0, len(w), CHUNK)]
 
 
+#: Probabilities below this are computed with scaling.
+LEAST_P = 1e-250
+
+
 class Pieces:
     """Where the pieces of a vocabulary occur in words."""
 
@@ -116,10 +120,14 @@ class Pieces:
         short = [i for i, w in enumerate(words) if len(w) <= CHUNK]
         if short:
             own = [words[i] for i in short]
-            alpha = self.forward(own, theta)
-            out[short] = np.log(np.maximum(alpha[np.arange(len(own)), [len(w) + 1 for w in own]], 1e-300))
+            whole = self.forward(own, theta)[np.arange(len(own)), [len(w) + 1 for w in own]]
+            out[short] = np.log(np.maximum(whole, LEAST_P))
+            # numbers too small to be exact: the path that scales them
+            small = {short[i] for i in np.flatnonzero((whole <= LEAST_P).any(axis=1))}
+        else:
+            small = set()
         for i, w in enumerate(words):
-            if len(w) > CHUNK:
+            if len(w) > CHUNK or i in small:
                 out[i] = self.long_log_p(w, theta)
         return out
 
