@@ -16,7 +16,9 @@ import hashlib
 import heapq
 import json
 import struct
+import sys
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,47 @@ from .common import text_batches
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
+# Fixed values of Unicode 16, whose classes the tokenizers library has: letters and digits that are not yet in version 15.1, which is Python's.
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+]
+# Small letters that the library gives and Python's tables do not have; ranges are shifted as a whole.
+SMALL = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB),
+    (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+SMALL_OF = {c: to + c - first for first, last, to in SMALL for c in range(first, last + 1)}
+
+
+@lru_cache(maxsize=1)
+def newer_letters() -> frozenset[str]:
+    """Characters that regex, whose tables are newer, takes for letters or digits, and that the library's tables do not have."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    known = {c for first, last in LETTERS_16 for c in range(first, last + 1)}
+    return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn" and ord(c) not in known)
+
+
+def _class(characters: frozenset[str]) -> str:
+    """The inside of a class of these characters, as ranges."""
+    codes = sorted(map(ord, characters))
+    starts = [i for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    return "".join(f"\\U{codes[i]:08X}-\\U{codes[j - 1]:08X}" for i, j in zip(starts, [*starts[1:], len(codes)], strict=True))
+
+
+@lru_cache(maxsize=1)
+def older_split() -> regex.Pattern:
+    """SPLIT in the library's classes, for the rare texts where that makes a difference."""
+    newer = _class(newer_letters())
+    split = SPLIT.replace(r"[\p{L}]+|[\p{N}]", rf"[\p{{L}}--[{newer}]]+|[\p{{N}}--[{newer}]]").replace(r"[^\s\p{L}\p{N}]+", rf"[[^\s\p{{L}}\p{{N}}]||[{newer}]]+")
+    return regex.compile(split, regex.V1)
+
+
+class NewerLetter(ValueError):
+    """A word has a character that the library's tables class or lower-case otherwise."""
+
+
 #: Words whose encodings a worker keeps; the memory is emptied when it is full.
 CACHE_WORDS = 400_000
 CACHE_LENGTH = 64
@@ -59,6 +102,7 @@ class Codec:
         self.inner = [self.vocab[s] for s in self.bytes]
         self.final = [self.vocab[s + WORD_END] for s in self.bytes]
         self.words = regex.compile(SPLIT)
+        self.newer = newer_letters() | frozenset(map(chr, SMALL_OF))
         by_length = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, by_length))) if by_length else None
         self.cache: dict[str, bytes] = {}
@@ -91,11 +135,15 @@ class Codec:
                 heapq.heappush(heap, (found[0], before, ids[before], ids[i]))
         return [x for x, there in zip(ids, alive) if there]
 
-    def word(self, word: str) -> bytes:
+    def word(self, word: str, older: bool = False) -> bytes:
+        """The packed ids of a word. Words with newer letters are not kept, and are refused unless the text was split in the library's classes."""
+        newer = not word.isascii() and not self.newer.isdisjoint(word)
+        if newer and not older:
+            raise NewerLetter(word)
         raw = word.encode("utf-8")
         ids = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
         packed = struct.pack(f"<{(n := len(out := self.merge(ids)))}I", *out)
-        if len(word) <= CACHE_LENGTH:
+        if len(word) <= CACHE_LENGTH and not newer:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
             self.cache[word] = packed
@@ -105,8 +153,11 @@ class Codec:
         """The packed ids of each word of a text without special tokens."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        get, word = self.cache.get, self.word
-        return [get(w) or word(w) for w in self.words.findall(text.lower())]
+        get, word, text = self.cache.get, self.word, text.lower()
+        try:
+            return [get(w) or word(w) for w in self.words.findall(text)]
+        except NewerLetter:
+            return [get(w) or word(w, True) for w in older_split().findall(text.translate(SMALL_OF))]
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""

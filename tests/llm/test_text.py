@@ -37,6 +37,38 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_documents(docs_of(spark, []), path).count() == 0
 
 
+def test_bpe_of_every_character_equals_the_library():
+    """Each code point after a letter, before other signs, and twice: classes, cases and neighbours."""
+    import json
+
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        codec = bpe.Codec(json.load(f))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    different = []
+    for i in range(0, len(points), 20_000):
+        texts = [f"a{c}b {c}! 1{c}{c}" for c in points[i : i + 20_000]]
+        for text, want in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+            if codec.encode(text) != struct.pack(f"<{len(want.ids)}I", *want.ids):
+                different.append(text)
+    assert different == []
+    # what one text has put into the memory of words serves the next ones as well
+    for text in ("\u0558", "a\u0558", "\u0558!", "\u1c89a", "\u1c89"):
+        assert codec.encode(text) == struct.pack(f"<{len(w := tok.encode(text, add_special_tokens=False).ids)}I", *w)
+
+
+def test_words_of_small_probability_keep_their_difference():
+    pieces = langid.Pieces(["▁", "a"])
+    theta = np.full((pieces.size, 2), 0.5)
+    theta[pieces.unknown] = [6e-10, 1e-10]
+    for n in (5, 27, 32, 33):
+        got = pieces.log_p(["q" * n, "aa"], theta)
+        assert got[0, 0] - got[0, 1] == pytest.approx(n * np.log(6))
+        assert got[0] == pytest.approx(np.log(0.5) + n * np.log(theta[pieces.unknown]))
+
+
 def test_language_models_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))), langid.vocabulary(queries.tokenizer_path("piece_bpe_32k.model")), per_language=40)
