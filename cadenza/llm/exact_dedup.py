@@ -52,7 +52,7 @@ def keys_of(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Colum
 
 def keyed_state(keys: DataFrame) -> DataFrame:
     """One row per digest of a batch or stream of keys: the copy that stays, its locator, the number of copies."""
-    order = F.struct("rank", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("first"))
+    order = F.struct("rank", F.col("id").isNotNull().alias("known"), F.bitwise_not(F.col("id")).alias("first"))
     best = F.max_by(F.struct("id", "locator", "rank"), order)
     return keys.groupBy("digest").agg(best.alias("kept"), F.count("*").alias("group_size"))
 
@@ -124,7 +124,7 @@ def differing(content: DataFrame, entries: DataFrame, own: Scratch) -> DataFrame
 
 def _regrouped(marked: DataFrame, collided: DataFrame, own: Scratch) -> DataFrame:
     """marked, with the texts that only share a digest grouped by their bytes."""
-    order = F.struct("rank", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("first"))
+    order = F.struct("rank", F.col("id").isNotNull().alias("known"), F.bitwise_not(F.col("id")).alias("first"))
     texts = own.keep(collided.groupBy("digest", "norm").agg(F.max_by(F.struct("id", "rank"), order).alias("k"), F.count("*").alias("n")), "texts")
     fewer = own.keep(collided.groupBy("digest").agg(F.count("*").alias("fewer")), "fewer")
     rows = collided.join(texts, ["digest", "norm"]).select("digest", F.col("id").alias("c_id"), F.col("rank").alias("c_rank"), F.col("other").alias("c_other"), "k", "n").distinct()

@@ -337,3 +337,9 @@ def test_wand_equals_full_scores():
         want = {i: s for i, s in full.items() if s >= decontaminate.THETA - 1e-9}
         got = dict(index.search(list(query)))
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in got)
+
+
+def test_exact_dedup_with_the_least_identifier(spark):
+    docs = spark.createDataFrame([(5, "a b"), (-(2**63), "ab "), (None, "a b"), (2**63 - 1, "a b")], "doc_id long, text string")
+    rows = exact_dedup.exact_dedup(docs).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows} == {(i, -(2**63), 4, i == -(2**63)) for i in (5, -(2**63), None, 2**63 - 1)}
