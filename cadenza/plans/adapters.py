@@ -143,7 +143,8 @@ class Tables:
 
     @cached_property
     def files(self) -> DataFrame:
-        return files_of(self.loops, self.words)
+        # the table is small and the bytes made of it are not: its rows are dealt before, to a number of tasks that does not follow their size
+        return files_of(self.loops.repartition(2 * self.spark.sparkContext.defaultParallelism, "loop_id"), self.words)
 
 
 def written(files: DataFrame, name: str = "library", folder: str | None = None) -> str:

@@ -29,8 +29,15 @@ def scan(spark: SparkSession, *roots: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, *roots: str) -> DataFrame:
-    """Path, time and length of the loop files below the roots; contents are not read."""
-    return scan(spark, *roots).select("path", "modificationTime", "length")
+    """Path, time and length of the loop files below the roots; contents are not read.
+
+    Spark deals files by their size, to which a listing is indifferent; so they are put together to LISTED tasks a core, of many files each.
+    """
+    return scan(spark, *roots).select("path", "modificationTime", "length").coalesce(LISTED * spark.sparkContext.defaultParallelism)
+
+
+#: Tasks for each core in which files are listed and read by range.
+LISTED = 8
 
 
 #: Bytes of contents that a task holds at a time, unless one file alone has more.
