@@ -6,13 +6,14 @@ or more digits with separators (kind number), anything around an @, and words ar
 and context of a proposal are binned into a cell: generator, digits, separators, opening, cue
 words before it, character before it, form (dates, decimals, groups of a telephone number or card, brackets).
 
-Labels come from the data and from planted variants. A proposal that overlaps a valid shape is personal, one that a hard
-check refutes (checksum, octet range, too many digits, no letters beside the @) is not. Every valid shape of the corpus is also rewritten, in its own
+Proposals that overlap a valid shape are left to it: they neither teach nor count as results, so that what the trees add is their own.
+Labels come from planted variants. Every valid shape of the corpus is rewritten, in its own
 context, into forms that the shapes miss (local telephone numbers, cards with other separators, mail addresses that are spelled out), which
-are personal, and into forms that are not (dates, ranges, decimals, amounts). Other proposals have no label.
-Labelled proposals of all documents are counted by cell and label; gradient-boosted trees learn from
-the counts, which are at most as many as cells. Per generator the score threshold is calibrated to a precision of
-PRECISION by those counts. All proposals in selected cells that no hard check refutes are results.
+are personal, and into forms that are not (dates, ranges, decimals, amounts). Proposals that a hard
+check refutes (checksum, octet range, too many digits, no letters beside the @) are not personal either. Other proposals have no label.
+Labelled cases of all documents are counted by cell, label and half of the corpus (by hash of the text, so that copies are in one half);
+the counts are at most four times as many as cells. Gradient-boosted trees learn from the one half. Per generator the score threshold is calibrated to a precision of
+PRECISION by the other. All proposals in selected cells that no hard check refutes are results; a generator without cases in both halves has none.
 
 Positions are found from the pieces between matches: `split` and `regexp_extract_all` see the same
 matches, so sums of lengths give code-point offsets. They are gathered in stretches of STRETCH matches, so that a text with very many takes linear time. Possessive
@@ -27,7 +28,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import free_name, stored
+from .common import free_name, scratch
 
 KINDS = ("email", "ip", "card", "phone", "number", "address")
 SHAPES = KINDS[:4]
@@ -231,26 +232,28 @@ def selected_cells(docs: DataFrame, text: str = "text") -> list[int]:
     The list is at most as long as there are cells (product of FEATURES).
     """
     t = F.col("t")
-    seen = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select(shape_spans(t).alias("b"), proposals(t).alias("p"), variants(t).alias("v"))
-    label = lambda b, p: F.when(_overlaps(b, p), 1.0).when(p["refuted"], 0.0)
+    half = F.pmod(F.xxhash64(t), F.lit(2)).cast("int").alias("half")
+    seen = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select(half, shape_spans(t).alias("b"), proposals(t).alias("p"), variants(t).alias("v"))
+    label = lambda b, p: F.when(p["refuted"] & ~_overlaps(b, p), 0.0)
     own = F.transform("p", lambda p: F.struct(p["cell"].alias("cell"), label(F.col("b"), p).alias("label")))
-    one = seen.select(F.explode(F.concat(own, "v")).alias("x")).select("x.cell", "x.label")
-    counts = one.groupBy("cell", "label").agg(F.count("*").cast("double").alias("weight"))
-    cells, rest = stored(counts, "pii-cells"), F.col("cell")
-    for name, size in reversed(FEATURES.items()):
-        cells = cells.withColumn(name, (rest % size).cast("double"))
-        rest = F.floor(rest / size)
-    known = VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(cells).coalesce(1)
-    train = known.where("label is not null")
-    if train.select("label").distinct().count() < 2:
-        return []
-    trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxDepth=4, maxIter=12, stepSize=0.3, minInstancesPerNode=1, seed=1, checkpointInterval=-1)
-    scored = trees.fit(train).transform(known).select("cell", "generator", "label", "weight", vector_to_array("probability")[1].alias("score"))
-    down = Window.partitionBy("generator").orderBy(F.desc("score"))
-    good, all_ = (F.sum(F.when(F.col("label").isNotNull(), w).otherwise(0.0)).over(down) for w in (F.col("label") * F.col("weight"), F.col("weight")))
-    calibrated = scored.withColumn("ok", F.when(all_ > 0, good / all_ >= PRECISION)).groupBy("generator").agg(F.min(F.when(F.col("ok"), F.col("score"))).alias("threshold"))
-    chosen = scored.join(calibrated, "generator").where("score >= threshold and score > 0.5").select("cell").distinct()
-    return sorted(r.cell for r in chosen.collect())
+    one = seen.select("half", F.explode(F.concat(own, "v")).alias("x")).select("half", "x.cell", "x.label")
+    with scratch(docs.sparkSession, "pii") as kept:
+        cells, rest = kept.keep(one.groupBy("cell", "label", "half").agg(F.count("*").cast("double").alias("weight")), "cells"), F.col("cell")
+        for name, size in reversed(FEATURES.items()):
+            cells = cells.withColumn(name, (rest % size).cast("double"))
+            rest = F.floor(rest / size)
+        known = VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(cells).coalesce(1)
+        train = known.where("label is not null and half = 0")
+        if train.select("label").distinct().count() < 2:
+            return []
+        trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxDepth=4, maxIter=12, stepSize=0.3, minInstancesPerNode=1, seed=1, checkpointInterval=-1)
+        scored = trees.fit(train).transform(known).select("cell", "generator", "label", "half", "weight", vector_to_array("probability")[1].alias("score"))
+        down = Window.partitionBy("generator").orderBy(F.desc("score"))
+        judged = F.col("label").isNotNull() & (F.col("half") == 1)
+        good, all_ = (F.sum(F.when(judged, w).otherwise(0.0)).over(down) for w in (F.col("label") * F.col("weight"), F.col("weight")))
+        calibrated = scored.withColumn("ok", F.when(all_ > 0, good / all_ >= PRECISION)).groupBy("generator").agg(F.min(F.when(F.col("ok"), F.col("score"))).alias("threshold"))
+        chosen = scored.join(calibrated, "generator").where("score >= threshold and score > 0.5").select("cell").distinct()
+        return sorted(r.cell for r in chosen.collect())
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -259,7 +262,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", spans: str = "spans"
     t, b = free_name(docs, "pii_text"), free_name(docs, "pii_spans")
     base = docs.withColumn(t, F.coalesce(F.col(text), F.lit(""))).withColumn(b, shape_spans(F.col(t)))
     if cells:
-        extra = F.filter(proposals(F.col(t)), lambda p: ~p["refuted"] & p["cell"].isin(cells))
+        extra = F.filter(proposals(F.col(t)), lambda p: ~p["refuted"] & p["cell"].isin(cells) & ~_overlaps(F.col(b), p))
         extra = F.transform(extra, lambda p: F.struct(p["kind"], p["start"], p["end"]).cast(SPAN))
         base = base.withColumn(b, F.concat(b, extra))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])

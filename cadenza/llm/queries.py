@@ -26,9 +26,12 @@ def _joined(spans: Column) -> Column:
 
 
 def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    of = lambda *wanted: F.filter("spans", lambda s: s["kind"].isin(*wanted))
+    spans = found["spans"]  # not the result's column of that name
+    of = lambda *wanted: F.filter(spans, lambda s: s["kind"].isin(*wanted))
     base, counts = of(*kinds), [F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds]
-    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
+    added = F.filter(spans, lambda s: ~s["kind"].isin(*kinds) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    numbers = F.size(spans).cast("long").alias("n_spans"), F.size(added).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"), *numbers)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

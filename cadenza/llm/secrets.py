@@ -4,17 +4,17 @@ Shapes (kinds assign, access, hex) are searched in every whole text. Every run o
 more characters of the base-64 alphabets is a candidate of kind random, also within a shape: there it tells a generated value from a chosen one:
 
 - its encoding is inferred (hex, base 32, alphanumeric, base 64), which fixes the alphabet size A;
-- three tests ask whether it can be uniform: chi-squared over the alphabet, number of runs above
-  and below the middle, serial correlation of neighbours; Fisher's sum joins their p-values, and
-  candidates that are clearly not uniform go;
-- the null hypothesis for a discovery is written language: symbols drawn as often as in all
-  documents. Chi-squared then has a larger mean and spread, known from the symbol counts of the
-  corpus and the length, so that a short string needs to be more even than a long one. Its lower
-  tail is the p-value of "this is language";
-- Benjamini-Hochberg on those p-values, within strata of length, over the candidates of all
+- three tests look at it: chi-squared over the alphabet, number of runs above and below the middle, serial
+  correlation of neighbours;
+- the null hypothesis for a discovery is written language: symbols and neighbours as often as in all
+  documents. Chi-squared then has a larger mean and spread, the middle is crossed more or less often than half the time, and
+  neighbours are correlated, all known from the counts of the corpus and the length, so that a short string needs to be more
+  even than a long one. Each test has a p-value of "this is language" towards what uniform symbols would give, and Fisher's sum joins them;
+- a candidate that cannot be uniform either, by Fisher's sum of the same tests against uniform symbols, has p-value 1;
+- Benjamini-Hochberg on the joint p-values, within strata of length, over the candidates of all
   documents, bounds the share of false discoveries.
 
-Corpus counts cover every document and reach the driver only as 128 character counts and a fixed
+Corpus counts cover every document and reach the driver only as 128 x 128 counts of neighbours and a fixed
 grid of p-value counts. Null and empty texts have no spans, an empty table gives an empty one; repeated rows count as often as they
 occur and get the same spans. A column of the result's name is replaced. Positions are code points, end exclusive.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -86,27 +87,57 @@ def _chi2_tail(x: float, k: int) -> float:
     return _normal_tail(((x / k) ** (1 / 3) - 1 + v) / math.sqrt(v))
 
 
-def battery(token: str) -> tuple[int, float, float]:
-    """Encoding number, chi-squared, and Fisher's joint p-value of the three uniformity tests."""
+class Statistics(NamedTuple):
+    """What the tests see of a string: its encoding's number, length, chi-squared, symbols of the upper half, crossings of the middle, serial correlation."""
+
+    code: int
+    n: int
+    chi2: float
+    high: int
+    crossings: int
+    serial: float
+
+
+class Language(NamedTuple):
+    """The null hypothesis, by encoding: sums of squared and cubed symbol probabilities; share of neighbours on two sides of the middle and their correlation."""
+
+    symbols: list[tuple[float, float]]
+    neighbours: list[tuple[float, float]]
+
+
+def statistics(token: str) -> Statistics:
     chars = frozenset(token.rstrip("=") or token)
     code = next(i for i, s in enumerate(_SETS) if chars <= s)
     place, size = _PLACES[code], len(_PLACES[code])
     x = np.array([place[c] for c in (token.rstrip("=") if code < len(_SETS) - 1 else token)])
     n = len(x)
+    up, d = x >= size // 2, x - x.mean()
     chi2 = float((np.bincount(x, minlength=size) ** 2).sum()) * size / n - n
-    up = x >= size // 2
-    a, b = int(up.sum()), int(n - up.sum())
-    if a and b and n > 2:
-        mean = 2 * a * b / n + 1
-        var = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
-        p_runs = 2 * _normal_tail(abs(int((up[1:] != up[:-1]).sum()) + 1 - mean) / math.sqrt(var))
-        d = x - x.mean()
-        p_serial = 2 * _normal_tail(abs(float((d[1:] * d[:-1]).sum() / max((d * d).sum(), 1e-9))) * math.sqrt(n))
-    else:
-        p_runs = p_serial = 0.0
-    fisher = -2 * sum(math.log(max(p, 1e-300)) for p in (_chi2_tail(max(chi2, 1e-9), size - 1), p_runs, p_serial))
-    h = fisher / 2
-    return code, chi2, min(1.0, math.exp(-h) * (1 + h + h * h / 2))
+    return Statistics(code, n, chi2, int(up.sum()), int((up[1:] != up[:-1]).sum()), float((d[1:] * d[:-1]).sum() / max((d * d).sum(), 1e-9)))
+
+
+def _fisher(*ps: float) -> float:
+    """Fisher's joint p-value of three."""
+    h = -sum(math.log(max(p, 1e-300)) for p in ps)
+    return min(1.0, math.exp(-h) * (1 + h + h * h / 2))
+
+
+def uniform_p(s: Statistics) -> float:
+    """Joint p-value of the three tests for symbols drawn uniformly."""
+    a, b = s.high, s.n - s.high
+    p_runs = p_serial = 0.0
+    if a and b and s.n > 2:
+        mean = 2 * a * b / s.n + 1
+        var = max((mean - 1) * (mean - 2) / (s.n - 1), 1e-9)
+        p_runs = 2 * _normal_tail(abs(s.crossings + 1 - mean) / math.sqrt(var))
+        p_serial = 2 * _normal_tail(abs(s.serial) * math.sqrt(s.n))
+    return _fisher(_chi2_tail(max(s.chi2, 1e-9), len(_PLACES[s.code]) - 1), p_runs, p_serial)
+
+
+def battery(token: str) -> tuple[int, float, float]:
+    """Encoding number, chi-squared, and joint p-value of the three uniformity tests."""
+    s = statistics(token)
+    return s.code, s.chi2, uniform_p(s)
 
 
 def language_p(code: int, chi2: float, n: int, moments: list[tuple[float, float]]) -> float:
@@ -117,6 +148,28 @@ def language_p(code: int, chi2: float, n: int, moments: list[tuple[float, float]
     return _normal_tail((mean - chi2) / math.sqrt(max(var, 1e-9)))
 
 
+def crossings_p(s: Statistics, share: float) -> float:
+    """Tail, towards half, of the number of crossings if each pair of neighbours crosses the middle with that probability."""
+    pairs = max(1, s.n - 1)
+    z = (s.crossings - pairs * share) / math.sqrt(max(pairs * share * (1 - share), 1e-9))
+    return _normal_tail(z if share < 0.5 else -z)
+
+
+def serial_p(s: Statistics, correlation: float) -> float:
+    """Tail, towards none, of the serial correlation of n symbols whose neighbours have that correlation."""
+    mean = correlation - (1 + 3 * correlation) / s.n  # short strings show less of it
+    z = (s.serial - mean) * math.sqrt(s.n / max(1 - correlation**2, 1e-9))
+    return _normal_tail(z if correlation < 0 else -z)
+
+
+def joint_p(s: Statistics, language: Language) -> float:
+    """Fisher's joint p-value of "this is language"; 1 if the string cannot be uniform either."""
+    if uniform_p(s) < UNIFORM_AT_LEAST:
+        return 1.0
+    share, correlation = language.neighbours[s.code]
+    return _fisher(language_p(s.code, s.chi2, s.n, language.symbols), crossings_p(s, share), serial_p(s, correlation))
+
+
 def moments_of(counts: np.ndarray) -> list[tuple[float, float]]:
     """Sums of squared and cubed symbol probabilities for each encoding, from character counts (one is added to each)."""
     out = []
@@ -127,21 +180,44 @@ def moments_of(counts: np.ndarray) -> list[tuple[float, float]]:
     return out
 
 
-def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each ASCII character occurs in all documents."""
+def neighbours_of(pairs: np.ndarray) -> list[tuple[float, float]]:
+    """For each encoding, the share of neighbours on two sides of the middle and their correlation, from counts of pairs (one in all is added to each symbol's)."""
+    out = []
+    for _, alphabet in ENCODINGS:
+        at, size = [ord(c) for c in alphabet], len(alphabet)
+        p = pairs[np.ix_(at, at)] + 1 / size
+        p /= p.sum()
+        x = np.arange(size, dtype=float)
+        left, right = p.sum(axis=1), p.sum(axis=0)
+        a, b = x - left @ x, x - right @ x
+        up = x >= size // 2
+        out.append((float(p[np.ix_(up, ~up)].sum() + p[np.ix_(~up, up)].sum()), float(a @ p @ b / math.sqrt((left @ a**2) * (right @ b**2)))))
+    return out
+
+
+def pair_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """How often each ASCII character is followed by each other in all documents; what is not ASCII counts as a question mark, the end as a line's."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(128, dtype=np.int64)
+        total = np.zeros(128 * 128, dtype=np.int64)
         for b in batches:
             for t in b["t"]:
-                total += np.bincount(np.frombuffer(t.encode("ascii", "ignore"), dtype=np.uint8), minlength=128)
-        yield pd.DataFrame({"c": np.arange(128), "n": total})
+                x = np.frombuffer(t.encode("ascii", "replace") + b"\n", dtype=np.uint8).astype(np.int32)
+                total += np.bincount(x[:-1] * 128 + x[1:], minlength=128 * 128)
+        c = total.nonzero()[0]
+        yield pd.DataFrame({"c": c, "n": total[c]})
 
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(128, dtype=np.int64)
+    out = np.zeros(128 * 128, dtype=np.int64)
     for r in rows:
         out[r.c] = r.n
-    return out
+    return out.reshape(128, 128)
+
+
+def language_of(docs: DataFrame, text: str = "text") -> Language:
+    """The null hypothesis from all documents."""
+    pairs = pair_counts(docs, text)
+    return Language(moments_of(pairs.sum(axis=1)), neighbours_of(pairs))
 
 
 def _stratum(n: int) -> int:
@@ -153,24 +229,19 @@ def _cell(p: float) -> int:
     return min(GRID - 1, max(0, int((1 - max(LOWEST, math.log10(max(p, 1e-300))) / LOWEST) * GRID)))
 
 
-def candidates(text: str, moments: list) -> list[tuple[int, int, float, float]]:
-    """Start, end, p-value of language and of uniformity of each candidate."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        code, chi2, uniform = battery(m[0])
-        out.append((start, end, language_p(code, chi2, end - start, moments), uniform))
-    return out
+def candidates(text: str, language: Language) -> list[tuple[int, int, float]]:
+    """Start, end and joint p-value of each candidate."""
+    return [(*m.span(), joint_p(statistics(m[0]), language)) for m in CANDIDATE.finditer(text)]
 
 
-def thresholds(docs: DataFrame, moments: list, text: str = "text", rate: float = RATE) -> list[int]:
+def thresholds(docs: DataFrame, language: Language, text: str = "text", rate: float = RATE) -> list[int]:
     """For each stratum of length, the highest grid cell that Benjamini and Hochberg's step-up rule rejects; -1 for none."""
 
     def grid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(STRATA), GRID), dtype=np.int64)
         for b in batches:
             for t in b["t"]:
-                for start, end, p, _ in candidates(t, moments):
+                for start, end, p in candidates(t, language):
                     total[_stratum(end - start), _cell(p)] += 1
         s, c = total.nonzero()
         yield pd.DataFrame({"s": s, "c": c, "n": total[s, c]})
@@ -192,11 +263,11 @@ def step_up(counts: np.ndarray, rate: float = RATE) -> int:
 def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", rate: float = RATE) -> DataFrame:
     """docs with an array of spans (kind, start, end, p_value), by start, then kind in the order of KINDS.
 
-    Of fixed shapes p_value is null; of kind random it is that of "this is language".
+    Of fixed shapes p_value is null; of kind random it is the joint one of "this is language".
     """
     text_batches(docs.sparkSession)
-    moments = moments_of(character_counts(docs, text))
-    cells = thresholds(docs, moments, text, rate)
+    language = language_of(docs, text)
+    cells = thresholds(docs, language, text, rate)
     order = {k: i for i, k in enumerate(KINDS)}
 
     @F.pandas_udf(SPANS)
@@ -207,7 +278,7 @@ def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", rate
             if t:
                 fixed = shapes(t)
                 found = [(*s, None) for s in fixed]
-                found += [("random", s, e, p) for s, e, p, u in candidates(t, moments) if u >= UNIFORM_AT_LEAST and _cell(p) <= cells[_stratum(e - s)]]
+                found += [("random", s, e, p) for s, e, p in candidates(t, language) if p < 1 and _cell(p) <= cells[_stratum(e - s)]]
                 found.sort(key=lambda x: (x[1], order[x[0]]))
             rows.append([dict(zip(("kind", "start", "end", "p_value"), x, strict=True)) for x in found])
         return pd.Series(rows)

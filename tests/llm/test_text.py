@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from cadenza.llm import bpe, langid, lm_score, ordinal, pii, queries, secrets, url_rules
@@ -203,6 +204,72 @@ def test_step_up_equals_the_rule_on_single_values():
         assert not (taken & (p > cut)).any() and (taken | (p > cut * 10**-0.05)).all()  # a cell is 0.04 of a power of ten
 
 
+def chain(rng, p, n):
+    """A string of hex digits from a Markov chain."""
+    x = [int(rng.integers(16))]
+    while len(x) < n:
+        x.append(int(rng.choice(16, p=p[x[-1]])))
+    return x
+
+
+def test_neighbours_equal_drawing():
+    """Share of crossings and correlation from pair counts, and the tails of both, against drawn strings."""
+    rng = np.random.default_rng(11)
+    near = np.exp(-np.abs(np.arange(16)[:, None] - np.arange(16)) / 4)
+    p = near / near.sum(axis=1, keepdims=True)
+    long = chain(rng, p, 100_000)
+    pairs = np.zeros((128, 128))
+    for a, b in zip(long, long[1:]):
+        pairs[ord("0123456789abcdef"[a]), ord("0123456789abcdef"[b])] += 1
+    share, correlation = secrets.neighbours_of(pairs)[0]
+    x = np.array(long)
+    assert share == pytest.approx(np.mean((x[1:] >= 8) != (x[:-1] >= 8)), abs=1e-3)
+    assert correlation == pytest.approx(np.corrcoef(x[1:], x[:-1])[0, 1], abs=1e-3)
+    drawn = [secrets.statistics("".join("0123456789abcdef"[v] for v in long[i : i + 100])) for i in range(0, 100_000, 100)]
+    drawn = [s for s in drawn if s.code == 0]
+    for rate in (0.02, 0.1, 0.5):
+        assert np.mean([secrets.crossings_p(s, share) <= rate for s in drawn]) <= rate + 0.06
+        assert np.mean([secrets.serial_p(s, correlation) <= rate for s in drawn]) <= rate + 0.06
+    even = ["".join(rng.choice([*"0123456789abcdef"], 100)) for _ in range(200)]
+    assert np.median([secrets.crossings_p(secrets.statistics(t), share) for t in even]) < 0.01
+    assert np.median([secrets.serial_p(secrets.statistics(t), correlation) for t in even]) < 0.01
+
+
+def test_secret_scan_equals_brute_force_and_finds_planted_keys(spark):
+    """All spans of kind random against the step-up rule on single values; planted keys outside the shapes are found, words are not."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(rng.choice(["ver", "lich", "keit", "tion", "ein", "schen", "an", "er"], n))
+    letters = [*(secrets.DIGITS + secrets.UPPER + secrets.LOWER)]
+    keys = ["".join(rng.choice(letters, int(n))) for n in rng.integers(32, 90, 60)]
+    words = [w for w in (word(9) for _ in range(600)) if len(w) >= 20]
+    prose = [" ".join(word(2) for _ in range(40)) for _ in range(50)]
+    texts = ODD + SECRETS + [f"{word(2)} {k} {word(2)}" for k in keys] + [f"{word(2)} {w} {word(2)}" for w in words] + prose
+    df = docs_of(spark, texts)
+    rows = [r.text or "" for r in df.collect()]
+    pairs = np.zeros((128, 128))
+    for t in rows:
+        x = [ord(c) if ord(c) < 128 else ord("?") for c in t] + [ord("\n")]
+        for a, b in zip(x, x[1:]):
+            pairs[a, b] += 1
+    language = secrets.Language(secrets.moments_of(pairs.sum(axis=1)), secrets.neighbours_of(pairs))
+    single = [(i, m.start(), m.end(), secrets.joint_p(secrets.statistics(m[0]), language)) for i, t in enumerate(rows) for m in secrets.CANDIDATE.finditer(t)]
+    want, near_cut = set(), set()
+    for k in range(len(secrets.STRATA)):
+        own = [x for x in single if sum(x[2] - x[1] >= s for s in secrets.STRATA) - 1 == k]
+        ranked = sorted(x[3] for x in own)
+        cut = max([p for j, p in enumerate(ranked, 1) if p <= secrets.RATE * j / len(ranked)], default=-1.0)
+        want |= {x[:3] for x in own if x[3] <= cut}
+        near_cut |= {x[:3] for x in own if abs(np.log10(max(x[3], 1e-300) / max(cut, 1e-300))) <= 0.05}
+    got = {(i, s.start, s.end) for i, r in enumerate(secrets.find_secrets(df).collect()) for s in r.spans if s.kind == "random"}
+    assert got ^ want <= near_cut
+    first = len(ODD) + len(SECRETS)
+    found = {rows[i][a:b] for i, a, b in got}
+    assert sum(k in found for k in keys) >= 0.9 * len(keys)
+    assert sum(k in found for k in keys) >= 0.95 * sum(i >= first for i, _, _ in got)
+    digest = queries._span_digest(secrets.find_secrets(df), secrets.KINDS[:3]).collect()
+    assert sum(r.n_added for r in digest) >= 0.9 * len(keys)
+
+
 def brute_personal(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -250,6 +317,61 @@ def test_personal_data_that_the_shapes_miss(spark):
     assert caught >= 0.9 * len(hidden) and wrong <= 0.05 * len(plain)
 
 
+def brute_cell(generator, s, before):
+    near, digits, last = before[-24:].lower(), len(re.sub("[^0-9]", "", s)), before[-1:]
+    first = lambda patterns, x: next((i for i, p in enumerate(patterns, 1) if regex.search(p, x)), 0)
+    values = {
+        "generator": generator,
+        "digits": sum(digits >= low for low in (1, 7, 9, 11, 14, 17, 20)),
+        "separators": min(3, len(re.findall(r"[\x20()./-]", s))),
+        "opening": 2 if last == "+" else 1 if s.startswith("(") else 0,
+        "cue": first(pii.CUES, near),
+        "before": 0 if not last else 1 if re.match(r"\s", last) else 2 if regex.match(r"[\p{L}\p{N}]", last) else 3,
+        "form": first(pii.FORMS, s),
+    }
+    out = 0
+    for name, size in pii.FEATURES.items():
+        out = out * size + values[name]
+    return out
+
+
+def brute_proposals(t):
+    """Kind, start, end, cell and whether refuted."""
+    for generator, (kind, pattern) in enumerate((("number", pii.NUMBER), ("address", pii.ADDRESS), ("address", pii.SPELLED))):
+        at = 0
+        for m in regex.finditer(pattern, t):
+            s, d = m[0], re.sub("[^0-9]", "", m[0])
+            if generator == 0 and re.fullmatch(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", s):
+                refuted = any(int(x) > 255 for x in s.split("."))
+            elif generator == 0 and re.fullmatch(r"[0-9\x20-]+", s) and 12 <= len(d) <= 19:
+                refuted = sum(x if i % 2 == 0 else (x * 2 - 9 if x > 4 else x * 2) for i, x in enumerate(map(int, reversed(d)))) % 10 != 0
+            elif generator == 1:
+                refuted = not regex.search(r"\p{L}", s.rsplit("@", 1)[1]) or not regex.search(r"[\p{L}\p{N}]", s.split("@", 1)[0])
+            else:
+                refuted = generator == 0 and len(d) > 19
+            yield kind, m.start(), m.end(), brute_cell(generator, s, t[at : m.start()]), refuted
+            at = m.end()
+
+
+def test_added_personal_data_equals_brute_force(spark):
+    """Added spans are all proposals in selected cells that no check refutes and no shape overlaps."""
+    rng = np.random.default_rng(13)
+    n = lambda k: "".join(map(str, rng.integers(1, 10, k)))
+    some = lambda: " ".join(rng.choice(["call", "hon", "contact", "an", "konto", "mil", "tor"], 6))
+    known = [f"{some()} +1 ({n(3)}) {n(3)}-{n(4)} {some()} x.{n(2)}@mail{n(1)}.example.com, {some()}" for _ in range(150)]
+    mixed = [f"{some()} {a} {some()}; {b}" for a in (f"({n(3)}) {n(3)}-{n(4)}", f"2024-01-1{n(1)}", f"4111.1111.1111.{n(4)}", f"{n(22)}", "300.1.1.1") for b in ("ab (at) host.com", "me at home", "né@ü.x", "@@ a@1 x", f"+49 {n(9)}") for _ in range(3)]
+    df = docs_of(spark, ODD + PERSONAL + known + mixed)
+    cells, added = set(pii.selected_cells(df)), 0
+    assert cells
+    for r in pii.find_personal_data(df).collect():
+        t = r.text or ""
+        base = brute_personal(t)
+        want = sorted((k, a, b) for k, a, b, cell, refuted in brute_proposals(t) if cell in cells and not refuted and not any(a < y and x < b for _, x, y in base))
+        assert sorted((s.kind, s.start, s.end) for s in r.spans if s.kind not in pii.SHAPES) == want
+        added += len(want)
+    assert added >= 30
+
+
 def test_very_many_matches_in_one_text(spark):
     text = "a@b.cd 10.0.0.1 " * 3000
     found = pii.find_personal_data(docs_of(spark, [text])).select(F.filter("spans", lambda s: s["kind"].isin("email", "ip")).alias("s")).first().s
