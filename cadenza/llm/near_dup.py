@@ -2,7 +2,8 @@
 
 One hash function maps each distinct shingle of a document to a number; the SKETCH smallest are its
 sketch. Documents with equal shingle sets form a class, which is one node from then on, so that
-thousands of exact copies cost one. The first INDEX values of each class's sketch go into inverted lists.
+thousands of exact copies cost one. Equal are sets of equal 63-bit digests, sizes and second digests; sets that only the first
+digest takes for equal get nodes of their own. The first INDEX values of each class's sketch go into inverted lists.
 
 Candidates: in each list the members meet one of them, the pivot. That makes as many pairs as
 members. Pairs that pass the union-sketch estimate are compared on their full shingle sets, and the links
@@ -37,7 +38,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, free_name, scratch, stored, text_batches
+from .common import Scratch, free_name, scratch, small_batches, stored
 from .components import components
 
 SHINGLE = 5
@@ -47,8 +48,9 @@ SKETCH = 64
 INDEX = 32
 #: Lists up to this length are short, and paired fully once pivots have done their part.
 SHORT = 24
-#: Items that one side of a block takes, and columns of its matrices at a time.
+#: Items that one side of a block takes, values of their sets in all (but for a larger set, which is alone), and columns of its matrices at a time.
 BLOCK = 1024
+BLOCK_VALUES = 2_000_000
 COLUMNS = 4096
 #: Groups go on by popular shingles while they are more than FEW blocks and at most this share of what there was before.
 FEW = 4
@@ -93,23 +95,43 @@ def shingle_set(text: str | None, hashes: _Hashes, size: int = SHINGLE) -> np.nd
     return np.unique((h >> np.uint64(1)).astype(np.int64))
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """id, content (hash of the text), n_shingles, node (63-bit digest of the shingle set; null if empty), sketch."""
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = 63) -> DataFrame:
+    """id, content (hash of the text), n_shingles, node (digest of the shingle set of so many bits; null if empty), check (a second digest of 63 bits), sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for b in batches:
-            n, nodes, tops = [], [], []
+            n, nodes, checks, tops = [], [], [], []
             for t in b["text"]:
                 s = shingle_set(t, hashes, size)
                 n.append(len(s))
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 if len(s) else None)
+                digest = xxhash.xxh3_128_intdigest(s.tobytes())
+                nodes.append(digest >> (128 - bits) if len(s) else None)
+                checks.append(digest & (1 << 63) - 1)
                 tops.append(s[:SKETCH])
-            yield pd.DataFrame({"id": b["id"], "content": b["content"], "n_shingles": n, "node": pd.array(nodes, dtype="Int64"), "sketch": tops})
+            yield pd.DataFrame({"id": b["id"], "content": b["content"], "n_shingles": n, "node": pd.array(nodes, dtype="Int64"), "check": checks, "sketch": tops})
 
-    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, content long, n_shingles long, node long, sketch array<long>")
+    return rows.mapInPandas(run, "id long, content long, n_shingles long, node long, check long, sketch array<long>")
+
+
+def _classes(rows: DataFrame, own: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows, and their classes (node, row, n_shingles, sketch, lo, hi): a node that stands for unlike sets is replaced by one for each of them."""
+    while True:
+        same = F.struct("n_shingles", "check")
+        grouped = rows.where("node is not null").groupBy("node")
+        classes = grouped.agg(
+            F.min(F.struct("id", "content")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min(same).alias("lo"), F.max(same).alias("hi")
+        )
+        classes = own.keep(classes, "classes")
+        clashing = own.keep(classes.where("lo != hi").select("node", F.lit(True).alias("clashes")), "clashing")
+        if clashing.isEmpty():
+            return rows, classes
+        renamed = F.shiftrightunsigned(F.xxhash64("node", "n_shingles", "check"), 1)
+        node = F.when(F.col("clashes"), renamed).otherwise(F.col("node"))
+        apart = own.keep(rows.join(clashing, "node", "left").withColumn("node", node).drop("clashes"), "sketches")
+        own.drop(rows, classes)
+        rows = apart
 
 
 def estimate_ok(n_a: Column, a: Column, n_b: Column, b: Column) -> Column:
@@ -293,7 +315,7 @@ def _in_blocks(items: DataFrame, own: Scratch) -> DataFrame:
     """Pairs a, b, size_a, size_b, both of items (node, size, set), as _block gives them, over all parts of close sizes."""
     # sizes of linked items are in one bin or in neighbouring ones: a bin spans more than 100 / THRESHOLD
     binned = items.withColumn("bin", F.floor(F.log("size") / F.log(F.lit(1.4))).cast("int"))
-    parts = own.keep(binned.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "bins")
+    parts = own.keep(binned.groupBy("bin").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("set")) / BLOCK_VALUES)).cast("int").alias("parts")), "bins")
     near = parts.select((F.col("bin") - 1).alias("bin"), F.col("parts").alias("above")), parts.select((F.col("bin") + 1).alias("bin"), F.col("parts").alias("below"))
     placed = binned.join(parts, "bin").join(near[0], "bin", "left").join(near[1], "bin", "left")
     mine = F.pmod(F.hash("node"), F.col("parts"))
@@ -348,23 +370,21 @@ def _hot_links(items: DataFrame, labels: DataFrame, sketched: DataFrame, own: Sc
     return own.keep(out.distinct(), "hot-links")
 
 
-def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bits: int = 63) -> DataFrame:
     """One row per row of docs: the identifier, n_shingles, component_id (smallest identifier of its group) and kept.
 
     Linked are documents with 100 * intersection >= THRESHOLD * union of their shingle sets; groups are the connected
-    components of all such links. The result is a table in the shared folder; all others are removed.
+    components of all such links. bits: length of the first digest, on which the result does not depend. The result is a
+    table in the shared folder; all others are removed, and the session's settings are as before.
     """
-    with scratch(docs.sparkSession, "near-dup") as own:
-        return stored(_groups(docs, id_col, text_col, size, own), "near-dup-result")
+    with scratch(docs.sparkSession, "near-dup") as own, small_batches(docs.sparkSession):
+        return stored(_groups(docs, id_col, text_col, size, bits, own), "near-dup-result")
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, own: Scratch) -> DataFrame:
-    rows = own.keep(sketches(docs, id_col, text_col, size), "sketches")
-    grouped = rows.where("node is not null").groupBy("node")
-    classes = grouped.agg(F.min(F.struct("id", "content")).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = own.keep(classes, "classes")
+def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, bits: int, own: Scratch) -> DataFrame:
+    rows, classes = _classes(own.keep(sketches(docs, id_col, text_col, size, bits), "sketches"), own)
     postings = own.keep(_postings(classes, own), "lists")
-    active = own.keep(classes.join(postings.select("node").distinct(), "node", "left_semi"), "active")
+    active = own.keep(classes.drop("lo", "hi").join(postings.select("node").distinct(), "node", "left_semi"), "active")
     members = own.keep(rows.select("id", "n_shingles", "node"), "members")
     repeated = not rows.groupBy("id", "content").count().where("count > 1").isEmpty()
     own.drop(rows, classes)

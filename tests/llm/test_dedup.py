@@ -65,6 +65,30 @@ def test_near_dup_equals_brute_force(spark, corpus):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in got if r[3]}
 
 
+def test_near_dup_digests_that_clash_are_told_apart(spark, corpus):
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in near_dup.near_dup_groups(df, bits=3).collect()) == brute_groups(corpus)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_near_dup_long_sets_are_dealt_to_more_blocks(spark, monkeypatch):
+    """Parts are cut by the values of their sets; the links of blocks are those of all pairs, in one piece or many."""
+    own = random.Random(3)
+    sets = {i: sorted(own.sample(range(1000), 700)) for i in range(40)} | {i: [*range(i % 5, 960 + i % 5)] for i in range(40, 60)}
+    rows = [(i, len(s), s) for i, s in sets.items()]
+    items = spark.createDataFrame(rows, "node long, size long, set array<long>")
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})}
+    seen = []
+    for values in (near_dup.BLOCK_VALUES, 4000, 100):  # 100: every set is longer than a part should be
+        monkeypatch.setattr(near_dup, "BLOCK_VALUES", values)
+        with near_dup.scratch(spark, "test") as own_tables:
+            found = near_dup._in_blocks(items, own_tables).where(near_dup.SIMILAR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            assert {tuple(r) for r in found.collect()} <= linked
+            seen.append(sorted((r.node, r.component) for r in components.components(found).collect()))
+    assert seen[0] == seen[1] == seen[2] and {n for n, _ in seen[0]} == {n for pair in linked for n in pair}
+
+
 @pytest.mark.parametrize("fewer", [near_dup.FEWER, 0.0])
 def test_near_dup_long_lists_lose_no_link(spark, corpus, monkeypatch, fewer):
     """Almost every list is long here; without FEWER the blocks compare all that is left after the first grouping."""
