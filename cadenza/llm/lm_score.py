@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress, repeat
 from math import log
 
 import numpy as np
@@ -37,25 +38,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import Scratch, scratch, stored, text_batches
 
 WORD = re.compile(r"\w+|[^\w\s]")
+#: The same for small letters of ASCII, where it is quicker.
+ASCII_WORD = re.compile(r"[a-z0-9_]+|[\x00-\x08\x0e-\x1b!-/:-@\[-^`{-\x7f]")
 WORDS = 8192
 WINDOW = 2
 WIDTH = 8
 ROUNDS = 2
 RATE = 0.1
 BATCH = 8192
+#: Nodes with most below them, which are the last of a tree: most steps of all ways are on these, and they are taken as matrix products.
+HEAD = 32
 #: Positions of a shard.
 SHARD = 4_000_000
 #: Groups in which shards' weights are added first.
 SALTS = 64
 PARTS = 8
 CACHE_WORDS = 400_000
-#: Positions that are scored at a time.
-CHUNK = 1 << 15
+#: Positions whose steps are held at a time: few enough that the arrays stay in cache and the allocator gives no pages back.
+CHUNK = 1 << 12
+#: Positions of documents that are laid out at a time for training.
+BLOCK = 1 << 20
 CODE_POINTS = 0x110000
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return (ASCII_WORD if low.isascii() else WORD).findall(low)
 
 
 class Spelling:
@@ -70,6 +80,8 @@ class Spelling:
         self.other = log(new / whole / (CODE_POINTS - len(letters)))
         #: Nothing and the words that have a leaf are never spelled.
         self.rest = log(1 - np.exp(self.end) - sum(np.exp(self.plain(w)) for w in top))
+        #: The same by code point, with one entry more for all beyond the last known one; made where it is used.
+        self.table = None
 
     def plain(self, word: str) -> float:
         get, other = self.letters.get, self.other
@@ -78,6 +90,17 @@ class Spelling:
     def log_p(self, word: str) -> float:
         return self.plain(word) - self.rest
 
+    def total(self, words: list[str]) -> float:
+        """Sum of log_p over these words."""
+        if self.table is None:
+            last = max(map(ord, self.letters), default=0)
+            self.table = np.array([self.letters.get(chr(c), self.other) for c in range(last + 1)] + [self.other])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return float(self.table.take(codes, mode="clip").sum()) + len(words) * (self.end - self.rest)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
 
 @dataclass
 class Tree:
@@ -113,30 +136,12 @@ class Tree:
         flat = [x for w in ways for x in w]
         return cls(np.concatenate([[0], np.cumsum([len(w) for w in ways])]), np.array([n for n, _ in flat]), np.array([b for _, b in flat], dtype=np.float32), np.array(odds, dtype=np.float32))
 
-    def places(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the ways of these leaves, one after the other, and where each begins."""
-        n = self.at[leaves + 1] - self.at[leaves]
+    def places(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the ways of these leaves, one after the other, which of the leaves each is for, and where each way begins."""
+        from_ = self.at.take(leaves)
+        n = self.at.take(leaves + 1) - from_
         begins = np.cumsum(n) - n
-        return np.repeat(self.at[leaves] - begins, n) + np.arange(n.sum()), begins
-
-
-class _Entries(dict):
-    """Word -> leaf, or for words without leaf a number beyond the leaves, under which their spelling is remembered."""
-
-    def __init__(self, top: list[str], spelling: Spelling):
-        super().__init__((w, i) for i, w in enumerate(top))
-        self.top, self.spelling, self.spelled, self.next = top, spelling, np.zeros(CACHE_WORDS), 0
-
-    def __missing__(self, word: str) -> int:
-        self.spelled[self.next] = self.spelling.log_p(word)
-        self.next += 1
-        entry = self[word] = len(self.top) + self.next
-        return entry
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, float]:
-        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        rare = at[at >= len(self.top)] - len(self.top) - 1
-        return np.minimum(at, len(self.top)).astype("<u2"), float(self.spelled[rare].sum())
+        return np.repeat(from_ - begins, n) + np.arange(n.sum()), np.repeat(np.arange(len(leaves)), n), begins
 
 
 @dataclass
@@ -147,25 +152,33 @@ class Vocabulary:
 
     def __post_init__(self):
         self.leaf = {w: i for i, w in enumerate(self.top)}
-        self.entries = None
         #: Leaf of words that are spelled, and the entry beyond the ends of a text.
         self.rare, self.edge = len(self.top), len(self.top) + 1
 
     def encode(self, text: str | None) -> tuple[np.ndarray, float]:
         """Leaves of a whole text's words, and the log probability of spelling those that have none."""
         words = words_of(text)
-        if self.entries is None or self.entries.next + len(words) > CACHE_WORDS:
-            self.entries = _Entries(self.top, self.spelling)
-        if len(words) <= CACHE_WORDS:
-            return self.entries.encode(words)
-        parts = [self.encode_part(words[i : i + CACHE_WORDS]) for i in range(0, len(words), CACHE_WORDS)]
-        return np.concatenate([x for x, _ in parts]), sum(s for _, s in parts)
+        leaves = np.fromiter(map(self.leaf.get, words, repeat(self.rare)), dtype="<u2", count=len(words))
+        return leaves, self.spelling.total(list(compress(words, (leaves == self.rare).tobytes())))
 
-    def encode_part(self, words: list[str]) -> tuple[np.ndarray, float]:
-        return _Entries(self.top, self.spelling).encode(words)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"entries": None}
+@dataclass
+class Steps:
+    """All nodes on the ways of some leaves, one after the other."""
+
+    #: Log odds of bit 1, the bits, the nodes, the number of the leaf, and where each way begins.
+    z: np.ndarray
+    bits: np.ndarray
+    nodes: np.ndarray
+    row: np.ndarray
+    begins: np.ndarray
+    #: Steps in the head, and their cells in a table of leaves and nodes of the head.
+    high: np.ndarray
+    cells: np.ndarray
+    #: The other steps, their nodes' vectors, and their leaves' hidden layers.
+    low: np.ndarray
+    own: np.ndarray
+    long: np.ndarray
 
 
 @dataclass
@@ -191,50 +204,77 @@ class Network:
         return Network(*out)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.T[k][context[:, k]] for k in range(2 * WINDOW)))
+        return np.tanh(sum(self.T[k].take(context[:, k], axis=0) for k in range(2 * WINDOW)))
+
+    def steps(self, tree: Tree, h: np.ndarray, target: np.ndarray) -> Steps:
+        at, row, begins = tree.places(target)
+        nodes = tree.nodes.take(at)
+        first = max(0, len(self.V) - HEAD)
+        head = nodes >= first
+        high, low = np.flatnonzero(head), np.flatnonzero(~head)
+        cells = row.take(high) * (len(self.V) - first) + nodes.take(high) - first
+        own, long = self.V.take(nodes.take(low), axis=0), h.take(row.take(low), axis=0)
+        z = self.c.take(nodes)
+        z[high] += (h @ self.V[first:].T).ravel().take(cells)
+        z[low] += (own * long) @ np.ones(WIDTH, np.float32)
+        return Steps(z, tree.bits.take(at), nodes, row, begins, high, cells, low, own, long)
 
     def log_p(self, tree: Tree, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probabilities of target leaves, row by row."""
-        h = self.hidden(context)
-        at, begins = tree.places(target)
-        nodes = tree.nodes[at]
-        z = np.einsum("ij,ij->i", self.V[nodes], np.repeat(h, tree.at[target + 1] - tree.at[target], axis=0)) + self.c[nodes]
         if not len(target):
             return np.zeros(0)
-        p = 1 / (1 + np.exp(np.clip(np.where(tree.bits[at] > 0, -z, z), -30, 30)).astype(np.float64))
-        return np.add.reduceat(np.log(p), begins)
+        s = self.steps(tree, self.hidden(context), target)
+        wrong = np.clip(np.where(s.bits > 0, -s.z, s.z), -30, 30)
+        return -np.add.reduceat(np.log1p(np.exp(wrong)), s.begins, dtype=np.float64)
 
     def learn(self, tree: Tree, context: np.ndarray, target: np.ndarray, squares: Network) -> None:
         """One mini-batch of AdaGrad on the sum of negative log probabilities."""
         h = self.hidden(context)
-        at, begins = tree.places(target)
-        nodes = tree.nodes[at]
-        long = np.repeat(h, tree.at[target + 1] - tree.at[target], axis=0)
-        own = self.V[nodes]
-        z = np.einsum("ij,ij->i", own, long) + self.c[nodes]
-        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - tree.bits[at]
-        dh = np.add.reduceat(own * g[:, None], begins, axis=0) * (1 - h * h)
-        long *= g[:, None]
-        by = lambda keys, x, n: np.stack([np.bincount(keys, weights=x[:, j], minlength=n) for j in range(WIDTH)], axis=1).astype(np.float32)
-        self._step(self.V, squares.V, by(nodes, long, len(self.V)))
-        self._step(self.c, squares.c, np.bincount(nodes, weights=g, minlength=len(self.c)).astype(np.float32))
+        first = max(0, len(self.V) - HEAD)
+        dV, dc, dh = np.zeros((WIDTH, len(self.V))), np.zeros(len(self.c)), np.empty((WIDTH, len(target)))
+        for i in range(0, len(target), CHUNK):
+            here = slice(i, i + CHUNK)
+            s = self.steps(tree, h[here], target[here])
+            g = 1 / (1 + np.exp(-np.clip(s.z, -30, 30))) - s.bits
+            dc += np.bincount(s.nodes, weights=g, minlength=len(dc))
+            dense = np.zeros((len(target[here]), len(self.V) - first), np.float32)
+            dense.ravel()[s.cells] = g.take(s.high)
+            dh[:, here] = (dense @ self.V[first:]).T
+            dV[:, first:] += (dense.T @ h[here]).T
+            nodes, row, weight = s.nodes.take(s.low), s.row.take(s.low), g.take(s.low).astype(np.float64)
+            for j in range(WIDTH):
+                dh[j, here] += np.bincount(row, weights=s.own[:, j] * weight, minlength=len(dense))
+                dV[j] += np.bincount(nodes, weights=s.long[:, j] * weight, minlength=len(self.V))
+        dh *= (1 - h * h).T
+        self._step(self.V, squares.V, dV.T.astype(np.float32, order="C"))
+        self._step(self.c, squares.c, dc.astype(np.float32))
         for k in range(2 * WINDOW):
-            entries, where = np.unique(context[:, k], return_inverse=True)
-            d = by(where, dh, len(entries))
-            squares.T[k][entries] += d * d
-            self.T[k][entries] -= RATE * d / np.sqrt(squares.T[k][entries])
+            entries, d = np.ascontiguousarray(context[:, k]), np.empty_like(self.T[k])
+            for j in range(WIDTH):
+                d[:, j] = np.bincount(entries, weights=dh[j], minlength=len(d))
+            self._step(self.T[k], squares.T[k], d)
 
     @staticmethod
     def _step(x: np.ndarray, squares: np.ndarray, d: np.ndarray) -> None:
+        """Entries whose gradient is nought stay."""
         squares += d * d
-        x -= RATE * d / np.sqrt(squares)
+        d *= RATE
+        d /= np.sqrt(squares)
+        x -= d
 
 
-def contexts(ids: np.ndarray, at: np.ndarray, edge: int) -> np.ndarray:
-    """The entries around the given positions of one document."""
-    padded = np.full(len(ids) + 2 * WINDOW, edge, dtype=np.int64)
-    padded[WINDOW : WINDOW + len(ids)] = ids
-    return np.stack([padded[at + k] for k in range(2 * WINDOW + 1) if k != WINDOW], axis=1)
+def laid_out(docs: list[np.ndarray], edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All documents in one row with gaps of edges between them; where each position is in it, and the sizes of the documents."""
+    gap = np.full(WINDOW, edge, dtype=np.int64)
+    row = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
+    sizes = np.array([len(d) for d in docs], dtype=np.int64)
+    gaps = WINDOW * np.arange(1, len(docs) + 1)
+    return row, np.repeat(gaps, sizes) + np.arange(sizes.sum()), sizes
+
+
+def contexts(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The entries around the given positions of a row."""
+    return np.stack([row.take(at + k) for k in range(-WINDOW, WINDOW + 1) if k]).T
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -290,24 +330,33 @@ def encoded(docs: DataFrame, words: Vocabulary, id_col: str, text_col: str, own:
 def train_on(docs: list[np.ndarray], net: Network, words: Vocabulary, turn: int, rounds: int) -> int:
     """Train net on every rounds-th position of the documents; the number of positions."""
     squares = net.filled(np.ones(net.flat().size, dtype=np.float32))
-    waiting, n, seen = [], 0, 0
-
-    def flush() -> None:
-        c, t = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        for i in range(0, n, BATCH):
+    c, t, seen = np.zeros((0, 2 * WINDOW), dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+    for block in blocks(docs):
+        row, at, sizes = laid_out(block, words.edge)
+        within = np.arange(len(at)) - np.repeat(np.cumsum(sizes), sizes)  # from the end of its document
+        at = at[(within - turn) % rounds == 0]
+        c, t = np.concatenate([c.T, contexts(row, at).T], axis=1).T, np.concatenate([t, row.take(at)])
+        seen += len(at)
+        whole = len(t) // BATCH * BATCH
+        for i in range(0, whole, BATCH):
             net.learn(words.tree, c[i : i + BATCH], t[i : i + BATCH], squares)
+        c, t = c[whole:], t[whole:]
+    if len(t):
+        net.learn(words.tree, c, t, squares)
+    return seen
+
 
-    for doc in docs:
-        at = np.arange((len(doc) + turn) % rounds, len(doc), rounds)
-        if len(at):
-            waiting.append((contexts(doc, at, words.edge), doc[at]))
-            n += len(at)
-        if n >= BATCH:
-            flush()
-            seen, waiting, n = seen + n, [], 0
-    if n:
-        flush()
-    return seen + n
+def blocks(docs: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The documents in their order, about BLOCK positions at a time."""
+    block, n = [], 0
+    for d in docs:
+        block.append(d)
+        n += len(d)
+        if n >= BLOCK:
+            yield block
+            block, n = [], 0
+    if block:
+        yield block
 
 
 def _trainer(shared, turn: int, rounds: int):
@@ -347,16 +396,11 @@ def train(ids: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Network:
 
 def batch_scores(docs: list[np.ndarray], net: Network, words: Vocabulary) -> np.ndarray:
     """Sums of log P(leaf | context) of documents, whose positions go through the network together."""
-    gap = np.full(WINDOW, words.edge, dtype=np.int64)
-    row = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
-    sizes = np.array([len(d) for d in docs], dtype=np.int64)
-    starts = WINDOW + np.cumsum(sizes + WINDOW) - (sizes + WINDOW)
-    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    row, at, sizes = laid_out(docs, words.edge)
     each = np.zeros(len(at))
     for i in range(0, len(at), CHUNK):
         here = at[i : i + CHUNK]
-        context = np.stack([row[here + k] for k in range(-WINDOW, WINDOW + 1) if k], axis=1)
-        each[i : i + CHUNK] = net.log_p(words.tree, context, row[here])
+        each[i : i + CHUNK] = net.log_p(words.tree, contexts(row, here), row.take(here))
     sums = np.concatenate([[0.0], np.cumsum(each)])
     ends = np.cumsum(sizes)
     return sums[ends] - sums[ends - sizes]

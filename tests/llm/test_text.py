@@ -580,6 +580,69 @@ def test_lm_trains_on_every_position(spark, monkeypatch):
     assert sorted(seen) == sorted(x for d in docs for x in d.tolist())
 
 
+def test_lm_trains_in_whole_mini_batches(spark, monkeypatch):
+    """What is left of a block of documents is no small mini-batch of its own, and contexts stay in their document."""
+    texts = sf_texts(spark, 40)
+    words = lm_of(spark, texts, monkeypatch)
+    docs = [words.encode(t)[0].astype(np.int64) for t in texts]
+    monkeypatch.setattr(lm_score, "BATCH", 100)
+    monkeypatch.setattr(lm_score, "BLOCK", 250, raising=False)
+    seen, sizes = [], []
+    monkeypatch.setattr(lm_score.Network, "learn", lambda self, tree, c, t, squares: (seen.extend(zip(map(tuple, c.tolist()), t.tolist(), strict=True)), sizes.append(len(t))))
+    net = lm_score.Network.new(words.tree, words.edge + 1)
+    for turn in range(2):
+        sizes.clear()
+        n = lm_score.train_on(docs, net, words, turn, 2)
+        assert sizes == [100] * (n // 100) + [n % 100] * (n % 100 > 0)
+    entry = lambda d, i: int(d[i]) if 0 <= i < len(d) else words.edge
+    assert sorted(seen) == sorted((tuple(entry(d, i + k) for k in (-2, -1, 1, 2)), int(d[i])) for d in docs for i in range(len(d)))
+
+
+def test_lm_mini_batch_equals_plain_gradient(spark, monkeypatch):
+    """The head as matrix products, steps below it, and several parts give one step of AdaGrad."""
+    texts = sf_texts(spark, 20)
+    words = lm_of(spark, texts, monkeypatch)
+    monkeypatch.setattr(lm_score, "CHUNK", 70)
+    r = np.random.default_rng(4)
+    start = lm_score.Network.new(words.tree, words.edge + 1)
+    start.V += r.standard_normal(start.V.shape).astype(np.float32)
+    target, context = words.encode(" ".join(texts))[0].astype(np.int64)[:200], r.integers(0, words.edge + 1, (200, 4))
+    grad = start.filled(np.zeros(start.flat().size))
+    grad.T, grad.V, grad.c = (x.astype(float) for x in (grad.T, grad.V, grad.c))
+    for leaf, around in zip(target, context, strict=True):
+        h = np.tanh(sum(start.T[k][around[k]].astype(float) for k in range(4)))
+        dh = np.zeros(len(h))
+        for p in range(words.tree.at[leaf], words.tree.at[leaf + 1]):
+            node = words.tree.nodes[p]
+            g = 1 / (1 + np.exp(-(start.V[node] @ h + start.c[node]))) - words.tree.bits[p]
+            grad.V[node] += g * h
+            grad.c[node] += g
+            dh += g * start.V[node]
+        for k in range(4):
+            grad.T[k][around[k]] += dh * (1 - h * h)
+    want = start.flat() - lm_score.RATE * grad.flat() / np.sqrt(1 + grad.flat() ** 2)
+    for head in (0, 5, 32, 1000):
+        monkeypatch.setattr(lm_score, "HEAD", head, raising=False)
+        net, squares = start.filled(start.flat()), start.filled(np.ones(start.flat().size))
+        net.learn(words.tree, context, target, squares)
+        assert net.flat() == pytest.approx(want, abs=2e-5)
+        assert squares.flat() == pytest.approx(1 + grad.flat() ** 2, rel=1e-4)
+
+
+def test_lm_words_of_ascii_texts_are_those_of_the_general_rule():
+    every = "".join(map(chr, range(128)))
+    for text in [every, every[::-1], *(f"a{c}{d}b {c}" for c in every for d in every[::7]), "\u212a\u0130x é_1", "don't  stop_it\x1cnow"]:
+        assert lm_score.words_of(text) == lm_score.WORD.findall(text.lower())
+
+
+def test_lm_spellings_of_many_words_add_up():
+    own = lm_score.Spelling({"a": 5, "é": 3}, 40, ["a"])
+    for some in ([], ["b"], ["aé", "a\U0001f600", "éa\ufffd", "\x00"]):
+        want = sum(sum(own.letters.get(c, own.other) for c in w) + own.end - own.rest for w in some)
+        assert own.total(some) == pytest.approx(want) and sum(map(own.log_p, some)) == pytest.approx(want)
+    assert lm_score.Spelling({}, 0, []).total(["xy"]) == pytest.approx(lm_score.Spelling({}, 0, []).log_p("xy"))
+
+
 def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "SHARD", 20_000)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
