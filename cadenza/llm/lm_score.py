@@ -46,8 +46,8 @@ WIDTH = 8
 ROUNDS = 2
 RATE = 0.1
 BATCH = 8192
-#: Nodes with most below them, which are the last of a tree: most steps of all ways are on these, and they are taken as matrix products.
-HEAD = 32
+#: Nodes with most below them, which are the last of a tree: half of all steps are on these, and they are taken as matrix products.
+HEAD = 16
 #: Positions of a shard.
 SHARD = 4_000_000
 #: Groups in which shards' weights are added first.
@@ -136,12 +136,30 @@ class Tree:
         flat = [x for w in ways for x in w]
         return cls(np.concatenate([[0], np.cumsum([len(w) for w in ways])]), np.array([n for n, _ in flat]), np.array([b for _, b in flat], dtype=np.float32), np.array(odds, dtype=np.float32))
 
-    def places(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the ways of these leaves, one after the other, which of the leaves each is for, and where each way begins."""
-        from_ = self.at.take(leaves)
-        n = self.at.take(leaves + 1) - from_
-        begins = np.cumsum(n) - n
-        return np.repeat(from_ - begins, n) + np.arange(n.sum()), np.repeat(np.arange(len(leaves)), n), begins
+    def __post_init__(self):
+        self.signs = self.low = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"signs": None, "low": None}
+
+    def head(self) -> np.ndarray:
+        """Row by leaf: 1 for each node of the head on its way that it leaves by bit 0, -1 by bit 1, 0 for the others. Made where it is used."""
+        size = min(HEAD, len(self.odds))
+        if self.signs is None or self.signs.shape[1] != size:
+            first, leaf = len(self.odds) - size, np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+            high = self.nodes >= first
+            self.signs = np.zeros((len(self.at) - 1, size), np.float32)
+            self.signs[leaf[high], self.nodes[high] - first] = 1 - 2 * self.bits[high]
+            # nodes have less below them the further they are on a way, so that the head is the first part of each
+            self.low = self.at[:-1] + np.bincount(leaf[high], minlength=len(self.signs))
+        return self.signs
+
+    def places(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the ways of these leaves below the head, one after the other, and which of the leaves each is for."""
+        self.head()
+        low = self.low.take(leaves)
+        n = self.at.take(leaves + 1) - low
+        return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.arange(len(leaves)), n)
 
 
 @dataclass
@@ -164,19 +182,16 @@ class Vocabulary:
 
 @dataclass
 class Steps:
-    """All nodes on the ways of some leaves, one after the other."""
-
-    #: Log odds of bit 1, the bits, the nodes, the number of the leaf, and where each way begins.
-    z: np.ndarray
-    bits: np.ndarray
+    """Steps of the ways of some leaves. wrong: log odds of the bit that a way does not take."""
+
+    #: Row by leaf, column by node of the head: signs, 0 for nodes that are on no way of the leaf.
+    head_signs: np.ndarray
+    head_wrong: np.ndarray
+    #: All steps below the head: sign, log odds, node, number of the leaf, the node's vector and the leaf's hidden layer.
+    signs: np.ndarray
+    wrong: np.ndarray
     nodes: np.ndarray
     row: np.ndarray
-    begins: np.ndarray
-    #: Steps in the head, and their cells in a table of leaves and nodes of the head.
-    high: np.ndarray
-    cells: np.ndarray
-    #: The other steps, their nodes' vectors, and their leaves' hidden layers.
-    low: np.ndarray
     own: np.ndarray
     long: np.ndarray
 
@@ -207,44 +222,38 @@ class Network:
         return np.tanh(sum(self.T[k].take(context[:, k], axis=0) for k in range(2 * WINDOW)))
 
     def steps(self, tree: Tree, h: np.ndarray, target: np.ndarray) -> Steps:
-        at, row, begins = tree.places(target)
-        nodes = tree.nodes.take(at)
-        first = max(0, len(self.V) - HEAD)
-        head = nodes >= first
-        high, low = np.flatnonzero(head), np.flatnonzero(~head)
-        cells = row.take(high) * (len(self.V) - first) + nodes.take(high) - first
-        own, long = self.V.take(nodes.take(low), axis=0), h.take(row.take(low), axis=0)
-        z = self.c.take(nodes)
-        z[high] += (h @ self.V[first:].T).ravel().take(cells)
-        z[low] += (own * long) @ np.ones(WIDTH, np.float32)
-        return Steps(z, tree.bits.take(at), nodes, row, begins, high, cells, low, own, long)
+        head_signs = tree.head().take(target, axis=0)
+        first = len(self.V) - head_signs.shape[1]
+        at, row = tree.places(target)
+        nodes, signs = tree.nodes.take(at), 1 - 2 * tree.bits.take(at)
+        own, long = self.V.take(nodes, axis=0), h.take(row, axis=0)
+        z = (own * long) @ np.ones(WIDTH, np.float32) + self.c.take(nodes)
+        clipped = [np.clip(x, -30, 30, out=x) for x in (head_signs * (h @ self.V[first:].T + self.c[first:]), signs * z)]
+        return Steps(head_signs, clipped[0], signs, clipped[1], nodes, row, own, long)
 
     def log_p(self, tree: Tree, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probabilities of target leaves, row by row."""
-        if not len(target):
-            return np.zeros(0)
         s = self.steps(tree, self.hidden(context), target)
-        wrong = np.clip(np.where(s.bits > 0, -s.z, s.z), -30, 30)
-        return -np.add.reduceat(np.log1p(np.exp(wrong)), s.begins, dtype=np.float64)
+        head = np.log1p(np.exp(s.head_wrong)) * np.abs(s.head_signs)
+        return -(head @ np.ones(head.shape[1], np.float32) + np.bincount(s.row, weights=np.log1p(np.exp(s.wrong)), minlength=len(target)))
 
     def learn(self, tree: Tree, context: np.ndarray, target: np.ndarray, squares: Network) -> None:
         """One mini-batch of AdaGrad on the sum of negative log probabilities."""
         h = self.hidden(context)
-        first = max(0, len(self.V) - HEAD)
+        first = len(self.V) - tree.head().shape[1]
         dV, dc, dh = np.zeros((WIDTH, len(self.V))), np.zeros(len(self.c)), np.empty((WIDTH, len(target)))
         for i in range(0, len(target), CHUNK):
             here = slice(i, i + CHUNK)
             s = self.steps(tree, h[here], target[here])
-            g = 1 / (1 + np.exp(-np.clip(s.z, -30, 30))) - s.bits
-            dc += np.bincount(s.nodes, weights=g, minlength=len(dc))
-            dense = np.zeros((len(target[here]), len(self.V) - first), np.float32)
-            dense.ravel()[s.cells] = g.take(s.high)
-            dh[:, here] = (dense @ self.V[first:]).T
-            dV[:, first:] += (dense.T @ h[here]).T
-            nodes, row, weight = s.nodes.take(s.low), s.row.take(s.low), g.take(s.low).astype(np.float64)
+            g = s.head_signs / (1 + np.exp(-s.head_wrong))
+            dc[first:] += np.ones(len(g), np.float32) @ g
+            dh[:, here] = (g @ self.V[first:]).T
+            dV[:, first:] += (g.T @ h[here]).T
+            weight = (s.signs / (1 + np.exp(-s.wrong))).astype(np.float64)
+            dc += np.bincount(s.nodes, weights=weight, minlength=len(dc))
             for j in range(WIDTH):
-                dh[j, here] += np.bincount(row, weights=s.own[:, j] * weight, minlength=len(dense))
-                dV[j] += np.bincount(nodes, weights=s.long[:, j] * weight, minlength=len(self.V))
+                dh[j, here] += np.bincount(s.row, weights=s.own[:, j] * weight, minlength=len(g))
+                dV[j] += np.bincount(s.nodes, weights=s.long[:, j] * weight, minlength=len(self.V))
         dh *= (1 - h * h).T
         self._step(self.V, squares.V, dV.T.astype(np.float32, order="C"))
         self._step(self.c, squares.c, dc.astype(np.float32))
@@ -335,12 +344,13 @@ def train_on(docs: list[np.ndarray], net: Network, words: Vocabulary, turn: int,
         row, at, sizes = laid_out(block, words.edge)
         within = np.arange(len(at)) - np.repeat(np.cumsum(sizes), sizes)  # from the end of its document
         at = at[(within - turn) % rounds == 0]
-        c, t = np.concatenate([c.T, contexts(row, at).T], axis=1).T, np.concatenate([t, row.take(at)])
         seen += len(at)
-        whole = len(t) // BATCH * BATCH
-        for i in range(0, whole, BATCH):
-            net.learn(words.tree, c[i : i + BATCH], t[i : i + BATCH], squares)
-        c, t = c[whole:], t[whole:]
+        for some in (at[i : i + BLOCK] for i in range(0, len(at), BLOCK)):
+            c, t = np.concatenate([c.T, contexts(row, some).T], axis=1).T, np.concatenate([t, row.take(some)])
+            whole = len(t) // BATCH * BATCH
+            for i in range(0, whole, BATCH):
+                net.learn(words.tree, c[i : i + BATCH], t[i : i + BATCH], squares)
+            c, t = c[whole:], t[whole:]
     if len(t):
         net.learn(words.tree, c, t, squares)
     return seen
