@@ -160,21 +160,22 @@ GONE, RETAGGED = "loop_id % 10 = 0", "loop_id % 10 = 1"
   CASE WHEN f.error_code IS NULL THEN coalesce(r.key, '') ELSE '' END AS suggested FROM {{loops}} l JOIN {{faults}} f ON f.loop_id = l.loop_id JOIN {{disk}} d ON d.loop_id = l.loop_id LEFT JOIN r ON r.loop_id = l.loop_id AND rank = 1 WHERE NOT (l.{GONE})""")
 def s12_again(x: Tables) -> DataFrame:
     """A library saved with its suggestions, then changed and saved once more, that batch twice."""
-    root, folder = written(x.files), out_folder(x.spark, "catalogue")
-    best = ranking.suggestions(keys.candidates(x), 1).join(x.paths, "loop_id").select("path", "rank", "key", "mode", "probability")
+    root, folder, found, *works = written(x.files), *(out_folder(x.spark, n) for n in ("catalogue", "suggestions", "listing", "listing"))
+    ranking.suggestions(keys.candidates(x), 1).join(x.paths, "loop_id").select("path", "rank", "key", "mode", "probability").write.parquet(found)  # for both saves
+    best = x.spark.read.parquet(found)
     suggest = lambda read: read.select("path", path_in(root).alias("at")).join(best.withColumnRenamed("path", "at"), "at").drop("at")
-    saved.refresh(folder, 1, files.listing(x.spark, root), suggest)
+    saved.refresh(folder, 1, files.listing(x.spark, root, work=works[0]), suggest)
     none = F.lit(None)
     edits = x.paths.where(RETAGGED).select("loop_id", "path", F.lit("Strings").alias("category"), *(none.cast("string").alias(c) for c in ("subcategory", "genre", "key", "mode")), none.cast("array<string>").alias("descriptors"), none.cast("boolean").alias("one_shot"))
     done = rewrite.rewrite(x.files.drop("path").join(edits, "loop_id")).where("new_content is not null")
     written(done.select("path", L("new_content").alias("content")), folder=root)
-    still = files.listing(x.spark, root).withColumn("at", path_in(root)).join(x.paths.where(f"not ({GONE})").select(L("path").alias("at")), "at", "left_semi").drop("at")
+    still = files.listing(x.spark, root, work=works[1]).withColumn("at", path_in(root)).join(x.paths.where(f"not ({GONE})").select(L("path").alias("at")), "at", "left_semi").drop("at")
     for _ in range(2):
         saved.refresh(folder, 2, still, suggest)
     tags, failures, suggestions = (saved.saved(x.spark, folder, name) for name in (saved.TAGS, saved.FAILURES, saved.SUGGESTIONS))
     rows = tags.select("path", F.lit("").alias("error_code"), "category").unionByName(failures.select("path", "error_code", F.lit("").alias("category")))
     rows = rows.join(suggestions.select("path", L("key").alias("suggested")), "path", "left").withColumn("path", path_in(root)).join(x.paths, "path")
-    return settled(rows.select("loop_id", "error_code", "category", F.coalesce("suggested", F.lit("")).alias("suggested")), "s12", root, folder)
+    return settled(rows.select("loop_id", "error_code", "category", F.coalesce("suggested", F.lit("")).alias("suggested")), "s12", folder, found, *works, many=root)
 
 
 @query("p1_file_name", f"""WITH p AS ({PATHS}), n AS (SELECT loop_id, regexp_extract(path, '([^/]*)$', 1) AS name FROM p)

@@ -30,6 +30,11 @@ def _folder(uri: str) -> tuple:
     return fs.FileSystem.from_uri(uri)
 
 
+def folder_of(path: str) -> tuple:
+    """File system and name of a folder."""
+    return _folder(uri_of(path))
+
+
 def locate(path: str) -> tuple:
     """File system and name of a path; the file systems of folders are kept."""
     folder, _, name = path.rpartition("/")
