@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import edits as e
 from ..sources import containers, files, rewrite
 from .adapters import Tables, path_in, query, written
-from ..sources.shared import settled
+from ..sources.shared import out_folder, settled
 
 L = F.col
 
@@ -171,14 +171,14 @@ REWRITTEN = """WITH t AS (SELECT d.*, x.category AS ecat, x.genre AS egenre, x.k
   CAST(CASE WHEN error IS NULL AND NOT conv AND NOT bare THEN beat_count ELSE 0 END AS BIGINT) AS beat_count FROM s""")
 def s13(x: Tables) -> DataFrame:
     """Of a folder with all files, those that an edit names are opened, by the tasks that rewrite them."""
-    root = written(x.files)
+    root, work = written(x.files), out_folder(x.spark, "listing")
     edits = _file_edits(x).join(x.paths, "loop_id").drop("loop_id").withColumnRenamed("path", "at")
-    wanted = files.listing(x.spark, root).select("path", path_in(root).alias("at")).join(edits, "at")
+    wanted = files.listing(x.spark, root, work=work).select("path", path_in(root).alias("at")).join(edits, "at")
     done = rewrite.rewrite_paths(wanted.drop("at")).withColumn("path", path_in(root))
     again = containers.tags(containers.read_containers(done.where("error_code is null").select("path", L("new_content").alias("content"))))
     out = done.select("path", L("error_code").alias("failed")).join(again.drop("error_code"), "path", "left").join(x.paths, "path")
     out = out.select("loop_id", L("failed").alias("error_code"), "category", "genre", "key", "mode", F.coalesce("beat_count", F.lit(0)).cast("bigint").alias("beat_count"))
-    return settled(out, "s13", root)
+    return settled(out, "s13", work, many=root)
 
 
 def _file_edits(x: Tables) -> DataFrame:
