@@ -145,11 +145,11 @@ def smf_files(events: DataFrame) -> DataFrame:
 
 @query("s12_saved", "SELECT CASE WHEN error_code IS NULL THEN container END AS container, error_code, count(*) AS files FROM {loops} l JOIN {faults} f ON f.loop_id = l.loop_id GROUP BY ALL")
 def s12(x: Tables) -> DataFrame:
-    root, folder = written(x.files), out_folder(x.spark, "catalogue")
-    saved.refresh(folder, 1, files.listing(x.spark, root))
+    root, folder, work = written(x.files), out_folder(x.spark, "catalogue"), out_folder(x.spark, "listing")
+    saved.refresh(folder, 1, files.listing(x.spark, root, work=work))
     ok = saved.saved(x.spark, folder, saved.TAGS).select(L("container").cast("string").alias("container"), F.lit(None).cast("string").alias("error_code"))
     bad = saved.saved(x.spark, folder, saved.FAILURES).select(F.lit(None).cast("string").alias("container"), "error_code")
-    return settled(ok.unionByName(bad).groupBy("container", "error_code").agg(F.count("*").alias("files")), "s12", root, folder)
+    return settled(ok.unionByName(bad).groupBy("container", "error_code").agg(F.count("*").alias("files")), "s12", folder, work, many=root)
 
 
 #: The files at a second save: a tenth are gone, a tenth have been retagged.
