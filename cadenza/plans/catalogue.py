@@ -43,10 +43,10 @@ def _read(x: Tables) -> DataFrame:
     return containers.read_containers(x.files).join(x.paths, "path")
 
 
-def _library(x: Tables) -> tuple[str, DataFrame]:
-    """A folder with the loops' files, and what is read of them by range."""
-    root = written(x.files)
-    return root, containers.read_by_range(files.listing(x.spark, root)).withColumn("path", path_in(root))
+def _library(x: Tables) -> tuple[str, str, DataFrame]:
+    """A folder with the loops' files, one with their listing, and what is read of the files by range."""
+    root, work = written(x.files), out_folder(x.spark, "listing")
+    return root, work, containers.read_by_range(files.listing(x.spark, root, work=work)).withColumn("path", path_in(root))
 
 
 @query("s4_chunks", """SELECT l.loop_id, CASE WHEN container = 'caf' THEN
@@ -57,11 +57,11 @@ def _library(x: Tables) -> tuple[str, DataFrame]:
   CAST(CASE WHEN container = 'caf' THEN 4 + 4 * (l.loop_id % 50) ELSE 18 END AS BIGINT) AS sound_length
   FROM {loops} l JOIN {faults} f ON l.loop_id = f.loop_id WHERE error_code IS NULL OR error_code = 'not_a_loop'""")
 def s4(x: Tables) -> DataFrame:
-    root, read = _library(x)
+    root, work, read = _library(x)
     rows = containers.chunk_rows(read).join(x.paths, "path")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "id"))), lambda c: c["id"]), "|")
     length = F.max(F.when(L("id").isin("data", "COMM"), L("data_length")))
-    return settled(rows.groupBy("loop_id").agg(ids.alias("ids"), F.sum(L("has_pad").cast("bigint")).alias("padded"), length.alias("sound_length")), "s4", root)
+    return settled(rows.groupBy("loop_id").agg(ids.alias("ids"), F.sum(L("has_pad").cast("bigint")).alias("padded"), length.alias("sound_length")), "s4", root, work)
 
 
 FLAT_TEXT = """CASE WHEN loop_id % 4 = 2 THEN CASE key_ WHEN 'C#' THEN 'Db' WHEN 'D#' THEN 'Eb' WHEN 'F#' THEN 'Gb' WHEN 'G#' THEN 'Ab' WHEN 'A#' THEN 'Bb' ELSE key_ END ELSE key_ END"""
@@ -104,9 +104,9 @@ TAGS = f"""SELECT d.loop_id, d.container, category, subcategory, stored_subcateg
 @query("s8_tags", f"""SELECT t.loop_id, t.container, t.category, t.subcategory, t.stored_subcategory, t.genre, t.key, t.mode, t.beat_count, coalesce(w.words, '') AS words FROM ({TAGS}) t JOIN {{faults}} f ON f.loop_id = t.loop_id
   LEFT JOIN (SELECT loop_id, string_agg(descriptor, ',' ORDER BY descriptor) AS words FROM {{loop_descriptors}} GROUP BY loop_id) w ON w.loop_id = t.loop_id WHERE error_code IS NULL""")
 def s8(x: Tables) -> DataFrame:
-    root, read = _library(x)
+    root, work, read = _library(x)
     rows = containers.tags(read).where("error_code is null").join(x.paths, "path")
-    return settled(rows.select("loop_id", "container", "category", "subcategory", "stored_subcategory", "genre", "key", "mode", "beat_count", t.join_descriptors(L("descriptors"), ",").alias("words")), "s8", root)
+    return settled(rows.select("loop_id", "container", "category", "subcategory", "stored_subcategory", "genre", "key", "mode", "beat_count", t.join_descriptors(L("descriptors"), ",").alias("words")), "s8", work, many=root)
 
 
 def _tags(x: Tables) -> DataFrame:
