@@ -143,8 +143,11 @@ class Tables:
 
     @cached_property
     def files(self) -> DataFrame:
-        # the table is small and the bytes made of it are not: its rows are dealt before, to a number of tasks that does not follow their size
-        return files_of(self.loops.repartition(2 * self.spark.sparkContext.defaultParallelism, "loop_id"), self.words)
+        return files_of(self.dealt(self.loops), self.words)
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """rows of loops, of which files are made: the table is small and the files are not, so that the number of tasks does not follow its size."""
+        return rows.repartition(2 * self.spark.sparkContext.defaultParallelism, "loop_id")
 
 
 def written(files: DataFrame, name: str = "library", folder: str | None = None) -> str:

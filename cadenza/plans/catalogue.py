@@ -21,8 +21,8 @@ PATHS = """SELECT loop_id, concat('/lib/', CASE WHEN loop_id % 17 = 0 THEN '.cac
 def s1(x: Tables) -> DataFrame:
     """Of a folder that holds files of all these paths, hidden ones and others too, those that are listed."""
     paths = x.sql(PATHS)
-    root = written(paths.select("path", F.lit(b"x").alias("content")))
-    return settled(files.listing(x.spark, root).select(path_in(root).alias("path")).join(paths, "path").select("loop_id", "path"), "s1", root)
+    root, work = written(x.dealt(paths).select("path", F.lit(b"x").alias("content"))), out_folder(x.spark, "listing")
+    return settled(files.listing(x.spark, root, work=work).select(path_in(root).alias("path")).join(paths, "path").select("loop_id", "path"), "s1", work, many=root)
 
 
 @query("s2_once", f"SELECT DISTINCT path FROM ({PATHS}) p")
