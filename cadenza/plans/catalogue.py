@@ -61,7 +61,7 @@ def s4(x: Tables) -> DataFrame:
     rows = containers.chunk_rows(read).join(x.paths, "path")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "id"))), lambda c: c["id"]), "|")
     length = F.max(F.when(L("id").isin("data", "COMM"), L("data_length")))
-    return settled(rows.groupBy("loop_id").agg(ids.alias("ids"), F.sum(L("has_pad").cast("bigint")).alias("padded"), length.alias("sound_length")), "s4", root, work)
+    return settled(rows.groupBy("loop_id").agg(ids.alias("ids"), F.sum(L("has_pad").cast("bigint")).alias("padded"), length.alias("sound_length")), "s4", work, many=root)
 
 
 FLAT_TEXT = """CASE WHEN loop_id % 4 = 2 THEN CASE key_ WHEN 'C#' THEN 'Db' WHEN 'D#' THEN 'Eb' WHEN 'F#' THEN 'Gb' WHEN 'G#' THEN 'Ab' WHEN 'A#' THEN 'Bb' ELSE key_ END ELSE key_ END"""

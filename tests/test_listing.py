@@ -85,7 +85,7 @@ def test_tasks_remove_files_and_follow_no_links(spark, tmp_path):
     assert settled(spark.range(3), "few", str(other), many=str(root)).count() == 3 and not root.exists() and not other.exists()
 
 
-@pytest.mark.parametrize("name", ["s12_saved_again", "s13_rewritten", "s12_saved", "s8_tags", "s1_scan"])
+@pytest.mark.parametrize("name", ["s12_saved_again", "s13_rewritten", "s12_saved", "s8_tags", "s1_scan", "s4_chunks"])
 def test_queries_leave_listing_and_removal_to_tasks(spark, monkeypatch, name):
     def scan(*_):
         raise AssertionError("files listed on the driver")
